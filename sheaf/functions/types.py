@@ -141,7 +141,7 @@ def _ts_parse(s: Column) -> Column:
 
 
 def infer_types(df: DataFrame, sample: int | None = 50, order_col: str | None = "_row",
-                table_name: str | None = None) -> DataFrame:
+                table_name: str | None = None, sample_rows_factor: int = 20) -> DataFrame:
     """Heuristic cascade per column -> long ``(table_name, column_name, inferred_type)``.
 
     Typed columns map directly. String columns over their first ``sample``
@@ -166,15 +166,25 @@ def infer_types(df: DataFrame, sample: int | None = 50, order_col: str | None =
         src = df.select(*( [F.col(order_col).alias("_o")] if order_col in df.columns else [F.lit(0).alias("_o")] ),
                         stack.alias("cv")).select("_o", "cv.ci", "cv.v").where(F.col("v").isNotNull())
         if sample is not None:
+            # bounded: the first sample_rows rows in order (top-k per partition, then
+            # merged), then the first ``sample`` non-null values per column among them
             from pyspark.sql import Window
+            src = src.orderBy("_o").limit(sample * sample_rows_factor)
             w = Window.partitionBy("ci").orderBy("_o")
             src = src.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= sample)
         v = F.col("v")
+        # cheap gates first: long text can be neither a number nor a timestamp, and a
+        # timestamp parse (exception-driven when it fails) only runs on short,
+        # non-numeric cells that contain a digit
+        is_int = (F.length(v) <= 64) & v.rlike(INT_RE) & F.trim(v).try_cast("bigint").isNotNull()
+        is_float = (F.length(v) <= 400) & F.trim(v).try_cast("double").isNotNull()
+        is_ts = (F.when(is_float | (F.length(v) > 40) | ~v.rlike(r"\d"), F.lit(False))
+                 .otherwise(_ts_parse(F.trim(v)).isNotNull()))
         agg = src.groupBy("ci").agg(
             F.count(v).alias("n"),
-            F.bool_and(v.rlike(INT_RE) & F.trim(v).try_cast("bigint").isNotNull()).alias("all_int"),
-            F.bool_and(F.trim(v).try_cast("double").isNotNull()).alias("all_float"),
-            F.bool_and(_ts_parse(F.trim(v)).isNotNull()).alias("all_ts"))
+            F.bool_and(is_int).alias("all_int"),
+            F.bool_and(is_float).alias("all_float"),
+            F.bool_and(is_ts).alias("all_ts"))
         names = spark.createDataFrame([(i, c) for i, c in enumerate(cols)], "ci int, column_name string")
         inferred = agg.join(F.broadcast(names), "ci", "right").select(
             "column_name",
