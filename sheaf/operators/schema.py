@@ -31,3 +31,104 @@ def effective_types(table_types: DataFrame, inferred: DataFrame, keys=("column_n
     return (inferred.select(*k, F.col("col_type").alias("inf"))
             .join(table_types.select(*k, F.col("col_type").alias("tab")), k, "left")
             .select(*k, F.coalesce("tab", "inf").alias("col_type")))
+
+
+def column_set_diff(pairs: DataFrame, new_sets: DataFrame, table_sets: DataFrame) -> DataFrame:
+    """M1, M2, M4 for many (new file, table) pairs at once.
+
+    ``pairs(new_id, table_id)``; sets are ``(set_id, col)`` (lower-cased names,
+    audit column excluded by the caller). A full outer join per pair on the
+    column name gives side flags; counts come from one aggregate."""
+    n = new_sets.select(F.col("set_id").alias("new_id"), F.lower("col").alias("col"), F.lit(True).alias("in_new"))
+    t = table_sets.select(F.col("set_id").alias("table_id"), F.lower("col").alias("col"),
+                          F.lit(True).alias("in_table")).where(F.col("col") != RESERVED)
+    pn = pairs.join(n, "new_id")
+    pt = pairs.join(t, "table_id")
+    both = pn.join(pt, ["new_id", "table_id", "col"], "full_outer")
+    agg = both.groupBy("new_id", "table_id").agg(
+        F.count(F.when(F.col("in_table") & F.col("in_new").isNull(), 1)).alias("n_missing"),
+        F.count(F.when(F.col("in_new") & F.col("in_table").isNull(), 1)).alias("n_extra"),
+        F.count(F.when(F.col("in_new") & F.col("in_table"), 1)).alias("n_matching"),
+        F.count(F.when(F.col("in_table"), 1)).alias("n_existing"))
+    return agg.select(
+        "new_id", "table_id", "n_missing", "n_extra", "n_matching",
+        F.when(F.col("n_existing") > 0, F.round(F.col("n_matching") * 100.0 / F.col("n_existing"), 2))
+        .otherwise(F.lit(0.0)).alias("match_pct"),
+        ((F.col("n_missing") == 0) & (F.col("n_extra") == 0)).alias("is_compatible"),
+        (F.col("n_missing") == 0).alias("is_additive"))
+
+
+def schema_diff_lists(pairs: DataFrame, new_sets: DataFrame, table_sets: DataFrame,
+                      reconciled: DataFrame | None = None, drift: DataFrame | None = None) -> DataFrame:
+    """M1-M4 with the column lists (sorted), M3 reconciled renames counted into the
+    match %, and the unsafe-drift flag for additive evolution. Lists are bounded by
+    the table width."""
+    n = new_sets.select(F.col("set_id").alias("new_id"), F.lower("col").alias("col"), F.lit(True).alias("in_new"))
+    t = table_sets.select(F.col("set_id").alias("table_id"), F.lower("col").alias("col"),
+                          F.lit(True).alias("in_table")).where(F.col("col") != RESERVED)
+    both = pairs.join(n, "new_id").join(pairs.join(t, "table_id"), ["new_id", "table_id", "col"], "full_outer")
+    agg = both.groupBy("new_id", "table_id").agg(
+        F.sort_array(F.collect_list(F.when(F.col("in_table") & F.col("in_new").isNull(), F.col("col")))).alias("missing"),
+        F.sort_array(F.collect_list(F.when(F.col("in_new") & F.col("in_table").isNull(), F.col("col")))).alias("extra"),
+        F.sort_array(F.collect_list(F.when(F.col("in_new") & F.col("in_table"), F.col("col")))).alias("matching"),
+        F.count(F.when(F.col("in_table"), 1)).alias("n_existing"))
+    if reconciled is not None:
+        rec = reconciled.groupBy("new_id", "table_id").agg(
+            F.collect_list("existing").alias("rec_existing"), F.collect_list("new").alias("rec_new"))
+        agg = agg.join(rec, ["new_id", "table_id"], "left")
+    else:
+        agg = agg.withColumn("rec_existing", F.array().cast("array<string>")) \
+            .withColumn("rec_new", F.array().cast("array<string>"))
+    agg = (agg.withColumn("missing", F.array_except("missing", F.coalesce("rec_existing", F.array())))
+           .withColumn("extra", F.array_except("extra", F.coalesce("rec_new", F.array())))
+           .withColumn("n_reconciled", F.size(F.coalesce("rec_existing", F.array()))))
+    if drift is not None:
+        unsafe = drift.where(~F.col("safe")).groupBy("new_id", "table_id").agg(F.lit(True).alias("has_unsafe"))
+        agg = agg.join(unsafe, ["new_id", "table_id"], "left")
+    else:
+        agg = agg.withColumn("has_unsafe", F.lit(None).cast("boolean"))
+    pct = F.when(F.col("n_existing") > 0,
+                 F.round((F.size("matching") + F.col("n_reconciled")) * 100.0 / F.col("n_existing"), 2)).otherwise(0.0)
+    return agg.select("new_id", "table_id", "missing", "extra", "matching", "n_reconciled",
+                      pct.alias("match_pct"),
+                      ((F.size("missing") == 0) & (F.size("extra") == 0)).alias("is_compatible"),
+                      ((F.size("missing") == 0) & ~F.coalesce("has_unsafe", F.lit(False))).alias("is_additive"))
+
+
+def reconcile_pairs(candidates: DataFrame) -> DataFrame:
+    """M3: accept proposed ``(new_id, table_id, existing, new, ord)`` rename pairs
+    in ``ord`` order, each side used at most once. Validity of both sides is
+    checked by the caller's join; here the greedy 1:1 rule: a pair survives when it
+    is the first use of its existing name and of its new name."""
+    from pyspark.sql import Window
+    we = Window.partitionBy("new_id", "table_id", "existing").orderBy("ord")
+    wn = Window.partitionBy("new_id", "table_id", "new").orderBy("ord")
+    c = candidates.withColumn("_re", F.row_number().over(we)).withColumn("_rn", F.row_number().over(wn))
+    return c.where((F.col("_re") == 1) & (F.col("_rn") == 1)).drop("_re", "_rn")
+
+
+def discrepancy_report(diff: DataFrame, max_matching: int = 10) -> DataFrame:
+    """M5: report rows ``(new_id, table_id, section, column_name)``; the matching
+    section lists at most ``max_matching`` names (as the text report does)."""
+    secs = []
+    for sec, col in (("missing", "missing"), ("extra", "extra")):
+        secs.append(diff.select("new_id", "table_id", F.lit(sec).alias("section"),
+                                F.explode(col).alias("column_name")))
+    secs.append(diff.select("new_id", "table_id", F.lit("matching").alias("section"),
+                            F.explode(F.slice("matching", 1, max_matching)).alias("column_name")))
+    out = secs[0]
+    for s in secs[1:]:
+        out = out.unionByName(s)
+    return out
+
+
+def discrepancy_text(diff: DataFrame) -> DataFrame:
+    """M5 text form, one row per pair."""
+    return diff.select(
+        "new_id", "table_id",
+        F.concat_ws("\n",
+                    F.format_string("Match: %.2f%%", F.col("match_pct")),
+                    F.concat(F.lit("Missing columns: "), F.array_join("missing", ", ")),
+                    F.concat(F.lit("Extra columns: "), F.array_join("extra", ", ")),
+                    F.concat(F.lit("Matching columns: "), F.array_join(F.slice("matching", 1, 10), ", ")))
+        .alias("report"))
