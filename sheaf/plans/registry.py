@@ -33,3 +33,4 @@ FY_START_SQL = "(year(o_orderdate) - CASE WHEN month(o_orderdate) < 4 THEN 1 ELS
 from sheaf.plans import queries_periods  # noqa: E402,F401
 from sheaf.plans import queries_clean  # noqa: E402,F401
 from sheaf.plans import queries_similarity  # noqa: E402,F401
+from sheaf.plans import queries_load  # noqa: E402,F401
