@@ -35,3 +35,4 @@ from sheaf.plans import queries_clean  # noqa: E402,F401
 from sheaf.plans import queries_similarity  # noqa: E402,F401
 from sheaf.plans import queries_load  # noqa: E402,F401
 from sheaf.plans import queries_vectors  # noqa: E402,F401
+from sheaf.plans import queries_hierarchy  # noqa: E402,F401
