@@ -37,3 +37,4 @@ from sheaf.plans import queries_load  # noqa: E402,F401
 from sheaf.plans import queries_vectors  # noqa: E402,F401
 from sheaf.plans import queries_hierarchy  # noqa: E402,F401
 from sheaf.plans import queries_jobs  # noqa: E402,F401
+from sheaf.plans import queries_profile  # noqa: E402,F401
