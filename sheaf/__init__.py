@@ -7,3 +7,14 @@ jobs in ``sheaf.streaming``.
 """
 
 __version__ = "0.1.0"
+
+# Python code that runs inside tasks (grouped-map / map-in-pandas steps) must reach
+# executors that do not have this package installed: ship it by value.
+try:
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cp
+
+    _cp.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # pragma: no cover - older cloudpickle: ship with --py-files instead
+    pass

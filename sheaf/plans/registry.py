@@ -38,3 +38,5 @@ from sheaf.plans import queries_vectors  # noqa: E402,F401
 from sheaf.plans import queries_hierarchy  # noqa: E402,F401
 from sheaf.plans import queries_jobs  # noqa: E402,F401
 from sheaf.plans import queries_profile  # noqa: E402,F401
+from sheaf.plans import queries_sources  # noqa: E402,F401
+from sheaf.plans import queries_sheets  # noqa: E402,F401
