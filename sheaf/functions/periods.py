@@ -38,7 +38,7 @@ PERIOD_NAME_WORDS = ["year", "month", "quarter", "date", "period", "time", "fisc
 # Date formats tried (in order) when a period value is compared as a date.
 PERIOD_DATE_FORMATS = ["yyyy-MM-dd", "yyyy/MM/dd", "dd-MM-yyyy", "dd/MM/yyyy", "yyyy-MM",
                        "MMM-yyyy", "MMM yyyy", "MMMM yyyy", "MMMM-yyyy", "MMM yy",
-                       "MMM-yy", "d MMM yyyy", "d MMMM yyyy", "MMMM d, yyyy", "MMM d, yyyy"]
+                       "MMM-yy", "d MMM yyyy", "d MMMM yyyy", "MMMM d, yyyy", "MMM d, yyyy", "yyyy"]
 # ------------------------------------------------------------------------------
 
 def _month_map_col() -> Column:
