@@ -11,44 +11,43 @@ from pyspark.sql import functions as F
 
 from sheaf.operators import sheets as X
 from sheaf.plans.registry import register
-from sheaf.session import table
+from sheaf.session import cut_lineage, table
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
 def order_workbook(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    r = o.agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b")).first()
+    r = o.agg(F.min("o_orderdate").alias("a")).first()
     y0, m0 = r["a"].year, r["a"].month
-    n_months = (r["b"].year - y0) * 12 + r["b"].month - m0 + 1
     midx = (F.year("o_orderdate") - y0) * 12 + F.month("o_orderdate") - m0
     pidx = F.substring("o_orderpriority", 1, 1).cast("int")          # 1..5 -> column 2..6
     cell = lambda f, row, col, val, kind: f.select(
         F.lit("orders.xlsx").alias("_file"), F.col("o_orderstatus").alias("sheet"), row.cast("int").alias("row"),
         col.cast("int").alias("col"), val.cast("string").alias("value"), F.lit(kind).alias("kind"))
-    sheets = o.select("o_orderstatus").distinct()
-    start1, start2 = 7, 7 + n_months + 4
-    parts = [cell(sheets, F.lit(1), F.lit(1), F.lit("Order value and count by priority"), "s"),
-             cell(sheets, F.lit(2), F.lit(1), F.lit("(₹ Crores)"), "s")]
-    for s0, banner in ((start1, "Constant Prices"), (start2, "Current Prices")):
-        parts.append(cell(sheets, F.lit(s0 - 3), F.lit(1), F.lit(banner), "s"))
-        parts.append(cell(sheets, F.lit(s0 - 2), F.lit(1), F.lit("Month"), "s"))
+    # each sheet lists the months of its own span: rows start right under the header
+    span = o.groupBy("o_orderstatus").agg(F.min(midx).alias("lo"), F.max(midx).alias("hi")) \
+        .withColumn("s1", F.lit(7)).withColumn("s2", F.lit(11) + F.col("hi") - F.col("lo") + 1)
+    parts = [cell(span, F.lit(1), F.lit(1), F.lit("Order value and count by priority"), "s"),
+             cell(span, F.lit(2), F.lit(1), F.lit("(₹ Crores)"), "s")]
+    for s0, banner in (("s1", "Constant Prices"), ("s2", "Current Prices")):
+        parts.append(cell(span, F.col(s0) - 3, F.lit(1), F.lit(banner), "s"))
+        parts.append(cell(span, F.col(s0) - 2, F.lit(1), F.lit("Month"), "s"))
         for i, p in enumerate(PRIORITIES):
-            parts.append(cell(sheets, F.lit(s0 - 2), F.lit(i + 2), F.lit(p), "s"))
+            parts.append(cell(span, F.col(s0) - 2, F.lit(i + 2), F.lit(p), "s"))
         for i in range(6):
-            parts.append(cell(sheets, F.lit(s0 - 1), F.lit(i + 1), F.lit(i + 1), "n"))
-    # month label rows for every month of each sheet's span
-    span = o.groupBy("o_orderstatus").agg(F.min(midx).alias("lo"), F.max(midx).alias("hi"))
-    months = span.select("o_orderstatus", F.explode(F.sequence("lo", "hi")).alias("mi"))
+            parts.append(cell(span, F.col(s0) - 1, F.lit(i + 1), F.lit(i + 1), "n"))
+    months = span.select("o_orderstatus", "lo", "s1", "s2", F.explode(F.sequence("lo", "hi")).alias("mi"))
     label = F.date_format(F.add_months(F.make_date(F.lit(y0), F.lit(m0), F.lit(1)), F.col("mi")), "MMM-yyyy")
-    for s0 in (start1, start2):
-        parts.append(cell(months, F.lit(s0) + F.col("mi"), F.lit(1), label, "s"))
-    agg = o.groupBy("o_orderstatus", midx.alias("mi"), pidx.alias("pi")).agg(
-        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("v"), F.count(F.lit(1)).alias("n"))
-    parts.append(cell(agg, F.lit(start1) + F.col("mi"), F.col("pi") + 1, F.col("v"), "n"))
-    parts.append(cell(agg, F.lit(start2) + F.col("mi"), F.col("pi") + 1, F.col("n"), "n"))
-    last = span.select("o_orderstatus", (F.lit(start2) + F.col("hi") + 2).alias("r"))
-    parts.append(cell(last, F.col("r"), F.lit(1), F.lit("Source: order ledger, compiled monthly"), "s"))
+    for s0 in ("s1", "s2"):
+        parts.append(cell(months, F.col(s0) + F.col("mi") - F.col("lo"), F.lit(1), label, "s"))
+    agg = (o.groupBy("o_orderstatus", midx.alias("mi"), pidx.alias("pi"))
+           .agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("v"), F.count(F.lit(1)).alias("n"))
+           .join(span, "o_orderstatus"))
+    parts.append(cell(agg, F.col("s1") + F.col("mi") - F.col("lo"), F.col("pi") + 1, F.col("v"), "n"))
+    parts.append(cell(agg, F.col("s2") + F.col("mi") - F.col("lo"), F.col("pi") + 1, F.col("n"), "n"))
+    parts.append(cell(span, F.col("s2") + F.col("hi") - F.col("lo") + 2, F.lit(1),
+                      F.lit("Source: order ledger, compiled monthly"), "s"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -65,8 +64,8 @@ FROM orders GROUP BY ALL""")
 def q_stacked(spark, sf_dir):
     """X2-X11 layout walk, X14 mergeable, S5 range read, X15 stacked concat with
     the price label; priority columns melted to long."""
-    cells = order_workbook(spark, sf_dir)
-    subs = X.analyze_sheets(cells)
+    cells = cut_lineage(order_workbook(spark, sf_dir))      # read by the walk and by the range read
+    subs = cut_lineage(X.analyze_sheets(cells))              # small; used by four steps
     if not subs.join(X.mergeable(subs), "_file").first()["mergeable"]:
         raise AssertionError("stacked sub-tables should be mergeable")
     names = X.header_names(subs).where(F.col("sub_ord") == 1).first()["names"]
@@ -79,20 +78,14 @@ def q_stacked(spark, sf_dir):
 
 
 @register("x_subtable_layout", """
-WITH s AS (SELECT o_orderstatus AS sheet,
-                  min((year(o_orderdate) - (SELECT year(min(o_orderdate)) FROM orders)) * 12 + month(o_orderdate)
-                      - (SELECT month(min(o_orderdate)) FROM orders)) AS lo,
-                  max((year(o_orderdate) - (SELECT year(min(o_orderdate)) FROM orders)) * 12 + month(o_orderdate)
-                      - (SELECT month(min(o_orderdate)) FROM orders)) AS hi
-           FROM orders GROUP BY 1),
-n AS (SELECT (year(max(o_orderdate)) - year(min(o_orderdate))) * 12 + month(max(o_orderdate))
-             - month(min(o_orderdate)) + 1 AS nm FROM orders)
-SELECT sheet, 1 AS sub_ord, 'Constant Prices' AS label, 6 AS col_number_row, 7 + lo AS data_start_row,
-       7 + hi AS data_end_row, 1 AS min_col, 6 AS max_col, 'Order value and count by priority' AS title,
-       '₹ Crores' AS sheet_unit FROM s
+WITH m AS (SELECT o_orderstatus AS sheet, (year(o_orderdate) - 1900) * 12 + month(o_orderdate) AS mi FROM orders),
+s AS (SELECT sheet, max(mi) - min(mi) + 1 AS n FROM m GROUP BY 1)
+SELECT sheet, 1 AS sub_ord, 'Constant Prices' AS label, 6 AS col_number_row, 7 AS data_start_row,
+       CAST(6 + n AS INTEGER) AS data_end_row, 1 AS min_col, 6 AS max_col,
+       'Order value and count by priority' AS title, '₹ Crores' AS sheet_unit FROM s
 UNION ALL
-SELECT sheet, 2, 'Current Prices', 10 + nm, 11 + nm + lo, 11 + nm + hi, 1, 6,
-       'Order value and count by priority', '₹ Crores' FROM s, n""")
+SELECT sheet, 2, 'Current Prices', CAST(10 + n AS INTEGER), CAST(11 + n AS INTEGER), CAST(10 + 2 * n AS INTEGER), 1, 6,
+       'Order value and count by priority', '₹ Crores' FROM s""")
 def q_layout(spark, sf_dir):
     """Sub-table records found by the per-sheet layout walk."""
     subs = X.analyze_sheets(order_workbook(spark, sf_dir))
