@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from sheaf.functions.dates import parse_formats, try_number
 
 # ---- fixed values ------------------------------------------------------------
 # Cells that mean "no value" in a numeric column.
@@ -36,7 +37,7 @@ def parse_indian_number(c: Column | str) -> Column:
     """N1 conversion: dash/blank -> NULL, commas removed, bad -> NULL."""
     s = F.trim(_c(c).cast("string"))
     return F.when(s.isin(DASH_TOKENS), F.lit(None).cast("double")).otherwise(
-        F.regexp_replace(s, ",", "").try_cast("double"))
+        try_number(F.regexp_replace(s, ",", "")))
 
 
 def parse_indian_numbers(df: DataFrame, columns: list[str] | None = None,
@@ -66,7 +67,7 @@ def coerce_numeric(c: Column | str, target: str = "double") -> Column:
     s = F.regexp_replace(s, r"[,%$]", "")
     s = F.regexp_replace(s, "₹", "")
     s = F.when(F.lower(s).isin(NUMERIC_PLACEHOLDERS), F.lit(None)).otherwise(s)
-    d = F.trim(s).try_cast("double")
+    d = try_number(s)
     d = F.when(d.isNull() | F.isnan(d) | (F.abs(d) == float("inf")), F.lit(None)).otherwise(d)
     if target == "double":
         return d
@@ -85,7 +86,7 @@ MONTHFIRST_FORMATS = ["MM/dd/yyyy HH:mm:ss", "MM-dd-yyyy HH:mm:ss", "MM/dd/yyyy"
 def parse_timestamp(c: Column | str, dayfirst: bool) -> Column:
     s = F.trim(_c(c).cast("string"))
     fmts = DAYFIRST_FORMATS if dayfirst else MONTHFIRST_FORMATS
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in fmts])
+    return parse_formats(s, fmts)
 
 
 def temporal_decision(df: DataFrame, columns: list[str], order_col: str | None = "_row") -> dict:

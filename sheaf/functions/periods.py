@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from sheaf.functions.dates import parse_formats
 
 # ---- fixed values ------------------------------------------------------------
 MONTHS_ABBR = ["Jan", "Feb", "Mar", "Apr", "May", "Jun",
@@ -281,7 +282,7 @@ def apply_month_numeric(df: DataFrame, votes: dict) -> DataFrame:
 def parse_period_date(c: Column | str) -> Column:
     """Lenient date parse over a fixed format list (first format that parses wins)."""
     s = F.trim(_c(c).cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in PERIOD_DATE_FORMATS]).cast("date")
+    return parse_formats(s, PERIOD_DATE_FORMATS).cast("date")
 
 
 # ---- P9 / P10 --------------------------------------------------------------------

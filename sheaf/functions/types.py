@@ -10,6 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from sheaf.functions.dates import parse_formats, try_number
 
 # ---- fixed values ------------------------------------------------------------
 TYPE_ALIASES = {
@@ -137,7 +138,53 @@ def _typed_shortcut(dt: T.DataType) -> str | None:
 
 
 def _ts_parse(s: Column) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in TS_FORMATS])
+    return F.coalesce(s.try_cast("timestamp"), parse_formats(s, TS_FORMATS))
+
+
+def _flags(v: Column):
+    """Per-value tests of the cascade. Order matters for cost: an integer is a
+    float too, so the (costlier) double parse only runs on non-integers of number
+    shape; timestamps try Spark's exception-free ISO cast before formatted parses;
+    long text is neither."""
+    short = F.length(v) <= 64
+    is_int = short & v.rlike(INT_RE) & F.trim(v).try_cast("bigint").isNotNull()
+    is_float = is_int | (short & try_number(v).isNotNull())
+    is_ts = (F.when(is_float | (F.length(v) > 40) | ~v.rlike(r"\d"), F.lit(False))
+             .otherwise(_ts_parse(F.trim(v)).isNotNull()))
+    return is_int, is_float, is_ts
+
+
+def _verdict(n, a_int, a_float, a_ts):
+    return (F.when(n.isNull() | (n == 0), F.lit(T_TEXT)).when(a_int, F.lit(T_BIGINT))
+            .when(a_float, F.lit(T_DOUBLE)).when(a_ts, F.lit(T_TS)).otherwise(F.lit(T_TEXT)))
+
+
+def long_values(df: DataFrame, table_name: str, columns: list[str], order_col: str | None = None) -> DataFrame:
+    """``(table_name, column_name, _o, v)``: every cell of ``columns`` as text."""
+    o = F.col(order_col) if order_col and order_col in df.columns else F.lit(0).cast("long")
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("v"))
+                                for c in columns]))
+    return df.select(F.lit(table_name).alias("table_name"), o.cast("long").alias("_o"), cells.alias("x")) \
+        .select("table_name", "x.column_name", "_o", "x.v")
+
+
+def infer_long(values: DataFrame, sample: int | None = None, sample_rows: int | None = None) -> DataFrame:
+    """T1 over a long ``(table_name, column_name, _o, v)`` frame of any number of
+    tables: one aggregate (partial per partition, a small shuffle), one compiled
+    expression set. ``sample``: only the first ``sample`` non-null values per
+    column (after a bounded head of ``sample_rows`` rows per table)."""
+    src = values.where(F.col("v").isNotNull())
+    if sample is not None:
+        from pyspark.sql import Window
+        head = Window.partitionBy("table_name").orderBy("_o")
+        src = src.withColumn("_h", F.dense_rank().over(head)).where(F.col("_h") <= (sample_rows or sample * 20))
+        w = Window.partitionBy("table_name", "column_name").orderBy("_o")
+        src = src.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= sample)
+    fi, ff, ft = _flags(F.col("v"))
+    agg = src.groupBy("table_name", "column_name").agg(
+        F.count("v").alias("n"), F.bool_and(fi).alias("i"), F.bool_and(ff).alias("f"), F.bool_and(ft).alias("t"))
+    return agg.select("table_name", "column_name",
+                      _verdict(F.col("n"), F.col("i"), F.col("f"), F.col("t")).alias("inferred_type"))
 
 
 def infer_types(df: DataFrame, sample: int | None = 50, order_col: str | None = "_row",
@@ -147,58 +194,27 @@ def infer_types(df: DataFrame, sample: int | None = 50, order_col: str | None =
     Typed columns map directly. String columns over their first ``sample``
     non-null values (``None`` = every value): all integers -> BIGINT, all floats ->
     DOUBLE PRECISION, all timestamps -> TIMESTAMP, else TEXT; no value -> TEXT.
-    One aggregate for all columns (sample mode: one windowed rank per column)."""
+    Columns that are all NULL also give TEXT."""
     spark = df.sparkSession
+    name = table_name or ""
     direct, cols = {}, []
     for f in df.schema.fields:
         if f.name == order_col:
             continue
         sc = _typed_shortcut(f.dataType)
-        if sc and isinstance(f.dataType, T.StringType) is False:
+        if sc:
             direct[f.name] = sc
         else:
             cols.append(f.name)
-    rows = []
+    out = spark.createDataFrame([(name, c, t) for c, t in direct.items()],
+                                "table_name string, column_name string, inferred_type string")
     if cols:
-        stack = F.explode(F.array(*[
-            F.struct(F.lit(i).alias("ci"), F.col(f"`{c}`").cast("string").alias("v"))
-            for i, c in enumerate(cols)]))
-        src = df.select(*( [F.col(order_col).alias("_o")] if order_col in df.columns else [F.lit(0).alias("_o")] ),
-                        stack.alias("cv")).select("_o", "cv.ci", "cv.v").where(F.col("v").isNotNull())
-        if sample is not None:
-            # bounded: the first sample_rows rows in order (top-k per partition, then
-            # merged), then the first ``sample`` non-null values per column among them
-            from pyspark.sql import Window
-            src = src.orderBy("_o").limit(sample * sample_rows_factor)
-            w = Window.partitionBy("ci").orderBy("_o")
-            src = src.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= sample)
-        v = F.col("v")
-        # cheap gates first: long text can be neither a number nor a timestamp, and a
-        # timestamp parse (exception-driven when it fails) only runs on short,
-        # non-numeric cells that contain a digit
-        is_int = (F.length(v) <= 64) & v.rlike(INT_RE) & F.trim(v).try_cast("bigint").isNotNull()
-        is_float = (F.length(v) <= 400) & F.trim(v).try_cast("double").isNotNull()
-        is_ts = (F.when(is_float | (F.length(v) > 40) | ~v.rlike(r"\d"), F.lit(False))
-                 .otherwise(_ts_parse(F.trim(v)).isNotNull()))
-        agg = src.groupBy("ci").agg(
-            F.count(v).alias("n"),
-            F.bool_and(is_int).alias("all_int"),
-            F.bool_and(is_float).alias("all_float"),
-            F.bool_and(is_ts).alias("all_ts"))
-        names = spark.createDataFrame([(i, c) for i, c in enumerate(cols)], "ci int, column_name string")
-        inferred = agg.join(F.broadcast(names), "ci", "right").select(
-            "column_name",
-            F.when(F.col("n").isNull() | (F.col("n") == 0), F.lit(T_TEXT))
-            .when(F.col("all_int"), F.lit(T_BIGINT))
-            .when(F.col("all_float"), F.lit(T_DOUBLE))
-            .when(F.col("all_ts"), F.lit(T_TS)).otherwise(F.lit(T_TEXT)).alias("inferred_type"))
-    else:
-        inferred = None
-    direct_df = spark.createDataFrame(list(direct.items()), "column_name string, inferred_type string")
-    out = direct_df if inferred is None else direct_df.unionByName(inferred)
-    if table_name is not None:
-        out = out.select(F.lit(table_name).alias("table_name"), "column_name", "inferred_type")
-    return out
+        inf = infer_long(long_values(df, name, cols, order_col), sample, sample * sample_rows_factor if sample else None)
+        every = spark.createDataFrame([(name, c) for c in cols], "table_name string, column_name string")
+        inf = every.join(F.broadcast(inf), ["table_name", "column_name"], "left").select(
+            "table_name", "column_name", F.coalesce("inferred_type", F.lit(T_TEXT)).alias("inferred_type"))
+        out = out.unionByName(inf)
+    return out if table_name is not None else out.drop("table_name")
 
 
 def varchar_size(max_len: Column | str) -> Column:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from sheaf.functions.dates import parse_formats
 
 # ---- fixed values ------------------------------------------------------------
 STATUSES = ["preprocessing", "awaiting_approval", "approved", "rejected", "completed", "failed",
@@ -87,7 +88,7 @@ def batch_approval(jobs: DataFrame) -> DataFrame:
 def parse_metadata_date(c: Column) -> Column:
     """Flexible date parse over a fixed format list; NULL when unparseable."""
     s = F.trim(c)
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in METADATA_DATE_FORMATS])
+    return parse_formats(s, METADATA_DATE_FORMATS)
 
 
 def approval_metadata(meta: DataFrame) -> DataFrame:

@@ -201,14 +201,18 @@ _TABLE_LIST = ", ".join(f"'{t}'" for t in TABLES)
 SELECT table_name, column_name, {_T1_CASE} AS inferred_type
 FROM information_schema.columns WHERE table_name IN ({_TABLE_LIST})""")
 def q_infer(spark, sf_dir):
-    """T1 cascade over every table read back as text (every value: full-data mode);
-    the oracle reads the declared Parquet types instead."""
-    out = None
+    """T1 cascade over every table read back as text (every value: full-data mode),
+    all tables in ONE aggregate; the oracle reads the declared Parquet types instead."""
+    return _inferred_all(spark, sf_dir)
+
+
+def _inferred_all(spark, sf_dir):
+    vals = None
     for t in TABLES:
-        df = _as_text(table(spark, sf_dir, t))
-        r = TY.infer_types(df, sample=None, order_col=None, table_name=t)
-        out = r if out is None else out.unionByName(r)
-    return out
+        df = table(spark, sf_dir, t)
+        v = TY.long_values(df, t, df.columns)
+        vals = v if vals is None else vals.unionByName(v)
+    return TY.infer_long(vals)
 
 
 # string columns of the driver tables (from the fixture schemas)
@@ -265,16 +269,13 @@ def q_drift(spark, sf_dir):
     """Declared table types (existing) against T1 types of the same tables
     read back as text (incoming) -> drift rows with the lattice verdict."""
     from sheaf.operators.schema import type_drift
-    out = None
-    for t in TABLES:
-        df = table(spark, sf_dir, t)
-        existing = spark.createDataFrame([(f.name, TY.spark_to_sql_type(f.dataType)) for f in df.schema.fields],
-                                         "column_name string, col_type string")
-        incoming = TY.infer_types(_as_text(df), sample=None, order_col=None).select(
-            "column_name", F.lower("inferred_type").alias("col_type"))
-        r = type_drift(existing, incoming).select(F.lit(t).alias("table_name"), "*")
-        out = r if out is None else out.unionByName(r)
-    return out
+    declared = spark.createDataFrame(
+        [(t, f.name, TY.spark_to_sql_type(f.dataType)) for t in TABLES
+         for f in table(spark, sf_dir, t).schema.fields],
+        "table_name string, column_name string, col_type string")
+    incoming = _inferred_all(spark, sf_dir).select("table_name", "column_name",
+                                                   F.lower("inferred_type").alias("col_type"))
+    return type_drift(declared, incoming, keys=("table_name", "column_name"))
 
 
 NUMERIC_COLUMNS = {

@@ -64,7 +64,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Read a driver table. A file written as one row group scans as ONE task, so
+    every per-row step before the first shuffle would run on one core; when the scan
+    yields fewer partitions than the cluster's parallelism the rows are spread
+    round-robin (filters and column pruning still reach the scan). On large inputs
+    the scan already has enough partitions and nothing is added."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return ensure_parallelism(df)
+
+
+def ensure_parallelism(df: DataFrame, min_rows_per_task: int = 20_000) -> DataFrame:
+    """Spread a narrow input over the cluster when it would run in too few tasks.
+    Only for inputs with at least ``min_rows_per_task`` rows per extra task (a
+    bounded metadata count via the Parquet footer is not available for every
+    source, so the rule uses the partition count and a cheap row-count bound)."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= par:
+        return df
+    return df.repartition(par)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
