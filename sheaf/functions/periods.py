@@ -360,10 +360,16 @@ def detect_period_column_py(columns: list[str]) -> str | None:
     return None
 
 
-def period_bounds(df: DataFrame, period_col: str) -> DataFrame:
-    """One-row (first_value, last_value) ordered on the typed period key."""
+def period_bounds(df: DataFrame, period_col: str, group_cols: list[str] | None = None) -> DataFrame:
+    """(first_value, last_value) ordered on the typed period key; one row, or
+    one row per group (a map-side partial aggregate)."""
     k = period_sort_key(period_col)
-    return df.where(F.col(period_col).isNotNull()).agg(
+    src = df.where(F.col(period_col).isNotNull())
+    if group_cols:
+        return src.groupBy(*group_cols).agg(
+            F.min_by(F.col(period_col).cast("string"), k).alias("first_value"),
+            F.max_by(F.col(period_col).cast("string"), k).alias("last_value"))
+    return src.agg(
         F.min_by(F.col(period_col).cast("string"), k).alias("first_value"),
         F.max_by(F.col(period_col).cast("string"), k).alias("last_value"))
 

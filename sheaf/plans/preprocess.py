@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.functions import periods
-from sheaf.operators import clean, headers, reshape
+from sheaf.functions import numbers
+from sheaf.operators import clean, headers, hierarchy, reshape
 
 
 def add_standard_columns(df: DataFrame, as_of: dt.date | str, data_period: str | None = None,
@@ -54,3 +55,26 @@ def monthly_long(wide: DataFrame, key: str) -> DataFrame:
                                        if not c.startswith("_")})
     long = periods.add_month_numeric(long)
     return long
+
+
+def preprocess_category2(df: DataFrame, analysis: dict | None = None, as_of=None, levels: int = 2,
+                         chunk_width: int = 1 << 20) -> DataFrame:
+    """C13 (category 2): header merge -> structural columns (C7) -> row roles
+    -> hierarchy (C8) -> data rows (C9) -> index dropped (C10) -> labels (C11) ->
+    Indian-format numbers (N1) -> guarded wide->long (W3) -> period split ->
+    standard columns (P11) -> clean (C1-C4, H4) -> month_numeric (P8)."""
+    analysis = analysis or {}
+    out = df
+    if analysis.get("needs_header_merge"):
+        out = headers.merge_row_headers(out)
+    out = hierarchy.flatten(out, levels=levels, chunk_width=chunk_width,
+                            index_col=analysis.get("index_column"), label_col=analysis.get("label_column"))
+    out = clean.standardize_labels(out)
+    out = numbers.parse_indian_numbers(out)
+    out = reshape.melt_period_columns(out, hints=analysis.get("date_columns"), guard_metrics=True)
+    if "period" in out.columns:
+        out = periods.split_period(out, "period")
+    if as_of is not None:
+        out = add_standard_columns(out, as_of, analysis.get("data_period"))
+    out = clean.clean_data(out, footer=False)
+    return periods.add_month_numeric(out)

@@ -123,3 +123,15 @@ def q_month_numeric(spark, sf_dir):
     df = periods.add_month_numeric(df)
     return df.groupBy("event_type", F.col("month_numeric").cast("int").alias("month_numeric")) \
         .agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("p14_period_bounds", """
+SELECT l_returnflag, strftime(min(l_shipdate), '%Y-%m-%d') AS first_value,
+       strftime(max(l_shipdate), '%Y-%m-%d') AS last_value
+FROM lineitem GROUP BY 1""")
+def q_bounds(spark, sf_dir):
+    """First / last period per table (return flag), ordered on the typed
+    period key of ``yyyy-MM-dd`` text, not on the raw string."""
+    li = table(spark, sf_dir, "lineitem")
+    df = li.select("l_returnflag", F.date_format("l_shipdate", "yyyy-MM-dd").alias("period"))
+    return periods.period_bounds(df, "period", ["l_returnflag"])
