@@ -317,3 +317,20 @@ def q_intsize(spark, sf_dir):
                         TY.integer_target_type("mn", "mx", "integral").alias("target_type"))
         out = r if out is None else out.unionByName(r)
     return out
+
+
+@register("h8_unique_names", """
+WITH n AS (SELECT p_brand, p_partkey AS pos, p_name AS name FROM part),
+p1 AS (SELECT *, row_number() OVER (PARTITION BY p_brand, lower(trim(replace(name, '"', ''))) ORDER BY pos) - 1 AS k
+       FROM n),
+u1 AS (SELECT p_brand, pos, name, k, CASE WHEN k = 0 THEN name ELSE trim(name) || '_' || CAST(k AS VARCHAR) END AS u
+       FROM p1),
+p2 AS (SELECT *, row_number() OVER (PARTITION BY p_brand, lower(trim(replace(u, '"', ''))) ORDER BY k, pos) - 1 AS k2
+       FROM u1)
+SELECT p_brand, pos, name, CASE WHEN k2 = 0 THEN u ELSE u || '_' || CAST(k2 AS VARCHAR) END AS unique_name FROM p2""")
+def q_unique(spark, sf_dir):
+    """H8 over a names frame: every brand is a file whose columns are its part
+    names (position = part key); repeated names become ``name_1``, ``name_2`` ..."""
+    p = table(spark, sf_dir, "part")
+    names = p.select("p_brand", F.col("p_partkey").alias("pos"), F.col("p_name").alias("name"))
+    return N.unique_names(names, "name", "pos", group_cols=["p_brand"])

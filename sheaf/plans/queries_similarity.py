@@ -67,7 +67,7 @@ def q_dice(spark, sf_dir):
                     F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
-@register("j2_dice_topk_all_documents", f"""
+J2ALL_SQL = f"""
 WITH {TOKENS_SQL},
 n AS (SELECT count(DISTINCT set_id) * 1.0 AS n FROM dt),
 idf AS (SELECT col, ln(max(n.n) / count(*)) + 1 AS idf FROM dt, n GROUP BY col),
@@ -79,7 +79,10 @@ scored AS (SELECT new_id, table_id, matched, 2 * mw / (ta.W + tb.W) AS score
            FROM pair JOIN tot ta ON ta.set_id = new_id JOIN tot tb ON tb.set_id = table_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY round(score, 9) DESC, table_id) AS rank
            FROM scored WHERE score >= 0.55)
-SELECT new_id, table_id, matched, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 5""")
+SELECT new_id, table_id, matched, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 5"""
+
+
+@register("j2_dice_topk_all_documents", J2ALL_SQL)
 def q_dice_all(spark, sf_dir):
     """J2 batch form: every document against every other document (near copies
     find each other); exact via prefix filtering."""
@@ -148,3 +151,22 @@ def q_schema_diff(spark, sf_dir):
     d = SC.column_set_diff(top, new, cat)
     return d.select("new_id", "table_id", "n_missing", "n_extra", "n_matching", "match_pct",
                     "is_compatible", "is_additive")
+
+
+@register("j4_name_similarity", "WITH j AS (" + J2ALL_SQL + """),
+nm AS (SELECT doc_id, list_distinct(list_filter(string_split(lower(trim(lang || '_' || source)), '_'),
+                                                lambda t: t <> '')) AS toks FROM documents)
+SELECT j.new_id, j.table_id,
+       round(CASE WHEN len(a.toks) = 0 OR len(b.toks) = 0 THEN 0.0
+                  ELSE len(list_intersect(a.toks, b.toks)) * 1.0 / len(list_distinct(list_concat(a.toks, b.toks)))
+             END, 6) AS name_similarity
+FROM j JOIN nm a ON a.doc_id = j.new_id JOIN nm b ON b.doc_id = j.table_id""")
+def q_name_sim(spark, sf_dir):
+    """Table-name Jaccard (``_`` tokens of ``<lang>_<source>``) for every J2
+    document pair -- the evidence the structural override (D3) weighs."""
+    from sheaf.functions.names import name_jaccard
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("_", "lang", "source").alias("nm"))
+    pairs = S.weighted_dice_self_topk(doc_sets(spark, sf_dir)).select("new_id", "table_id")
+    j = (pairs.join(docs.select(F.col("doc_id").alias("new_id"), F.col("nm").alias("a")), "new_id")
+         .join(docs.select(F.col("doc_id").alias("table_id"), F.col("nm").alias("b")), "table_id"))
+    return j.select("new_id", "table_id", F.round(name_jaccard("a", "b"), 6).alias("name_similarity"))
