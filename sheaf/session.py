@@ -73,11 +73,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ensure_parallelism(df)
 
 
-def ensure_parallelism(df: DataFrame, min_rows_per_task: int = 20_000) -> DataFrame:
-    """Spread a narrow input over the cluster when it would run in too few tasks.
-    Only for inputs with at least ``min_rows_per_task`` rows per extra task (a
-    bounded metadata count via the Parquet footer is not available for every
-    source, so the rule uses the partition count and a cheap row-count bound)."""
+def ensure_parallelism(df: DataFrame) -> DataFrame:
+    """Spread an input over the cluster when its scan has fewer partitions than the
+    default parallelism (decided from the plan's partition count; no job runs)."""
     par = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= par:
         return df
