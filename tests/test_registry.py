@@ -4,12 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from sheaf.plans.registry import ORACLES, QUERIES
 from sheaf.session import TABLES
 from tests.conftest import SF_SMALL
 from tools_check import digest
 
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
 
 
 @pytest.fixture(scope="module")
