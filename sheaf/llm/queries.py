@@ -4,8 +4,9 @@ whole table, and derives the result columns from the operator's own output."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sheaf.llm import url_filter
+from sheaf.llm import bpe, simhash, topk, url_filter
 from sheaf.llm.common import read
 from sheaf.llm.registry import ORACLES, QUERIES, register  # noqa: F401
 
@@ -35,3 +36,38 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = url_filter.rule_frame(spark, URL_RULES)
     judged = url_filter.judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"), rules)
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@register("op5_simhash_near_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"), words=3, radius=2)
+
+
+@register("op10_exact_topk", """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+    SELECT query_id, rank, vec_id, score FROM (
+      SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x::DOUBLE[], c.x::DOUBLE[])::BIGINT AS score,
+             row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, c.vec_id)::INTEGER AS rank
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0) WHERE rank <= 5""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def vocabulary() -> bpe.Vocabulary:
+    import public_tokenizers
+
+    return bpe.Vocabulary.from_file(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def token_digests(docs: DataFrame) -> DataFrame:
+    words = vocabulary()
+    both = bpe.decode(bpe.encode(docs.select("doc_id", "text"), words), words)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@register("op8_byte_bpe")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(read(spark, sf_dir, "documents"))
