@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import bpe, simhash, topk, url_filter
+from sheaf.llm import bpe, line_dedup, simhash, topk, url_filter
 from sheaf.llm.common import read
 from sheaf.llm.registry import ORACLES, QUERIES, register  # noqa: F401
 
@@ -71,3 +71,34 @@ def token_digests(docs: DataFrame) -> DataFrame:
 @register("op8_byte_bpe")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(read(spark, sf_dir, "documents"))
+
+
+@register("op3_line_dedup", r"""
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+                      unnest(range(len(string_split(text, chr(10))))) AS raw FROM documents),
+    n AS (SELECT doc_id, raw, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS t FROM l WHERE t <> ''),
+    c AS (SELECT doc_id, raw, t, row_number() OVER w - 1 AS pos,
+                 len(regexp_extract_all(t, '[^ \t\n\x0B\f\r]+')) AS words, sum(words) OVER w AS upto
+          FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY raw)),
+    p AS (SELECT a.doc_id, a.pos AS s, b.pos AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.pos <= b.pos
+            AND b.upto - a.upto + a.words >= 50 AND b.pos - a.pos < 50),
+    runs AS (SELECT doc_id, s, min(e) AS e FROM p GROUP BY doc_id, s
+             UNION SELECT doc_id, max(s), e FROM p GROUP BY doc_id, e),
+    told AS (SELECT r.doc_id, r.s, r.e, string_agg(c.t, chr(10) ORDER BY c.pos) AS content
+             FROM runs r JOIN c ON r.doc_id = c.doc_id AND c.pos BETWEEN r.s AND r.e GROUP BY ALL),
+    copies AS (SELECT doc_id, s, e FROM told QUALIFY row_number() OVER (PARTITION BY content ORDER BY doc_id, s) > 1),
+    gone AS (SELECT DISTINCT c.doc_id, c.pos, c.raw FROM copies k JOIN c ON k.doc_id = c.doc_id AND c.pos BETWEEN k.s AND k.e),
+    spans AS (SELECT doc_id, min(raw) AS a, max(raw) AS b, count(*) AS lines
+              FROM (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM gone)
+              GROUP BY doc_id, island),
+    kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY raw) AS text FROM l
+             WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.doc_id = l.doc_id AND l.raw BETWEEN s.a AND s.b)
+             GROUP BY doc_id),
+    tally AS (SELECT doc_id, sum(lines)::BIGINT AS lines_removed, count(*) AS spans_removed FROM spans GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(lines_removed, 0) AS lines_removed, coalesce(spans_removed, 0) AS spans_removed,
+           md5(coalesce(k.text, '')) AS text_md5
+    FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN tally USING (doc_id)""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edited = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return edited.select("doc_id", "lines_removed", "spans_removed",
+                         F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
