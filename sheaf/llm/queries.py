@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import bpe, line_dedup, simhash, topk, url_filter
+from sheaf.llm import bpe, decontaminate, line_dedup, simhash, topk, url_filter
 from sheaf.llm.common import read
 from sheaf.llm.registry import ORACLES, QUERIES, register  # noqa: F401
 
@@ -102,3 +102,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     edited = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return edited.select("doc_id", "lines_removed", "spans_removed",
                          F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
+@register("op2_decontamination")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
