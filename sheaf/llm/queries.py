@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import bpe, decontaminate, line_dedup, simhash, topk, url_filter
+from sheaf.llm import bpe, decontaminate, line_dedup, quality, simhash, topk, toxicity, url_filter
 from sheaf.llm.common import read
+from sheaf.llm.labelled import held_out
 from sheaf.llm.registry import ORACLES, QUERIES, register  # noqa: F401
 
 #: The production url rules (host, path, verdict).
@@ -107,3 +108,23 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op2_decontamination")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Scorer:
+    return toxicity.train(docs, read(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 5, 0))
+
+
+@register("op4_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, read(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 4, 2))
+    return (quality.score_quality(docs, model, threshold=0.7)
+            .select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted"))
+
+
+@register("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity_model(spark, sf_dir, docs)
+    return (toxicity.score_toxicity(docs, model, threshold=0.5)
+            .select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted"))
