@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import bpe, decontaminate, line_dedup, quality, simhash, topk, toxicity, url_filter
+from sheaf.llm import bpe, decontaminate, license_scan, line_dedup, quality, simhash, topk, toxicity, url_filter
 from sheaf.llm.common import read
 from sheaf.llm.labelled import held_out
 from sheaf.llm.registry import ORACLES, QUERIES, register  # noqa: F401
@@ -128,3 +128,23 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity_model(spark, sf_dir, docs)
     return (toxicity.score_toxicity(docs, model, threshold=0.5)
             .select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted"))
+
+
+#: Notices that license scans look for (name, text).
+LICENSE_NOTICES = [
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("MIT", "Released under the MIT License."),
+    ("all-rights-reserved", "All rights reserved."),
+    ("MIT-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software "
+     "and associated documentation files (the \"Software\"), to deal in the Software without restriction, including "
+     "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies "
+     "of the Software, and to permit persons to whom the Software is furnished to do so"),
+]
+
+
+@register("op9_license_scan")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notices = spark.createDataFrame(LICENSE_NOTICES, "name string, text string")
+    return license_scan.scan(read(spark, sf_dir, "documents"), notices)
