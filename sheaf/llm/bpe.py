@@ -30,7 +30,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 1 << 19     # pieces, and pairs of tokens, that a worker remembers before it starts anew
+from sheaf.llm.common import bounded_batches
+
+CACHE = 1 << 18     # pieces, and pairs of tokens, that a worker remembers before it starts anew
 
 
 class Vocabulary:
@@ -66,16 +68,21 @@ class Vocabulary:
         self._start()
 
     def _start(self) -> None:
+        self._fits: dict[tuple[int, int], bool] = {}
+        self._pieces: dict[str, bytes] = {}
+        self._matches = self._split = None
+
+    def _ready(self) -> None:
+        """What only encoding needs."""
         import ahocorasick
         import regex
 
-        self._split = regex.compile(self.pattern).findall
-        self._fits: dict[tuple[int, int], bool] = {}
-        self._pieces: dict[str, bytes] = {}
-        self._automaton = ahocorasick.Automaton()
+        automaton = ahocorasick.Automaton()
         for token, i in self.ranks.items():
-            self._automaton.add_word(token.decode("latin-1"), (i, len(token)))
-        self._automaton.make_automaton()
+            automaton.add_word(token.decode("latin-1"), (i, len(token)))
+        automaton.make_automaton()
+        self._matches = automaton.iter
+        self._split = regex.compile(self.pattern).findall
 
     def _last_merge(self, token: bytes) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one."""
@@ -116,10 +123,12 @@ class Vocabulary:
     def encode_piece(self, data: bytes) -> list[int]:
         if data in self.ranks:
             return [self.ranks[data]]
+        if self._matches is None:
+            self._ready()
         n = len(data)
         longest = [0] * n
         length = [0] * n
-        for end, (i, size) in self._automaton.iter(data.decode("latin-1")):
+        for end, (i, size) in self._matches(data.decode("latin-1")):
             start = end - size + 1
             if size > length[start]:
                 longest[start], length[start] = i, size
@@ -144,6 +153,8 @@ class Vocabulary:
 
     def encode(self, text: str) -> bytes:
         """Ids of the whole text as little-endian unsigned 32-bit integers."""
+        if self._split is None:
+            self._ready()
         pieces = self._pieces
         out = []
         for piece in self._split(text):
@@ -165,6 +176,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> D
     """``docs`` without its text, with ``ids`` (little-endian unsigned 32-bit integers, the
     layout of a token file) and ``n_tokens``. The vocabulary is broadcast: its size is
     fixed by its file."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     @F.pandas_udf("binary")
@@ -181,6 +193,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> D
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """``encoded`` with the bytes that ``ids_col`` stands for; null ids are empty."""
+    bounded_batches(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
 
     @F.pandas_udf("binary")

@@ -25,6 +25,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Hand texts to Python in batches of bounded rows and bytes: the default of 10,000
+    rows says nothing about memory when a row is a whole text."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int(str(spark.conf.get(key, "0") or "0").rstrip("bB"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def range_slices(df: DataFrame, keys: list[str]) -> DataFrame:
     """Cut ``df`` into slices that follow each other in the order of ``keys`` and add
     ``_slice``. Callers end ``keys`` with a tie breaker, so that one hot key is cut too."""

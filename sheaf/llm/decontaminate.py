@@ -41,6 +41,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.llm.common import bounded_batches
+
 WORD = re.compile(r"\w+")
 SHINGLE = 5
 BLOCK = 8
@@ -210,6 +212,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8, id
     in units of the item's threshold."""
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     spark = docs.sparkSession
+    bounded_batches(spark)
     found = []
     for part in build(benchmark, overlap, item_col, item_text_col):
         shared = spark.sparkContext.broadcast(part)

@@ -104,12 +104,14 @@ def scan(docs: DataFrame, templates: DataFrame, containment: float = 0.8, id_col
         last = F.size("w") - size
         hashes = F.transform(F.sequence(F.lit(0), last), lambda i: hash_at(F.col("w"), i, size))
         starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size("w") / stride).cast("int") - 2))
-        part = lambda k: F.slice("hs", k * stride + 1, 2 * stride - size + 1)
-        windows = (source.where(last >= 0).select("doc_id", "w", hashes.alias("hs"))
-                   .withColumn("ks", F.filter(starts, lambda k: F.arrays_overlap(part(k), seed_list)))
-                   .where(F.size("ks") > 0).select("doc_id", "w", "hs", F.explode("ks").alias("k"))
+        part = lambda hs, k: F.slice(hs, k * stride + 1, 2 * stride - size + 1)
+        # the hashes are bound to a name, so that they are made once for all windows
+        held = F.transform(F.array(hashes), lambda hs: F.struct(
+            hs.alias("hs"), F.filter(starts, lambda k: F.arrays_overlap(part(hs, k), seed_list)).alias("ks")))
+        windows = (source.where(last >= 0).select("doc_id", "w", F.explode(held).alias("t"))
+                   .where(F.size("t.ks") > 0).select("doc_id", "w", "t.hs", F.explode("t.ks").alias("k"))
                    .select("doc_id", "k", F.slice("w", F.col("k") * stride + 1, 2 * stride).alias("w"),
-                           part(F.col("k")).alias("h")))
+                           part(F.col("hs"), F.col("k")).alias("h")))
         signed = windows.select("doc_id", "k", "w", F.posexplode(_band_values(F.array_distinct("h"), bands)).alias("j", "x"))
         key = banded.select("name", "piece", "shingles", F.posexplode("v").alias("j", "x"))
         candidates = (signed.join(F.broadcast(key), ["j", "x"])

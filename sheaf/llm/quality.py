@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.llm.common import bounded_batches
+
 DIMS = 1 << 16
 RANK = 8
 CACHE = 1 << 19
@@ -164,6 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, usable, label_col: str = "quality"
 def score_quality(docs: DataFrame, model: Machine, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 if score >= threshold). The
     model is broadcast: its size is fixed."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import materialize
+from sheaf.llm.common import bounded_batches, materialize
 from sheaf.llm.components import components
 
 BLOCK = 4096        # classes in one side of a comparison
@@ -66,6 +66,7 @@ def with_fingerprints(docs: DataFrame, text_col: str, words: int) -> DataFrame:
             got = (fingerprint(b"" if t is None else bytes(t), words) for t in batch)
             yield pd.Series(np.fromiter(got, np.uint64, len(batch)).view(np.int64))
 
+    bounded_batches(docs.sparkSession)
     return docs.withColumn("_fp", prints(F.col(text_col).cast("string").cast("binary")))
 
 

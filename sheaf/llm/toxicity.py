@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.llm.common import bounded_batches
+
 DIMS = 1 << 18
 CACHE = 1 << 19
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_"
@@ -173,6 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, usable, label_col: str = "toxic",
 def score_toxicity(docs: DataFrame, model: Scorer, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 if score >= threshold). The
     model is broadcast: it always has ``DIMS`` weights."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
