@@ -3,10 +3,10 @@ whole table, and derives the result columns from the operator's own output."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import bpe, decontaminate, license_scan, line_dedup, quality, simhash, topk, toxicity, url_filter
+from sheaf.llm import bpe, decontaminate, license_scan, line_dedup, quality, simhash, topk, toxicity, url_filter, warc
 from sheaf.llm.common import read
 from sheaf.llm.labelled import held_out
 from sheaf.llm.registry import ORACLES, QUERIES, register  # noqa: F401
@@ -148,3 +148,65 @@ LICENSE_NOTICES = [
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     notices = spark.createDataFrame(LICENSE_NOTICES, "name string, text string")
     return license_scan.scan(read(spark, sf_dir, "documents"), notices)
+
+
+def captures(pages: DataFrame) -> DataFrame:
+    """Capture records that follow from the pages: each page is a full response, every
+    tenth is fetched again later with other content, and each is revisited later under a
+    variant of its url, most with the page's own validators, some with others or none."""
+    p = pages.select("page_id", "url", F.md5(F.coalesce("html", F.lit(""))).alias("digest"),
+                     F.octet_length(F.coalesce("html", F.lit(""))).alias("size"))
+    i = F.col("page_id")
+    text = lambda c: c.cast("string")
+    tag = lambda d: F.concat(F.lit('"'), F.substring(d, 1, 16), F.lit('"'))
+    again = F.md5(F.concat("digest", F.lit("+")))
+
+    def response(n: int, later: int, digest) -> Column:
+        headers = F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("ETag"), tag(digest),
+                               F.lit("Content-Length"), text(F.col("size")), F.lit("Date"), text(i + later))
+        return F.struct((i * 3 + n).alias("record_id"), F.lit("response").alias("kind"), F.col("url").alias("url"),
+                        (i + later).alias("ts"), F.lit(200).alias("status"), headers.alias("headers"),
+                        digest.alias("payload_digest"))
+
+    own = F.when(i % 7 == 0, F.lit('"other"')).when(i % 3 == 0, F.concat(F.lit("W/"), tag(F.col("digest")))).otherwise(tag(F.col("digest")))
+    seen = F.create_map(F.lit("etag"), F.when(i % 11 != 0, own), F.lit("Content-Length"), F.lit("0"),
+                        F.lit("date"), text(i + 1000), F.lit("Cache-Control"), F.lit("max-age=60"))
+    revisit = F.struct((i * 3 + 2).alias("record_id"), F.lit("revisit").alias("kind"), F.concat("url", F.lit("#again")).alias("url"),
+                       (i + 1000).alias("ts"), F.lit(304).alias("status"), seen.alias("headers"),
+                       F.lit(None).cast("string").alias("payload_digest"))
+    made = F.array(response(0, 0, F.col("digest")), F.when(i % 10 == 0, response(1, 500, again)), revisit)
+    return p.select(F.inline(F.filter(made, lambda r: r.isNotNull())))
+
+
+@register("op6_warc_revisits", r"""
+    WITH p AS (SELECT page_id AS i, url, md5(coalesce(html, '')) AS d, strlen(coalesce(html, '')) AS size FROM pages),
+    r AS (SELECT i * 3 AS id, i AS ts, url, d, size FROM p
+          UNION ALL SELECT i * 3 + 1, i + 500, url, md5(d || '+'), size FROM p WHERE i % 10 = 0),
+    v AS (SELECT i * 3 + 2 AS id, i + 1000 AS ts, url, CASE WHEN i % 11 = 0 THEN NULL WHEN i % 7 = 0 THEN '"other"'
+                 ELSE '"' || substr(d, 1, 16) || '"' END AS tag FROM p),
+    cut AS (SELECT DISTINCT url, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest
+            FROM p),
+    k AS (SELECT url, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), ':(80|443)$', ''), '^www\.', '')
+                 || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS base,
+                 list_sort(list_filter(string_split(regexp_extract(rest, '^[^?]*\?(.*)$', 1), '&'),
+                                       lambda x: x <> '' AND NOT starts_with(x, 'utm_'))) AS q FROM cut),
+    c AS (SELECT url, base || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url_key FROM k),
+    s AS (SELECT v.id, v.ts, c.url_key, v.tag,
+                 (SELECT max_by({'id': r.id, 'ts': r.ts, 'd': r.d, 'size': r.size}, (r.ts, r.id))
+                  FROM r JOIN c rc ON r.url = rc.url WHERE rc.url_key = c.url_key AND r.ts < v.ts) AS o
+          FROM v JOIN c ON v.url = c.url),
+    t AS (SELECT *, CASE WHEN o IS NULL THEN 'no_response' WHEN tag IS NULL THEN 'no_validator'
+                         WHEN tag = '"' || substr(o.d, 1, 16) || '"' THEN 'resolved' ELSE 'mismatch' END AS outcome FROM s)
+    SELECT id AS record_id, url_key, ts, outcome,
+           CASE WHEN outcome = 'resolved' THEN o.id::VARCHAR END AS refers_to,
+           CASE WHEN outcome = 'resolved' THEN o.ts::VARCHAR END AS refers_to_ts,
+           CASE WHEN outcome = 'resolved' THEN o.d END AS payload_digest,
+           CASE WHEN outcome = 'resolved' THEN 'cache-control: max-age=60' || chr(10) || 'content-length: ' || o.size || chr(10)
+             || 'content-type: text/html' || chr(10) || 'date: ' || ts || chr(10) || 'etag: '
+             || CASE WHEN ((id - 2) // 3) % 3 = 0 THEN 'W/' ELSE '' END || tag END AS headers
+    FROM t""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = warc.resolve_revisits(captures(read(spark, sf_dir, "pages")))
+    return (resolved.withColumn("headers", warc.header_text(F.col("headers")))
+            .withColumn("refers_to", F.col("refers_to").cast("string"))
+            .withColumn("refers_to_ts", F.col("refers_to_ts").cast("string")))
