@@ -181,3 +181,40 @@ def test_cosine_topk_exact(spark):
     q = spark.createDataFrame([(100 + i, m[i].tolist()) for i in range(3)], "qid long, embedding array<float>")
     got = SG.cosine_topk(corpus, q, k=3, threshold=None).where(F.col("rank") == 1).collect()
     assert sorted((r.qid, r.id) for r in got) == [(100, 0), (101, 1), (102, 2)]
+
+
+def _cells(spark, rows):
+    kinds = {str: "s", int: "n", float: "n"}
+    return spark.createDataFrame([("b.xlsx", "S", r, c, str(v), kinds[type(v)]) for r, line in enumerate(rows, 1)
+                                  for c, v in enumerate(line, 1) if v is not None],
+                                 "_file string, sheet string, row int, col int, value string, kind string")
+
+
+def test_header_scan_goes_on_past_a_leading_numeric_row(spark):
+    rows = [[10, 20, 30, 40], ["State", "North", "South", "West"], ["A", 1, 2, 3], ["B", 3, 4, 5]]
+    sub = X.analyze_sheets(_cells(spark, rows)).collect()
+    assert [(s.header_rows, s.data_start_row, s.data_end_row) for s in sub] == [([2], 3, 4)]        # X6
+
+
+def test_header_grid_blank_names_and_footers(spark):
+    rows = [["Table 1"], [], ["Region", "Output", None, "Total"], [None, "North", "South", "All"], [1, 2, 3, 4],
+            ["A", 1, 2, 3], ["B", 4, 5, 9], [],
+            ["Figures for the latest year are estimates that may still change a little"], ["Source: office"]]
+    cells = _cells(spark, rows)
+    sub = X.analyze_sheets(cells).collect()
+    assert [(s.header_rows, s.col_number_row, s.data_start_row, s.data_end_row) for s in sub] == [([3, 4], 5, 6, 7)]
+    assert sub[0].header_values == [["Region", "Output", None, "Total"], ["Region", "North", "South", "All"]]   # X9
+    assert X.header_names(X.analyze_sheets(cells)).first()["names"] == ["Region", "Output_North", "South", "Total_All"]
+    last = X.last_data_rows(cells).first()
+    assert (last.last_data_row, last.footer_start) == (7, 9)                                          # X8
+    names = spark.createDataFrame([("f", "s", 1, [["a", None]])],
+                                  "_file string, sheet string, sub_ord int, header_values array<array<string>>")
+    assert X.header_names(names).first()["names"] == ["a", "column_1"]                                # H3
+
+
+def test_paren_year_is_a_fallback_and_banners_reset(spark):
+    wide = ["Accounts (1999-00)"] * 4
+    hdr = ["State", "North", "South", "West"]
+    rows = [wide, ["(₹ Crores)"], hdr, ["A", 1, 2, 3], [], ["constant prices"], ["Base year: 2004-05"], hdr, ["B", 1, 2, 3]]
+    sub = X.analyze_sheets(_cells(spark, rows)).orderBy("sub_ord").collect()
+    assert [(s.base_year, s.label, s.unit) for s in sub] == [("1999-00", None, "₹ Crores"), ("2004-05", "Constant Prices", None)]
