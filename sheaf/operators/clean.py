@@ -3,8 +3,6 @@ coalescing (H7), rename/drop maps (H10) and redundant-column detection (H11)."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,7 +116,7 @@ def clean_data(df: DataFrame, rename: bool = True, footer: bool = True) -> DataF
     if footer and "_row" in out.columns:
         out = trim_footer(out)
     if rename:
-        out = rename_columns(out, {c: N.clean_column_name_py(c) for c in data_columns(out)})
+        out = rename_columns(out, dict(zip(data_columns(out), N.clean_names(data_columns(out)))))
     return out
 
 
@@ -134,22 +132,18 @@ def standardize_labels(df: DataFrame, cols: list[str] | None = None) -> DataFram
     return df.select(*[std(c) if c in cols else _q(c) for c in df.columns])
 
 
-def unit_map_py(raw_names: list[str]) -> dict[str, str]:
-    """H6 on names: ``(...)`` text that is neither a formula nor a qualifier is the
-    unit of the cleaned column; the last match wins."""
-    out = {}
-    for raw in raw_names:
-        for m in re.findall(r"\(([^)]+)\)", str(raw)):
-            u = m.strip()
-            if re.match(r"^[\d+\-*/().]+$", u) or u.lower() in NON_UNIT_KEYWORDS:
-                continue
-            out[N.clean_column_name_py(raw)] = u
-    return out
+def header_unit(raw: Column | str) -> Column:
+    """H6: the last ``(...)`` text of a header that is neither a formula nor a qualifier."""
+    raw = F.col(raw) if isinstance(raw, str) else raw
+    inside = F.transform(F.regexp_extract_all(raw, F.lit(r"\(([^)]+)\)"), 1), lambda u: F.trim(u))
+    units = F.filter(inside, lambda u: ~u.rlike(r"^[\d+\-*/().]+$") & ~F.lower(u).isin(*NON_UNIT_KEYWORDS))
+    return F.try_element_at(units, F.lit(-1))
 
 
 def add_unit_columns(df: DataFrame, raw_names: list[str]) -> DataFrame:
     """H6: constant sibling ``<col>_unit`` columns."""
-    for col, unit in unit_map_py(raw_names).items():
+    units = N.over_names(raw_names, lambda a: F.transform(a, header_unit))
+    for col, unit in {c: u for c, u in zip(N.clean_names(raw_names), units) if u is not None}.items():
         if col in df.columns and f"{col}_unit" not in df.columns:
             df = df.withColumn(f"{col}_unit", F.lit(unit))
     return df
@@ -184,6 +178,20 @@ def coalesce_duplicate_names(df: DataFrame, logical_names: list[str]) -> DataFra
     return df.select(*out)
 
 
+def rename_decisions(df: DataFrame, mapping: dict[str, str], drop: list[str] | None = None,
+                     protect: bool = False) -> DataFrame:
+    """One row per column of ``df``: pos, column, action (``keep``, ``rename``,
+    ``drop`` or ``protected``) and the final name (null when dropped)."""
+    guarded = {c for c in df.columns if c in LINEAGE or (protect and c.lower() in N.PROTECTED_COLUMNS)}
+    gone = {c for c in drop or [] if c not in guarded}
+    kept = [c for c in df.columns if c not in gone]
+    final = dict(zip(kept, N.unique_name_list([c if c in guarded else mapping.get(c, c) for c in kept])))
+    asked = set(drop or []) | set(mapping)
+    rows = [(i, c, "drop" if c in gone else "protected" if c in guarded & asked else "rename" if final[c] != c else "keep",
+             final.get(c)) for i, c in enumerate(df.columns)]
+    return df.sparkSession.createDataFrame(rows, "pos int, column string, action string, final_name string")
+
+
 def rename_columns(df: DataFrame, mapping: dict[str, str], drop: list[str] | None = None,
                    protect: bool = False) -> DataFrame:
     """Drop then rename; with ``protect`` the protected names (period and
@@ -193,7 +201,7 @@ def rename_columns(df: DataFrame, mapping: dict[str, str], drop: list[str] | Non
     drop = [c for c in (drop or []) if c.lower() not in prot and c in df.columns]
     kept = [c for c in df.columns if c not in drop]
     target = [mapping.get(c, c) if (c not in LINEAGE and c.lower() not in prot) else c for c in kept]
-    target = N.unique_names_py(target)
+    target = N.unique_name_list(target)
     return df.select(*[_q(c).alias(t) for c, t in zip(kept, target)])
 
 

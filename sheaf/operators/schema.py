@@ -96,15 +96,22 @@ def schema_diff_lists(pairs: DataFrame, new_sets: DataFrame, table_sets: DataFra
 
 
 def reconcile_pairs(candidates: DataFrame) -> DataFrame:
-    """M3: accept proposed ``(new_id, table_id, existing, new, ord)`` rename pairs
-    in ``ord`` order, each side used at most once. Validity of both sides is
-    checked by the caller's join; here the greedy 1:1 rule: a pair survives when it
-    is the first use of its existing name and of its new name."""
-    from pyspark.sql import Window
-    we = Window.partitionBy("new_id", "table_id", "existing").orderBy("ord")
-    wn = Window.partitionBy("new_id", "table_id", "new").orderBy("ord")
-    c = candidates.withColumn("_re", F.row_number().over(we)).withColumn("_rn", F.row_number().over(wn))
-    return c.where((F.col("_re") == 1) & (F.col("_rn") == 1)).drop("_re", "_rn")
+    """M3: proposed ``(new_id, table_id, existing, new, ord)`` rename pairs, taken in
+    ``ord`` order: a pair is accepted when neither of its sides was used by an accepted
+    pair before it, so a rejected pair blocks nobody. Folded per pair of tables over their
+    proposals (at most columns x columns). Validity of both sides is checked by the
+    caller's join."""
+    pairs = candidates.groupBy("new_id", "table_id").agg(
+        F.sort_array(F.collect_list(F.struct("ord", "existing", "new"))).alias("_p"))
+    none = F.expr("cast(array() as array<struct<ord:bigint,existing:string,new:string>>)")
+
+    def take(done, p):
+        free = ~F.exists(done, lambda d: (d["existing"] == p["existing"]) | (d["new"] == p["new"]))
+        own = F.struct(p["ord"].cast("bigint").alias("ord"), p["existing"].alias("existing"), p["new"].alias("new"))
+        return F.when(free, F.concat(done, F.array(own))).otherwise(done)
+
+    kept = pairs.select("new_id", "table_id", F.explode(F.aggregate("_p", none, take)).alias("k"))
+    return kept.select("new_id", "table_id", "k.existing", "k.new", "k.ord")
 
 
 def discrepancy_report(diff: DataFrame, max_matching: int = 10) -> DataFrame:

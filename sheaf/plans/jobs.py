@@ -5,9 +5,11 @@ user_metadata map<string,string>)``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
 from sheaf.functions.dates import parse_formats
+from sheaf.session import cut_lineage
 
 # ---- fixed values ------------------------------------------------------------
 STATUSES = ["preprocessing", "awaiting_approval", "approved", "rejected", "completed", "failed",
@@ -17,17 +19,25 @@ APPROVABLE = ["awaiting_approval", "schema_mismatch", "duplicate_data_detected"]
 ANCHOR_DONE = ["completed", "incremental_load_completed", "approved"]
 APPROVAL_TIMEOUT_MINUTES = 30
 REQUIRED_METADATA = ["source", "source_url", "released_on", "updated_on"]
+RETRY_REASONS = {"data": "Missing processed DataFrame in memory", "target": "Could not resolve target table name",
+                 "metadata": "Missing stored approval metadata for one-time-load retry"}
 METADATA_DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "dd/MM/yyyy",
                          "dd-MM-yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "yyyy/MM/dd"]
 # ------------------------------------------------------------------------------
 
 
 def _is_inc() -> Column:
-    return F.coalesce(F.col("is_incremental_load"), F.lit(False)) | F.col("matched_table_name").isNotNull()
+    return F.coalesce(F.col("is_incremental_load"), F.lit(False)) | _named("matched_table_name").isNotNull()
+
+
+def _named(c: str) -> Column:
+    """A blank name is no name."""
+    return F.nullif(F.trim(F.col(c)), F.lit(""))
 
 
 def target_table() -> Column:
-    return F.lower(F.coalesce("matched_table_name", "table_name", "final_table_name", "proposed_table_name"))
+    return F.lower(F.coalesce(*[_named(c) for c in (
+        "matched_table_name", "table_name", "final_table_name", "proposed_table_name")]))
 
 
 def pending(jobs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
@@ -49,10 +59,10 @@ def retry_plan(jobs: DataFrame) -> DataFrame:
         v = F.col("user_metadata")[k]
         meta_ok = meta_ok & v.isNotNull() & (v != "")
     tgt = F.coalesce(target_table(), F.lit(""))
-    reason = (F.when(~F.coalesce("has_data", F.lit(False)), F.lit("Missing processed DataFrame in memory"))
-              .when(tgt == "", F.lit("Could not resolve target table name"))
+    reason = (F.when(~F.coalesce("has_data", F.lit(False)), F.lit(RETRY_REASONS["data"]))
+              .when(tgt == "", F.lit(RETRY_REASONS["target"]))
               .when(~_is_inc() & ~F.coalesce(meta_ok, F.lit(False)),
-                    F.lit("Missing stored approval metadata for one-time-load retry"))
+                    F.lit(RETRY_REASONS["metadata"]))
               .otherwise(F.lit("")))
     return f.select("job_id", (reason == "").alias("queued"), reason.alias("reason"),
                     F.when(~F.coalesce("has_data", F.lit(False)), F.lit("unknown"))
@@ -67,22 +77,30 @@ def expired(jobs: DataFrame, as_of: Column) -> DataFrame:
 
 
 def batch_approval(jobs: DataFrame) -> DataFrame:
-    """Approval order (new tables before increments, then by age) and the peer
-    guard: an increment with an anchor is skipped unless the anchor is done /
-    approved, or is a pending new-table job approved earlier in the same batch."""
-    p = jobs.where(F.col("status").isin(*APPROVABLE))
-    is_il = F.coalesce(F.col("is_incremental_load"), F.lit(False)) & F.col("matched_table_name").isNotNull()
-    p = p.withColumn("_il", is_il)
-    anchors = jobs.select(F.col("job_id").alias("peer_anchor_job_id"), F.col("status").alias("_astatus"),
-                          F.coalesce(F.col("is_incremental_load"), F.lit(False)).alias("_ainc"))
-    j = p.join(anchors, "peer_anchor_job_id", "left")
-    anchor_ok = (F.col("_astatus").isin(*ANCHOR_DONE)
-                 | (F.col("_astatus").isin(*APPROVABLE) & ~F.col("_ainc")))
-    skip = F.col("_il") & F.col("peer_anchor_job_id").isNotNull() & F.col("_astatus").isNotNull() & ~anchor_ok
-    return j.select("job_id", F.col("_il").alias("is_incremental"), "created_at",
-                    F.when(skip, F.lit("skip")).otherwise(F.lit("approve")).alias("action"),
+    """Pending jobs in approval order (``is_incremental_load`` false first, then by
+    age; ``approval_order``). An increment with an anchor is skipped unless the anchor is
+    done or approved, at the start or earlier in the same batch. Anchors form chains; each
+    round decides the jobs whose anchor is decided, until none is open."""
+    inc = F.coalesce(F.col("is_incremental_load"), F.lit(False))
+    p = jobs.where(F.col("status").isin(*APPROVABLE)).withColumn("_inc", inc).withColumn(
+        "_il", inc & _named("matched_table_name").isNotNull())
+    place = F.struct(F.col("_inc"), F.col("created_at"), F.col("job_id"))
+    anchor = jobs.select(F.col("job_id").alias("peer_anchor_job_id"), F.col("status").alias("_astatus"),
+                         F.struct(inc.alias("_inc"), F.col("created_at"), F.col("job_id")).alias("_aplace"))
+    j = p.withColumn("_place", place).join(anchor, "peer_anchor_job_id", "left")
+    waits = (F.col("_il") & F.col("_astatus").isNotNull() & ~F.col("_astatus").isin(*ANCHOR_DONE))
+    earlier = F.col("_astatus").isin(*APPROVABLE) & (F.col("_aplace") < F.col("_place"))
+    j = j.withColumn("action", F.when(~F.coalesce(waits, F.lit(False)), "approve").when(~earlier, "skip"))
+    j = cut_lineage(j.drop("_aplace", "_place"))
+    while not j.where("action IS NULL").isEmpty():
+        known = j.where("action IS NOT NULL").select(F.col("job_id").alias("peer_anchor_job_id"), F.col("action").alias("_known"))
+        j = cut_lineage(j.join(known, "peer_anchor_job_id", "left")
+                        .withColumn("action", F.coalesce("action", "_known")).drop("_known"))
+    order = Window.orderBy("_inc", "created_at", "job_id")  # the pending jobs of one batch
+    return j.select("job_id", F.col("_il").alias("is_incremental"), "created_at", "action",
                     F.when(F.col("_il"), F.col("matched_table_name"))
-                    .otherwise(F.lower(F.col("proposed_table_name"))).alias("table_name"))
+                    .otherwise(F.lower(F.col("proposed_table_name"))).alias("table_name"),
+                    F.row_number().over(order).alias("approval_order"))
 
 
 def parse_metadata_date(c: Column) -> Column:

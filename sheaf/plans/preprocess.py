@@ -51,8 +51,8 @@ def monthly_long(wide: DataFrame, key: str) -> DataFrame:
     long = long.where(F.col("value").isNotNull())
     long = clean.trim_and_nullify(long)
     long = clean.drop_sparse_rows(long)
-    long = clean.rename_columns(long, {c: clean.N.clean_column_name_py(c) for c in long.columns
-                                       if not c.startswith("_")})
+    data = [c for c in long.columns if not c.startswith("_")]
+    long = clean.rename_columns(long, dict(zip(data, clean.N.clean_names(data))))
     long = periods.add_month_numeric(long)
     return long
 

@@ -278,12 +278,16 @@ def q_drift(spark, sf_dir):
     return type_drift(declared, incoming, keys=("table_name", "column_name"))
 
 
+#: Every numeric column of the driver tables.
 NUMERIC_COLUMNS = {
+    "region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"],
     "customer": ["c_custkey", "c_nationkey", "c_acctbal"], "supplier": ["s_suppkey", "s_nationkey", "s_acctbal"],
     "part": ["p_partkey", "p_size", "p_retailprice"], "orders": ["o_orderkey", "o_custkey", "o_totalprice"],
     "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
                  "l_discount", "l_tax"],
-    "events": ["event_id", "user_id", "value"], "documents": ["doc_id", "n_chars"],
+    "events": ["event_id", "user_id", "value"], "documents": ["doc_id", "n_chars"], "embeddings": ["vec_id", "label"],
+    "pages": ["page_id"], "benchmark": ["item_id"], "labels": ["doc_id", "quality", "toxic"],
+    "conversations": ["conv_id", "turn"],
 }
 
 
@@ -291,8 +295,8 @@ def _intsize_sql():
     parts = []
     for t, cols in NUMERIC_COLUMNS.items():
         for c in cols:
-            parts.append(f"SELECT '{t}' AS table_name, '{c}' AS column_name, min({c}) AS mn, max({c}) AS mx, "
-                         f"bool_and({c} = floor({c})) AS integral FROM {t}")
+            parts.append(f"SELECT '{t}' AS table_name, '{c}' AS column_name, CAST(min({c}) AS DECIMAL(38,6)) AS mn, "
+                         f"CAST(max({c}) AS DECIMAL(38,6)) AS mx, bool_and({c} = floor({c})) AS integral FROM {t}")
     body = " UNION ALL ".join(parts)
     return (f"SELECT table_name, column_name, CASE WHEN NOT integral THEN 'numeric' "
             f"WHEN mn >= -32768 AND mx <= 32767 THEN 'smallint' "
@@ -308,7 +312,7 @@ def q_intsize(spark, sf_dir):
     for t, cols in NUMERIC_COLUMNS.items():
         df = table(spark, sf_dir, t)
         one = df.agg(*[x for i, c in enumerate(cols) for x in (
-            F.min(c).cast("double").alias(f"a{i}"), F.max(c).cast("double").alias(f"b{i}"),
+            F.min(c).cast("decimal(38,6)").alias(f"a{i}"), F.max(c).cast("decimal(38,6)").alias(f"b{i}"),
             F.bool_and(F.col(c) == F.floor(c)).alias(f"g{i}"))])
         long = one.select(F.explode(F.array(*[
             F.struct(F.lit(c).alias("column_name"), F.col(f"a{i}").alias("mn"), F.col(f"b{i}").alias("mx"),
@@ -320,17 +324,22 @@ def q_intsize(spark, sf_dir):
 
 
 @register("h8_unique_names", """
-WITH n AS (SELECT p_brand, p_partkey AS pos, p_name AS name FROM part),
-p1 AS (SELECT *, row_number() OVER (PARTITION BY p_brand, lower(trim(replace(name, '"', ''))) ORDER BY pos) - 1 AS k
-       FROM n),
-u1 AS (SELECT p_brand, pos, name, k, CASE WHEN k = 0 THEN name ELSE trim(name) || '_' || CAST(k AS VARCHAR) END AS u
-       FROM p1),
-p2 AS (SELECT *, row_number() OVER (PARTITION BY p_brand, lower(trim(replace(u, '"', ''))) ORDER BY k, pos) - 1 AS k2
-       FROM u1)
-SELECT p_brand, pos, name, CASE WHEN k2 = 0 THEN u ELSE u || '_' || CAST(k2 AS VARCHAR) END AS unique_name FROM p2""")
+WITH RECURSIVE n AS (SELECT l_orderkey, l_linenumber AS pos,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i,
+    l_returnflag || CASE WHEN l_linenumber % 2 = 0 THEN '_1' ELSE '' END AS name FROM lineitem),
+r AS (SELECT l_orderkey, pos, i, name, name AS u, [lower(name)] AS taken FROM n WHERE i = 1
+  UNION ALL
+  SELECT l_orderkey, pos, i, name, u, list_append(taken, lower(u)) FROM (
+    SELECT n.l_orderkey, n.pos, n.i, n.name, r.taken,
+           CASE WHEN NOT list_contains(r.taken, lower(n.name)) THEN n.name ELSE n.name || '_' ||
+             list_min(list_filter(range(1, 20), lambda k: NOT list_contains(r.taken, lower(n.name) || '_' || k))) END AS u
+    FROM r JOIN n ON n.l_orderkey = r.l_orderkey AND n.i = r.i + 1))
+SELECT l_orderkey, pos, name, u AS unique_name FROM r""")
 def q_unique(spark, sf_dir):
-    """H8 over a names frame: every brand is a file whose columns are its part
-    names (position = part key); repeated names become ``name_1``, ``name_2`` ..."""
-    p = table(spark, sf_dir, "part")
-    names = p.select("p_brand", F.col("p_partkey").alias("pos"), F.col("p_name").alias("name"))
-    return N.unique_names(names, "name", "pos", group_cols=["p_brand"])
+    """H8 over a names frame: every order is a file whose columns are named by its lines
+    (a flag, every second one with ``_1``), so that suffixed names are taken already. The
+    oracle walks the names one after the other."""
+    names = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.col("l_linenumber").alias("pos"),
+        F.concat("l_returnflag", F.when(F.col("l_linenumber") % 2 == 0, "_1").otherwise("")).alias("name"))
+    return N.unique_names(names, "name", "pos", group_cols=["l_orderkey"])

@@ -98,21 +98,23 @@ def q_expired(spark, sf_dir):
 
 
 @register("g4_batch_approval", f"""
-WITH {JOBS_SQL},
-p AS (SELECT * FROM jobs WHERE status IN ('awaiting_approval', 'schema_mismatch', 'duplicate_data_detected'))
-SELECT p.job_id, (p.is_incremental_load AND p.matched_table_name IS NOT NULL) AS is_incremental, p.created_at,
-       CASE WHEN p.is_incremental_load AND p.matched_table_name IS NOT NULL AND p.peer_anchor_job_id IS NOT NULL
-                 AND a.status IS NOT NULL
-                 AND NOT (a.status IN ('completed', 'incremental_load_completed', 'approved')
-                          OR (a.status IN ('awaiting_approval', 'schema_mismatch', 'duplicate_data_detected')
-                              AND NOT a.is_incremental_load))
-            THEN 'skip' ELSE 'approve' END AS action,
-       CASE WHEN p.is_incremental_load AND p.matched_table_name IS NOT NULL THEN p.matched_table_name
-            ELSE lower(p.proposed_table_name) END AS table_name
-FROM p LEFT JOIN jobs a ON a.job_id = p.peer_anchor_job_id""")
+WITH RECURSIVE {JOBS_SQL},
+p AS (SELECT *, is_incremental_load AND matched_table_name IS NOT NULL AS il FROM jobs
+      WHERE status IN ('awaiting_approval', 'schema_mismatch', 'duplicate_data_detected')),
+w AS (SELECT p.*, a.job_id IS NOT NULL AND p.il
+               AND a.status NOT IN ('completed', 'incremental_load_completed', 'approved') AS waits,
+             a.status IN ('awaiting_approval', 'schema_mismatch', 'duplicate_data_detected')
+               AND ROW(a.is_incremental_load, a.created_at, a.job_id) < ROW(p.is_incremental_load, p.created_at, p.job_id) AS earlier
+      FROM p LEFT JOIN jobs a ON a.job_id = p.peer_anchor_job_id),
+d AS (SELECT job_id, CASE WHEN waits THEN 'skip' ELSE 'approve' END AS action FROM w WHERE NOT (waits AND earlier)
+      UNION ALL SELECT w.job_id, d.action FROM w JOIN d ON w.peer_anchor_job_id = d.job_id WHERE w.waits AND w.earlier)
+SELECT p.job_id, p.il AS is_incremental, p.created_at, d.action,
+       CASE WHEN p.il THEN p.matched_table_name ELSE lower(p.proposed_table_name) END AS table_name,
+       CAST(row_number() OVER (ORDER BY p.is_incremental_load, p.created_at, p.job_id) AS INTEGER) AS approval_order
+FROM p JOIN d ON p.job_id = d.job_id""")
 def q_batch(spark, sf_dir):
-    """Batch approval plan: new tables first, then increments whose anchor is
-    done or approved in the same batch; others skipped."""
+    """Batch approval plan in order: new tables first, then increments whose anchor is
+    done or was approved earlier in the batch; others skipped."""
     return G.batch_approval(jobs_ledger(spark, sf_dir))
 
 

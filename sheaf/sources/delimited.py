@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheaf.functions.names import unique_names_py
-from sheaf.operators.headers import merge_header_levels_py
+from sheaf.functions.names import over_names, unique_name_list
+from sheaf.operators.headers import merge_header_levels
 from sheaf.session import broadcast_if_small
 
 # ---- fixed values ------------------------------------------------------------
@@ -164,10 +164,10 @@ class DelimitedScan:
         c = self.cells.where(F.col("_file") == file)
         grid = c.where(F.col("_row").isin(ids)).orderBy("_row").collect()      # <= 3 rows
         cols = [f"_c{i}" for i in range(self.n_cols)]
-        levels = [tuple((r[k] if r[k] not in (None, "") else f"Unnamed: {j}") for r in grid)
-                  for j, k in enumerate(cols)]
-        names = unique_names_py(merge_header_levels_py(levels) if len(grid) > 1
-                                else [lv[0] for lv in levels] if grid else cols)
+        levels = [[r[k] if r[k] not in (None, "") else f"Unnamed: {j}" for r in grid] for j, k in enumerate(cols)]
+        flat = ["\x1f".join(lv) for lv in levels]  # one string per column for the array function
+        names = unique_name_list(over_names(flat, lambda a: F.transform(a, lambda x: merge_header_levels(F.split(x, "\x1f"))))
+                                 if len(grid) > 1 else [lv[0] for lv in levels] if grid else cols)
         body = c.where(F.col("_row") > max(ids))
         nonblank = F.lit(False)
         for k in cols:

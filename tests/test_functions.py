@@ -30,7 +30,7 @@ CLEAN_CASES = [
 def test_clean_column_name_golden_and_parity(spark):
     got = one(spark, N.clean_column_name, [c for c, _ in CLEAN_CASES])
     assert got == [e for _, e in CLEAN_CASES]
-    assert [N.clean_column_name_py(c) for c, _ in CLEAN_CASES] == got
+    assert N.clean_names([c for c, _ in CLEAN_CASES]) == got
 
 
 SIM_CASES = [("no_of_schemes_as_on_dec_31_2025", "no_of_schemes_as_on"),
@@ -42,15 +42,20 @@ SIM_CASES = [("no_of_schemes_as_on_dec_31_2025", "no_of_schemes_as_on"),
 def test_similarity_normaliser(spark):
     got = one(spark, N.normalize_for_similarity, [c for c, _ in SIM_CASES])
     assert got == [e for _, e in SIM_CASES]
-    assert [N.normalize_for_similarity_py(c) for c, _ in SIM_CASES] == got
 
 
-def test_unique_names_and_suffixes():
-    assert N.unique_names_py(["a", "A", "b", "a_1", "a"]) == ["a", "A_1", "b", "a_1_1", "a_2"]
-    m = N.ensure_unique_mapping_py({"Deposits (2+3)": "deposits", "Deposits (8+9)": "deposits",
-                                    "Deposits (Revised)": "deposits", "Deposits": "deposits"})
-    assert m == {"Deposits (2+3)": "deposits", "Deposits (8+9)": "deposits_89",
-                 "Deposits (Revised)": "deposits_revised", "Deposits": "deposits_3"}
+def test_unique_names_and_suffixes(spark):
+    for names, unique in [(["a", "A", "b", "a_1", "a"], ["a", "A_1", "b", "a_1_1", "a_2"]),
+                          (["a", "a_1", "a"], ["a", "a_1", "a_2"]), (["a", "a_1", "a_1_1", "a"], ["a", "a_1", "a_1_1", "a_2"]),
+                          (["", " ", ' "x" ', "X"], ["", "column_1_1", ' "x" ', "X_1"])]:
+        assert N.unique_name_list(names) == unique
+        df = spark.createDataFrame([(1, i, n) for i, n in enumerate(names)], "t int, pos int, name string")
+        got = N.unique_names(df, group_cols=["t"]).orderBy("pos").collect()
+        assert [r.unique_name for r in got] == unique
+    rows = ["Deposits (2+3)", "Deposits (8+9)", "Deposits (Revised)", "Deposits"]
+    df = spark.createDataFrame([(i, r, "deposits") for i, r in enumerate(rows)], "pos int, original string, cleaned string")
+    assert [r.final_name for r in N.unique_mapping(df).orderBy("pos").collect()] == [
+        "deposits", "deposits_89", "deposits_revised", "deposits_3"]
 
 
 def test_table_name_rules(spark):
@@ -143,15 +148,17 @@ def test_types_and_lattice(spark):
     assert [r[0] for r in fix.select(TY.fix_varchar("d", "m")).collect()] == ["VARCHAR(240)", "TEXT", "VARCHAR(100)"]
 
 
-def test_header_merges():
-    levels = [("Year", ""), ("Unit value index", "Exports"), ("Unit value index", "Imports"),
-              ("Quantum index", "Exports"), ("Quantum index", "Imports")]
-    assert H.merge_header_levels_py(levels) == ["Year", "Unit value index_Exports", "Unit value index_Imports",
-                                                "Quantum index_Exports", "Quantum index_Imports"]
-    assert [N.clean_column_name_py(x) for x in H.merge_header_levels_py(levels)] == [
-        "year", "unit_value_index_exports", "unit_value_index_imports", "quantum_index_exports",
-        "quantum_index_imports"]
-    assert H.merge_header_grid_py([("A", "A", "B"), (None, "Unnamed: 1", "nan")]) == ["A_B", "column_1"]
+def test_header_merges(spark):
+    levels = [["Year", ""], ["Unit value index", "Exports"], ["Unit value index", "Imports"],
+              ["Quantum index", "Exports"], ["Quantum index", "Imports"]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(levels)], "i int, x array<string>").orderBy("i")
+    merged = [r[0] for r in df.select(H.merge_header_levels("x")).collect()]
+    assert merged == ["Year", "Unit value index_Exports", "Unit value index_Imports",
+                      "Quantum index_Exports", "Quantum index_Imports"]
+    assert N.clean_names(merged) == ["year", "unit_value_index_exports", "unit_value_index_imports",
+                                     "quantum_index_exports", "quantum_index_imports"]
+    grid = spark.createDataFrame([(0, ["A", "A", "B"]), (1, [None, "Unnamed: 1", "nan"])], "i int, x array<string>").orderBy("i")
+    assert [r[0] for r in grid.select(H.merge_header_grid("x")).collect()] == ["A_B", None]
 
 
 def test_row_header_merge(spark):

@@ -149,11 +149,12 @@ def test_profiles_labels_descriptions(spark):
 
 def test_signature_text_and_backfill(spark):
     df = spark.createDataFrame([(i, f"v{i}", 2020 + i) for i in range(8)], "_row long, name string, sales_dec_2025 int")
-    sig = SG.build_signature(df, "amfi_dec_2025", {"name": "text", "sales_dec_2025": "integer"}).first().asDict()
+    built = SG.build_signature(df, "amfi_dec_2025", {"name": "text", "sales_dec_2025": "integer"})
+    sig = built.first().asDict()
     assert sig["row_count"] == 8 and len(sig["sample_rows"]) == 5
     assert json.loads(sig["sample_rows"][0]) == {"name": "v0", "sales_dec_2025": 2020}
-    txt = SG.signature_text_py(sig)
-    assert txt.splitlines()[0] == "Table: amfi" and "  - sales: integer" in txt and txt.endswith("Total Rows: 8")
+    txt = SG.signature_text(built).first()["text"]
+    assert txt.splitlines()[0] == "Table: amfi" and "  - sales: integer" in txt and "  Row 1: name=v0, sales_dec_2025=2020" in txt and txt.endswith("Total Rows: 8")
     cat = spark.createDataFrame([("a",), ("b",), ("tables_metadata",)], "table_name string")
     sigs = spark.createDataFrame([("a",)], "table_name string")
     assert [r[0] for r in SG.backfill_candidates(cat, sigs).collect()] == ["b"]
@@ -167,6 +168,8 @@ def test_reconcile_and_report(spark):
                                  "new_id string, table_id string, existing string, new string, ord int")
     rec = SC.reconcile_pairs(cand)
     assert [(r.existing, r.new) for r in rec.collect()] == [("period", "fiscal_year")]      # M3 1:1
+    more = spark.createDataFrame([("n", "t", "a", "x", 1), ("n", "t", "a", "y", 2), ("n", "t", "b", "y", 3)], cand.schema)
+    assert [(r.existing, r.new) for r in SC.reconcile_pairs(more).collect()] == [("a", "x"), ("b", "y")]
     d = SC.schema_diff_lists(pairs, new, old, reconciled=rec).first()
     assert (d.missing, d.extra, d.match_pct, d.is_compatible, d.is_additive) == ([], ["extra"], 100.0, False, True)
     rep = {(r.section, r.column_name) for r in SC.discrepancy_report(SC.schema_diff_lists(pairs, new, old)).collect()}
