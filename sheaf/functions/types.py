@@ -144,13 +144,12 @@ def _ts_parse(s: Column) -> Column:
 def _flags(v: Column):
     """Per-value tests of the cascade. Order matters for cost: an integer is a
     float too, so the (costlier) double parse only runs on non-integers of number
-    shape; timestamps try Spark's exception-free ISO cast before formatted parses;
-    long text is neither."""
-    short = F.length(v) <= 64
-    is_int = short & v.rlike(INT_RE) & F.trim(v).try_cast("bigint").isNotNull()
-    is_float = is_int | (short & try_number(v).isNotNull())
-    is_ts = (F.when(is_float | (F.length(v) > 40) | ~v.rlike(r"\d"), F.lit(False))
-             .otherwise(_ts_parse(F.trim(v)).isNotNull()))
+    shape; timestamps try Spark's exception-free ISO cast before formatted parses, and
+    no format reads a trimmed text of over 64 characters."""
+    t = F.trim(v)
+    is_int = t.rlike(INT_RE) & t.try_cast("bigint").isNotNull()
+    is_float = is_int | try_number(v).isNotNull()
+    is_ts = F.when(is_float | (F.length(t) > 64) | ~t.rlike(r"\d"), F.lit(False)).otherwise(_ts_parse(t).isNotNull())
     return is_int, is_float, is_ts
 
 
@@ -168,16 +167,14 @@ def long_values(df: DataFrame, table_name: str, columns: list[str], order_col: s
         .select("table_name", "x.column_name", "_o", "x.v")
 
 
-def infer_long(values: DataFrame, sample: int | None = None, sample_rows: int | None = None) -> DataFrame:
+def infer_long(values: DataFrame, sample: int | None = None) -> DataFrame:
     """T1 over a long ``(table_name, column_name, _o, v)`` frame of any number of
     tables: one aggregate (partial per partition, a small shuffle), one compiled
-    expression set. ``sample``: only the first ``sample`` non-null values per
-    column (after a bounded head of ``sample_rows`` rows per table)."""
+    expression set. ``sample``: only the first ``sample`` non-null values of each whole
+    column (a row limit per group, kept per task before the shuffle)."""
     src = values.where(F.col("v").isNotNull())
     if sample is not None:
         from pyspark.sql import Window
-        head = Window.partitionBy("table_name").orderBy("_o")
-        src = src.withColumn("_h", F.dense_rank().over(head)).where(F.col("_h") <= (sample_rows or sample * 20))
         w = Window.partitionBy("table_name", "column_name").orderBy("_o")
         src = src.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= sample)
     fi, ff, ft = _flags(F.col("v"))
@@ -188,7 +185,7 @@ def infer_long(values: DataFrame, sample: int | None = None, sample_rows: int |
 
 
 def infer_types(df: DataFrame, sample: int | None = 50, order_col: str | None = "_row",
-                table_name: str | None = None, sample_rows_factor: int = 20) -> DataFrame:
+                table_name: str | None = None) -> DataFrame:
     """Heuristic cascade per column -> long ``(table_name, column_name, inferred_type)``.
 
     Typed columns map directly. String columns over their first ``sample``
@@ -209,9 +206,9 @@ def infer_types(df: DataFrame, sample: int | None = 50, order_col: str | None =
     out = spark.createDataFrame([(name, c, t) for c, t in direct.items()],
                                 "table_name string, column_name string, inferred_type string")
     if cols:
-        inf = infer_long(long_values(df, name, cols, order_col), sample, sample * sample_rows_factor if sample else None)
+        inf = infer_long(long_values(df, name, cols, order_col), sample)
         every = spark.createDataFrame([(name, c) for c in cols], "table_name string, column_name string")
-        inf = every.join(F.broadcast(inf), ["table_name", "column_name"], "left").select(
+        inf = every.join(inf, ["table_name", "column_name"], "left").select(
             "table_name", "column_name", F.coalesce("inferred_type", F.lit(T_TEXT)).alias("inferred_type"))
         out = out.unionByName(inf)
     return out if table_name is not None else out.drop("table_name")

@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 
 from sheaf.functions import names as N
 from sheaf.operators import LINEAGE, data_columns
-from sheaf.session import broadcast_if_small
 
 # ---- fixed values ------------------------------------------------------------
 # Footer/footnote first-cell pattern (checked on the first non-blank cell).
@@ -92,18 +91,16 @@ def footerish(df: DataFrame, cols: list[str] | None = None) -> Column:
             | ((filled <= 2) & (F.length(first) > FOOTER_LONG_TEXT)))
 
 
-def trim_footer(df: DataFrame, file_col: str = "_file", order_col: str = "_row",
-                max_broadcast_files: int = 100_000) -> DataFrame:
+def trim_footer(df: DataFrame, file_col: str = "_file", order_col: str = "_row") -> DataFrame:
     """Remove footer rows from the bottom of every file.
 
     last data row = max(_row) of non-footer rows per file: a map-side partial
-    aggregate, then a join of one row per file (broadcast once its size is proven,
-    otherwise a shuffle join that AQE splits when one file dominates)."""
+    aggregate, then a join of one row per file (broadcast by its measured bytes, or a
+    shuffle join that AQE splits when one file dominates)."""
     flag = footerish(df)
     if file_col not in df.columns:
         df = df.withColumn(file_col, F.lit(""))
     last = (df.where(~flag).groupBy(file_col).agg(F.max(order_col).alias("_last_data_row")))
-    last = broadcast_if_small(last, max_broadcast_files)
     return (df.join(last, file_col, "inner").where(F.col(order_col) <= F.col("_last_data_row"))
             .drop("_last_data_row"))
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,10 +44,10 @@ def preview(df: DataFrame, order_col: str = "_row", n: int = PREVIEW_ROWS) -> Da
 
 
 def column_profile(df: DataFrame, order_col: str | None = "_row", table_name: str | None = None,
-                   samples: int = PROFILE_SAMPLES, head_rows: int = 1000) -> DataFrame:
+                   samples: int = PROFILE_SAMPLES) -> DataFrame:
     """Q2 (+ Q1 column part): long ``(column_name, data_type, null_count, total_count,
-    max_length, samples)``; counts from one aggregate, samples = first non-null
-    values within the first ``head_rows`` rows (bounded)."""
+    max_length, samples)``; counts from one aggregate, samples = the first non-null
+    values of the whole column, as text (a row limit per column, kept per task)."""
     cols = data_columns(df)
     q = lambda c: F.col(f"`{c}`")
     aggs = [F.count(F.lit(1)).alias("_n")]
@@ -55,17 +55,20 @@ def column_profile(df: DataFrame, order_col: str | None = "_row", table_name: st
         aggs.append(F.count(q(c)).alias(f"c{i}"))
         aggs.append(F.max(F.length(q(c).cast("string"))).alias(f"l{i}"))
     one = df.agg(*aggs)
-    head = df.orderBy(order_col).limit(head_rows) if order_col and order_col in df.columns else df.limit(head_rows)
-    samp = head.agg(*[F.slice(F.collect_list(q(c).cast("string")), 1, samples).alias(f"s{i}")
-                      for i, c in enumerate(cols)])
+    order = F.col(order_col) if order_col and order_col in df.columns else F.monotonically_increasing_id()
+    cells = df.select(order.alias("_o"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), q(c).cast("string").alias("v")) for c in cols])).alias("x"))
+    first = Window.partitionBy("column_name").orderBy("_o")
+    kept = (cells.select("_o", "x.column_name", "x.v").where(F.col("v").isNotNull())
+            .withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= samples))
+    long_s = kept.groupBy("column_name").agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("_k", "v"))), lambda s: s["v"]).alias("samples"))
     long_c = one.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.lit(df.schema[c].dataType.simpleString()).alias("data_type"),
                  (F.col("_n") - F.col(f"c{i}")).alias("null_count"), F.col("_n").alias("total_count"),
                  F.col(f"l{i}").alias("max_length")) for i, c in enumerate(cols)])).alias("x")).select("x.*")
-    long_s = samp.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"s{i}").alias("samples")) for i, c in enumerate(cols)]))
-        .alias("x")).select("x.*")
-    out = long_c.join(long_s, "column_name")
+    out = long_c.join(long_s, "column_name", "left").withColumn(
+        "samples", F.coalesce("samples", F.expr("cast(array() as array<string>)")))
     if table_name is not None:
         out = out.select(F.lit(table_name).alias("table_name"), "*")
     return out

@@ -3,11 +3,9 @@
 * J7/J8: a signature (columns, types, first rows, row count) and its text form.
 * J9: the text is vectorised locally (no remote model): hashed token counts,
   IDF-weighted, L2-normalised -- or vectors supplied by the user.
-* J10: exact cosine top-k >= threshold for a *batch* of query vectors. The batch
-  is broadcast after its size is proven; every corpus partition scores all queries
-  with one matrix product (numpy, Arrow batches) and keeps a local top-k; a
-  ``groupBy(query)`` merges k candidates per partition. Work is linear in the
-  corpus, nothing all-pairs.
+* J10: exact cosine top-k >= threshold for a *batch* of query vectors: query blocks and
+  corpus shards of bounded size meet in groups (one matrix product each), which keep a
+  local top-k that is merged per query.
 * J11/J12: the signature store is a store table; backfill = left-anti join.
 """
 
@@ -94,48 +92,45 @@ def hashed_vectors(docs: DataFrame, id_col: str, text_col: str, dim: int = 256)
                         F.transform("v", lambda x: (x / norm).cast("float")).alias("embedding"))
 
 
+SHARD_ROWS = 8192       # corpus vectors compared in one group
+BLOCK_ROWS = 4096       # query vectors compared in one group
+
+
+def _best_of_shard(corpus: pd.DataFrame, queries: pd.DataFrame, k: int, exclude_self: bool) -> pd.DataFrame:
+    """Cosine of one query block with one corpus shard; the best k per query."""
+    out = pd.DataFrame({"qid": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
+    if not len(corpus) or not len(queries):
+        return out
+    corpus = corpus.sort_values("id")
+    unit = [m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (
+        np.array(f.tolist(), np.float64) for f in (queries["q_v"], corpus["v"]))]
+    qid, ids = queries["qid"].to_numpy(np.int64), corpus["id"].to_numpy(np.int64)
+    score = unit[0] @ unit[1].T
+    if exclude_self:
+        score[qid[:, None] == ids[None, :]] = -np.inf
+    top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+    best = np.take_along_axis(score, top, axis=1)
+    ok = np.isfinite(best)
+    return pd.DataFrame({"qid": np.repeat(qid, top.shape[1]).reshape(top.shape)[ok], "id": ids[top][ok], "score": best[ok]})
+
+
 def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int = SIMILARITY_TOP_K,
                 threshold: float | None = SIMILARITY_THRESHOLD, corpus_id: str = "id",
-                query_id: str = "qid", vec_col: str = "embedding", max_queries: int = 20_000,
-                exclude_self: bool = False) -> DataFrame:
-    """Exact cosine top-k (then >= threshold), descending, per query.
-
-    ``queries`` is a bounded batch (checked: at most ``max_queries`` rows), shipped
-    to every corpus partition; each partition emits at most k rows per query."""
-    qrows = queries.select(F.col(query_id).alias("q"), F.col(vec_col).alias("v")).limit(max_queries + 1).collect()
-    if len(qrows) > max_queries:
-        raise ValueError(f"query batch larger than {max_queries}; split it")
-    if not qrows:
-        return corpus.sparkSession.createDataFrame([], "qid long, id long, score double, rank int")
-    qids = np.array([r["q"] for r in qrows], dtype=np.int64)
-    qm = np.array([r["v"] for r in qrows], dtype=np.float64)
-    qm = qm / np.maximum(np.linalg.norm(qm, axis=1, keepdims=True), 1e-300)
-    bc = corpus.sparkSession.sparkContext.broadcast((qids, qm))
-    kk = k
-
-    def score(it):
-        q_ids, q_m = bc.value
-        for pdf in it:
-            if pdf.empty:
-                continue
-            m = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-            m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-            s = q_m @ m.T                                  # queries x batch
-            ids = pdf["id"].to_numpy()
-            if exclude_self:
-                s[q_ids[:, None] == ids[None, :]] = -np.inf
-            kb = min(kk, s.shape[1])
-            top = np.argpartition(-s, kb - 1, axis=1)[:, :kb]
-            rows_q = np.repeat(q_ids, kb)
-            rows_i = ids[top.ravel()]
-            rows_s = np.take_along_axis(s, top, axis=1).ravel()
-            ok = np.isfinite(rows_s)
-            yield pd.DataFrame({"qid": rows_q[ok], "id": rows_i[ok], "score": rows_s[ok]})
-
-    cand = corpus.select(F.col(corpus_id).cast("long").alias("id"), F.col(vec_col).alias("v")) \
-        .mapInPandas(score, "qid long, id long, score double")
+                query_id: str = "qid", vec_col: str = "embedding", exclude_self: bool = False) -> DataFrame:
+    """Exact cosine top-k (then >= threshold), descending, per query. Query blocks
+    meet corpus shards in groups of bounded size, and the best k of each group are merged;
+    neither side passes through the driver."""
+    shards = max(1, -(-corpus.count() // SHARD_ROWS))
+    blocks = max(1, -(-queries.count() // BLOCK_ROWS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    c = corpus.select(F.col(corpus_id).cast("long").alias("id"), F.col(vec_col).alias("v")).select(
+        F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), every(blocks).alias("block"), "id", "v")
+    q = queries.select(F.col(query_id).cast("long").alias("qid"), F.col(vec_col).alias("q_v")).select(
+        every(shards).alias("q_shard"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("q_block"), "qid", "q_v")
+    near = c.groupBy("shard", "block").cogroup(q.groupBy("q_shard", "q_block")).applyInPandas(
+        lambda a, b: _best_of_shard(a, b, k, exclude_self), "qid long, id long, score double")
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("id"))
-    out = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    out = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     if threshold is not None:
         out = out.where(F.col("score") >= threshold)
     return out.select("qid", "id", "score", F.col("rank").cast("int"))

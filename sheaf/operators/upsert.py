@@ -53,8 +53,8 @@ class Evolution:
 
 
 def evolve_schema(table: T.StructType, incoming: T.StructType) -> Evolution:
-    """Add incoming columns the table lacks (nullable, at the end); apply safe
-    widenings (lattice T4); unsafe changes keep the table type (values are coerced
+    """Add incoming columns the table lacks (nullable, at the end); incoming text over
+    a typed column is ignored (values are read into the table's type); apply safe widenings (lattice T4); unsafe changes keep the table type (values are coerced
     on write, bad -> NULL) and add a warning. Columns are never dropped."""
     have = {_norm(f.name): f for f in table.fields}
     fields = list(table.fields)
@@ -69,12 +69,12 @@ def evolve_schema(table: T.StructType, incoming: T.StructType) -> Evolution:
             continue
         old = have[n]
         a, b = TY.spark_to_sql_type(old.dataType), TY.spark_to_sql_type(f.dataType)
-        if a == b:
+        if a == b or b == "text":  # untyped text says nothing: the table keeps its type
             continue
         if TY.is_safe_widening_py(a, b):
             fields = [T.StructField(old.name, f.dataType, True) if x.name == old.name else x for x in fields]
             ev.schema_changes.append(f"{old.name}: {a} -> {b}")
-        elif b != "text":
+        else:
             ev.warnings.append(f"{old.name}: unsafe change {a} -> {b}; values coerced to {a}, bad values -> NULL")
     ev.schema = T.StructType(fields)
     return ev

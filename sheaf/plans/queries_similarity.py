@@ -121,15 +121,35 @@ def q_jaccard(spark, sf_dir):
     return r.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
-@register("j5_j6_greedy_groups")
+@register("j5_j6_greedy_groups", f"""
+WITH RECURSIVE {TOKENS_SQL},
+sz AS (SELECT set_id, count(*) AS n FROM dt GROUP BY 1),
+inter AS (SELECT a.set_id AS a, b.set_id AS b, count(*) AS i FROM dt a JOIN dt b ON a.col = b.col AND a.set_id < b.set_id
+          GROUP BY ALL),
+e AS (SELECT a, b FROM inter JOIN sz sa ON sa.set_id = a JOIN sz sb ON sb.set_id = b
+      WHERE i * 1.0 / (sa.n + sb.n - i) >= 0.9),
+nodes AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) AS k, lang || '_' || source AS t,
+                 coalesce((SELECT list(a) FROM e WHERE e.b = doc_id), []) AS earlier FROM documents),
+walk AS (SELECT k, id, t, CAST([id] AS BIGINT[]) AS anchors, id AS anchor FROM nodes WHERE k = 1
+  UNION ALL
+  SELECT k, id, t, CASE WHEN len(near) = 0 THEN list_append(anchors, id) ELSE anchors END,
+         CASE WHEN len(near) = 0 THEN id ELSE list_min(near) END
+  FROM (SELECT n.k, n.id, n.t, w.anchors, list_intersect(n.earlier, w.anchors) AS near
+        FROM walk w JOIN nodes n ON n.k = w.k + 1))
+SELECT w.id AS job_id, w.anchor AS anchor_id, CASE WHEN w.id = w.anchor THEN 'anchor' ELSE 'member' END AS group_role,
+       w.id <> w.anchor AS is_incremental_load, CASE WHEN w.id <> w.anchor THEN a.t END AS matched_table_name
+FROM walk w JOIN nodes a ON a.id = w.anchor""")
 def q_groups(spark, sf_dir):
-    """J5 + J6: oldest-first grouping of documents (ordered by id) at Jaccard >= 0.90;
-    members become increments of their anchor. Iterative (rounds), so no SQL
-    oracle; tests compare it with the sequential rule on small data."""
+    """J5 + J6: oldest-first grouping of documents (ordered by id) at Jaccard >= 0.90, then
+    the members become increments of their anchor's table. The oracle walks the documents
+    one after the other."""
     docs = table(spark, sf_dir, "documents")
     edges = S.jaccard_pairs(doc_sets(spark, sf_dir))
     nodes = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"))
-    return S.greedy_groups(nodes, edges)
+    jobs = docs.select(F.col("doc_id").alias("job_id"), F.concat_ws("_", "lang", "source").alias("proposed_table_name"),
+                       F.lit(False).alias("is_incremental_load"), F.lit(None).cast("string").alias("matched_table_name"))
+    return S.regroup(jobs, S.greedy_groups(nodes, edges)).select(
+        "job_id", "anchor_id", "group_role", "is_incremental_load", "matched_table_name")
 
 
 @register("m1_m4_schema_diff", J2_SQL + """,

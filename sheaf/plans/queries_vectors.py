@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sheaf.operators import signatures as SG
 from sheaf.plans.registry import register
-from sheaf.session import TABLES, table
+from sheaf.session import table
 
 
 def label_centroids(emb):
@@ -35,17 +35,35 @@ def q_cosine(spark, sf_dir):
     return r.select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
-@register("j7_signature_facts", """
-SELECT table_name, CAST(count(*) AS INTEGER) AS n_columns FROM information_schema.columns
-WHERE table_name IN ('region','nation','customer','supplier','part','orders','lineitem','events','documents',
-                     'embeddings','pages','benchmark','labels','conversations') GROUP BY 1""")
+#: Order of the rows of each driver table, by its key.
+TABLE_ORDER = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey",
+               "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey, l_linenumber", "events": "event_id",
+               "documents": "doc_id", "embeddings": "vec_id", "pages": "page_id", "benchmark": "item_id",
+               "labels": "doc_id", "conversations": "conv_id, turn"}
+
+
+def _signature_sql():
+    return " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, (SELECT CAST(count(*) AS INTEGER) FROM information_schema.columns WHERE table_name = '{t}') "
+        f"AS n_columns, count(*) AS row_count, (SELECT string_agg(CAST(v AS VARCHAR), ',' ORDER BY v) FROM (SELECT "
+        f"{order.split(', ')[0]} AS v FROM {t} ORDER BY {order} LIMIT 5)) AS first_keys, "
+        f"'Total Rows: ' || count(*) AS last_line FROM {t}" for t, order in TABLE_ORDER.items())
+
+
+@register("j7_signature_facts", _signature_sql())
 def q_signatures(spark, sf_dir):
-    """A signature per driver table (columns, types, 5 JSON samples, row count)."""
+    """J7 + J8: a signature per driver table (columns, types, five JSON samples in key order,
+    row count) and its text; compared are the row count, the samples' keys and the text's
+    last line."""
     from sheaf.functions.types import spark_to_sql_type
     out = None
-    for t in TABLES:
+    for t, order in TABLE_ORDER.items():
         df = table(spark, sf_dir, t)
         types = {f.name: spark_to_sql_type(f.dataType) for f in df.schema.fields}
-        s = SG.build_signature(df, t, types, order_col=None)
+        s = SG.build_signature(df.withColumn("_row", F.struct(*order.split(", "))), t, types)
+        s = s.join(SG.signature_text(s), "table_name").withColumn("keys", F.transform(
+            "sample_rows", lambda r: F.get_json_object(r, f"$.{order.split(', ')[0]}")))  # noqa: B023
         out = s if out is None else out.unionByName(s)
-    return out.select("table_name", F.size("columns").cast("int").alias("n_columns"))
+    return out.select("table_name", F.size("columns").cast("int").alias("n_columns"), "row_count",
+                      F.array_join("keys", ",").alias("first_keys"),
+                      F.element_at(F.split("text", "\n"), -1).alias("last_line"))

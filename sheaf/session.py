@@ -40,7 +40,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Only when the session has none (local tests) do we create a scratch one."""
+    Only a local session (tests) that has none gets a scratch folder."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if d:
@@ -50,6 +50,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     existing = sc.getCheckpointDir()
     if existing:
         return existing
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     d = tempfile.mkdtemp(prefix="sheaf-ckpt-")
     spark.conf.set("spark.checkpoint.dir", d)
     sc.setCheckpointDir(d)
@@ -64,29 +66,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read a driver table. A file written as one row group scans as ONE task, so
-    every per-row step before the first shuffle would run on one core; when the scan
-    yields fewer partitions than the cluster's parallelism the rows are spread
-    round-robin (filters and column pruning still reach the scan). On large inputs
-    the scan already has enough partitions and nothing is added."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return ensure_parallelism(df)
-
-
-def ensure_parallelism(df: DataFrame) -> DataFrame:
-    """Spread an input over the cluster when its scan has fewer partitions than the
-    default parallelism (decided from the plan's partition count; no job runs)."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= par:
-        return df
-    return df.repartition(par)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only after proving its size: one bounded count.
-
-    Returns the frame hinted for broadcast when it has at most ``max_rows`` rows,
-    else unchanged (a shuffle join is then planned)."""
-    from pyspark.sql import functions as F
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    """Read a driver table; splits come from the scan (``spark.sql.files.maxPartitionBytes``)."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -25,7 +25,6 @@ from pyspark.sql import types as T
 
 from sheaf.functions.names import over_names, unique_name_list
 from sheaf.operators.headers import merge_header_levels
-from sheaf.session import broadcast_if_small
 
 # ---- fixed values ------------------------------------------------------------
 DELIMITER_CANDIDATES = [",", "|", "\t", ";", ":"]
@@ -34,7 +33,6 @@ HEADER_PREVIEW_ROWS = 5
 ALLOWED_EXTENSIONS = [".csv", ".xlsx"]
 # ------------------------------------------------------------------------------
 
-MAX_BROADCAST_FILES = 200_000
 
 
 def split_input(paths: DataFrame, path_col: str = "path") -> tuple[DataFrame, DataFrame]:
@@ -52,7 +50,6 @@ def read_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     blk = raw.groupBy("_file", "_blk").agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy("_file").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offs = blk.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    offs = broadcast_if_small(offs, MAX_BROADCAST_FILES)
     return (raw.join(offs, ["_file", "_blk"])
             .select("_file", (F.col("_off") + F.col("_mid") - F.col("_m0")).alias("_row"), "line"))
 
@@ -89,8 +86,7 @@ def parse_cells(lines: DataFrame, dialect: DataFrame, n_cols: int | None = None)
     """Cells of every content line: ``(_file, _row, _c0 .. _cN)``; ``_row`` counts
     from the first line after the directive. ``n_cols`` defaults to the widest
     line (naive split; quoting can only lower the real count)."""
-    d = broadcast_if_small(dialect, MAX_BROADCAST_FILES)
-    lj = lines.join(d, "_file").where(F.col("_row") >= F.col("skip_rows")) \
+    lj = lines.join(dialect, "_file").where(F.col("_row") >= F.col("skip_rows")) \
         .withColumn("_row", F.col("_row") - F.col("skip_rows"))
     delims = [r[0] for r in dialect.select("delimiter").distinct().collect()]   # bounded: <= a few
     if n_cols is None:

@@ -221,3 +221,34 @@ def test_paren_year_is_a_fallback_and_banners_reset(spark):
     rows = [wide, ["(₹ Crores)"], hdr, ["A", 1, 2, 3], [], ["constant prices"], ["Base year: 2004-05"], hdr, ["B", 1, 2, 3]]
     sub = X.analyze_sheets(_cells(spark, rows)).orderBy("sub_ord").collect()
     assert [(s.base_year, s.label, s.unit) for s in sub] == [("1999-00", None, "₹ Crores"), ("2004-05", "Constant Prices", None)]
+
+
+def test_batch_approval_follows_chains_of_increments(spark):
+    import datetime as dt
+
+    from sheaf.plans import jobs as G
+    day = lambda n: dt.datetime(2024, 1, n)
+    rows = [(1, "awaiting_approval", day(9), False, "", None, "T1"), (2, "schema_mismatch", day(2), True, "t", 1, "a"),
+            (3, "schema_mismatch", day(3), True, "t", 2, "b"), (4, "schema_mismatch", day(1), True, "t", 3, "c"),
+            (5, "schema_mismatch", day(5), True, "t", 4, "d"), (6, "schema_mismatch", day(6), True, "t", 99, "e"),
+            (7, "awaiting_approval", day(7), True, " ", 8, "F"), (8, "failed", day(1), False, None, None, "g"),
+            (9, "schema_mismatch", day(8), True, "t", 8, "h")]
+    jobs = spark.createDataFrame(rows, "job_id long, status string, created_at timestamp, is_incremental_load boolean, "
+                                 "matched_table_name string, peer_anchor_job_id long, proposed_table_name string")
+    got = {r.job_id: (r.action, r.approval_order, r.table_name) for r in G.batch_approval(jobs).collect()}
+    assert got == {1: ("approve", 1, "t1"), 4: ("skip", 2, "t"), 2: ("approve", 3, "t"), 3: ("approve", 4, "t"),
+                   5: ("skip", 5, "t"), 6: ("approve", 6, "t"), 7: ("approve", 7, "f"), 9: ("skip", 8, "t")}
+
+
+def test_greedy_groups_on_a_chain(spark):
+    nodes = spark.createDataFrame([(i, i) for i in range(9)], "id long, ord long")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(8)], "a long, b long")
+    got = {r.id: (r.anchor_id, r.role) for r in S.greedy_groups(nodes, edges).collect()}
+    assert got == {i: (i, "anchor") if i % 2 == 0 else (i - 1, "member") for i in range(9)}
+
+
+def test_samples_are_taken_from_whole_columns(spark):
+    from sheaf.functions import types as TY
+    df = spark.range(3000).select(F.col("id").alias("_row"), F.when(F.col("id") >= 1500, F.col("id").cast("string")).alias("late"))
+    assert [r.inferred_type for r in TY.infer_types(df).collect()] == ["BIGINT"]
+    assert P.column_profile(df).first().samples == [str(1500 + i) for i in range(10)]
