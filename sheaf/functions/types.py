@@ -72,6 +72,12 @@ def normalise_type_py(t: str) -> str:
     return TYPE_ALIASES.get(t, t)
 
 
+def varchar_length(declared: str) -> int | None:
+    """n of a declared VARCHAR(n)."""
+    m = re.fullmatch(r"\s*(?:varchar|character varying)\s*\(\s*(\d+)\s*\)\s*", declared, re.I)
+    return int(m[1]) if m else None
+
+
 def is_safe_widening_py(frm: str, to: str) -> bool:
     return normalise_type_py(to) in WIDENING.get(normalise_type_py(frm), [])
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from sheaf.functions import periods
 from sheaf.functions import types as TY
+from sheaf.operators import signatures as SG
 from sheaf.operators import upsert as U
 from sheaf.sources.store import LOAD_AUDIT, OPERATIONAL_METADATA, TABLES_METADATA, TableStore
 
@@ -60,7 +61,7 @@ def one_time_load(store: TableStore, table_name: str, df: DataFrame, column_type
                   key_columns: list[str] | None = None, meta: dict | None = None, now: dt.datetime | None = None,
                   period_col: str | None = None) -> dict:
     """Create -> append -> period SQL -> tables_metadata (L10) ->
-    operational_metadata (L11). Returns a summary dict."""
+    operational_metadata (L11) -> signature (J7, J11). Returns a summary dict."""
     now = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     meta = meta or {}
     store.ensure_catalog()
@@ -74,7 +75,7 @@ def one_time_load(store: TableStore, table_name: str, df: DataFrame, column_type
         res = store.upsert(name, data, key_columns, ts=now)
         rows = res["rows_inserted"]
     else:
-        rows = store.append(name, data, ts=now)
+        rows, _ = store.append(name, data, ts=now)
     cols = [f.name for f in store.schema(name).fields if f.name != U.AUDIT_COLUMN]
     pcol = period_col or periods.detect_period_column_py(cols)
     first = last = None
@@ -93,49 +94,80 @@ def one_time_load(store: TableStore, table_name: str, df: DataFrame, column_type
           "business_metadata": meta.get("business_metadata"), "major_domain": meta.get("major_domain"),
           "sub_domain": meta.get("sub_domain"), "brief_summary": meta.get("brief_summary")}
     upsert_operational_metadata(store, om)
+    write_signature(store, name)
     return {"table_name": name, "rows": rows, "period_col": pcol, "first": first, "last": last}
 
 
-def incremental_load(store: TableStore, table_name: str, df: DataFrame, key_columns: list[str] | None = None,
-                     now: dt.datetime | None = None, batch_id: int = 0, on_missing: str = "null") -> dict:
-    """Keys (L8) -> schema diff/evolution (L6) -> align (L5) -> stamp (L7) ->
-    upsert or append -> operational increment (L12) -> audit row (``load_audit``).
-    A batch id already present in ``load_audit`` is skipped (replay safety)."""
+def write_signature(store: TableStore, table_name: str) -> None:
+    """J11 insert: the table's signature replaces the one it had."""
+    df = store.read(table_name).drop(U.AUDIT_COLUMN)
+    keys = store.primary_keys(table_name)
+    if keys:
+        df = df.withColumn("_row", F.struct(*[F.col(f"`{k}`") for k in keys]))
+    sig = SG.build_signature(df, table_name.lower(), store.column_types(table_name))
+    store.upsert("signatures", sig, ["table_name"], order=None)
+
+
+def delete_signature(store: TableStore, table_name: str) -> None:
+    """J11 delete by name."""
+    store.delete("signatures", store.spark.createDataFrame([(table_name.lower(),)], "table_name string"))
+
+
+def backfill_signatures(store: TableStore, dry_run: bool = False) -> dict:
+    """Signatures for the tables that have none; a dry run only counts."""
+    store.ensure_catalog()
+    names = store.spark.createDataFrame([(t,) for t in store.tables()], "table_name string")
+    missing = [r[0] for r in SG.backfill_candidates(names, store.read("signatures")).collect()]
+    if not dry_run:
+        for t in missing:
+            write_signature(store, t)
+    return {"tables": len(store.tables()), "missing": len(missing), "written": 0 if dry_run else len(missing)}
+
+
+def batch_done(store: TableStore, table_name: str, batch_id: int) -> bool:
+    seen = store.read("load_audit").where((F.col("table_name") == table_name.lower()) & (F.col("batch_id") == batch_id))
+    return not seen.isEmpty()
+
+
+def incremental_load(store: TableStore, table_name: str, df: DataFrame, batch_id: int, key_columns: list[str] | None = None,
+                     now: dt.datetime | None = None, on_missing: str = "null") -> dict:
+    """Keys (L8) -> schema diff/evolution (L6) -> widening by the data (T7, T8) -> align
+    (L5) -> stamp (L7) -> upsert or append -> operational increment (L12) -> audit row
+    (``load_audit``). The caller names the batch; one that ``load_audit`` lists already is
+    skipped (replay safety)."""
     now = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     name = table_name.lower()
     store.ensure_catalog()
-    done = (store.read("load_audit").where((F.col("table_name") == name) & (F.col("batch_id") == batch_id))
-            .limit(1).count())
-    if done:
+    if batch_done(store, name, batch_id):
         return {"skipped": True, "table_name": name, "batch_id": batch_id}
     warnings: list[str] = []
     rows_before = store.count(name)
     data_cols = [c for c in df.columns if not c.startswith("_")]
     keys = U.resolve_keys(store.primary_keys(name), key_columns, data_cols, warnings)
-    ev = U.evolve_schema(store.schema(name), df.select(*data_cols).schema)
+    ev = U.evolve_schema(store.schema(name), df.select(*[F.col(f"`{c}`") for c in data_cols]).schema)
     warnings += ev.warnings
     if ev.columns_added or ev.schema_changes:
         store.replace_schema(name, ev.schema)
     src = df.select(*[F.col(f"`{c}`").alias(c.strip().lower()) for c in df.columns])
+    changes = ev.schema_changes + store.widen(name, src)
     if keys:
         res = store.upsert(name, src, keys, ts=now, on_missing=on_missing)
         ins, upd, dup, nk = res["rows_inserted"], res["rows_updated"], res["duplicates"], res["null_keys"]
+        warnings += res["warnings"]
     else:
-        ins = store.append(name, src, ts=now)
+        ins, lost = store.append(name, src, ts=now)
+        warnings += lost
         upd = dup = nk = 0
     rows_after = store.count(name)
-    pcol = None
     om = store.read("operational_metadata").where(F.col("table_name") == name).select("period_cols").first()
     if om is not None:
-        pcol = om["period_cols"]
-    last = None
-    if pcol and pcol in store.schema(name).names:
-        last = periods.period_bounds(store.read(name), pcol).first()["last_value"]
-    if om is not None:
+        pcol, last = om["period_cols"], None
+        if pcol and pcol in store.schema(name).names:
+            last = periods.period_bounds(store.read(name), pcol).first()["last_value"]
         increment_operational(store, name, ins, now, last)
     audit = {"table_name": name, "batch_id": batch_id, "rows_before": rows_before, "rows_inserted": ins,
              "rows_updated": upd, "rows_after": rows_after, "duplicates": dup, "null_keys": nk,
-             "columns_added": ev.columns_added, "schema_changes": ev.schema_changes, "warnings": warnings,
+             "columns_added": ev.columns_added, "schema_changes": changes, "warnings": warnings,
              "keys": keys, "timestamp": now}
     store.upsert("load_audit", _row_df(store.spark, LOAD_AUDIT, audit), ["table_name", "batch_id"],
                  order=None, ts=now)
@@ -148,28 +180,21 @@ def purge_by_date(store: TableStore, day: dt.date, dry_run: bool = True) -> list
     store.ensure_catalog()
     sel = (store.read("tables_metadata").where(F.to_date("created_at") == F.lit(day))
            .select("table_name").distinct())
-    names = [r[0] for r in sel.collect()]   # bounded: table names of one day
-    if dry_run or not names:
-        return names
-    drop_tables(store, names)
+    names = [r[0] for r in sel.toLocalIterator()]  # names of tables: each is dropped by a command
+    if not dry_run:
+        drop_tables(store, names)
     return names
 
 
 def drop_tables(store: TableStore, names: list[str]):
-    """Drop tables and their catalog / signature rows (left-anti rewrite)."""
+    """Drop tables and their catalog / signature rows."""
+    if not names:
+        return
     gone = store.spark.createDataFrame([(n.lower(),) for n in names], "table_name string")
     for n in names:
         store.drop_table(n)
     for cat in ("tables_metadata", "operational_metadata", "signatures"):
-        if not store.exists(cat):
-            continue
-        m = store.manifest(cat)
-        keep = store.read(cat).join(F.broadcast(gone), "table_name", "left_anti")
-        schema = store.schema(cat)
-        tmp = f"{store.root}/{cat}/data/v{int(m['version']) + 1}/all"
-        keep.write.mode("errorifexists").parquet(tmp)
-        store._publish(cat, dict(m, version=int(m["version"]) + 1, buckets={}, segments=[tmp]))
-        del schema
+        store.delete(cat, gone)
 
 
 def export(df: DataFrame, path: str, fmt: str = "csv"):

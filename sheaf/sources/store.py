@@ -1,16 +1,12 @@
-"""Parquet table store with the two catalog tables.
-
-Layout (any Hadoop-compatible file system; paths come from the caller):
-
-    <root>/<table>/data/v<k>/_bucket=<b>/part-*.parquet   data, hash-bucketed by key
-    <root>/<table>/_manifest/<k>.json                      live files of version k
-
-A version's manifest lists, per bucket, the directory that holds its rows. An
-upsert rewrites only the buckets its keys hash to, into a new version directory,
-then publishes manifest k+1 (written under a temporary name and renamed). Readers
-use the newest manifest, so a failed write leaves the previous version live.
-Catalog tables (``tables_metadata``, ``operational_metadata``, ``load_audit``,
-``signatures``) are ordinary store tables.
+"""Spark tables with the catalog tables.
+
+Every table is a Parquet table of the session catalog, in one database. Keyed tables are
+partitioned by a hash of the key (``_part``); the number of partitions follows the number
+of rows (``rows_per_part``) and is kept, with keys and declared types, in the table's
+properties. An upsert merges the partitions its keys hash to and overwrites just those
+(dynamic partition overwrite); when a table has outgrown its partitions, or a column type
+is widened, it is written anew and renamed. The merge is written to the checkpoint folder
+before a partition is overwritten, and a batch that is run again ends in the same rows.
 """
 
 from __future__ import annotations
@@ -18,127 +14,110 @@ from __future__ import annotations
 import datetime as dt
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheaf.functions import numbers as NUM
 from sheaf.functions import types as TY
 from sheaf.operators import upsert as U
-
-TABLES_METADATA = T.StructType([
-    T.StructField(n, t, True) for n, t in [
-        ("data_domain", T.StringType()), ("table_name", T.StringType()), ("columns", T.ArrayType(T.StringType())),
-        ("comments", T.StringType()), ("source", T.StringType()), ("source_url", T.StringType()),
-        ("released_on", T.TimestampType()), ("updated_on", T.TimestampType()), ("rows_count", T.LongType()),
-        ("business_metadata", T.StringType()), ("table_view", T.StringType()), ("period_cols", T.StringType()),
-        ("min_period_sql", T.StringType()), ("max_period_sql", T.StringType()),
-        ("created_at", T.TimestampType()), ("key_columns", T.ArrayType(T.StringType()))]])
-OPERATIONAL_METADATA = T.StructType([
-    T.StructField(n, t, True) for n, t in [
-        ("table_name", T.StringType()), ("table_view", T.StringType()), ("period_cols", T.StringType()),
-        ("first_available_value", T.StringType()), ("last_available_value", T.StringType()),
-        ("last_updated_on", T.TimestampType()), ("rows_count", T.LongType()),
-        ("columns", T.ArrayType(T.StringType())), ("source_url", T.StringType()),
-        ("business_metadata", T.StringType()), ("major_domain", T.StringType()),
-        ("sub_domain", T.StringType()), ("brief_summary", T.StringType())]])
-LOAD_AUDIT = T.StructType([
-    T.StructField(n, t, True) for n, t in [
-        ("table_name", T.StringType()), ("batch_id", T.LongType()), ("rows_before", T.LongType()),
-        ("rows_inserted", T.LongType()), ("rows_updated", T.LongType()), ("rows_after", T.LongType()),
-        ("duplicates", T.LongType()), ("null_keys", T.LongType()),
-        ("columns_added", T.ArrayType(T.StringType())), ("schema_changes", T.ArrayType(T.StringType())),
-        ("warnings", T.ArrayType(T.StringType())), ("keys", T.ArrayType(T.StringType())),
-        ("timestamp", T.TimestampType())]])
-CATALOG_TABLES = {"tables_metadata": (TABLES_METADATA, ["table_name"]),
-                  "operational_metadata": (OPERATIONAL_METADATA, ["table_name"]),
-                  "load_audit": (LOAD_AUDIT, ["table_name", "batch_id"])}
+from sheaf.session import cut_lineage
+
+# ---- fixed values: columns of the catalog tables ------------------------------
+_TEXT, _TIME, _LONG, _LIST = T.StringType(), T.TimestampType(), T.LongType(), T.ArrayType(T.StringType())
+CATALOG_COLUMNS = {
+    "tables_metadata": [
+        ("data_domain", _TEXT), ("table_name", _TEXT), ("columns", _LIST), ("comments", _TEXT), ("source", _TEXT),
+        ("source_url", _TEXT), ("released_on", _TIME), ("updated_on", _TIME), ("rows_count", _LONG),
+        ("business_metadata", _TEXT), ("table_view", _TEXT), ("period_cols", _TEXT), ("min_period_sql", _TEXT),
+        ("max_period_sql", _TEXT), ("created_at", _TIME), ("key_columns", _LIST)],
+    "operational_metadata": [
+        ("table_name", _TEXT), ("table_view", _TEXT), ("period_cols", _TEXT), ("first_available_value", _TEXT),
+        ("last_available_value", _TEXT), ("last_updated_on", _TIME), ("rows_count", _LONG), ("columns", _LIST),
+        ("source_url", _TEXT), ("business_metadata", _TEXT), ("major_domain", _TEXT), ("sub_domain", _TEXT),
+        ("brief_summary", _TEXT)],
+    "load_audit": [
+        ("table_name", _TEXT), ("batch_id", _LONG), ("rows_before", _LONG), ("rows_inserted", _LONG),
+        ("rows_updated", _LONG), ("rows_after", _LONG), ("duplicates", _LONG), ("null_keys", _LONG),
+        ("columns_added", _LIST), ("schema_changes", _LIST), ("warnings", _LIST), ("keys", _LIST), ("timestamp", _TIME)],
+    "signatures": [
+        ("table_name", _TEXT), ("columns", _LIST), ("column_types", T.MapType(_TEXT, _TEXT)), ("sample_rows", _LIST),
+        ("row_count", _LONG)],
+}
+# ------------------------------------------------------------------------------
+CATALOG_KEYS = {"tables_metadata": ["table_name"], "operational_metadata": ["table_name"],
+                "load_audit": ["table_name", "batch_id"], "signatures": ["table_name"]}
+CATALOG_SCHEMAS = {n: T.StructType([T.StructField(c, t, True) for c, t in cols]) for n, cols in CATALOG_COLUMNS.items()}
+TABLES_METADATA, OPERATIONAL_METADATA = CATALOG_SCHEMAS["tables_metadata"], CATALOG_SCHEMAS["operational_metadata"]
+LOAD_AUDIT = CATALOG_SCHEMAS["load_audit"]
+PART = "_part"
+
+
+def _now() -> dt.datetime:
+    return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
 
 
 class TableStore:
-    def __init__(self, spark: SparkSession, root: str, n_buckets: int = 64):
-        self.spark = spark
-        self.root = root.rstrip("/")
-        self.n_buckets = n_buckets
-        jvm = spark.sparkContext._jvm
-        self._jvm = jvm
-        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
-        self._Path = jvm.org.apache.hadoop.fs.Path
-
-    # ---- file-system helpers ------------------------------------------------------
-    def _fs(self, path):
-        return self._Path(path).getFileSystem(self._conf)
-
-    def _exists(self, path) -> bool:
-        return self._fs(path).exists(self._Path(path))
-
-    def _write_text(self, path, text):
-        fs = self._fs(path)
-        tmp = self._Path(path + ".tmp")
-        out = fs.create(tmp, True)
-        out.write(bytearray(text.encode("utf-8")))
-        out.close()
-        if not fs.rename(tmp, self._Path(path)):
-            raise IOError(f"could not publish {path}")
-
-    def _read_text(self, path) -> str:
-        fs = self._fs(path)
-        stream = fs.open(self._Path(path))
-        reader = self._jvm.java.io.BufferedReader(self._jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        lines = []
-        line = reader.readLine()
-        while line is not None:
-            lines.append(line)
-            line = reader.readLine()
-        reader.close()
-        return "\n".join(lines)
-
-    def _delete(self, path):
-        fs = self._fs(path)
-        if fs.exists(self._Path(path)):
-            fs.delete(self._Path(path), True)
-
-    # ---- manifests ---------------------------------------------------------------------
-    def _mdir(self, name):
-        return f"{self.root}/{name}/_manifest"
-
-    def manifest(self, name) -> dict | None:
-        d = self._mdir(name)
-        if not self._exists(d):
-            return None
-        fs = self._fs(d)
-        vs = [int(s.getPath().getName()[:-5]) for s in fs.listStatus(self._Path(d))
-              if s.getPath().getName().endswith(".json")]
-        if not vs:
-            return None
-        return json.loads(self._read_text(f"{d}/{max(vs)}.json"))
-
-    def _publish(self, name, m: dict):
-        self._write_text(f"{self._mdir(name)}/{m['version']}.json", json.dumps(m))
-
-    # ---- S7 / S8 -------------------------------------------------------------------------
-    def exists(self, name) -> bool:
-        return self.manifest(name.lower()) is not None
-
-    def schema(self, name) -> T.StructType:
-        return T.StructType.fromJson(self.manifest(name.lower())["schema"])
-
-    def column_types(self, name) -> dict[str, str]:
-        """{column: SQL type}."""
-        return {f.name: TY.spark_to_sql_type(f.dataType) for f in self.schema(name).fields}
-
-    def primary_keys(self, name) -> list[str]:
-        """Key columns in declared order (from the catalog's ``key_columns``)."""
-        return list(self.manifest(name.lower()).get("keys") or [])
-
-    # ---- L1 -----------------------------------------------------------------------------
-    def create_table(self, name, schema: T.StructType | dict, key_columns=None, if_absent=True) -> bool:
+    def __init__(self, spark: SparkSession, database: str = "sheaf", location: str | None = None,
+                 rows_per_part: int = 2_000_000):
+        self.spark, self.database, self.rows_per_part = spark, database, rows_per_part
+        where = f" LOCATION '{location}'" if location else ""
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`{where}")
+
+    # ---- names and properties -----------------------------------------------------
+    def _t(self, name: str) -> str:
+        return f"`{self.database}`.`{name.lower()}`"
+
+    def _property(self, name: str, key: str, default):
+        rows = self.spark.sql(f"SHOW TBLPROPERTIES {self._t(name)}").where(F.col("key") == f"sheaf.{key}").collect()
+        return json.loads(rows[0]["value"]) if rows else default
+
+    @staticmethod
+    def _properties(values: dict) -> str:
+        text = {k: json.dumps(v).replace("\\", "\\\\").replace("'", "\\'") for k, v in values.items()}
+        return ", ".join(f"'sheaf.{k}' = '{v}'" for k, v in text.items())
+
+    def _set(self, name: str, **values) -> None:
+        self.spark.sql(f"ALTER TABLE {self._t(name)} SET TBLPROPERTIES ({self._properties(values)})")
+
+    # ---- S7 / S8 --------------------------------------------------------------------
+    def exists(self, name: str) -> bool:
+        return self.spark.catalog.tableExists(self._t(name))
+
+    def tables(self) -> list[str]:
+        return sorted(t.name for t in self.spark.catalog.listTables(self.database) if not t.isTemporary)
+
+    def schema(self, name: str) -> T.StructType:
+        return T.StructType([f for f in self.spark.table(self._t(name)).schema.fields if f.name != PART])
+
+    def column_types(self, name: str) -> dict[str, str]:
+        """{column: declared SQL type}."""
+        declared = self._property(name, "types", {})
+        return {f.name: declared.get(f.name, TY.spark_to_sql_type(f.dataType)) for f in self.schema(name).fields}
+
+    def columns(self) -> DataFrame:
+        """``(table_name, column_name, data_type, pos)`` of every table."""
+        rows = [(t, c, d, i) for t in self.tables() for i, (c, d) in enumerate(self.column_types(t).items())]
+        return self.spark.createDataFrame(rows, "table_name string, column_name string, data_type string, pos int")
+
+    def key_columns(self) -> DataFrame:
+        """``(table_name, column_name, data_type, key_pos)``: the keys that the catalog
+        lists, joined with the columns there are."""
+        keys = self.read("tables_metadata").select("table_name", F.posexplode("key_columns").alias("key_pos", "column_name"))
+        return (keys.join(self.columns().drop("pos"), ["table_name", "column_name"])
+                .select("table_name", "column_name", "data_type", "key_pos").orderBy("table_name", "key_pos"))
+
+    def primary_keys(self, name: str) -> list[str]:
+        return self._property(name, "keys", [])
+
+    # ---- L1 -------------------------------------------------------------------------
+    def create_table(self, name: str, schema: T.StructType | dict, key_columns=None, if_absent: bool = True) -> bool:
         """L1: create from a StructType or ``{col: sql_type}``; identifiers lower-cased,
         colliding sanitised names rejected (H12)."""
-        name = name.lower()
-        if isinstance(schema, dict):
-            schema = T.StructType([T.StructField(c, TY.to_spark_type(t), True) for c, t in schema.items()])
-        fields = [T.StructField(f.name.replace('"', "").strip().lower(), f.dataType, True) for f in schema.fields]
+        plain = lambda c: c.replace('"', "").strip().lower()
+        declared = {plain(c): t for c, t in schema.items()} if isinstance(schema, dict) else {}
+        given = schema.items() if isinstance(schema, dict) else [(f.name, f.dataType) for f in schema.fields]
+        fields = [T.StructField(plain(c), TY.to_spark_type(t) if isinstance(t, str) else t, True) for c, t in given]
         names = [f.name for f in fields]
         if len(set(names)) != len(names):
             raise ValueError(f"column names collide after sanitising: {names}")
@@ -148,153 +127,207 @@ class TableStore:
             if if_absent:
                 return False
             raise ValueError(f"table {name} exists")
-        keys = [k.lower() for k in (key_columns or [])]
-        self._publish(name, {"version": 0, "schema": T.StructType(fields).jsonValue(), "keys": keys,
-                             "buckets": {}, "segments": []})
+        self._create(name, T.StructType(fields), [k.lower() for k in key_columns or []], 1, declared)
         return True
 
-    # ---- S6 -----------------------------------------------------------------------------
-    def read(self, name) -> DataFrame:
-        m = self.manifest(name.lower())
-        if m is None:
-            raise KeyError(name)
-        schema = T.StructType.fromJson(m["schema"])
-        paths = list(m["buckets"].values()) + list(m["segments"])
-        if not paths:
-            return self.spark.createDataFrame([], schema)
-        df = self.spark.read.schema(schema).parquet(*paths)
-        return df.select(*[F.col(f"`{f.name}`") for f in schema.fields])
-
-    def count(self, name) -> int:
+    def _create(self, name: str, schema: T.StructType, keys: list[str], parts: int, declared: dict) -> None:
+        cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        props = self._properties({"keys": keys, "parts": parts, "types": declared})
+        self.spark.sql(f"CREATE TABLE {self._t(name)} ({cols}, `{PART}` int) USING parquet "
+                       f"PARTITIONED BY (`{PART}`) TBLPROPERTIES ({props})")
+
+    # ---- S6 -------------------------------------------------------------------------
+    def read(self, name: str) -> DataFrame:
+        return self.spark.table(self._t(name)).drop(PART)
+
+    def count(self, name: str) -> int:
         return self.read(name).count()
 
-    def sample(self, name, n=5) -> DataFrame:
+    def sample(self, name: str, n: int = 5) -> DataFrame:
         return self.read(name).limit(n)
 
-    # ---- writes -----------------------------------------------------------------------
-    def _coerce(self, df: DataFrame, schema: T.StructType) -> DataFrame:
-        """L2 coercion before a write: N2 for numeric targets, N3 for dates, T6
-        (table type wins), bad values -> NULL."""
-        kinds, cols = {}, []
+    # ---- types before a write ---------------------------------------------------------
+    def widen(self, name: str, df: DataFrame) -> list[str]:
+        """T7 + T8, decided before anything is written: a VARCHAR(n) whose values are
+        longer becomes text, integers whose values do not fit become bigint, and beyond
+        that numeric. One aggregate over the batch. Returns the changes."""
+        schema, declared = self.schema(name), self.column_types(name)
+        cols = {c.strip().lower(): c for c in df.columns}
+        aggs, meant = [], []
+        for f in schema.fields:
+            if f.name not in cols:
+                continue
+            col = F.col(f"`{cols[f.name]}`")
+            size = TY.varchar_length(declared[f.name])
+            if size is not None:
+                meant.append((f, "text"))
+                aggs.append(F.max(F.length(col.cast("string"))) > size)
+            elif isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+                exact = (NUM.coerce_numeric(col, "decimal(38,0)") if isinstance(df.schema[cols[f.name]].dataType, T.StringType)
+                         else col.try_cast("decimal(38,0)"))
+                low, high = TY.INTEGER_RANGE if not isinstance(f.dataType, T.LongType) else TY.BIGINT_RANGE
+                if isinstance(f.dataType, (T.ByteType, T.ShortType)):
+                    low, high = TY.SMALLINT_RANGE
+                meant.append((f, "bigint"))
+                big = F.max((exact < F.lit(TY.BIGINT_RANGE[0]).cast("decimal(38,0)")) | (exact > F.lit(TY.BIGINT_RANGE[1]).cast("decimal(38,0)")))
+                aggs.append(F.when(big, "numeric").when(F.max((exact < F.lit(low)) | (exact > F.lit(high))), "bigint"))
+        if not aggs:
+            return []
+        found = df.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggs)]).first()
+        changes, types = [], dict(declared)
+        for i, (f, _) in enumerate(meant):
+            to = "text" if found[i] is True else found[i] if isinstance(found[i], str) else None
+            if to and TY.normalise_type_py(declared[f.name]) != to:
+                changes.append(f"{f.name}: {declared[f.name]} -> {to}")
+                types[f.name] = to
+        if changes:
+            spark_type = lambda t: T.DecimalType(38, 0) if t == "numeric" else TY.to_spark_type(t)
+            new = T.StructType([T.StructField(f.name, spark_type(types[f.name]) if types[f.name] != declared[f.name] else f.dataType, True)
+                                for f in schema.fields])
+            self.replace_schema(name, new, types)
+        return changes
+
+    def _coerce(self, df: DataFrame, schema: T.StructType) -> tuple[DataFrame, list[str]]:
+        """L2 coercion before a write: text into numbers exactly (N2), into dates (N3);
+        the table's type wins (T6). Returns the frame and a warning for each column with
+        values that could not be read, with their number."""
+        df = df.select(*[F.col(f"`{c}`").alias(c.strip().lower()) for c in df.columns])
+        kinds = {}
         for f in schema.fields:
             if f.name in df.columns and isinstance(df.schema[f.name].dataType, T.StringType):
-                if isinstance(f.dataType, (T.DateType,)):
+                if isinstance(f.dataType, T.DateType):
                     kinds[f.name] = "date"
                 elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
                     kinds[f.name] = "timestamp"
-        if kinds:
-            df = NUM.coerce_temporal(df, kinds)
+        decisions = NUM.temporal_decision(df, list(kinds)) if kinds else {}
+        out, lost = [], {}
         for c in df.columns:
             f = schema[c] if c in schema.names else None
-            src = df.schema[c].dataType
-            if f is not None and isinstance(src, T.StringType) and isinstance(f.dataType, T.NumericType):
-                cols.append(NUM.coerce_numeric(F.col(f"`{c}`"), "double").alias(c))
+            src, col = df.schema[c].dataType, F.col(f"`{c}`")
+            if f is None or src == f.dataType or isinstance(f.dataType, T.StringType):
+                out.append(col)
+                continue
+            if c in kinds:
+                new = NUM.format_temporal(col, kinds[c], decisions[c]).try_cast(f.dataType)
+            elif isinstance(src, T.StringType) and isinstance(f.dataType, T.NumericType):
+                exact = isinstance(f.dataType, (T.IntegralType, T.DecimalType))
+                new = NUM.coerce_numeric(col, "decimal(38,9)" if exact else "double").try_cast(f.dataType)
+                if exact:  # beyond 29 whole digits the wider scale does not fit
+                    new = F.coalesce(new, NUM.coerce_numeric(col, "decimal(38,0)").try_cast(f.dataType))
             else:
-                cols.append(F.col(f"`{c}`"))
-        return df.select(*cols)
-
-    def _next_version(self, m) -> int:
-        return int(m["version"]) + 1
-
-    def _bucket_col(self, keys):
-        return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(self.n_buckets)).cast("int")
-
-    def _write_buckets(self, name, df: DataFrame, keys, version) -> dict:
-        base = f"{self.root}/{name}/data/v{version}"
-        b = df.withColumn("_bucket", self._bucket_col(keys))
-        b.repartition("_bucket").write.mode("errorifexists").partitionBy("_bucket").parquet(base)
-        fs = self._fs(base)
-        out = {}
-        for st in fs.listStatus(self._Path(base)):
-            n = st.getPath().getName()
-            if n.startswith("_bucket="):
-                out[n.split("=", 1)[1]] = f"{base}/{n}"
-        return out
-
-    def append(self, name, df: DataFrame, ts=None) -> int:
-        """L2: coerce, align, stamp ``ingested_at``, append; returns rows written."""
-        name = name.lower()
-        m = self.manifest(name)
-        schema = T.StructType.fromJson(m["schema"])
-        data = U.align(self._coerce(df, schema), schema)
-        data = data.withColumn(U.AUDIT_COLUMN, F.lit(ts or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)).cast("timestamp"))
-        v = self._next_version(m)
-        if m["keys"]:
-            # keyed tables stay bucketed: appended rows are merged into their buckets
-            res = self.upsert(name, df, m["keys"], ts=ts)
-            return res["rows_inserted"] + res["rows_updated"]
-        path = f"{self.root}/{name}/data/v{v}/seg"
-        data.write.mode("errorifexists").parquet(path)
-        n = self.spark.read.parquet(path).count()
-        m2 = dict(m, version=v, segments=m["segments"] + [path])
-        self._publish(name, m2)
-        return n
-
-    def upsert(self, name, df: DataFrame, keys: list[str], ts=None, order="_row", on_missing="null") -> dict:
-        """L3 persisted: merge into the buckets the incoming keys hash to; publish a
-        new manifest. Returns exact counts."""
-        name = name.lower()
-        m = self.manifest(name)
-        schema = T.StructType.fromJson(m["schema"])
+                new = col.try_cast(f.dataType)
+            lost[c] = new.isNull() & col.isNotNull() & (F.trim(col.cast("string")) != "")
+            out.append(new.alias(c))
+        warnings = []
+        if lost:
+            n = df.agg(*[F.count_if(x).alias(c) for c, x in lost.items()]).first()
+            warnings = [f"{c}: {n[c]} values do not fit {TY.spark_to_sql_type(schema[c].dataType)}; NULL" for c in lost if n[c]]
+        return df.select(*out), warnings
+
+    # ---- writes ---------------------------------------------------------------------
+    @staticmethod
+    def _part_of(keys: list[str], parts: int):
+        return F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.lit(parts)).cast("int") if keys else F.lit(0)
+
+    def _insert(self, name: str, df: DataFrame, overwrite: bool) -> int:
+        """Write rows that have ``_part``, by the order of the table's columns."""
+        seen = Observation()
+        rows = df.select(*[f"`{c}`" for c in self.spark.table(self._t(name)).columns]).observe(seen, F.count(F.lit(1)).alias("n"))
+        conf, key = rows.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"  # insertInto reads it from here
+        before = conf.get(key)
+        conf.set(key, "dynamic")
+        try:
+            rows.write.insertInto(self._t(name), overwrite=overwrite)
+        finally:
+            conf.set(key, before)
+        return int(seen.get["n"])
+
+    def _rewrite(self, name: str, schema: T.StructType, keys: list[str], parts: int, declared: dict) -> None:
+        """Write the table anew (other types, keys or partitions) and swap it in by name."""
+        fresh = f"{name.lower()}__next"
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._t(fresh)}")
+        self._create(fresh, schema, keys, parts, declared)
+        rows = self.read(name).select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields])
+        self._insert(fresh, rows.withColumn(PART, self._part_of(keys, parts)), overwrite=False)
+        self.spark.sql(f"DROP TABLE {self._t(name)}")
+        self.spark.sql(f"ALTER TABLE {self._t(fresh)} RENAME TO {self._t(name)}")
+
+    def replace_schema(self, name: str, schema: T.StructType, declared: dict | None = None) -> None:
+        """L6 persisted: new columns are added to the table; other types mean a rewrite."""
+        declared = declared or {c: t for c, t in self.column_types(name).items()}
+        old = {f.name: f for f in self.schema(name).fields}
+        if all(old[f.name].dataType == f.dataType for f in schema.fields if f.name in old):
+            added = [f for f in schema.fields if f.name not in old]
+            if added:
+                cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in added)
+                self.spark.sql(f"ALTER TABLE {self._t(name)} ADD COLUMNS ({cols})")
+            self._set(name, types=declared)
+            return
+        types = {f.name: declared.get(f.name) if old.get(f.name) and old[f.name].dataType == f.dataType
+                 else TY.spark_to_sql_type(f.dataType) for f in schema.fields}
+        self._rewrite(name, schema, self.primary_keys(name), self._property(name, "parts", 1), {c: t for c, t in types.items() if t})
+
+    def append(self, name: str, df: DataFrame, ts=None) -> tuple[int, list[str]]:
+        """L2: coerce, align, stamp ``ingested_at``, append; returns rows written and
+        warnings. Rows of keyed tables are merged instead."""
+        if self.primary_keys(name):
+            got = self.upsert(name, df, self.primary_keys(name), ts=ts)
+            return got["rows_inserted"] + got["rows_updated"], got["warnings"]
+        schema = self.schema(name)
+        df, warnings = self._coerce(df, schema)
+        rows = U.align(df, schema).withColumn(U.AUDIT_COLUMN, F.lit(ts or _now()).cast("timestamp")).withColumn(PART, F.lit(0))
+        return self._insert(name, rows, overwrite=False), warnings
+
+    def upsert(self, name: str, df: DataFrame, keys: list[str], ts=None, order="_row", on_missing: str = "null") -> dict:
+        """L3 persisted: merge into the partitions the incoming keys hash to."""
         keys = [k.lower() for k in keys]
-        if not m["keys"]:
-            m = dict(m, keys=keys)
-        ts = ts or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-        inc = self._coerce(df, schema)
-        inc = inc.select(*[F.col(f"`{c}`").alias(c.strip().lower()) for c in inc.columns])
-        bcol = self._bucket_col(keys)
-        touched = sorted({r[0] for r in inc.where(F.col(keys[0]).isNotNull()).select(bcol.alias("b"))
-                          .distinct().collect()})
-        paths = [m["buckets"][str(b)] for b in touched if str(b) in m["buckets"]]
-        if m["segments"]:
-            # unbucketed history (table got keys later): fold it in once
-            paths = paths + m["segments"]
-            touched = list(range(self.n_buckets))
-            paths = list(m["buckets"].values()) + m["segments"]
-        existing = (self.spark.read.schema(schema).parquet(*paths).select(*schema.names) if paths
-                    else self.spark.createDataFrame([], schema))
+        schema = self.schema(name)
+        inc, warnings = self._coerce(df, schema)
+        inc = cut_lineage(inc)
+        parts = self._property(name, "parts", 1)
+        total = self.spark.table(self._t(name)).count()
+        want = max(1, -(-(total + inc.count()) // self.rows_per_part))
+        if self.primary_keys(name) != keys or want > 2 * parts:
+            parts = max(want, parts)
+            self._rewrite(name, schema, keys, parts, self._property(name, "types", {}))
+        part = self._part_of(keys, parts)
+        touched = [r[0] for r in inc.where(F.col(f"`{keys[0]}`").isNotNull()).select(part).distinct().collect()]
+        existing = self.spark.table(self._t(name)).where(F.col(PART).isin(touched)).drop(PART)
         before = existing.count()
-        res = U.upsert_merge(existing, inc, keys, ts=ts, order=order, on_missing=on_missing)
-        cnt = res.counts.first().asDict()
-        v = self._next_version(m)
-        new_paths = self._write_buckets(name, res.merged, keys, v) if (before or cnt["inserted"]) else {}
-        buckets = {k: p for k, p in m["buckets"].items() if int(k) not in set(touched)}
-        buckets.update(new_paths)
-        self._publish(name, dict(m, version=v, buckets=buckets, segments=[]))
-        return {"rows_inserted": cnt["inserted"], "rows_updated": cnt["updated"],
-                "duplicates": cnt["duplicates"], "null_keys": cnt["null_keys"],
-                "touched_buckets": len(touched), "rows_before_touched": before}
-
-    def insert_ignore(self, name, df: DataFrame, keys: list[str], ts=None) -> int:
+        res = U.upsert_merge(existing, inc, keys, ts=ts or _now(), order=order, on_missing=on_missing)
+        merged = cut_lineage(res.merged.withColumn(PART, part))
+        got = res.counts.first()
+        if touched:
+            self._insert(name, merged.repartition(len(touched), PART), overwrite=True)
+        return {"rows_inserted": got["inserted"], "rows_updated": got["updated"], "duplicates": got["duplicates"],
+                "null_keys": got["null_keys"], "touched_parts": len(touched), "rows_before_touched": before,
+                "warnings": warnings}
+
+    def insert_ignore(self, name: str, df: DataFrame, keys: list[str], ts=None) -> int:
         """L4: append only rows whose key is absent."""
-        name = name.lower()
-        m = self.manifest(name)
-        schema = T.StructType.fromJson(m["schema"])
-        inc = self._coerce(df, schema)
-        new, _ = U.insert_ignore(self.read(name), U.stamp(inc, ts or dt.datetime.now()), keys)
+        inc, _ = self._coerce(df, self.schema(name))
+        new, _ = U.insert_ignore(self.read(name), U.stamp(inc, ts or _now()), keys)
         return self.upsert(name, new.drop(U.AUDIT_COLUMN), keys, ts=ts)["rows_inserted"]
 
-    def replace_schema(self, name, schema: T.StructType):
-        """L6 persisted: the evolved schema becomes the read schema (new columns read
-        as NULL from older files; widened columns are cast on read)."""
-        m = self.manifest(name.lower())
-        self._publish(name.lower(), dict(m, version=self._next_version(m), schema=schema.jsonValue()))
-
-    def drop_table(self, name):
-        """Remove a table's files (all versions)."""
-        self._delete(f"{self.root}/{name.lower()}")
-
-    def tables(self) -> list[str]:
-        fs = self._fs(self.root)
-        if not fs.exists(self._Path(self.root)):
-            return []
-        return sorted(s.getPath().getName() for s in fs.listStatus(self._Path(self.root))
-                      if s.isDirectory() and self._exists(f"{s.getPath()}/_manifest"))
-
-    # ---- catalog ----------------------------------------------------------------------------
-    def ensure_catalog(self):
-        for n, (schema, keys) in CATALOG_TABLES.items():
-            self.create_table(n, schema, keys)
-
-    def catalog(self, name) -> DataFrame:
+    def delete(self, name: str, gone: DataFrame) -> None:
+        """Remove the rows that match ``gone`` on its columns."""
+        table = self.spark.table(self._t(name))
+        touched = [r[0] for r in table.join(gone, gone.columns, "left_semi").select(PART).distinct().collect()]
+        rest = cut_lineage(table.where(F.col(PART).isin(touched)).join(gone, gone.columns, "left_anti"))
+        full = {r[0] for r in rest.select(PART).distinct().collect()}
+        if full:
+            self._insert(name, rest, overwrite=True)
+        for p in set(touched) - full:  # a partition without rows is not overwritten, so it goes
+            self.spark.sql(f"ALTER TABLE {self._t(name)} DROP IF EXISTS PARTITION (`{PART}` = {p})")
+
+    def drop_table(self, name: str) -> None:
+        """L14."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._t(name)}")
+
+    # ---- catalog ----------------------------------------------------------------------
+    def ensure_catalog(self) -> None:
+        for n, schema in CATALOG_SCHEMAS.items():
+            self.create_table(n, schema, CATALOG_KEYS[n])
+
+    def catalog(self, name: str) -> DataFrame:
         return self.read(name)

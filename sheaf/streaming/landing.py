@@ -52,17 +52,19 @@ def ingest(stream: DataFrame, store: TableStore, table_name: str, keys: list[str
     """Z2 (+ Z3): run the landing stream to completion (``availableNow``); every
     micro-batch is one incremental load with its batch id."""
     def per_batch(df: DataFrame, batch_id: int):
+        store.ensure_catalog()
+        if L.batch_done(store, table_name, int(batch_id)):
+            return  # a replayed batch touches neither table
         data = df.drop("_file")
         if route_covered and period_col:
             om = store.read("operational_metadata").where(F.col("table_name") == table_name.lower()) \
                 .select("last_available_value").first()
-            hw = om[0] if om is not None else None
-            data, covered = split_covered(data, hw, period_col)
-            if covered.limit(1).count():
-                side = f"{table_name}__covered"
-                store.create_table(side, covered.schema)
-                store.append(side, covered, ts=now)
-        L.incremental_load(store, table_name, data, key_columns=keys, now=now, batch_id=int(batch_id))
+            data, covered = split_covered(data, om[0] if om is not None else None, period_col)
+            # merged by key, so that a batch that failed after this point can be run again
+            side = f"{table_name}__covered"
+            store.create_table(side, covered.schema, keys)
+            store.upsert(side, covered, keys, ts=now)
+        L.incremental_load(store, table_name, data, batch_id=int(batch_id), key_columns=keys, now=now)
 
     q = (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

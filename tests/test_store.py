@@ -1,4 +1,5 @@
 import datetime as dt
+import uuid
 
 import duckdb
 from pyspark.sql import functions as F
@@ -12,12 +13,16 @@ T0 = dt.datetime(2026, 1, 1)
 T1 = dt.datetime(2026, 2, 1)
 
 
+def new_store(spark, path, **options):
+    return TableStore(spark, f"db_{uuid.uuid4().hex[:12]}", path, **options)
+
+
 def _orders(spark):
     return table(spark, SF_SMALL, "orders")
 
 
 def test_one_time_then_incremental_upsert(spark, tmpdir_path):
-    store = TableStore(spark, tmpdir_path, n_buckets=8)
+    store = new_store(spark, tmpdir_path)
     o = _orders(spark)
     base = o.where(F.col("o_orderdate") < "1999-01-01").withColumn("_row", F.col("o_orderkey"))
     delta = (o.where(F.col("o_orderdate") >= "1998-07-01")
@@ -51,23 +56,57 @@ def test_one_time_then_incremental_upsert(spark, tmpdir_path):
     assert om["last_available_value"].startswith(str(con.execute(f"select max(o_orderdate) from '{p}'").fetchone()[0])[:10])
 
 
-def test_upsert_rewrites_only_touched_buckets(spark, tmpdir_path):
-    store = TableStore(spark, tmpdir_path, n_buckets=16)
+def test_upsert_rewrites_only_touched_partitions_and_grows(spark, tmpdir_path):
+    store = new_store(spark, tmpdir_path, rows_per_part=100)
     o = _orders(spark).withColumn("_row", F.col("o_orderkey"))
     store.create_table("t", o.drop("_row").schema, ["o_orderkey"])
     store.upsert("t", o, ["o_orderkey"], ts=T0)
-    before = store.manifest("t")["buckets"]
+    parts = store.spark.table(store._t("t")).select("_part").distinct().count()
+    assert parts > 4
     one = o.where(F.col("o_orderkey") == 7).withColumn("o_totalprice", F.lit(1.0))
     r = store.upsert("t", one, ["o_orderkey"], ts=T1)
-    after = store.manifest("t")["buckets"]
-    assert r["rows_updated"] == 1 and r["rows_inserted"] == 0 and r["touched_buckets"] == 1
-    changed = [b for b in after if after[b] != before.get(b)]
-    assert len(changed) == 1
+    assert r["rows_updated"] == 1 and r["rows_inserted"] == 0 and r["touched_parts"] == 1
+    assert r["rows_before_touched"] < store.count("t") == o.count()
     assert store.read("t").where(F.col("o_orderkey") == 7).first()["o_totalprice"] == 1.0
 
 
+def test_types_are_widened_before_the_write(spark, tmpdir_path):
+    store = new_store(spark, tmpdir_path)
+    store.create_table("w", {"k": "bigint", "i": "integer", "b": "bigint", "s": "VARCHAR(5)", "d": "date"}, ["k"])
+    first = spark.createDataFrame([(1, 7, 8, "abc", "2024-01-02")], "k long, i int, b long, s string, d string")
+    assert L.incremental_load(store, "w", first, batch_id=1, now=T0)["schema_changes"] == []
+    more = spark.createDataFrame([(2, "3,000,000,000", "9007199254740993", "abcdefgh", "03/04/2024"), (3, "x", "5", None, None)],
+                                 "k long, i string, b string, s string, d string")
+    got = L.incremental_load(store, "w", more, batch_id=2, now=T1)
+    assert got["schema_changes"] == ["i: integer -> bigint", "s: VARCHAR(5) -> text"]
+    assert got["warnings"] == ["i: 1 values do not fit bigint; NULL"]
+    assert store.column_types("w")["s"] == "text" and store.column_types("w")["i"] == "bigint"
+    rows = {r.k: (r.i, r.b, r.s, str(r.d)) for r in store.read("w").collect()}
+    assert rows == {1: (7, 8, "abc", "2024-01-02"), 2: (3_000_000_000, 9007199254740993, "abcdefgh", "2024-04-03"),
+                    3: (None, 5, None, "None")}
+    huge = spark.createDataFrame([(4, 1, "99999999999999999999", "a", None)], "k long, i int, b string, s string, d string")
+    assert L.incremental_load(store, "w", huge, batch_id=3, now=T1)["schema_changes"] == ["b: bigint -> numeric"]
+    assert int(store.read("w").where("k = 4").first()["b"]) == 99999999999999999999
+
+
+def test_catalog_frames_and_signatures(spark, tmpdir_path):
+    store = new_store(spark, tmpdir_path)
+    df = spark.createDataFrame([(1, 2, "a")], "b long, a long, v string")
+    L.one_time_load(store, "kv", df, key_columns=["b", "a"], now=T0)
+    assert [tuple(r) for r in store.key_columns().collect()] == [("kv", "b", "bigint", 0), ("kv", "a", "bigint", 1)]
+    assert store.columns().where("table_name = 'kv'").count() == 4
+    assert store.read("signatures").first()["row_count"] == 1
+    store.create_table("bare", {"x": "text"})
+    assert L.backfill_signatures(store, dry_run=True) == {"tables": 6, "missing": 1, "written": 0}
+    assert L.backfill_signatures(store)["written"] == 1 and store.count("signatures") == 2
+    L.delete_signature(store, "bare")
+    assert [r.table_name for r in store.read("signatures").collect()] == ["kv"]
+    L.drop_tables(store, ["kv"])
+    assert store.count("signatures") == store.count("tables_metadata") == 0 and not store.exists("kv")
+
+
 def test_repeated_keys_last_row_wins_and_null_keys(spark, tmpdir_path):
-    store = TableStore(spark, tmpdir_path, n_buckets=4)
+    store = new_store(spark, tmpdir_path)
     rows = [(1, "a", 1), (1, "b", 2), (None, "x", 3), (2, "c", 4)]
     df = spark.createDataFrame(rows, "k long, v string, _row long")
     store.create_table("kv", {"k": "bigint", "v": "text"}, ["k"])
@@ -78,7 +117,7 @@ def test_repeated_keys_last_row_wins_and_null_keys(spark, tmpdir_path):
 
 
 def test_insert_ignore_and_purge(spark, tmpdir_path):
-    store = TableStore(spark, tmpdir_path, n_buckets=4)
+    store = new_store(spark, tmpdir_path)
     df = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
     L.one_time_load(store, "kv", df, key_columns=["k"], now=T0)
     n = store.insert_ignore("kv", spark.createDataFrame([(2, "z"), (3, "c")], "k long, v string"), ["k"], ts=T1)

@@ -1,5 +1,6 @@
 import datetime as dt
 import os
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ def test_landing_stream_upsert_matches_batch(spark, tmpdir_path):
     land = os.path.join(tmpdir_path, "landing")
     # one file per day (the landing folder)
     ev.withColumn("day", F.to_date("ts")).write.partitionBy("day").parquet(land)
-    store = TableStore(spark, os.path.join(tmpdir_path, "wh"), n_buckets=4)
+    store = TableStore(spark, f"db_{uuid.uuid4().hex[:12]}", os.path.join(tmpdir_path, "wh"))
     store.create_table("events_t", ev.schema, ["event_id"])
     L.one_time_load(store, "events_t", ev.limit(0), key_columns=["event_id"], now=dt.datetime(2026, 1, 1))
     stream = Z.landing_stream(spark, land, ev.schema, max_files_per_trigger=5)
