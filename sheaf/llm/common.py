@@ -28,10 +28,9 @@ def materialize(df: DataFrame) -> DataFrame:
 def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
     """Hand texts to Python in batches of bounded rows and bytes: the default of 10,000
     rows says nothing about memory when a row is a whole text."""
-    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
-        key = f"spark.sql.execution.arrow.{key}"
-        now = int(str(spark.conf.get(key, "0") or "0").rstrip("bB"))
-        if not 0 < now <= most:
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(spark.conf.get(key).lower().rstrip("b")) <= most:
             spark.conf.set(key, str(most))
 
 
