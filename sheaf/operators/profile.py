@@ -43,6 +43,17 @@ def preview(df: DataFrame, order_col: str = "_row", n: int = PREVIEW_ROWS) -> Da
     return df.orderBy(order_col).limit(n) if order_col in df.columns else df.limit(n)
 
 
+def preview_block(df: DataFrame, types: dict[str, str] | None = None, order_col: str = "_row") -> DataFrame:
+    """Q1 block: one row per column with its type (given, else the frame's), the first
+    three non-null values and the total number of rows; the rows shown are ``preview``."""
+    cols = [c for c in df.columns if not c.startswith("_")]
+    given = {c: (types or {}).get(c, df.schema[c].dataType.simpleString()) for c in cols}
+    name = F.create_map(*[x for c, t in given.items() for x in (F.lit(c), F.lit(t))])
+    prof = column_profile(df, order_col, samples=PREVIEW_SAMPLES)
+    return prof.select("column_name", name[F.col("column_name")].alias("type"), F.col("samples").alias("sample_values"),
+                       F.col("total_count").alias("total_rows"))
+
+
 def column_profile(df: DataFrame, order_col: str | None = "_row", table_name: str | None = None,
                    samples: int = PROFILE_SAMPLES) -> DataFrame:
     """Q2 (+ Q1 column part): long ``(column_name, data_type, null_count, total_count,

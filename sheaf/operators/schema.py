@@ -139,3 +139,22 @@ def discrepancy_text(diff: DataFrame) -> DataFrame:
                     F.concat(F.lit("Extra columns: "), F.array_join("extra", ", ")),
                     F.concat(F.lit("Matching columns: "), F.array_join(F.slice("matching", 1, 10), ", ")))
         .alias("report"))
+
+
+def validate_increment(files: DataFrame, new_sets: DataFrame, tables_metadata: DataFrame,
+                       reconciled: DataFrame | None = None, drift: DataFrame | None = None) -> DataFrame:
+    """M6: ``files(new_id, table_id)`` against the columns that the catalog lists for their
+    tables: M1-M5 composed, one row per file with verdict and report; a table that the
+    catalog lacks gives an error."""
+    known = tables_metadata.select(F.col("table_name").alias("table_id"), "columns")
+    table_sets = known.select(F.col("table_id").alias("set_id"), F.explode("columns").alias("col")).distinct()
+    pairs = files.join(known.select("table_id").distinct(), "table_id", "left_semi").select("new_id", "table_id")
+    diff = schema_diff_lists(pairs, new_sets, table_sets, reconciled=reconciled, drift=drift)
+    report = discrepancy_text(diff)
+    told = diff.join(report, ["new_id", "table_id"]) if "table_id" in report.columns else diff.join(report, "new_id")
+    found = files.join(told, ["new_id", "table_id"], "left")
+    lacks = F.col("match_pct").isNull()
+    error = F.when(lacks, F.format_string("Table '%s' not found in metadata", "table_id"))
+    return found.select("new_id", "table_id", F.coalesce("is_compatible", F.lit(False)).alias("is_compatible"),
+                        F.coalesce("is_additive", F.lit(False)).alias("is_additive"), "missing", "extra", "matching",
+                        "match_pct", error.alias("error"), F.coalesce("report", error).alias("report"))

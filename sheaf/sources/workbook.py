@@ -1,40 +1,53 @@
 """Workbook scan (S4): ``.xlsx`` files -> long cells + merged ranges.
 
-One task per workbook (``binaryFile`` + ``mapInPandas``): the zip is opened with
-the standard library and every sheet's XML is streamed out as cell rows, so the
-workbook is never held as a grid. (No spreadsheet library is needed.)"""
+Workbooks are read in tasks of a few files (``binaryFile`` + ``mapInPandas``): the zip is
+opened with the standard library, every sheet's XML is streamed, and cells and merged ranges
+leave in chunks, so neither a grid nor a list of a whole book is held. (No spreadsheet
+library is needed.)"""
 
 from __future__ import annotations
 
+import datetime as dt
 import io
 import re
-import zipfile
 import xml.etree.ElementTree as ET
+import zipfile
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheaf.session import cut_lineage
+
+# ---- fixed values ------------------------------------------------------------
 NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
       "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
 REL_NS = "http://schemas.openxmlformats.org/package/2006/relationships"
-CELLS_SCHEMA = "_file string, sheet string, row int, col int, value string, kind string"
-MERGES_SCHEMA = "_file string, sheet string, min_row int, min_col int, max_row int, max_col int"
+#: Number formats that the file format defines as dates or times.
+DATE_FORMAT_IDS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+DAY_ZERO, DAY_ZERO_1904 = dt.datetime(1899, 12, 30), dt.datetime(1904, 1, 1)
+# ------------------------------------------------------------------------------
+BOOKS_AT_A_TIME = 8
+CHUNK = 10_000
+#: A cell has kind s (text), n (number), b (boolean) or d (date); a merged range has kind
+#: merge, with its last row and column.
+RECORD = "_file string, sheet string, row int, col int, max_row int, max_col int, value string, kind string"
 
 
-def _col_index(letters: str) -> int:
-    n = 0
-    for ch in letters:
-        n = n * 26 + (ord(ch) - 64)
-    return n
+def _tag(name: str) -> str:
+    return f"{{{NS['m']}}}{name}"
 
 
-def _ref(ref: str) -> tuple[int, int]:
-    m = re.match(r"([A-Z]+)(\d+)", ref)
-    return int(m.group(2)), _col_index(m.group(1))
+def _place(ref: str) -> tuple[int, int]:
+    letters, digits = re.match(r"\$?([A-Z]+)\$?(\d+)", ref).groups()
+    col = 0
+    for ch in letters:
+        col = col * 26 + ord(ch) - 64
+    return int(digits), col
 
 
-def _fmt_number(t: str) -> str:
+def _number_text(t: str) -> str:
     try:
         x = float(t)
     except ValueError:
@@ -42,79 +55,119 @@ def _fmt_number(t: str) -> str:
     return str(int(x)) if x.is_integer() and abs(x) < 1e15 else repr(x)
 
 
-def parse_xlsx(path: str, content: bytes):
-    """Yield (cells rows, merge rows) of one workbook."""
+def _is_date_format(code: str) -> bool:
+    """A custom format shows a date if letters of dates or times stay once texts,
+    escapes, colours and conditions are taken out."""
+    return bool(re.search(r"[ymdhs]", re.sub(r'"[^"]*"|\\.|_.|\[(?!h+\]|m+\]|s+\])[^\]]*\]|General', "", code), re.I))
+
+
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Cell styles (by number) that show their number as a date."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = ET.fromstring(z.read("xl/styles.xml"))
+    custom = {int(f.get("numFmtId")): f.get("formatCode") or "" for f in root.iter(_tag("numFmt"))}
+    dates = DATE_FORMAT_IDS | {i for i, code in custom.items() if _is_date_format(code)}
+    xfs = root.find("m:cellXfs", NS)
+    return {i for i, xf in enumerate(xfs if xfs is not None else []) if int(xf.get("numFmtId") or 0) in dates}
+
+
+def _date_text(serial: str, zero: dt.datetime) -> str | None:
+    try:
+        when = zero + dt.timedelta(seconds=round(float(serial) * 86400))
+    except (ValueError, OverflowError):
+        return None
+    return when.strftime("%Y-%m-%d") if when.time() == dt.time(0) else when.strftime("%Y-%m-%d %H:%M:%S")
+
+
+def read_book(path: str, content: bytes) -> Iterator[tuple]:
+    """The records of one workbook, in the order of its sheets."""
     z = zipfile.ZipFile(io.BytesIO(content))
     names = set(z.namelist())
-    shared = []
+    shared: list[str] = []
     if "xl/sharedStrings.xml" in names:
-        root = ET.fromstring(z.read("xl/sharedStrings.xml"))
-        for si in root.findall("m:si", NS):
-            shared.append("".join(t.text or "" for t in si.iter(f"{{{NS['m']}}}t")))
-    wb = ET.fromstring(z.read("xl/workbook.xml"))
-    rels = {}
+        for _, el in ET.iterparse(z.open("xl/sharedStrings.xml")):
+            if el.tag == _tag("si"):
+                shared.append("".join(t.text or "" for t in el.iter(_tag("t"))))
+                el.clear()
+    book = ET.fromstring(z.read("xl/workbook.xml"))
+    props = book.find("m:workbookPr", NS)
+    zero = DAY_ZERO_1904 if props is not None and props.get("date1904") in ("1", "true") else DAY_ZERO
+    dates = _date_styles(z)
+    targets = {}
     if "xl/_rels/workbook.xml.rels" in names:
-        for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels")).findall(f"{{{REL_NS}}}Relationship"):
-            rels[r.get("Id")] = r.get("Target")
-    cells, merges = [], []
-    for sh in wb.find("m:sheets", NS).findall("m:sheet", NS):
-        name = sh.get("name")
-        rid = sh.get(f"{{{NS['r']}}}id")
-        target = rels.get(rid, "")
-        target = target.lstrip("/")
-        target = target if target.startswith("xl/") else "xl/" + target
-        root = ET.fromstring(z.read(target))
-        data = root.find("m:sheetData", NS)
-        for row in (data.findall("m:row", NS) if data is not None else []):
-            for c in row.findall("m:c", NS):
-                r, col = _ref(c.get("r"))
-                t = c.get("t")
-                v = c.find("m:v", NS)
-                if t == "s" and v is not None:
-                    val, kind = shared[int(v.text)], "s"
-                elif t == "inlineStr":
-                    is_ = c.find("m:is", NS)
-                    val = "".join(x.text or "" for x in is_.iter(f"{{{NS['m']}}}t")) if is_ is not None else ""
-                    kind = "s"
-                elif t == "str":
-                    val, kind = (v.text if v is not None else None), "s"
-                elif t == "b":
-                    val, kind = ("TRUE" if v is not None and v.text == "1" else "FALSE"), "b"
-                elif v is not None:
-                    val, kind = _fmt_number(v.text), "n"
-                else:
-                    continue
-                cells.append((path, name, r, col, val, kind))
-        mc = root.find("m:mergeCells", NS)
-        for m in (mc.findall("m:mergeCell", NS) if mc is not None else []):
-            a, b = m.get("ref").split(":")
-            (r1, c1), (r2, c2) = _ref(a), _ref(b)
-            merges.append((path, name, r1, c1, r2, c2))
-    return cells, merges
+        rels = ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))
+        targets = {r.get("Id"): r.get("Target").lstrip("/") for r in rels.findall(f"{{{REL_NS}}}Relationship")}
+    for sheet in book.find("m:sheets", NS):
+        target = targets.get(sheet.get(f"{{{NS['r']}}}id"), "")
+        target = target if target.startswith("xl/") else f"xl/{target}"
+        if target not in names:
+            continue
+        for _, el in ET.iterparse(z.open(target)):
+            if el.tag == _tag("c"):
+                cell = _cell(el, shared, dates, zero)
+                if cell is not None:
+                    yield (path, sheet.get("name"), *_place(el.get("r")), None, None, *cell)
+            elif el.tag == _tag("mergeCell") and ":" in (el.get("ref") or ""):
+                first, last = el.get("ref").split(":")
+                yield (path, sheet.get("name"), *_place(first), *_place(last), None, "merge")
+            elif el.tag == _tag("row"):
+                el.clear()
+
+
+def _cell(el, shared: list[str], dates: set[int], zero: dt.datetime) -> tuple[str | None, str] | None:
+    v, kind = el.find("m:v", NS), el.get("t")
+    text = v.text if v is not None else None
+    if kind == "inlineStr":
+        return "".join(t.text or "" for t in el.iter(_tag("t"))), "s"
+    if kind == "str":
+        return text, "s"
+    if text is None:
+        return None
+    if kind == "s":
+        return shared[int(text)], "s"
+    if kind == "b":
+        return "TRUE" if text == "1" else "FALSE", "b"
+    if kind == "d":
+        return text, "d"
+    if kind == "e":
+        return text, "s"
+    date = _date_text(text, zero) if int(el.get("s") or 0) in dates else None
+    return (date, "d") if date else (_number_text(text), "n")
 
 
 def scan_workbooks(spark: SparkSession, path_glob: str) -> tuple[DataFrame, DataFrame]:
-    """``(cells, merges)`` for every ``.xlsx`` under ``path_glob``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path_glob) \
-        .select("path", "content")
-
-    def cells_of(it):
-        for pdf in it:
-            for p, b in zip(pdf["path"], pdf["content"]):
-                cells, _ = parse_xlsx(p, bytes(b))
-                yield pd.DataFrame(cells, columns=["_file", "sheet", "row", "col", "value", "kind"])
-
-    def merges_of(it):
-        for pdf in it:
-            for p, b in zip(pdf["path"], pdf["content"]):
-                _, merges = parse_xlsx(p, bytes(b))
-                yield pd.DataFrame(merges, columns=["_file", "sheet", "min_row", "min_col", "max_row", "max_col"])
-
-    return files.mapInPandas(cells_of, CELLS_SCHEMA), files.mapInPandas(merges_of, MERGES_SCHEMA)
+    """``(cells, merges)`` for every ``.xlsx`` under ``path_glob``; each book is read
+    once and its records are written to the checkpoint folder."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path_glob).select("path", "content")
+    columns = [f.split()[0] for f in RECORD.split(", ")]
+
+    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunk = []
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                for record in read_book(path, bytes(content)):
+                    chunk.append(record)
+                    if len(chunk) >= CHUNK:
+                        yield pd.DataFrame(chunk, columns=columns)
+                        chunk = []
+        yield pd.DataFrame(chunk, columns=columns)
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BOOKS_AT_A_TIME))
+    try:
+        both = cut_lineage(files.mapInPandas(records, RECORD))
+    finally:
+        spark.conf.set(key, before)
+    cells = both.where("kind <> 'merge'").select("_file", "sheet", "row", "col", "value", "kind")
+    merges = both.where("kind = 'merge'").select(
+        "_file", "sheet", F.col("row").alias("min_row"), F.col("col").alias("min_col"), "max_row", "max_col")
+    return cells, merges
 
 
 def write_xlsx(path: str, sheets: dict[str, list[list]], merges: dict[str, list[str]] | None = None):
-    """Minimal workbook writer (inline strings, numbers) for fixtures and exports."""
+    """Minimal workbook writer (inline strings, numbers, dates) for fixtures and exports."""
     def col_letters(i):
         s = ""
         while i:
@@ -134,6 +187,8 @@ def write_xlsx(path: str, sheets: dict[str, list[list]], merges: dict[str, list[
                '<Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>'
                + "".join(f'<Override PartName="/xl/worksheets/sheet{i + 1}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>'
                          for i in range(len(names))) + "</Types>")
+    z.writestr("xl/styles.xml", f'<?xml version="1.0" encoding="UTF-8"?><styleSheet xmlns="{NS["m"]}">'
+               '<cellXfs count="2"><xf numFmtId="0"/><xf numFmtId="22"/></cellXfs></styleSheet>')
     z.writestr("_rels/.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="{REL_NS}">'
                '<Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
     z.writestr("xl/workbook.xml", f'<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="{NS["m"]}" xmlns:r="{NS["r"]}"><sheets>'
@@ -150,7 +205,11 @@ def write_xlsx(path: str, sheets: dict[str, list[list]], merges: dict[str, list[
                 if v is None or v == "":
                     continue
                 ref = f"{col_letters(c)}{r}"
-                if isinstance(v, (int, float)) and not isinstance(v, bool):
+                if isinstance(v, dt.date):
+                    v = v if isinstance(v, dt.datetime) else dt.datetime(v.year, v.month, v.day)
+                    serial = (v - DAY_ZERO) / dt.timedelta(days=1)
+                    cs.append(f'<c r="{ref}" s="1"><v>{serial!r}</v></c>')
+                elif isinstance(v, (int, float)) and not isinstance(v, bool):
                     cs.append(f'<c r="{ref}"><v>{v}</v></c>')
                 else:
                     cs.append(f'<c r="{ref}" t="inlineStr"><is><t>{esc(v)}</t></is></c>')

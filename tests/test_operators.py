@@ -252,3 +252,28 @@ def test_samples_are_taken_from_whole_columns(spark):
     df = spark.range(3000).select(F.col("id").alias("_row"), F.when(F.col("id") >= 1500, F.col("id").cast("string")).alias("late"))
     assert [r.inferred_type for r in TY.infer_types(df).collect()] == ["BIGINT"]
     assert P.column_profile(df).first().samples == [str(1500 + i) for i in range(10)]
+
+
+def test_workbook_dates_and_single_cell_merges(spark, tmpdir_path):
+    import datetime as dt
+    rows = [["when", "n"], [dt.date(2024, 1, 1), 45292], [dt.datetime(2024, 3, 1, 6, 30), 1.5]]
+    WB.write_xlsx(os.path.join(tmpdir_path, "d.xlsx"), {"S": rows}, merges={"S": ["A1", "A1:B1"]})
+    cells, merges = WB.scan_workbooks(spark, tmpdir_path)
+    got = {(r.row, r.col): (r.value, r.kind) for r in cells.collect()}
+    assert got[2, 1] == ("2024-01-01", "d") and got[3, 1] == ("2024-03-01 06:30:00", "d")
+    assert got[2, 2] == ("45292", "n") and got[3, 2] == ("1.5", "n") and got[1, 1] == ("when", "s")
+    assert [(m.min_row, m.max_col) for m in merges.collect()] == [(1, 2)]
+    assert [WB._is_date_format(f) for f in ("yyyy-mm", '0.00"days"', "[h]:mm", "[Red]0", "General")] == [True, False, True, False, False]
+
+
+def test_preview_block_and_increment_validation(spark):
+    df = spark.createDataFrame([(0, None, 1), (1, "a", 2), (2, "b", 3), (3, "c", 4), (4, "d", 5)], "_row long, s string, n int")
+    got = {r.column_name: (r.type, r.sample_values, r.total_rows) for r in P.preview_block(df, {"n": "BIGINT"}).collect()}
+    assert got == {"s": ("string", ["a", "b", "c"], 5), "n": ("BIGINT", ["1", "2", "3"], 5)}
+    files = spark.createDataFrame([("f", "t"), ("g", "gone"), ("h", "t")], "new_id string, table_id string")
+    new = spark.createDataFrame([("f", "A"), ("f", "b"), ("f", "x"), ("g", "a"), ("h", "a")], "set_id string, col string")
+    cat = spark.createDataFrame([("t", ["a", "b"])], "table_name string, columns array<string>")
+    out = {r.new_id: r for r in SC.validate_increment(files, new, cat).collect()}
+    assert (out["f"].is_compatible, out["f"].is_additive, out["f"].extra, out["f"].match_pct) == (False, True, ["x"], 100.0)
+    assert (out["h"].is_additive, out["h"].missing) == (False, ["b"]) and "b" in out["h"].report
+    assert out["g"].error == "Table 'gone' not found in metadata" and not out["g"].is_compatible
