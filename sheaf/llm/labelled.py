@@ -28,8 +28,8 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, i
         part = known.where(F.col("label") == label).orderBy(F.xxhash64("_id"), "_id").limit(rows)
         chosen = part if chosen is None else chosen.unionByName(part)
     # at most 2 * rows ids: a bounded side
-    texts = (docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"])
-             .select("_id", "label", F.col(text_col).alias("text")).where("text IS NOT NULL")
+    texts = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
+             .join(F.broadcast(chosen), "_id").where("text IS NOT NULL")
              .groupBy("_id").agg(F.min("label").alias("label"), F.min("text").alias("text")))
     upto = F.sum(F.length("text")).over(_in_order())
     kept = texts.withColumn("_upto", upto).where(F.col("_upto") <= chars).select("text", "label")
