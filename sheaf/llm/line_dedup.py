@@ -109,9 +109,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = (runs.join(at("start", "_ra"), [*DOC, "_level", "start"])
              .join(at("_second", "_rb"), [*DOC, "_level", "_second"]))
     interval = ["_m", "_ra", "_rb"]
-    firsts = (named.groupBy(*interval)
-              .agg(F.min(F.struct("_d", "_h", "start")).alias("_f"), F.count("*").alias("_n"))
-              .where("_n > 1").drop("_n"))
+    # written out, so that the join below reads both sides from plain exchanges and a run
+    # with very many copies can be split
+    named = materialize(named)
+    firsts = materialize(named.groupBy(*interval)
+                         .agg(F.min(F.struct("_d", "_h", "start")).alias("_f"), F.count("*").alias("_n"))
+                         .where("_n > 1").drop("_n"))
     copies = (named.join(firsts, interval)
               .where(F.struct("_d", "_h", "start") != F.col("_f")))
 

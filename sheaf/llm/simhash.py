@@ -150,7 +150,9 @@ def links(classes: DataFrame, radius: int) -> DataFrame:
     masks = [m - (1 << 64) if m >> 63 else m for m in bands(radius)]
     keyed = classes.select("_fp", F.posexplode(F.array(
         *[F.col("_fp").bitwiseAND(F.lit(m)) for m in masks])).alias("_t", "_k"))
-    sizes = keyed.groupBy("_t", "_k").agg(F.count("*").alias("_n")).where("_n > 1")
+    # written out, as the label table below: the join then reads plain exchanges on both
+    # sides and a key with very many rows can be split
+    sizes = materialize(keyed.groupBy("_t", "_k").agg(F.count("*").alias("_n")).where("_n > 1"))
     rows = keyed.join(sizes, ["_t", "_k"]).withColumn("_m", F.ceil(F.col("_n") / BLOCK))
     rows = rows.withColumn("_p", F.pmod(F.xxhash64("_fp", "_t"), F.col("_m")))
     other = F.sequence(F.lit(0).cast("bigint"), F.col("_m") - 1)
@@ -201,6 +203,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = components(links(classes.select("_fp"), radius)).withColumnRenamed("node", "_fp")
     member = classes.join(joined, "_fp", "left").withColumn("component", F.coalesce("component", "_fp"))
     named = member.groupBy("component").agg(F.min("_first").alias("component_id"))
-    label = member.join(named, "component").select("_fp", "component_id")
+    label = materialize(member.join(named, "component").select("_fp", "component_id"))
     return (prints.join(label, "_fp")
             .select(id_col, F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id"))
