@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 4096      # labelled rows per class that a fit may use at most
-SAMPLE_CHARS = 1 << 26  # characters of their texts together
+SAMPLE_CHARS = 1 << 25  # characters of their texts together
 
 
 def held_out(id_col: Column, modulus: int, remainder: int) -> Column:
@@ -15,10 +15,11 @@ def held_out(id_col: Column, modulus: int, remainder: int) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, id_col: str = "doc_id",
-           text_col: str = "text", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[pd.DataFrame, dict[int, float]]:
+           text_col: str = "text", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[pd.DataFrame, dict[int, float], float]:
     """Up to ``rows`` labelled texts of each class, in the order of a hash of the id, as
-    (text, label), and what each row of a class stands for: its share among all usable
-    labels over its share in the sample. An id with two different labels counts as the
+    (text, label); what each row of a class stands for: its share among all usable labels
+    over its share in the sample; and the share of class 1 among all usable labels (0.5
+    without any). An id with two different labels counts as the
     larger one; of texts that repeat an id the smallest stays."""
     known = (labels.where(usable & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
              .groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("label")))
@@ -33,10 +34,10 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, i
              .groupBy("_id").agg(F.min("label").alias("label"), F.min("text").alias("text")))
     upto = F.sum(F.length("text")).over(_in_order())
     kept = texts.withColumn("_upto", upto).where(F.col("_upto") <= chars).select("text", "label")
-    got = pd.DataFrame([tuple(r) for r in kept.collect()], columns=["text", "label"])
+    got = pd.DataFrame([tuple(r) for r in kept.toLocalIterator()], columns=["text", "label"])
     total = sum(sizes.values())
     weight = {c: (sizes[c] / total) / (n / len(got)) for c in sizes if (n := int((got["label"] == c).sum()))}
-    return got, weight
+    return got, weight, sizes.get(1, 0) / total if total else 0.5
 
 
 def _in_order():

@@ -10,8 +10,8 @@ The fit uses a bounded sample of labelled rows (``labelled.SAMPLE_ROWS`` per cla
 weighted back to the class shares); scores use whole texts, and nothing but the text.
 
 Defined cases: null and empty texts have no words and zero statistics, and are scored like
-any other; without labels of both classes the score is the share of class 1 (0.5 without
-any labels); repeated rows score alike; other columns pass through, columns named like an
+any other; without labelled texts of both classes the score is the share of class 1 among the
+labels (0.5 without any labels); repeated rows score alike; other columns pass through, columns named like an
 output are replaced; an empty table gives no rows.
 """
 
@@ -29,7 +29,7 @@ from sheaf.llm.common import bounded_batches
 
 DIMS = 1 << 16
 RANK = 8
-CACHE = 1 << 19
+CACHE = 1 << 17
 LEAST_TEXTS = 3
 TEXT_CHARS = 1 << 21    # characters scored at a time
 
@@ -111,14 +111,18 @@ class Machine:
         z = self.bias + linear + 0.5 * (total * total - square).sum(axis=1)
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
+    def constant(self, share: float) -> Machine:
+        share = min(max(share, 1e-6), 1 - 1e-6)
+        self.bias, self.w[:], self.v[:] = float(np.log(share / (1 - share))), 0, 0
+        return self
+
     def fit(self, texts: list[str], labels: np.ndarray, weights: np.ndarray, rounds: int = 12,
             batch: int = 128, rate: float = 0.02, decay: float = 1e-4, seed: int = 3) -> Machine:
         base = float(np.average(labels, weights=weights)) if len(labels) else 0.5
         base = min(max(base, 1e-6), 1 - 1e-6)
         self.bias = float(np.log(base / (1 - base)))
         if len(labels) == 0 or labels.min() == labels.max():
-            self.w[:], self.v[:] = 0, 0
-            return self
+            return self.constant(base)
         col, value, own, stats = self.inputs(texts)
         # words of fewer than LEAST_TEXTS texts say nothing about others and stay out
         known = np.bincount(col, minlength=DIMS) >= LEAST_TEXTS
@@ -158,8 +162,10 @@ class Machine:
 def train(docs: DataFrame, labels: DataFrame, usable, label_col: str = "quality", **options) -> Machine:
     from sheaf.llm.labelled import sample
 
-    rows, weight = sample(docs, labels, label_col, usable)
+    rows, weight, share = sample(docs, labels, label_col, usable)
     y = rows["label"].to_numpy(np.float64)
+    if len(set(y)) < 2:
+        return Machine().constant(share)
     return Machine().fit(rows["text"].tolist(), y, np.array([weight[int(c)] for c in y]), **options)
 
 

@@ -11,8 +11,8 @@ The fit uses a bounded sample of labelled rows (``labelled.SAMPLE_ROWS`` per cla
 weighted back to the class shares); scores use the whole text of every row, and nothing
 but the text.
 
-Defined cases: null and empty texts get the score of no words; without labels of both
-classes the score is the share of class 1 (0.5 without any labels); repeated rows score
+Defined cases: null and empty texts get the score of no words; without labelled texts of
+both classes the score is the share of class 1 among the labels (0.5 without any labels); repeated rows score
 alike; other columns pass through, columns named like an output are replaced; an empty
 table gives no rows.
 """
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from sheaf.llm.common import bounded_batches
 
 DIMS = 1 << 18
-CACHE = 1 << 19
+CACHE = 1 << 17
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_"
 
 #: Identity terms, in sets whose members are swapped for each other.
@@ -79,24 +79,25 @@ def slots(token: str) -> tuple[int, ...]:
 
 def features(text: str | None) -> np.ndarray:
     words = {t.strip(EDGE) for t in (text or "").lower().split()}
-    return np.array([s for w in sorted(words) for s in slots(w)], np.int64)
+    return np.array([s for w in sorted(words) for s in slots(w)], np.int32)
 
 
-def _rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    each = [features(t) for t in texts]
-    return (np.concatenate(each) if each else np.zeros(0, np.int64),
-            np.repeat(np.arange(len(each)), [len(x) for x in each]))
+def _rows(each: list[np.ndarray], told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slots that ``told`` keeps of all texts, and the text of each."""
+    kept = [x[told[x]] for x in each]
+    return (np.concatenate(kept) if kept else np.zeros(0, np.int64),
+            np.repeat(np.arange(len(kept)), [len(x) for x in kept]))
 
 
-def telling(cols: np.ndarray, rows: np.ndarray, labels: np.ndarray, least: float = 4.0) -> np.ndarray:
+def telling(each: list[np.ndarray], labels: np.ndarray, least: float = 4.0) -> np.ndarray:
     """Slots whose share of texts differs between the classes by ``least`` standard errors
     or more. The others keep weight zero, so that the many neutral words of a long text
     cannot outweigh a few telling ones."""
-    pairs = np.unique(rows * DIMS + cols)
-    in_class = labels[pairs // DIMS] == 1
+    counts = np.zeros((2, DIMS))
+    for x, label in zip(each, labels):
+        counts[int(label), np.unique(x)] += 1
+    zero, one = counts
     n1, n0 = max(1.0, float((labels == 1).sum())), max(1.0, float((labels == 0).sum()))
-    one = np.bincount(pairs[in_class] % DIMS, minlength=DIMS)
-    zero = np.bincount(pairs[~in_class] % DIMS, minlength=DIMS)
     share = (one + zero) / (n1 + n0)
     error = np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0)) + 1e-12
     return np.abs(one / n1 - zero / n0) >= least * error
@@ -112,12 +113,11 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, swaps: dict[s
     if len(labels) == 0 or labels.min() == labels.max():
         clipped = min(max(base, 1e-6), 1 - 1e-6)
         return w, float(np.log(clipped / (1 - clipped)))
-    cols, rows = _rows(texts)
-    told = telling(cols, rows, labels)
-    cols, rows = cols[told[cols]], rows[told[cols]]
+    each = [features(t) for t in texts]
+    told = telling(each, labels)
+    cols, rows = _rows(each, told)
     pairs = [(i, c) for i, t in enumerate(texts) if (c := counterfactual(t, swaps)) is not None]
-    other, other_rows = _rows([c for _, c in pairs])
-    other, other_rows = other[told[other]], other_rows[told[other]]
+    other, other_rows = _rows([features(c) for _, c in pairs], told)
     source = np.array([i for i, _ in pairs], np.int64)
     bias = float(np.log(base / (1 - base)))
     share = weights / weights.sum()
@@ -167,8 +167,11 @@ class Scorer:
 def train(docs: DataFrame, labels: DataFrame, usable, label_col: str = "toxic", **options) -> Scorer:
     from sheaf.llm.labelled import sample
 
-    rows, weight = sample(docs, labels, label_col, usable)
+    rows, weight, share = sample(docs, labels, label_col, usable)
     y = rows["label"].to_numpy(np.float64)
+    if len(set(y)) < 2:
+        share = min(max(share, 1e-6), 1 - 1e-6)
+        return Scorer(np.zeros(DIMS), float(np.log(share / (1 - share))))
     return Scorer(*fit(rows["text"].tolist(), y, np.array([weight[int(c)] for c in y]), **options))
 
 
