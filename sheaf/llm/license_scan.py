@@ -30,6 +30,7 @@ table gives no rows.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,10 +45,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def shingle_at(w: Column, i: Column, size: int) -> Column:
-    return F.array_join(F.slice(w, i + 1, size), " ")
-
-
 def hash_at(w: Column, i: Column, size: int) -> Column:
     return F.xxhash64(*[F.get(w, i + j) for j in range(size)])
 
@@ -88,41 +85,45 @@ def scan(docs: DataFrame, templates: DataFrame, containment: float = 0.8, id_col
     if len(rows) > MAX_PIECES:
         raise ValueError(f"more than {MAX_PIECES} pieces of templates; scan them in several calls")
     schema = "name string, piece int, size int, shingles array<string>"
-    source = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
-    found = None
+    if not rows:
+        return spark.createDataFrame([], "doc_id long, name string, containment double, windows long")
+    banded, seeds = [], {}
     for size in sorted({r["size"] for r in rows}):
         mine = spark.createDataFrame([tuple(r) for r in rows if r["size"] == size], schema)
         bands = bands_for(2 * stride, size)
-        piece_hash = mine.withColumn("h", F.transform(
-            "shingles", lambda s: hash_at(F.split(s, " "), F.lit(0), size)))
-        banded = piece_hash.withColumn("v", _band_values(F.col("h"), bands))
-        # the shingle hash that is the minimum in some band
-        seeds = banded.select(F.explode(F.arrays_zip(
-            F.sequence(F.lit(0), F.lit(bands - 1)).alias("j"), F.col("v").alias("x"))).alias("b"), "h").select(
-            F.explode(F.filter("h", lambda h: F.xxhash64(h, F.col("b.j")) == F.col("b.x"))).alias("s")).distinct()
-        seed_list = F.array(*[F.lit(r[0]) for r in seeds.collect()])
-        last = F.size("w") - size
-        hashes = F.transform(F.sequence(F.lit(0), last), lambda i: hash_at(F.col("w"), i, size))
-        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size("w") / stride).cast("int") - 2))
+        mine = mine.withColumn("h", F.transform("shingles", lambda s: hash_at(F.split(s, " "), F.lit(0), size)))  # noqa: B023
+        banded.append(mine.withColumn("v", _band_values(F.col("h"), bands)))
+        # the shingle hashes that are the minimum in some band
+        lowest = F.explode(F.filter("h", lambda h: F.exists(F.arrays_zip(
+            F.sequence(F.lit(0), F.lit(bands - 1)).alias("j"), F.col("v").alias("x")),  # noqa: B023
+            lambda b: F.xxhash64(h, b["j"]) == b["x"])))
+        seeds[size] = F.array(*[F.lit(r[0]) for r in banded[-1].select(lowest).distinct().collect()])
+    key = reduce(DataFrame.unionByName, banded).select("name", "piece", "size", "shingles", F.posexplode("v").alias("j", "x"))
+
+    # One pass over the texts. Words and hashes are bound to lambda names, so that each is
+    # made once for all that uses it.
+    def hits(w: Column, size: int) -> Column:
+        hashes = F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: hash_at(w, i, size))
+        hashes = F.when(F.size(w) >= size, hashes).otherwise(F.expr("cast(array() as array<bigint>)"))
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(w) / stride).cast("int") - 2))
         part = lambda hs, k: F.slice(hs, k * stride + 1, 2 * stride - size + 1)
-        # the hashes are bound to a name, so that they are made once for all windows
-        held = F.transform(F.array(hashes), lambda hs: F.struct(
-            hs.alias("hs"), F.filter(starts, lambda k: F.arrays_overlap(part(hs, k), seed_list)).alias("ks")))
-        windows = (source.where(last >= 0).select("doc_id", "w", F.explode(held).alias("t"))
-                   .where(F.size("t.ks") > 0).select("doc_id", "w", "t.hs", F.explode("t.ks").alias("k"))
-                   .select("doc_id", "k", F.slice("w", F.col("k") * stride + 1, 2 * stride).alias("w"),
-                           part(F.col("hs"), F.col("k")).alias("h")))
-        signed = windows.select("doc_id", "k", "w", F.posexplode(_band_values(F.array_distinct("h"), bands)).alias("j", "x"))
-        key = banded.select("name", "piece", "shingles", F.posexplode("v").alias("j", "x"))
-        candidates = (signed.join(F.broadcast(key), ["j", "x"])
-                      .select("doc_id", "k", "w", "name", "piece", "shingles").distinct())
-        seen = F.transform(F.sequence(F.lit(0), F.size("w") - size), lambda i: shingle_at(F.col("w"), i, size))
-        there = (candidates.withColumn("hit", F.array_intersect("shingles", seen))
-                 .where(F.size("hit") >= containment * F.size("shingles"))
-                 .select("doc_id", "k", "name", "piece", F.size("hit").alias("hits")))
-        found = there if found is None else found.unionByName(there)
-    if found is None:
-        return spark.createDataFrame([], "doc_id long, name string, containment double, windows long")
+        bound = F.transform(F.array(hashes), lambda hs: F.transform(
+            F.filter(starts, lambda k: F.arrays_overlap(part(hs, k), seeds[size])),
+            lambda k: F.struct(F.lit(size).alias("size"), k.alias("k"), F.array_distinct(part(hs, k)).alias("h"),
+                               F.slice(w, k * stride + 1, 2 * stride).alias("w"))))
+        return F.flatten(bound)
+
+    found_windows = F.transform(F.array(words(F.col(text_col))), lambda w: F.concat(*[hits(w, n) for n in seeds]))
+    windows = (docs.select(F.col(id_col).alias("doc_id"), F.explode(F.flatten(found_windows)).alias("t"))
+               .select("doc_id", "t.*"))
+    most = max(bands_for(2 * stride, n) for n in seeds)
+    signed = windows.select("doc_id", "size", "k", "w", F.posexplode(_band_values(F.col("h"), most)).alias("j", "x"))
+    candidates = (signed.join(F.broadcast(key), ["size", "j", "x"])
+                  .select("doc_id", "k", "w", "size", "name", "piece", "shingles").distinct())
+    seen = F.transform(F.sequence(F.lit(0), F.size("w") - F.col("size")), lambda i: F.array_join(F.slice(F.col("w"), i + 1, F.col("size")), " "))
+    found = (candidates.withColumn("hit", F.array_intersect("shingles", seen))
+             .where(F.size("hit") >= containment * F.size("shingles"))
+             .select("doc_id", "k", "name", "piece", F.size("hit").alias("hits")))
     best = found.groupBy("doc_id", "name", "piece").agg(F.max("hits").alias("hits"), F.count_distinct("k").alias("windows"))
     whole = spark.createDataFrame([tuple(r) for r in rows], schema).groupBy("name").agg(F.sum(F.size("shingles")).alias("total"))
     return (best.groupBy("doc_id", "name").agg(F.sum("hits").alias("hits"), F.max("windows").alias("windows"))
