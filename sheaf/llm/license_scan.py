@@ -2,21 +2,23 @@
 text windows, then exact shingle containment verifies them.
 
 Texts are cut into windows of two strides of ``STRIDE`` words, one stride apart, so any
-template of at most ``STRIDE`` words (longer ones are cut into such pieces) lies whole in
-one window. Windows and template pieces are sets of five-word shingles. A band is one
-MinHash value; a window and a piece are candidates if any band agrees.
+template of at most ``STRIDE`` words, and any single shingle, lies whole in one window.
+Windows and templates are sets of five-word shingles; the shingles of longer templates are
+cut into pieces of ``STRIDE``. A band is one MinHash value; a window and a piece are
+candidates if any band agrees.
 
 Windows are far larger than short pieces, so the chance that a band agrees is small and
 the number of bands is set from it: a piece of t shingles wholly inside a window of n
-agrees in one band with probability t/n or more; ``bands_for`` gives the number of bands
-that misses with probability ``MISS`` at most. All bands are not computed for all windows:
+agrees in one band with probability t/n or more, and one with a single shingle in it with
+1/(n + t - 1); ``bands_for`` gives the number of bands that misses with probability
+``MISS`` at most. All bands are not computed for all windows:
 band j can only agree if the window holds the very shingle that is the piece's minimum in
 band j, so windows without any such shingle are dropped first, with the same candidates.
 
 Candidates are verified exactly, on shingle strings: at least ``containment`` of the
-distinct shingles of a piece must be in the window, and a template is found in a document
-when all its pieces together have that share of their shingles in it. Templates of fewer
-than five words are one shingle of their own length.
+distinct shingles of the template must be in one window or, if it has more than ``STRIDE``
+words, in all candidate windows of the text together. Pieces only retrieve: no share is
+asked of a piece. Templates of fewer than five words are one shingle of their own length.
 
 All steps are DataFrame functions; the template side is built from a fixed list given by
 the caller, and its size is checked.
@@ -49,25 +51,24 @@ def hash_at(w: Column, i: Column, size: int) -> Column:
     return F.xxhash64(*[F.get(w, i + j) for j in range(size)])
 
 
-def bands_for(window: int, size: int) -> int:
-    """Bands at which a piece of one shingle inside a full window is missed with
-    probability ``MISS`` at most."""
-    most = max(1, window - size + 1)
+def bands_for(window: int, size: int, others: int = 0) -> int:
+    """Bands at which one shingle of a piece inside a full window is missed with
+    probability ``MISS`` at most; ``others`` are the piece's shingles outside it."""
+    most = max(1, window - size + 1) + others
     return 1 if most == 1 else math.ceil(math.log(MISS) / math.log(1 - 1 / most))
 
 
 def _pieces(templates: DataFrame, stride: int) -> DataFrame:
-    """(name, piece, size, shingles): each template cut into pieces of ``stride`` words."""
+    """(name, piece, size, whole, shingles): each template's shingles in pieces of
+    ``stride``, so that those across cuts are in a piece too; a template of at most
+    ``stride`` words is one piece and ``whole``."""
     w = templates.select("name", words("text").alias("w")).where("size(w) > 0").distinct()
-    cuts = F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / stride).cast("int")))
-    p = w.withColumn("piece", cuts).withColumn("at", F.col("piece") * stride)
-    # the last piece reaches back, so that it is not shorter than the others
-    p = p.withColumn("at", F.greatest(F.lit(0), F.least("at", F.size("w") - stride)))
-    p = p.select("name", "piece", F.slice("w", F.col("at") + 1, stride).alias("w"))
-    p = p.withColumn("size", F.least(F.lit(SHINGLE), F.size("w")))
-    each = F.transform(F.sequence(F.lit(0), F.size("w") - F.col("size")),
-                       lambda i: F.array_join(F.slice(F.col("w"), i + 1, F.col("size")), " "))
-    return p.select("name", "piece", "size", F.array_distinct(each).alias("shingles"))
+    w = w.withColumn("size", F.least(F.lit(SHINGLE), F.size("w"))).withColumn("whole", F.size("w") <= stride)
+    p = w.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - F.col("size")) / stride).cast("int"))).alias("piece"))
+    w = F.slice("w", F.col("piece") * stride + 1, F.lit(stride) + F.col("size") - 1)
+    each = F.transform(F.array(w), lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - F.col("size")),
+                       lambda i: F.array_join(F.slice(x, i + 1, F.col("size")), " ")))
+    return p.select("name", "piece", "size", "whole", F.array_distinct(F.flatten(each)).alias("shingles"))
 
 
 def _band_values(hashes: Column, bands: int) -> Column:
@@ -78,27 +79,30 @@ def _band_values(hashes: Column, bands: int) -> Column:
 def scan(docs: DataFrame, templates: DataFrame, containment: float = 0.8, id_col: str = "doc_id",
          text_col: str = "text", stride: int = STRIDE) -> DataFrame:
     """(doc_id, name, containment, windows): the templates found in each document, the
-    share of their shingles found, and in how many windows. ``templates`` has name, text."""
+    share of their shingles found, and in how many windows (of a longer template: windows
+    with any of its shingles). ``templates`` has name, text."""
     spark = docs.sparkSession
     pieces = _pieces(templates.select(F.col("name").cast("string"), F.col("text").cast("string")), stride)
     rows = pieces.limit(MAX_PIECES + 1).collect()  # a fixed list: checked, not assumed
     if len(rows) > MAX_PIECES:
         raise ValueError(f"more than {MAX_PIECES} pieces of templates; scan them in several calls")
-    schema = "name string, piece int, size int, shingles array<string>"
+    schema = "name string, piece int, size int, whole boolean, shingles array<string>"
     if not rows:
         return spark.createDataFrame([], "doc_id long, name string, containment double, windows long")
-    banded, seeds = [], {}
+    banded, seeds, bands = [], {}, {}
     for size in sorted({r["size"] for r in rows}):
         mine = spark.createDataFrame([tuple(r) for r in rows if r["size"] == size], schema)
-        bands = bands_for(2 * stride, size)
+        # of a longer template any single shingle in a window is to be found
+        others = max((len(r["shingles"]) - 1 for r in rows if r["size"] == size and not r["whole"]), default=0)
+        bands[size] = bands_for(2 * stride, size, others)
         mine = mine.withColumn("h", F.transform("shingles", lambda s: hash_at(F.split(s, " "), F.lit(0), size)))  # noqa: B023
-        banded.append(mine.withColumn("v", _band_values(F.col("h"), bands)))
+        banded.append(mine.withColumn("v", _band_values(F.col("h"), bands[size])))
         # the shingle hashes that are the minimum in some band
         lowest = F.explode(F.filter("h", lambda h: F.exists(F.arrays_zip(
-            F.sequence(F.lit(0), F.lit(bands - 1)).alias("j"), F.col("v").alias("x")),  # noqa: B023
+            F.sequence(F.lit(0), F.lit(bands[size] - 1)).alias("j"), F.col("v").alias("x")),  # noqa: B023
             lambda b: F.xxhash64(h, b["j"]) == b["x"])))
         seeds[size] = F.array(*[F.lit(r[0]) for r in banded[-1].select(lowest).distinct().collect()])
-    key = reduce(DataFrame.unionByName, banded).select("name", "piece", "size", "shingles", F.posexplode("v").alias("j", "x"))
+    key = reduce(DataFrame.unionByName, banded).select("name", "piece", "size", F.posexplode("v").alias("j", "x"))
 
     # One pass over the texts. Words and hashes are bound to lambda names, so that each is
     # made once for all that uses it.
@@ -114,18 +118,21 @@ def scan(docs: DataFrame, templates: DataFrame, containment: float = 0.8, id_col
         return F.flatten(bound)
 
     found_windows = F.transform(F.array(words(F.col(text_col))), lambda w: F.concat(*[hits(w, n) for n in seeds]))
-    windows = (docs.select(F.col(id_col).alias("doc_id"), F.explode(F.flatten(found_windows)).alias("t"))
-               .select("doc_id", "t.*"))
-    most = max(bands_for(2 * stride, n) for n in seeds)
-    signed = windows.select("doc_id", "size", "k", "w", F.posexplode(_band_values(F.col("h"), most)).alias("j", "x"))
+    windows = (docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.explode(F.flatten(found_windows)).alias("t"))
+               .select("doc_id", "text_hash", "t.*"))
+    signed = windows.select("doc_id", "text_hash", "size", "k", "w", F.posexplode(_band_values(F.col("h"), max(bands.values()))).alias("j", "x"))
     candidates = (signed.join(F.broadcast(key), ["size", "j", "x"])
-                  .select("doc_id", "k", "w", "size", "name", "piece", "shingles").distinct())
+                  .select("doc_id", "text_hash", "k", "w", "size", "name", "piece").distinct())
     seen = F.transform(F.sequence(F.lit(0), F.size("w") - F.col("size")), lambda i: F.array_join(F.slice(F.col("w"), i + 1, F.col("size")), " "))
-    found = (candidates.withColumn("hit", F.array_intersect("shingles", seen))
-             .where(F.size("hit") >= containment * F.size("shingles"))
-             .select("doc_id", "k", "name", "piece", F.size("hit").alias("hits")))
-    best = found.groupBy("doc_id", "name", "piece").agg(F.max("hits").alias("hits"), F.count_distinct("k").alias("windows"))
-    whole = spark.createDataFrame([tuple(r) for r in rows], schema).groupBy("name").agg(F.sum(F.size("shingles")).alias("total"))
-    return (best.groupBy("doc_id", "name").agg(F.sum("hits").alias("hits"), F.max("windows").alias("windows"))
-            .join(F.broadcast(whole), "name").where(F.col("hits") >= containment * F.col("total"))
-            .select("doc_id", "name", (F.col("hits") / F.col("total")).alias("containment"), "windows"))
+    fixed = spark.createDataFrame([tuple(r) for r in rows], schema)
+    # where the shingles are counted together: one window, or the whole text (-1)
+    found = (candidates.join(F.broadcast(fixed), ["name", "piece", "size"])
+             .select("doc_id", "text_hash", "name", F.when(F.col("whole"), F.col("k")).otherwise(-1).alias("place"), "k",
+                     F.explode(F.array_intersect("shingles", seen)).alias("hit")))
+    best = (found.groupBy("doc_id", "text_hash", "name", "place")
+            .agg(F.count_distinct("hit").alias("hits"), F.count_distinct("k").alias("windows")))
+    total = fixed.select("name", F.explode("shingles").alias("s")).groupBy("name").agg(F.count_distinct("s").alias("total"))
+    return (best.join(F.broadcast(total), "name").where(F.col("hits") >= containment * F.col("total"))
+            .groupBy("doc_id", "name")
+            .agg(F.max(F.col("hits") / F.col("total")).alias("containment"),
+                 F.greatest(F.count_distinct("place"), F.max("windows")).alias("windows")))

@@ -1,5 +1,6 @@
 """Registered corpus queries: DuckDB SQL where there is some, brute force elsewhere."""
 import hashlib
+import random
 import re
 
 import duckdb
@@ -119,3 +120,38 @@ def test_classifiers_on_held_out_rows(spark, con, name, label, threshold):
     known = duckdb.sql(f"SELECT doc_id, {label} AS y FROM '/root/testdata/sf0.1/labels.parquet' WHERE {label} IS NOT NULL").df()
     test = known.set_index("doc_id").join(got[got["held_out"]], how="inner")
     assert len(test) > 300 and (test["y"] == test["predicted"]).mean() > 0.97
+
+
+def test_op9_finds_edited_copies_of_long_notices(spark):
+    from sheaf.llm import license_scan
+
+    rnd = random.Random(9)
+    words = lambda t: re.findall(r"[^\W_]+", t.lower())
+    shingles = lambda w: {tuple(w[k:k + 5]) for k in range(len(w) - 4)}
+    notices = [n for n in Q.LICENSE_NOTICES if n[0] == "MIT-grant"]
+    notices += [(f"n{n}", " ".join(f"n{n}x{i}" for i in range(n))) for n in (17, 18, 20, 21, 32, 33, 37)]
+    texts = []
+    for _, text in notices:
+        w = words(text)
+        edited = [[*w[:i], "zz", *w[i + 1:]] for i in range(len(w))]  # every one-word substitution
+        for _ in range(25):
+            x = list(w)
+            for _ in range(rnd.randint(1, 3)):
+                i = rnd.randrange(len(x))
+                x[i:i + rnd.randint(0, 1)] = ["yy"] * rnd.randint(0, 40)
+            edited.append(x)
+        texts += [" ".join([*["p"] * rnd.randint(0, 40), *x, *["q"] * rnd.randint(0, 40)]) for x in edited]
+    exp = set()
+    for d, t in enumerate(texts):
+        for name, text in notices:
+            want, got = shingles(words(text)), shingles(words(t))
+            if len(want & got) >= 0.8 * len(want):
+                exp.add((d, name, round(len(want & got) / len(want), 6)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = license_scan.scan(docs, spark.createDataFrame(notices, "name string, text string")).collect()
+    assert {(r.doc_id, r.name, round(r.containment, 6)) for r in got} == exp
+    assert {d for d, name, _ in exp if name == "MIT-grant"} >= set(range(62))
+    # halves in two texts of one id are no copy
+    half = words(notices[0][1])
+    docs = spark.createDataFrame([(1, " ".join(half[:35])), (1, " ".join(half[27:]))], "doc_id long, text string")
+    assert license_scan.scan(docs, spark.createDataFrame(notices, "name string, text string")).count() == 0
