@@ -7,21 +7,24 @@ stages but the last return the columns of documents.
 1. toxicity: documents that the classifier predicts toxic go (a null text stays).
 2. line_dedup: later copies of repeated runs are deleted from the texts; a document of
    which nothing but blanks is left goes, and ``n_chars`` follows the text.
-3. simhash_near_dedup: of each component the document with the smallest id stays.
+3. simhash_near_dedup: of each component the row with the smallest id stays; among rows
+   of that id, the one with the smallest hash of the text.
 4. decontamination: documents that hold a test item go.
 5. byte_bpe: token ids of each text and the digests of the encoded and decoded bytes.
 
-Defined cases: see the operators. Rows that repeat a doc_id come through stages 1, 2 and 4
-alike; stage 3 keeps one of them (the smallest text). Rows with a null doc_id are dropped
-in stage 3, where they cannot be told apart, unless they are the only rows of their
-component. Empty tables give empty results.
+Defined cases: see the operators. Stages 3 and 4 tell rows apart by id and text (two
+hashes of it), so an id with several texts, or a null id, is judged text by text: no row
+goes because another row of its id does. Rows with a null id come last in stage 3: in a
+component they stay only if it has no other rows, and then one of them does. Rows that
+repeat id and text come through stages 1, 2 and 4 alike; stage 3 keeps one of them (the
+smallest of its other columns). Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.llm import decontaminate, line_dedup, queries, simhash, toxicity
@@ -44,24 +47,32 @@ def _line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             .select(*COLUMNS))
 
 
+def _row_key() -> Column:
+    """Id and text as one value without nulls; null ids sort last."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"),
+                    F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+
+
 def _simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
-    found = materialize(simhash.near_duplicates(docs, words=3, radius=2).select("doc_id", "component_id"))
-    # few ids go, so it is those that are matched with the texts
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-    many = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    once = kept.join(many, kept["doc_id"].eqNullSafe(many["doc_id"]), "left_anti")
-    again = (kept.join(many, kept["doc_id"].eqNullSafe(many["doc_id"]), "left_semi")
-             .groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r"))
-             .select("doc_id", "r.*"))
+    docs = docs.select(*COLUMNS).withColumn("_key", _row_key())
+    found = materialize(simhash.near_duplicates(docs, id_col="_key", words=3, radius=2).select("_key", "component_id"))
+    # few rows go, so it is those that are matched with the texts
+    gone = found.where(F.col("_key") != F.col("component_id")).select("_key").distinct()
+    kept = docs.join(gone, "_key", "left_anti")
+    many = (found.where(F.col("_key") == F.col("component_id")).groupBy("_key").agg(F.count("*").alias("n"))
+            .where("n > 1").select("_key"))
+    once = kept.join(many, "_key", "left_anti").select(*COLUMNS)
+    again = (kept.join(many, "_key", "left_semi")
+             .groupBy("_key").agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*"))
     return once.unionByName(again)
 
 
 def _decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
-    leaks = materialize(decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct())
-    return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    docs = docs.select(*COLUMNS).withColumn("_key", _row_key()).withColumn("_key", F.concat_ws(":", *[
+        F.col(f"_key.{c}").cast("string") for c in ("none", "id", "h1", "h2")]))
+    leaks = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark"), id_col="_key", id_type="string")
+    leaks = materialize(leaks.select(F.col("doc_id").alias("_key")).distinct())
+    return docs.join(leaks, "_key", "left_anti").select(*COLUMNS)
 
 
 def _byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -206,11 +206,12 @@ def build(benchmark: DataFrame, overlap: float, item_col: str, text_col: str) ->
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8, id_col: str = "doc_id",
-                 text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+                 text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+                 id_type: str = "long") -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): every document that
     holds a test item, once per item, with its best passage. ``score`` is the BM25 score
-    in units of the item's threshold."""
-    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+    in units of the item's threshold; ``doc_id`` is of ``id_type``."""
+    schema = f"doc_id {id_type}, item_id long, score double, question_overlap double, answer_overlap double"
     spark = docs.sparkSession
     bounded_batches(spark)
     found = []
@@ -226,7 +227,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8, id
                     rows = [(ids[t], *rest) for index in shared.value for t, *rest in scan(index, texts)]
                     yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        found.append(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        found.append(docs.select(F.col(id_col).cast(id_type).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
                      .where("text IS NOT NULL").mapInPandas(look, schema))
     if not found:
         return spark.createDataFrame([], schema)

@@ -54,3 +54,22 @@ def test_run_is_the_last_stage(spark):
     got = P.run(spark, SF_SMALL)
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert got.count() > 0
+
+
+def test_rows_are_told_apart_by_id_and_text(spark):
+    item = duckdb.sql(f"SELECT text FROM '{SF_SMALL}/benchmark.parquet' WHERE length(text) > 150 ORDER BY item_id LIMIT 1").fetchall()[0][0]
+    t = [" ".join(f"text{n}x{i}" for i in range(60)) for n in range(9)]
+    rows = [(None, t[0]), (None, t[1]), (None, t[1]),  # unique texts without an id, one of them twice
+            (None, t[2]), (5, t[2]),                   # a copy without an id
+            (2, t[3]), (2, t[4]), (7, t[4]),           # one id with two texts, the smallest of a component
+            (8, t[5]), (3, t[5]), (8, t[6]),           # one text a copy of another document's, one its own
+            (9, t[7]), (9, t[7]), (9, t[8])]
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in rows], SCHEMA)
+    told = lambda *r: sorted((str(i), str(x)) for i, x in r)
+    found = lambda d: told(*[(r.doc_id, r.text) for r in d.collect()])
+    stages = dict(P.STAGES)
+    assert found(stages["simhash_near_dedup"](spark, docs, SF_SMALL)) == told(
+        (None, t[0]), (None, t[1]), (5, t[2]), (2, t[3]), (2, t[4]), (3, t[5]), (8, t[6]), (9, t[7]), (9, t[8]))
+    leaks = [(None, f"{t[0]} {item}"), (None, t[1]), (None, None), (4, f"{t[2]} {item}"), (4, t[3]), (4, t[3])]
+    docs = spark.createDataFrame([(i, x, "en", "s", 0) for i, x in leaks], SCHEMA)
+    assert found(stages["decontamination"](spark, docs, SF_SMALL)) == told((None, t[1]), (None, None), (4, t[3]), (4, t[3]))
