@@ -19,8 +19,9 @@ A passage is two strides of ``longest item`` words, one stride apart, so a copy
 item lies whole in one passage. Items are indexed by length class, so a long item does not
 widen the passages of short ones. The checks: at least ``overlap`` of the distinct
 five-word shingles of the item's question are in the passage, and of its answer as well.
-The answer is the item's last line, or its last sentence when it has one line; an item of
-one sentence is question only. Parts of fewer than five words are one shingle.
+The answer is the item's last line, or what follows the mark "answer:" or "a:" in an item of
+one line that opens with "question:" or "q:"; other items of one line are plain prose and
+checked as a whole, as question. Parts of fewer than five words are one shingle.
 
 Defined cases: null or empty texts match nothing; null, empty or wordless items are not
 indexed; repeated items are reported each under its id, and repeated rows of a document
@@ -44,6 +45,7 @@ from pyspark.sql import functions as F
 from sheaf.llm.common import bounded_batches
 
 WORD = re.compile(r"\w+")
+MARKED = re.compile(r"\s*((?:question|q)\s*:.*?)\b((?:answer|a)\s*:.*)", re.I | re.S)
 SHINGLE = 5
 BLOCK = 8
 PART_WORDS = 1 << 16
@@ -56,12 +58,13 @@ def words_of(text: str | None) -> list[str]:
 
 
 def question_answer(text: str) -> tuple[str, str]:
-    """An item's question and answer; the answer is empty when the item is one sentence."""
+    """An item's question and answer; the answer is empty when the item has no own line
+    or mark for it."""
     lines = [x for x in text.split("\n") if WORD.search(x)]
     if len(lines) > 1:
         return "\n".join(lines[:-1]), lines[-1]
-    ends = [m.end() for m in re.finditer(r"[.!?](?=\s+\w)", text)]
-    return (text[:ends[-1]], text[ends[-1]:]) if ends else (text, "")
+    marked = MARKED.fullmatch(text)
+    return (marked[1], marked[2]) if marked else (text, "")
 
 
 def shingles(words: list[str]) -> set[tuple[str, ...]]:

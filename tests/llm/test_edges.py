@@ -101,6 +101,16 @@ def test_retrieval_loses_no_pair_that_the_checks_accept():
     assert exp and got == exp
 
 
+def test_edited_prose_items_pass_on_the_whole_item(spark):
+    w = [f"w{i}" for i in range(40)]
+    prose = " ".join(w[:33]) + ". " + " ".join(w[33:])
+    assert decontaminate.question_answer(prose) == (prose, "")
+    assert decontaminate.question_answer("Q: one two? A: three") == ("Q: one two? ", "A: three")
+    docs = [(i, " ".join([*["p"] * 50, *w[:i], "zz", *w[i + 1:], *["q"] * 50])) for i in range(40)]
+    got = decontaminate.contaminated(frame(spark, docs), frame(spark, [(1, prose)], "item_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == list(range(40))
+
+
 # ---- 3 line dedup ----------------------------------------------------------
 
 def deduped(docs, least):
