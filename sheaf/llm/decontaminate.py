@@ -15,9 +15,10 @@ The threshold of an item loses nothing that the checks could accept: with at lea
 words can lack, so the score is at least the item's own score less its heaviest terms of
 that number.
 
-A passage is two strides of ``longest item`` words, one stride apart, so a copy of any
-item lies whole in one passage. Items are indexed by length class, so a long item does not
-widen the passages of short ones. The checks: at least ``overlap`` of the distinct
+A passage is two strides, one stride apart. A stride is the most words an item of the
+length class can have, whatever items are in the part, and one for each shingle that may
+lack: a copy lies whole in one passage if it is no longer than that with the words put in. Items are indexed
+by length class, so a long item does not widen the passages of short ones. The checks: at least ``overlap`` of the distinct
 five-word shingles of the item's question are in the passage, and of its answer as well.
 The answer is the item's last line, or what follows the mark "answer:" or "a:" in an item of
 one line that opens with "question:" or "q:"; other items of one line are plain prose and
@@ -71,6 +72,16 @@ def shingles(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[i:i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))} if words else set()
 
 
+def length_class(n_words: int) -> int:
+    return max(6, n_words.bit_length()) // 2
+
+
+def stride_of(length: int, overlap: float) -> int:
+    """The longest item of a length class, and a word put in for each shingle that may lack."""
+    longest = (1 << 2 * length + 1) - 1
+    return longest + int((1 - overlap) * (longest - SHINGLE + 1) + 1e-9)
+
+
 class Index:
     """Inverted index over items of one length class. ``frequency`` and ``n_items`` and
     ``mean_length`` are those of the whole benchmark."""
@@ -85,7 +96,7 @@ class Index:
         parts.sort(key=lambda p: (len(p[1]) + len(p[2]), p[0]))  # alike lengths share a block
         self.items = [p[0] for p in parts]
         self.checks = [(shingles(q), shingles(a)) for _, q, a in parts]
-        self.stride = max(len(q) + len(a) for _, q, a in parts)
+        self.stride = stride_of(max(length_class(len(q) + len(a)) for _, q, a in parts), overlap)
         self.overlap = overlap
         self.terms: dict[str, int] = {}
         rows, cols, impacts = [], [], []
@@ -203,7 +214,7 @@ def build(benchmark: DataFrame, overlap: float, item_col: str, text_col: str) ->
         df = {r[0]: r[1] for r in frequency.join(held, "term").collect()}
         by_class: dict[int, list] = {}
         for item, text, w in rows:
-            by_class.setdefault(max(6, len(w).bit_length()) // 2, []).append((item, text))
+            by_class.setdefault(length_class(len(w)), []).append((item, text))
         parts.append([Index(x, df, total[0], total[1] / total[0], overlap) for _, x in sorted(by_class.items())])
     return parts
 

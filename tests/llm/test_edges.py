@@ -111,6 +111,18 @@ def test_edited_prose_items_pass_on_the_whole_item(spark):
     assert sorted(r.doc_id for r in got.collect()) == list(range(40))
 
 
+@pytest.mark.parametrize("others", [[], [(2, " ".join(f"v{i}" for i in range(120)))]])
+def test_copies_with_insertions_lie_in_one_passage(spark, others):
+    w = [f"w{i}" for i in range(60)]
+    copy = [*w[:20], *["x"] * 5, *w[20:40], *["y"] * 5, *w[40:]]
+    docs = [(i, " ".join(["p"] * i + copy + ["q"] * 300)) for i in range(0, 400, 7)]
+    items = frame(spark, [(1, " ".join(w)), *others], "item_id long, text string")
+    got = decontaminate.contaminated(frame(spark, docs), items).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(d, 1) for d, _ in docs]
+    assert [decontaminate.stride_of(c, 1.0) for c in (3, 4)] == [127, 511]
+    assert [decontaminate.length_class(n) for n in (1, 127, 128, 511, 512)] == [3, 3, 4, 4, 5]
+
+
 # ---- 3 line dedup ----------------------------------------------------------
 
 def deduped(docs, least):
