@@ -28,19 +28,33 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, i
     for label in (0, 1):
         part = known.where(F.col("label") == label).orderBy(F.xxhash64("_id"), "_id").limit(rows)
         chosen = part if chosen is None else chosen.unionByName(part)
-    # at most 2 * rows ids: a bounded side
-    texts = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
-             .join(F.broadcast(chosen), "_id").where("text IS NOT NULL")
-             .groupBy("_id").agg(F.min("label").alias("label"), F.min("text").alias("text")))
-    upto = F.sum(F.length("text")).over(_in_order())
-    kept = texts.withColumn("_upto", upto).where(F.col("_upto") <= chars).select("text", "label")
+    # at most 2 * rows ids: a bounded side; lengths first, then only the texts that fit
+    def held(ids: DataFrame) -> DataFrame:
+        return (docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
+                .join(F.broadcast(ids), "_id").where("text IS NOT NULL")
+                .groupBy("_id").agg(F.min("label").alias("label"), F.min("text").alias("text")))
+
+    lengths = held(chosen).select("_id", "label", F.xxhash64("_id").alias("_at"), F.length("text").alias("_n")).collect()
+    ids = _fitting(sorted(lengths, key=lambda r: (r["_at"], r["_id"])), chars)
+    fit = docs.sparkSession.createDataFrame(ids, chosen.schema)
+    kept = held(fit).orderBy(F.xxhash64("_id"), "_id").select("text", "label")
     got = pd.DataFrame([tuple(r) for r in kept.toLocalIterator()], columns=["text", "label"])
     total = sum(sizes.values())
     weight = {c: (sizes[c] / total) / (n / len(got)) for c in sizes if (n := int((got["label"] == c).sum()))}
     return got, weight, sizes.get(1, 0) / total if total else 0.5
 
 
-def _in_order():
-    from pyspark.sql import Window
-
-    return Window.orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, 0)
+def _fitting(rows: list, chars: int) -> list[tuple]:
+    """(id, label) of the rows that fit, in order: half of ``chars`` for each class first,
+    then what is left for any. A row that does not fit is skipped by itself."""
+    left, taken = {0: chars // 2, 1: chars - chars // 2}, set()
+    for k, r in enumerate(rows):
+        if r["_n"] <= left[r["label"]]:
+            left[r["label"]] -= r["_n"]
+            taken.add(k)
+    rest = sum(left.values())
+    for k, r in enumerate(rows):
+        if k not in taken and r["_n"] <= rest:
+            rest -= r["_n"]
+            taken.add(k)
+    return [(rows[k]["_id"], rows[k]["label"]) for k in sorted(taken)]

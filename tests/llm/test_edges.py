@@ -214,6 +214,13 @@ def test_sample_bounds_and_shares(spark):
     assert share == pytest.approx(1.0) and base == sum(i % 10 == 0 for i in used) / len(used)
 
 
+def test_sample_skips_only_texts_that_do_not_fit(spark):
+    docs = frame(spark, [(i, "x" * (500 if i % 7 == 0 else 3)) for i in range(60)])
+    labels = frame(spark, [(i, i % 2) for i in range(60)], "doc_id long, y int")
+    rows, _, base = sample(docs, labels, "y", F.lit(True), chars=400)
+    assert sorted(rows["text"]) == ["xxx"] * 51 and set(rows["label"]) == {0, 1} and base == 0.5
+
+
 def test_counterfactual_penalty_frees_group_mentions():
     rnd = random.Random(2)
     neutral = [f"n{i}" for i in range(30)]
