@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import bpe, decontaminate, license_scan, line_dedup, quality, simhash, topk, toxicity, url_filter, warc
+from sheaf.llm import bpe, conversations, decontaminate, license_scan, line_dedup, quality, simhash, topk, toxicity, url_filter, warc
 from sheaf.llm.common import read
 from sheaf.llm.labelled import held_out
 from sheaf.llm.registry import ORACLES, QUERIES, register  # noqa: F401
@@ -210,3 +210,74 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (resolved.withColumn("headers", warc.header_text(F.col("headers")))
             .withColumn("refers_to", F.col("refers_to").cast("string"))
             .withColumn("refers_to_ts", F.col("refers_to_ts").cast("string")))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults that follow from a checksum of conversation and turn;
+    ``copies`` says how often a row stands there (0: it was dropped)."""
+    space = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    kind = F.crc32(key.cast("binary")) % 20
+    text = F.coalesce("text", space)
+    return rows.select(
+        "conv_id", "turn", F.when(kind == 4, "user").otherwise(F.coalesce("role", space)).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1).alias("copies"))
+
+
+@register("op11_conversation_repair", r"""
+    WITH RECURSIVE
+    bits AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k:
+               CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+    keyed AS (SELECT *, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+                                       lambda x: ord(x)::BIGINT) AS b FROM conversations),
+    kinds AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 20 AS d
+              FROM keyed, bits),
+    rows_ AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+                CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                unnest(range(CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM kinds),
+    numbered AS (SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+                   row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen FROM rows_),
+    faults AS (SELECT conv_id, turn, role, text, i, left(role, 1) AS x,
+                 CASE WHEN body = '' THEN 'b' WHEN seen > 1 THEN 'd' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS f,
+                 lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM numbered),
+    counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                 count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate, count(*) FILTER (f = 't') AS truncated,
+                 count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv_id),
+    -- o, s, u, a: cheapest way to the state in which nothing, a system, user or assistant turn stands last
+    -- (u, a: insertions after the row included)
+    walk AS (
+      SELECT conv_id, 0::BIGINT AS i, {'c': 0, 'e': '', 't': ''} AS o, NULL::STRUCT(c INTEGER, e VARCHAR, t VARCHAR) AS s,
+             {'c': 3, 'e': 'I', 't': chr(10) || 'user:'} AS u, {'c': 6, 'e': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'} AS a
+      FROM (SELECT DISTINCT conv_id FROM conversations)
+      UNION ALL
+      SELECT conv_id, i, o, s, u, list_min([a, {'c': u.c + 3, 'e': u.e || 'I', 't': u.t || chr(10) || 'assistant:'}])
+      FROM (SELECT conv_id, i, o, s, a, list_min([u, CASE WHEN o.c IS NOT NULL THEN {'c': o.c + 3, 'e': o.e || 'I', 't': o.t || chr(10) || 'user:'} END,
+                CASE WHEN s.c IS NOT NULL THEN {'c': s.c + 3, 'e': s.e || 'I', 't': s.t || chr(10) || 'user:'} END,
+                CASE WHEN a.c IS NOT NULL THEN {'c': a.c + 3, 'e': a.e || 'I', 't': a.t || chr(10) || 'user:'} END]) AS u
+        FROM (SELECT w.conv_id, r.i,
+            {'c': w.o.c + 4, 'e': w.o.e || 'D', 't': w.o.t} AS o,
+            list_min([CASE WHEN w.s.c IS NOT NULL THEN {'c': w.s.c + 4, 'e': w.s.e || 'D', 't': w.s.t} END,
+                      CASE WHEN f NOT IN ('b', 'd') AND x = 's' THEN {'c': w.o.c + k, 'e': w.o.e || 'K', 't': w.o.t || chr(10) || role || ':' || text} END]) AS s,
+            list_min(list_concat([{'c': w.u.c + 4, 'e': w.u.e || 'D', 't': w.u.t}],
+              CASE WHEN f IN ('b', 'd') THEN [] ELSE flatten(list_transform(list_filter([w.o, w.s, w.a], lambda p: p.c IS NOT NULL), lambda p:
+                [{'c': p.c + k + 3, 'e': p.e || 'R', 't': p.t || chr(10) || 'user:' || text},
+                 CASE WHEN x = 'u' THEN {'c': p.c + k, 'e': p.e || 'K', 't': p.t || chr(10) || role || ':' || text} END])) END)) AS u,
+            list_min(list_concat([{'c': w.a.c + 4, 'e': w.a.e || 'D', 't': w.a.t}],
+              CASE WHEN f IN ('b', 'd') THEN [] ELSE
+                [{'c': w.u.c + k + 3, 'e': w.u.e || 'R', 't': w.u.t || chr(10) || 'assistant:' || text},
+                 CASE WHEN x = 'a' THEN {'c': w.u.c + k, 'e': w.u.e || 'K', 't': w.u.t || chr(10) || role || ':' || text} END] END)) AS a
+          FROM walk w JOIN (SELECT *, CASE f WHEN 't' THEN 3 ELSE 0 END AS k FROM faults) r
+            ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1))),
+    ends AS (SELECT conv_id, list_min([o, a]) AS best FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1)
+    SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+           coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, best.c::BIGINT AS cost, best.e AS audit,
+           sha256(substr(best.t, 2)) AS repaired_sha256
+    FROM ends e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = damaged(read(spark, sf_dir, "conversations"))
+    done = conversations.repair(rows, F.col("copies"))
+    told = done.digests().select(F.col("conv_id").alias("_c"), F.col("sha256").alias("repaired_sha256"))
+    return done.audit.join(told, F.col("conv_id").eqNullSafe(F.col("_c"))).drop("_c")
