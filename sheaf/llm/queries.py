@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import bpe, conversations, decontaminate, license_scan, line_dedup, quality, simhash, topk, toxicity, url_filter, warc
+from sheaf.llm import bpe, conversations, decontaminate, divergence, license_scan, line_dedup, quality, simhash, topk, toxicity, url_filter, warc
 from sheaf.llm.common import read
 from sheaf.llm.labelled import held_out
 from sheaf.llm.registry import ORACLES, QUERIES, register  # noqa: F401
@@ -281,3 +281,30 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = conversations.repair(rows, F.col("copies"))
     told = done.digests().select(F.col("conv_id").alias("_c"), F.col("sha256").alias("repaired_sha256"))
     return done.audit.join(told, F.col("conv_id").eqNullSafe(F.col("_c"))).drop("_c")
+
+
+@register("op13_source_divergence", r"""
+    WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                 regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    t AS (SELECT row, lang, source, translate(unnest(terms), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+    k AS (SELECT lang, term, count(*) AS c FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 30),
+    c AS (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+    v AS (SELECT lang, count(*) AS v, sum(c) AS n FROM k GROUP BY lang),
+    n AS (SELECT g.lang, g.source, coalesce(sum(c.c), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+    p AS (SELECT n.lang, n.source, k.term, coalesce(c.c, 0) AS c,
+            1 + (1000000000 * (coalesce(c.c, 0) + 5)::HUGEINT) // (n.n + 5 * v.v) AS p,
+            1 + (1000000000 * (k.c + 5)::HUGEINT) // (v.n + 5 * v.v) AS q
+          FROM n JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+    pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0) AS value
+              FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+              LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+              LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL)
+    SELECT lang, source, 'pair' AS part, item, value::BIGINT AS value,
+           row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM pairs
+    UNION ALL
+    SELECT lang, source, 'term', term, (p - q)::BIGINT,
+           row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term)::INTEGER AS rank
+    FROM p WHERE c > 0 AND p > q QUALIFY rank <= 50""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
