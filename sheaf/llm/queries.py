@@ -3,13 +3,16 @@ whole table, and derives the result columns from the operator's own output."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import bpe, conversations, decontaminate, divergence, license_scan, line_dedup, quality, simhash, topk, toxicity, url_filter, warc
+from sheaf.llm import bpe, conversations, decontaminate, divergence, license_scan, line_dedup, quality, simhash, token_files, topk, toxicity, url_filter, warc
 from sheaf.llm.common import read
 from sheaf.llm.labelled import held_out
 from sheaf.llm.registry import ORACLES, QUERIES, register  # noqa: F401
+from sheaf.session import ensure_checkpoint_dir
 
 #: The production url rules (host, path, verdict).
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"),
@@ -308,3 +311,18 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM p WHERE c > 0 AND p > q QUALIFY rank <= 50""")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
+@register("op12_token_files")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sheaf-tokens-{uuid.uuid4().hex}"
+    token_files.write_tokens(read(spark, sf_dir, "documents"), folder, word_tokenizer(), end_id=1)
+    return token_files.read_tokens(spark, folder).select(
+        F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
