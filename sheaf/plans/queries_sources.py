@@ -1,12 +1,18 @@
-"""Source queries (S2, S3) over lines derived from the tables: every
-conversation is a "file", its turns are the lines (``_row`` = turn)."""
+"""Source queries. S2 runs over lines derived from the tables: every conversation is a
+"file", its turns are the lines (``_row`` = turn). S1, S3 and S10 write files from the
+tables into the checkpoint folder, read them back on many splits and compare with SQL
+over the tables."""
 
 from __future__ import annotations
 
+import uuid
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.plans.registry import register
-from sheaf.session import table
+from sheaf.session import cut_lineage, ensure_checkpoint_dir, table
 from sheaf.sources import delimited as DL
 
 _C = ["','", "'|'", "chr(9)", "';'", "':'"]
@@ -30,3 +36,106 @@ def q_sniff(spark, sf_dir):
     cv = table(spark, sf_dir, "conversations")
     lines = cv.select(F.col("conv_id").alias("_file"), F.col("turn").alias("_row"), F.col("text").alias("line"))
     return DL.detect_dialect(lines)
+
+
+@contextmanager
+def small_splits(spark, size: str):
+    """Read with splits of ``size``, so that files of test size have several."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def write_files(lines: DataFrame, key: str, order: list[str], n: int) -> str:
+    """``line`` of all rows as text files, one folder per value of ``key``."""
+    folder = f"{ensure_checkpoint_dir(lines.sparkSession).rstrip('/')}/sheaf-files-{uuid.uuid4().hex}"
+    (lines.repartition(min(n, 200), key).sortWithinPartitions(key, *order).select(key, "line")
+     .write.partitionBy(key).text(folder))
+    return folder
+
+
+def _quoted(c):
+    return F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+
+
+@register("s1_quoted_records", """
+WITH n AS (SELECT 8 + count(*) // 20000 AS n FROM documents)
+SELECT doc_id % n AS file, row_number() OVER (PARTITION BY doc_id % n ORDER BY doc_id) AS record, doc_id,
+       md5(coalesce(text, '')) AS text_md5, coalesce(lang, '') || '"q' AS lang,
+       'from "' || coalesce(source, '') || '",' || chr(10) || chr(10) || ';|' AS origin
+FROM documents, n""")
+def q_quoted(spark, sf_dir):
+    """Whole document texts with their line breaks, quotes and separators written as
+    delimited files of three separators and read back record by record; quotes stay open
+    over split borders, and one column has a quote inside a plain field."""
+    d = table(spark, sf_dir, "documents")
+    n = 8 + d.count() // 20000
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    sep = F.element_at(F.array(*[F.lit(x) for x in ",|;"]), (F.col("file") % 3 + 1).cast("int"))
+    body = d.withColumn("file", F.col("doc_id") % n).select("file", F.lit(2).alias("ord"), "doc_id", F.array_join(F.array(
+        *[x.cast("string") for x in (F.col("doc_id"), F.col("doc_id") % 7, F.col("doc_id") % 11, F.col("file"))], _quoted(text("text")), F.concat(text("lang"), F.lit('"q')),
+        _quoted(F.concat(F.lit('from "'), text("source"), F.lit('",\n\n;|')))), "\x00").alias("line"))
+    head = spark.range(n).withColumnRenamed("id", "file")
+    none = F.lit(None).cast("long").alias("doc_id")
+    first = head.select("file", F.lit(0).alias("ord"), none, F.concat(F.lit("sep="), sep).alias("line"))
+    names = head.select("file", F.lit(1).alias("ord"), none, F.lit("id\x00seven\x00eleven\x00file\x00text\x00lang\x00origin").alias("line"))
+    lines = first.unionByName(names).unionByName(body).withColumn("line", F.replace("line", F.lit("\x00"), sep))
+    folder = write_files(lines, "file", ["ord", "doc_id"], n)
+    with small_splits(spark, "128k"):
+        v = F.col("values")
+        scan = DL.scan_delimited(spark, folder)
+        schemas = cut_lineage(scan.schemas())
+        rows = scan.rows(schemas).join(schemas.select("_file", "last_header"), "_file")
+        return cut_lineage(rows.select(
+            F.regexp_extract("_file", r"file=(\d+)", 1).cast("long").alias("file"), (F.col("_row") - F.col("last_header")).alias("record"),
+            v["id"].cast("long").alias("doc_id"), F.md5(v["text"]).alias("text_md5"), v["lang"].alias("lang"), v["origin"].alias("origin")))
+
+
+_LAYOUT = ["Order key", "Customer", "Total price", "Priority", "Year", "Month", "Status"]
+_UPPER = ["Order", "Order", "Money", "Money", "Time", "Time", "State"]
+_SEPS = [",", "|", "\t", ";", ":"]
+_NAMES_SQL = ", ".join(f"CASE WHEN file % 3 = 0 THEN '{u}_{n}' ELSE '{n}' END" for u, n in zip(_UPPER, _LAYOUT))
+
+
+@register("s10_many_layouts", f"""
+WITH n AS (SELECT 1000 * (1 + count(*) // 10000000) AS n FROM orders),
+o AS (SELECT o_custkey % n AS file, o_orderkey AS k, [o_orderkey::VARCHAR, o_custkey::VARCHAR,
+        CAST(o_totalprice AS DECIMAL(18,2))::VARCHAR, substr(o_orderpriority, 1, 1), year(o_orderdate)::VARCHAR, month(o_orderdate)::VARCHAR,
+        o_orderstatus || chr(10) || 'x"y' || [',', '|', chr(9), ';', ':'][o_custkey % n % 5 + 1]] AS cells FROM orders, n)
+SELECT file, [',', '|', chr(9), ';', ':'][file % 5 + 1] AS delimiter, CASE WHEN file % 3 = 0 THEN 2 ELSE 1 END AS header_rows,
+       (4 + file % 4)::INTEGER AS width, array_to_string([{_NAMES_SQL}][1:4 + file % 4], '/') AS names, count(*) AS n_rows,
+       sum(k)::BIGINT AS sum_key, sum(length(array_to_string(cells[1:4 + file % 4], '')))::BIGINT AS chars,
+       min(k) AS first_key, max(k) AS last_key
+FROM o GROUP BY file""")
+def q_layouts(spark, sf_dir):
+    """A thousand files (orders of a customer group each) of five separators,
+    four widths, one or two header rows, some with a directive and with cells that span
+    lines, read in one plan; a row per file tells its layout and what its cells hold."""
+    o = table(spark, sf_dir, "orders")
+    n = 1000 * (1 + o.count() // 10_000_000)
+    of_file = lambda values, by: F.element_at(F.array(*[F.lit(x) for x in values]), (by + 1).cast("int"))
+    f, none = F.col("file"), F.lit(None).cast("long")
+    sep, width = of_file(_SEPS, f % 5), (4 + f % 4).cast("int")
+    row = lambda cells: F.array_join(F.slice(cells, F.lit(1), width), "\x00")
+    body = o.withColumn("file", F.col("o_custkey") % n).select("file", F.lit(3).alias("ord"), F.col("o_orderkey").alias("k"), row(F.array(
+        F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.col("o_totalprice").cast("decimal(18,2)").cast("string"),
+        F.substring("o_orderpriority", 1, 1), F.year("o_orderdate").cast("string"), F.month("o_orderdate").cast("string"),
+        F.concat(F.lit('"'), F.col("o_orderstatus"), F.lit('\nx""y'), sep, F.lit('"')))).alias("line"))
+    files = body.select("file").distinct()
+    head = lambda at, cells, where: files.where(where).select("file", F.lit(at).alias("ord"), none.alias("k"), cells.alias("line"))
+    lines = (head(0, F.concat(F.lit("sep="), sep), f % 7 == 0).unionByName(head(1, row(F.array(*map(F.lit, _UPPER))), f % 3 == 0))
+             .unionByName(head(2, row(F.array(*map(F.lit, _LAYOUT))), F.lit(True))).unionByName(body)
+             .withColumn("line", F.replace("line", F.lit("\x00"), sep)))
+    scan = DL.scan_delimited(spark, write_files(lines, "file", ["ord", "k"], n))
+    schemas = cut_lineage(scan.schemas())
+    key = F.element_at(F.map_values("values"), 1).cast("long")
+    told = (scan.rows(schemas).groupBy("_file").agg(
+        F.sum(key).alias("sum_key"), F.sum(F.length(F.array_join(F.map_values("values"), ""))).alias("chars"),
+        F.min_by(key, "_row").alias("first_key"), F.max_by(key, "_row").alias("last_key")))
+    return schemas.join(told, "_file").select(
+        F.regexp_extract("_file", r"file=(\d+)", 1).cast("long").alias("file"), "delimiter", "header_rows", "width",
+        F.array_join("names", "/").alias("names"), "n_rows", "sum_key", "chars", "first_key", "last_key")

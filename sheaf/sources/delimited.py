@@ -7,11 +7,18 @@
   candidate delimiter is scored over the first 20 non-blank lines as
   ``avg / (1 + var_pop)`` of field counts (avg <= 1 scores 0); best score, ties
   to the earlier candidate, default ``,``. One aggregate for all files.
-* Cells: ``from_csv`` with the file's delimiter (quotes handled by Spark's CSV
-  parser), into positional ``_c0 .. _cN`` string columns.
-* Header rows (S3): over the first 5 content lines, count the leading rows that
+* Records (S1): quoted line breaks stay inside their record, on splittable text. Whether
+  a line begins inside quotes depends on all lines before it, but each line is a small
+  function of that one bit; functions are composed within each block by windows and over
+  the blocks of a file by a prefix over one row a block. Files in which no line can leave
+  a quote open skip all of it.
+* Cells: an array per record, split by the file's own delimiter in one expression, so
+  files of any delimiter and width share one plan.
+* Header rows (S3): over the first 5 content records, count the leading rows that
   carry labels in >= 3 columns, skipping blank, ``1 | 2 | 3`` numbering and sparse
   section rows; 1 to 3, default 1.
+* Many files (S10): ``schemas`` has a row per file with its names, ``rows`` a map from
+  name to cell per record; nothing is decided on the driver.
 """
 
 from __future__ import annotations
@@ -21,10 +28,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from sheaf.functions.names import over_names, unique_name_list
+from sheaf.functions.names import unique_name_array
 from sheaf.operators.headers import merge_header_levels
+from sheaf.session import cut_lineage
 
 # ---- fixed values ------------------------------------------------------------
 DELIMITER_CANDIDATES = [",", "|", "\t", ";", ":"]
@@ -32,8 +39,7 @@ SNIFF_LINES = 20
 HEADER_PREVIEW_ROWS = 5
 ALLOWED_EXTENSIONS = [".csv", ".xlsx"]
 # ------------------------------------------------------------------------------
-
-
+STRETCH_LINES = 100_000     # lines of a file that one window task sees
 
 def split_input(paths: DataFrame, path_col: str = "path") -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) by lower-cased extension."""
@@ -44,7 +50,7 @@ def split_input(paths: DataFrame, path_col: str = "path") -> tuple[DataFrame, Da
 
 def read_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """``(_file, _row, line)`` with a dense 0-based line number per file."""
-    raw = (spark.read.text(paths)
+    raw = (spark.read.text(paths, lineSep="\n")
            .select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_blk"),
                    F.monotonically_increasing_id().alias("_mid"), F.col("value").alias("line")))
     blk = raw.groupBy("_file", "_blk").agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_n"))
@@ -63,7 +69,7 @@ def detect_dialect(lines: DataFrame) -> DataFrame:
     first = lines.where(F.col("_row") == 0).select(
         "_file", F.regexp_replace(F.col("line"), r"[\r\n]+$", "").alias("first"))
     directive = F.lower(F.col("first")).startswith("sep=") & (F.length(F.trim("first")) <= 6)
-    head = lines.where((F.col("_row") < SNIFF_LINES) & (F.trim(F.col("line")) != ""))
+    head = lines.where((F.col("_row") < SNIFF_LINES) & (F.trim(F.col("line"), F.lit(" \r")) != ""))
     aggs = []
     for i, d in enumerate(DELIMITER_CANDIDATES):
         n = _nfields(F.col("line"), d).cast("double")
@@ -82,47 +88,139 @@ def detect_dialect(lines: DataFrame) -> DataFrame:
                     F.when(directive, F.lit(1)).otherwise(F.lit(0)).alias("skip_rows"))
 
 
-def parse_cells(lines: DataFrame, dialect: DataFrame, n_cols: int | None = None) -> DataFrame:
-    """Cells of every content line: ``(_file, _row, _c0 .. _cN)``; ``_row`` counts
-    from the first line after the directive. ``n_cols`` defaults to the widest
-    line (naive split; quoting can only lower the real count)."""
-    lj = lines.join(dialect, "_file").where(F.col("_row") >= F.col("skip_rows")) \
-        .withColumn("_row", F.col("_row") - F.col("skip_rows"))
-    delims = [r[0] for r in dialect.select("delimiter").distinct().collect()]   # bounded: <= a few
-    if n_cols is None:
-        widths = [lj.where(F.col("delimiter") == x).agg(F.max(_nfields(F.col("line"), x))).first()[0] or 1
-                  for x in delims]
-        n_cols = max(widths) if widths else 1
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(n_cols)])
-    out = None
-    for x in delims:
-        p = (lj.where(F.col("delimiter") == x)
-             .select("_file", "_row", F.from_csv("line", schema.simpleString(), {"sep": x, "mode": "PERMISSIVE"})
-                     .alias("c"))
-             .select("_file", "_row", *[F.col(f"c._c{i}") for i in range(n_cols)]))
-        out = p if out is None else out.unionByName(p)
-    return out
-
-
-def _row_flags(cells: DataFrame, n_cols: int) -> DataFrame:
-    cs = [F.when(F.trim(F.col(f"_c{i}")) != "", F.trim(F.col(f"_c{i}"))) for i in range(n_cols)]
-    filled = sum((F.when(c.isNotNull(), 1).otherwise(0) for c in cs), F.lit(0))
-    numeric = sum((F.when(c.try_cast("double").isNotNull(), 1).otherwise(0) for c in cs), F.lit(0))
-    labels = filled - numeric
-    ints = F.array(*[c.try_cast("int") for c in cs])
-    vals = F.filter(ints, lambda v: v.isNotNull())
-    numbering = (F.size(vals) >= 3) & (F.size(vals) == filled) & (vals[0] == 1) & F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.size(vals) - 1, F.lit(1))), F.lit(True),
-        lambda acc, i: acc & ((F.size(vals) == 1) | (F.element_at(vals, i + 1) > F.element_at(vals, i))))
-    last_filled = F.greatest(*[F.when(c.isNotNull(), F.lit(i)) for i, c in enumerate(cs)], F.lit(-1))
-    first_two_only = (filled > 0) & (filled <= 2) & (last_filled <= 1)
-    return cells.select("_file", "_row", filled.alias("filled"), labels.alias("labels"),
-                        numbering.alias("numbering"), first_two_only.alias("section"))
-
-
-def detect_header_rows(cells: DataFrame, n_cols: int) -> DataFrame:
+def _after_text(state: Column, text: Column, delim: Column) -> Column:
+    """Parser state after text without quotes. States: 0 at the start of a field, 1 in a
+    plain field, 2 in quotes, 3 after a quote that ends a quoted part or is half of two."""
+    return (F.when((text == "") | (state == 2), state)
+            .when(text.endswith(delim), F.lit(0)).otherwise(F.lit(1)))
+
+
+def _after_quote(state: Column) -> Column:
+    """A quote opens only at the start of a field; two in quotes are one quote's text."""
+    return F.when(state == 0, F.lit(2)).when(state == 2, F.lit(3)).when(state == 3, F.lit(2)).otherwise(state)
+
+
+def _ends_inside(line: Column, delim: Column, inside: bool) -> Column:
+    """Whether the line break after ``line`` is inside quotes, if it began so or not."""
+    parts = F.split(line, '"', -1)
+    start = _after_text(F.lit(2 if inside else 0), F.get(parts, 0), delim)
+    end = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), start,
+                      lambda s, text: _after_text(_after_quote(s), text, delim))
+    return F.when(line.contains('"'), end == 2).otherwise(F.lit(inside))
+
+
+def _effect_before(w, opens: Column, stays: Column) -> tuple[Column, Column]:
+    """What all rows before a row (in ``w``) make of the bit that the first began with:
+    (fixed, flips). A row maps outside to ``opens`` and inside to ``stays``. From the last
+    row that maps both alike on, the bit is known up to the flips since; ``fixed`` is null
+    if there is none, and then ``flips`` are to be applied to the first row's bit."""
+    known = opens == stays
+    flip = (opens & ~stays).cast("int")
+    total = F.coalesce(F.sum(flip).over(w), F.lit(0))
+    at = F.last(F.when(known, F.struct(opens.alias("bit"), F.col("_flips").alias("flips"))), ignorenulls=True).over(w)
+    return (F.when(at.isNotNull(), at["bit"] != ((total - at["flips"]) % 2 == 1)), total % 2 == 1)
+
+
+def quoted_records(lines: DataFrame, dialect: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(records, broken)``. ``records`` is ``(_file, _row, line, delimiter)`` with a
+    dense record number per file and quoted line breaks inside ``line``; lines of the
+    directive are skipped. A file whose last quote never closes cannot be read: it is in
+    ``broken`` (``_file``, ``_row`` of the physical line that opened it) and has no records."""
+    own = (lines.join(dialect, "_file").where(F.col("_row") >= F.col("skip_rows"))
+           .withColumn("_row", F.col("_row") - F.col("skip_rows")))
+    opens = _ends_inside(F.col("line"), F.col("delimiter"), False)
+    own = own.withColumn("_opens", opens)
+    risky = own.where("_opens").select("_file").distinct()
+    plain = own.join(risky, "_file", "left_anti").select("_file", "_row", "line", "delimiter")
+
+    many = own.join(risky, "_file").withColumn("_stays", _ends_inside(F.col("line"), F.col("delimiter"), True))
+    # windows over stretches of a fixed number of lines, whatever the size of the file
+    many = many.withColumn("_blk", F.expr(f"_row div {STRETCH_LINES}"))
+    inner = Window.partitionBy("_file", "_blk").orderBy("_row")
+    before = inner.rowsBetween(Window.unboundedPreceding, -1)
+    flips = F.sum((F.col("_opens") & ~F.col("_stays")).cast("int")).over(inner.rowsBetween(Window.unboundedPreceding, 0))
+    many = many.withColumn("_flips", flips)
+    fixed, odd = _effect_before(before, F.col("_opens"), F.col("_stays"))
+    many = cut_lineage(many.withColumn("_fixed", fixed).withColumn("_odd", odd))
+    # one row a stretch: its effect is that of its last line after what was before it
+    last = (many.withColumn("_n", F.row_number().over(Window.partitionBy("_file", "_blk").orderBy(F.col("_row").desc())))
+            .where("_n = 1"))
+    begin = lambda bit: F.coalesce(F.col("_fixed"), F.col("_odd") != F.lit(bit))
+    through = lambda bit: F.when(begin(bit), F.col("_stays")).otherwise(F.col("_opens"))
+    blocks = last.select("_file", "_blk", through(False).alias("_o"), through(True).alias("_s"))
+    outer = Window.partitionBy("_file").orderBy("_blk")
+    blocks = blocks.withColumn("_flips", F.sum((F.col("_o") & ~F.col("_s")).cast("int")).over(outer.rowsBetween(Window.unboundedPreceding, 0)))
+    fixed, odd = _effect_before(outer.rowsBetween(Window.unboundedPreceding, -1), F.col("_o"), F.col("_s"))
+    blocks = blocks.select("_file", "_blk", F.coalesce(fixed, odd).alias("_begin"), "_o", "_s",
+                           F.row_number().over(Window.partitionBy("_file").orderBy(F.col("_blk").desc())).alias("_n"))
+    unclosed = blocks.where("_n = 1 AND CASE WHEN _begin THEN _s ELSE _o END").select("_file")
+    told = (many.join(blocks.select("_file", "_blk", "_begin"), ["_file", "_blk"])
+            .withColumn("_in", F.coalesce("_fixed", F.col("_odd") != F.col("_begin"))))
+    starts = F.sum((~F.col("_in")).cast("int")).over(inner.rowsBetween(Window.unboundedPreceding, 0))
+    told = cut_lineage(told.withColumn("_nth", starts).select("_file", "_blk", "_row", "line", "delimiter", "_in", "_opens", "_stays", "_nth"))
+    per = told.groupBy("_file", "_blk").agg(F.max("_nth").alias("_starts"))
+    per = per.select("_file", "_blk", F.coalesce(F.sum("_starts").over(outer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    told = told.join(per, ["_file", "_blk"]).withColumn("_rec", F.col("_off") + F.col("_nth") - 1)
+    broken = told.join(unclosed, "_file").where(~F.col("_in") & F.col("_opens")).groupBy("_file").agg(F.max("_row").alias("_row"))
+    told = told.join(unclosed, "_file", "left_anti")
+    alone = ~F.col("_in") & ~F.col("_opens")
+    single = told.where(alone).select("_file", F.col("_rec").alias("_row"), "line", "delimiter")
+    # only lines of records that span several lines meet
+    split = (told.where(~alone).groupBy("_file", "_rec", "delimiter")
+             .agg(F.sort_array(F.collect_list(F.struct("_row", "line"))).alias("_l"))
+             .select("_file", F.col("_rec").alias("_row"), F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("line"), "delimiter"))
+    return plain.unionByName(single).unionByName(split), broken
+
+
+def split_cells(line: Column, delim: Column) -> Column:
+    """The cells of one record as an array: quotes around a field go, two quotes in quotes
+    are one, a quote within a plain field is text. A carriage return that ends the record
+    is no part of it."""
+    text = F.regexp_replace(line, r"\r\z", "")
+    parts = F.split(text, '"', -1)
+
+    def put(acc, piece, state):
+        """Text without quotes: outside quotes it is cut at delimiters."""
+        cut = F.split(piece, F.concat(F.lit("\\Q"), delim, F.lit("\\E")), -1)
+        more = F.concat(acc["done"], F.array(F.concat(acc["cur"], F.get(cut, 0))), F.slice(cut, 2, F.greatest(F.size(cut) - 2, F.lit(0))))
+        many = (state != 2) & (F.size(cut) > 1)
+        return F.struct(F.when(many, more).otherwise(acc["done"]).alias("done"),
+                        F.when(many, F.element_at(cut, -1)).otherwise(F.concat(acc["cur"], piece)).alias("cur"),
+                        _after_text(state, piece, delim).alias("s"))
+
+    empty = F.struct(F.expr("cast(array() as array<string>)").alias("done"), F.lit("").alias("cur"), F.lit(0).alias("s"))
+
+    def step(acc, piece):
+        # a quote that is text: in a plain field, or the second of two in quotes
+        said = F.when((acc["s"] == 1) | (acc["s"] == 3), F.lit('"')).otherwise(F.lit(""))
+        with_quote = F.struct(acc["done"].alias("done"), F.concat(acc["cur"], said).alias("cur"), acc["s"].alias("s"))
+        return put(with_quote, piece, _after_quote(acc["s"]))
+
+    rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+    folded = F.aggregate(rest, put(empty, F.get(parts, 0), F.lit(0)), step)
+    quoted = F.concat(folded["done"], F.array(folded["cur"]))
+    plain = F.split(text, F.concat(F.lit("\\Q"), delim, F.lit("\\E")), -1)
+    return F.when(text.contains('"'), quoted).otherwise(plain)
+
+
+def _header_flags(rows: DataFrame) -> DataFrame:
+    """Per row of cells: filled and label cells, numbering and section rows."""
+    cells = F.transform("cells", lambda c: F.nullif(F.trim(c), F.lit("")))
+    filled = F.size(F.filter(cells, lambda c: c.isNotNull()))
+    numeric = F.size(F.filter(cells, lambda c: c.try_cast("double").isNotNull()))
+    vals = F.filter(F.transform(cells, lambda c: c.try_cast("int")), lambda v: v.isNotNull())
+    rising = F.forall(F.zip_with(F.slice(vals, 2, F.greatest(F.size(vals) - 1, F.lit(0))), F.slice(vals, 1, F.greatest(F.size(vals) - 1, F.lit(0))),
+                                 lambda b, a: b > a), lambda x: x)
+    numbering = (F.size(vals) >= 3) & (F.size(vals) == filled) & (F.get(vals, 0) == 1) & rising
+    first_two = F.size(F.filter(F.slice(cells, 1, 2), lambda c: c.isNotNull()))
+    return rows.select("_file", "_row", "cells", filled.alias("filled"), (filled - numeric).alias("labels"),
+                       F.coalesce(numbering, F.lit(False)).alias("numbering"),
+                       ((filled > 0) & (filled <= 2) & (first_two == filled)).alias("section"))
+
+
+def detect_header_rows(rows: DataFrame) -> DataFrame:
     """S3 per file -> ``(_file, header_rows, header_row_ids)`` over the first 5 rows."""
-    f = _row_flags(cells.where(F.col("_row") < HEADER_PREVIEW_ROWS), n_cols)
+    f = _header_flags(rows.where(F.col("_row") < HEADER_PREVIEW_ROWS))
     g = f.groupBy("_file").agg(F.sort_array(F.collect_list(F.struct("_row", "filled", "labels", "numbering",
                                                                     "section"))).alias("rows"))
     # fold in row order: skip blank / numbering / section rows, count label rows, stop at the first other row
@@ -143,43 +241,68 @@ def detect_header_rows(cells: DataFrame, n_cols: int) -> DataFrame:
 
 @dataclass
 class DelimitedScan:
-    cells: DataFrame        # (_file, _row, _c0.._cN) for every content line
-    dialect: DataFrame      # (_file, delimiter, skip_rows)
-    headers: DataFrame      # (_file, header_rows, header_row_ids)
-    n_cols: int
+    """Any number of files in one plan. ``records``: (_file, _row, cells) for every content
+    record. ``dialect``: (_file, delimiter, skip_rows). ``headers``: (_file, header_rows,
+    header_row_ids). ``broken``: files whose last quote never closes (_file, _row)."""
+
+    records: DataFrame
+    dialect: DataFrame
+    headers: DataFrame
+    broken: DataFrame
+
+    def schemas(self) -> DataFrame:
+        """A row per file -- delimiter, header_rows, last_header (row), width, n_rows
+        (records with a cell that is not blank, after the headers) and unique ``names``
+        (H1 over several header rows, H8). Names reach as far as any record does."""
+        blank = F.forall("cells", lambda c: F.trim(c) == "")
+        h = self.headers.select("_file", "header_rows", "header_row_ids", F.array_max("header_row_ids").alias("last_header"))
+        per = (self.records.join(h, "_file").groupBy("_file", "header_rows", "last_header").agg(
+            F.count(F.when((F.col("_row") > F.col("last_header")) & ~blank, 1)).alias("n_rows"),
+            F.max(F.when(F.array_contains("header_row_ids", F.col("_row")) | ~blank, F.size("cells"))).alias("width"),
+            # at most three header rows a file
+            F.sort_array(F.collect_list(F.when(F.array_contains("header_row_ids", F.col("_row")), F.struct("_row", "cells")))).alias("grid")))
+        level = lambda j: F.transform("grid", lambda g: F.coalesce(
+            F.nullif(F.get(g["cells"], j), F.lit("")), F.concat(F.lit("Unnamed: "), j.cast("string"))))
+        places = F.sequence(F.lit(0), F.greatest("width", F.lit(1)) - 1)
+        one = F.transform(places, lambda j: F.get(level(j), 0))
+        several = F.transform(places, lambda j: merge_header_levels(level(j)))
+        per = per.withColumn("names", unique_name_array(F.when(F.size("grid") > 1, several).otherwise(one)))
+        return per.join(self.dialect.select("_file", "delimiter"), "_file").drop("grid")
 
-    def files(self) -> list[str]:
-        return [r[0] for r in self.dialect.select("_file").collect()]
+    def rows(self, schemas: DataFrame | None = None) -> DataFrame:
+        """``(_file, _row, values)`` of all files, ``values`` a map from the file's own
+        names to cells; blank records are dropped."""
+        schemas = self.schemas() if schemas is None else schemas
+        body = (self.records.join(schemas.select("_file", "last_header", "names"), "_file").where(F.col("_row") > F.col("last_header"))
+                .where(~F.forall("cells", lambda c: F.trim(c) == "")))
+        size = F.least(F.size("cells"), F.size("names"))
+        return body.select("_file", "_row", F.map_from_arrays(F.slice("names", 1, size), F.slice("cells", 1, size)).alias("values"))
+
+    def save(self, folder: str) -> None:
+        """The rows of all files as Parquet with a partition per file
+        (``file_key``, a hash of the path) and ``schemas`` beside them with the same key."""
+        key = F.sha2("_file", 256).alias("file_key")
+        schemas = cut_lineage(self.schemas())
+        schemas.select(key, "*").write.parquet(f"{folder.rstrip('/')}/schemas")
+        # ranges of rows, so that a file of any size is written by as many tasks as it needs
+        (self.rows(schemas).select(key, "*").repartitionByRange("file_key", "_row")
+         .write.partitionBy("file_key").parquet(f"{folder.rstrip('/')}/rows"))
 
     def frame(self, file: str) -> DataFrame:
-        """One file as a DataFrame with merged header names (H1/H3 over the header
-        grid; blank header cells named like ``Unnamed: i``), blank lines dropped,
-        rows after the last header row; ``_file``/``_row`` kept for order."""
-        h = self.headers.where(F.col("_file") == file).first()
-        ids = list(h["header_row_ids"]) if h else [0]
-        c = self.cells.where(F.col("_file") == file)
-        grid = c.where(F.col("_row").isin(ids)).orderBy("_row").collect()      # <= 3 rows
-        cols = [f"_c{i}" for i in range(self.n_cols)]
-        levels = [[r[k] if r[k] not in (None, "") else f"Unnamed: {j}" for r in grid] for j, k in enumerate(cols)]
-        flat = ["\x1f".join(lv) for lv in levels]  # one string per column for the array function
-        names = unique_name_list(over_names(flat, lambda a: F.transform(a, lambda x: merge_header_levels(F.split(x, "\x1f"))))
-                                 if len(grid) > 1 else [lv[0] for lv in levels] if grid else cols)
-        body = c.where(F.col("_row") > max(ids))
-        nonblank = F.lit(False)
-        for k in cols:
-            nonblank = nonblank | (F.trim(F.col(k)) != "")
-        body = body.where(nonblank)
-        # this file's width: the last positional column holding any value (one aggregate)
-        filled = c.agg(*[F.count(F.col(k)).alias(k) for k in cols]).first()
-        width = max((i + 1 for i, k in enumerate(cols) if filled[k]), default=1)
-        used = list(zip(cols, names))[:width]
-        return body.select("_file", "_row", *[F.col(k).alias(n) for k, n in used])
-
-
-def scan_delimited(spark: SparkSession, paths: list[str] | str) -> DelimitedScan:
-    """S1 + S10: one scan over any number of files."""
+        """One file as a DataFrame with its own column names; ``_file``/``_row`` kept for order."""
+        row = self.schemas().where(F.col("_file") == file).first()
+        names = list(row["names"]) if row else []
+        body = self.records.where((F.col("_file") == file) & (F.col("_row") > (row["last_header"] if row else 0)))
+        body = body.where(~F.forall("cells", lambda c: F.trim(c) == ""))
+        return body.select("_file", "_row", *[F.get("cells", i).alias(n) for i, n in enumerate(names)])
+
+
+def scan_delimited(spark: SparkSession, paths: list[str] | str, delimiter: str | None = None) -> DelimitedScan:
+    """S1 + S10: one scan over any number of files. ``delimiter`` overrides detection."""
     lines = read_lines(spark, paths)
-    dialect = detect_dialect(lines)
-    cells = parse_cells(lines, dialect)
-    n_cols = len([c for c in cells.columns if c.startswith("_c")])
-    return DelimitedScan(cells, dialect, detect_header_rows(cells, n_cols), n_cols)
+    dialect = cut_lineage(detect_dialect(lines))    # one row a file, used by all that follows
+    if delimiter is not None:
+        dialect = dialect.withColumn("delimiter", F.lit(delimiter))
+    records, broken = quoted_records(lines, dialect)
+    records = records.select("_file", "_row", split_cells(F.col("line"), F.col("delimiter")).alias("cells"))
+    return DelimitedScan(records, dialect, detect_header_rows(records), broken)
