@@ -18,8 +18,9 @@ A document is read by seeking to its frame (``read_tokens`` with ``only``). Task
 sorted ranges and append to one file each under a name of its own attempt; the index, which
 Spark commits, names the files that count, so files of failed attempts are never read.
 
-Words, parted by ASCII white space, are encoded once and remembered: the tokenizer parts
-words there itself, so the ids of a text are those of its words in order.
+Words, parted by ASCII white space and from marks that end them, are encoded once and
+remembered: tokenizers of the kind ``BY_WORD`` part words there themselves, so the ids of a
+text are those of its words in order. Other tokenizers get whole texts.
 
 Defined cases: null texts are empty and have the end id alone; whole texts of any length;
 null ids come first; documents that share an id follow in the order of the first 64
@@ -30,6 +31,7 @@ are plain text; extra columns are ignored; an empty table writes an empty index.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
 import uuid
@@ -38,6 +40,7 @@ from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,35 +50,47 @@ from sheaf.llm.common import bounded_batches
 SAMPLE_DOCS = 2048          # documents whose ids train the dictionary
 SAMPLE_CHARS = 4096         # characters of a sampled text at most; longer texts are not sampled
 DICTIONARY_BYTES = 1 << 15
-REMEMBERED = 1 << 17        # words in each of the two generations that a worker remembers
-STRETCH = 1 << 20           # characters of a text that are split at a time
+REMEMBERED = 1 << 18        # words in each of the two generations that a worker remembers
+STRETCH = 1 << 22           # characters that are split at a time
 TOGETHER = 64               # new words encoded in one call
 READ_BYTES = 8 << 20        # neighbouring frames that are read at once
 TASK_BYTES = 128 << 20      # compressed bytes that one reading task should get
+END_MARKS = ".,;:!?"
+PLAIN = "[0-9A-Za-zÀ-ÖØ-öø-į]"
+LATIN = "\u0130"            # below it, every letter has one lower-case form and is composed already
+# A normalizer and pre-tokenizer that part words at white space and before marks.
+BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None}
 MAGIC = b"SHEAFID1"
 HEADER = "<8sII32s"
-_WORDS = re.compile(r"[^ \t\n\r\f\v]+").findall
 _BLANK = re.compile(r"[ \t\n\r\f\v]").search
 _LOADED: dict[str, WordIds] = {}
 
 
 class WordIds:
-    """Ids of texts, as bytes of ``width`` each."""
+    """Ids of texts, as bytes of ``width`` each. Where the tokenizer is one that treats
+    words on their own (``BY_WORD``), each word is encoded once; else whole texts are."""
 
     def __init__(self, tokenizer_json: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        kind = json.loads(tokenizer_json)
+        self.whole = _tokenizer(tokenizer_json)
+        self.width = 2 if self.whole.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        alone = self._each(["0", "0 0"])
-        # the digit 0 is a token of its own and so parts words that do not hold it
-        self.mark = int(np.frombuffer(alone[0], self.kind)[0]) if len(alone[0]) == self.width and alone[1] == alone[0] * 2 else None
-        self.young: dict[str, bytes] = {}
+        self.by_word = all(kind.get(k) == v for k, v in BY_WORD.items()) and not kind["model"].get("dropout")
+        # lower-cased letters below LATIN need none of the normalizer's other steps
+        self.plain = _tokenizer(json.dumps(kind | {"normalizer": None}))
+        self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
+        # the digit 0 is a token of its own and so parts words that do not hold it
+        zero = self._each(self.whole, ["0"])[0]
+        self.by_word &= len(zero) == self.width
+        self.zero = int(np.frombuffer(zero, self.kind)[0])
 
     @classmethod
     def loaded(cls, tokenizer_json: str) -> WordIds:
@@ -85,61 +100,93 @@ class WordIds:
             _LOADED[key] = cls(tokenizer_json)
         return _LOADED[key]
 
-    def _each(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _each(self, tokenizer, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
         if len(self.young) >= REMEMBERED:
-            self.young, self.old = {}, self.young
-        plain = [w for w in words if self.mark is not None and "0" not in w]
-        groups = [plain[k:k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
-        for group, raw in zip(groups, self._each([" 0 ".join(g) for g in groups])):
-            marks = np.flatnonzero(np.frombuffer(raw, self.kind) == self.mark).tolist()
+            self.young, self.old = {"": b""}, self.young
+        easy: list[str] = []
+        hard: list[str] = []
+        for w in words:
+            (easy if "0" not in w and (w.isascii() or max(w) < LATIN) else hard).append(w)
+        groups = [easy[k:k + TOGETHER] for k in range(0, len(easy), TOGETHER)]
+        for group, raw in zip(groups, self._each(self.plain, [" 0 ".join(g).lower() for g in groups])):
+            marks = np.flatnonzero(np.frombuffer(raw, self.kind) == self.zero).tolist()
             at = 0
             for word, end in zip(group, [*marks, len(raw) // self.width], strict=True):
                 self.young[word] = raw[at * self.width:end * self.width]
                 at = end + 1
-        rest = words if self.mark is None else [w for w in words if "0" in w]
-        self.young.update(zip(rest, self._each(rest)))
-
-    def _known(self, words: list[str]) -> None:
-        young, old = self.young, self.old
-        new = [w for w in set(words) if w not in young]
-        for w in new:
-            if w in old:
-                young[w] = old[w]
-        if new := [w for w in new if w not in young]:
-            for k in range(0, len(new), REMEMBERED):
-                self._learn(new[k:k + REMEMBERED])
-
-    def encode(self, text: str) -> bytes:
+        self.young.update(zip(hard, self._each(self.whole, hard)))
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words."""
+        found = list(map(self.young.get, words))
+        lost = [k for k, x in enumerate(found) if x is None]
+        new = []
+        for k in lost:
+            found[k] = self.old.get(words[k])
+            if found[k] is None:
+                new.append(k)
+            else:
+                self.young[words[k]] = found[k]
+        for k in range(0, len(new), REMEMBERED // 2):
+            part = new[k:k + REMEMBERED // 2]
+            self._learn([words[j] for j in part])
+            for j in part:
+                found[j] = self.young[words[j]]
+        return found
+
+    def _by_word(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of texts of bounded length together."""
+        lists = pc.ascii_split_whitespace(texts)
+        flat = lists.flatten().dictionary_encode()
+        distinct, at = flat.dictionary, flat.indices.to_numpy()
+        # marks that end a word are tokens of their own behind a plain letter or digit
+        core = pc.utf8_rtrim(distinct, END_MARKS)
+        cut = pc.match_substring_regex(core, f"{PLAIN}$")
+        core = pc.if_else(cut, core, distinct).dictionary_encode()
+        tail = pc.if_else(cut, pc.replace_substring_regex(distinct, f"(?s)^.*{PLAIN}", ""), "").dictionary_encode()
+        known = [self._known(x.dictionary.to_pylist()) for x in (core, tail)]
+        size = np.fromiter((len(w) // self.width for x in known for w in x), np.int64)
+        table = np.frombuffer(b"".join([*known[0], *known[1]]), self.kind)
+        # each word is two pieces of the table
+        pieces = np.empty(2 * len(at), np.int64)
+        pieces[0::2] = core.indices.to_numpy()[at]
+        pieces[1::2] = tail.indices.to_numpy()[at] + len(known[0])
+        n = size[pieces]
+        ends = np.cumsum(n)
+        out = table[np.repeat((np.cumsum(size) - size)[pieces] - (ends - n), n) + np.arange(n.sum())]
+        borders = np.concatenate([[0], ends[1::2]])[lists.offsets.to_numpy()]
+        return [out[a:b] for a, b in zip(borders[:-1], borders[1:])]
+
+    def encode_batch(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text; none is null."""
+        if not self.by_word:
+            return [x for t in texts.to_pylist() for x in self._each(self.whole, [t])]
+        if not len(texts) or pc.max(pc.binary_length(texts)).as_py() <= STRETCH:
+            return [x.tobytes() for x in self._by_word(texts)]
+        return [self._long(t) for t in texts.to_pylist()]
+
+    def _long(self, text: str) -> bytes:
+        """A text cut at white space into stretches."""
         out, at = [], 0
         while at < len(text):
             cut = _BLANK(text, at + STRETCH) if len(text) - at > STRETCH else None
             end = cut.start() if cut else len(text)
-            words = _WORDS(text[at:end])
-            for k in range(0, len(words), REMEMBERED // 2):
-                part = words[k:k + REMEMBERED // 2]
-                try:
-                    out.append(b"".join(map(self.young.__getitem__, part)))
-                except KeyError:
-                    self._known(part)
-                    get, old = self.young.get, self.old
-                    out.append(b"".join([get(w) or old[w] for w in part]))
+            out.append(self._by_word(pa.array([text[at:end]]))[0].tobytes())
             at = end
         return b"".join(out)
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """New words of short texts are learned together."""
-        short = [_WORDS(t) for t in texts if len(t) <= STRETCH]
-        held: list[str] = []
-        for words in short:
-            held += words
-            if len(held) >= REMEMBERED // 2:
-                self._known(held[:REMEMBERED])
-                held = []
-        self._known(held)
-        return [self.encode(t) for t in texts]
+
+def _tokenizer(tokenizer_json: str):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(tokenizer_json)
+    tokenizer.encode_special_tokens = True
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
 
 
 def _store(folder: str):
@@ -165,7 +212,7 @@ def train_dictionary(docs: DataFrame, tokenizer_json: str, end_id: int, id_col:
         ids = WordIds.loaded(shared.value)
         end = np.array([end_id], ids.kind).tobytes()
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([x + end for x in ids.encode_batch(batch.column(1).to_pylist())], pa.binary())], ["at", "ids"])
+            yield pa.record_batch([batch.column(0), pa.array([x + end for x in ids.encode_batch(batch.column(1))], pa.binary())], ["at", "ids"])
 
     sample = (docs.where(F.length(text_col).between(1, SAMPLE_CHARS))
               .select(F.xxhash64(F.col(id_col).cast("string"), text_col).alias("at"), F.col(text_col).cast("string").alias("text"))
@@ -208,7 +255,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_json: str, end_id: int,
                     store, root = _store(folder)
                     out = store.open_output_stream(f"{root}/data/{name}")
                     out.write(struct.pack(HEADER, MAGIC, ids.width, 0, hashlib.sha256(raw).digest()))
-                arrays = [x + end for x in ids.encode_batch(batch.column(1).to_pylist())]
+                arrays = [x + end for x in ids.encode_batch(batch.column(1))]
                 frames = [pack(x) for x in arrays]
                 out.write(b"".join(frames))
                 sizes = np.array([len(f) for f in frames], np.int64)
