@@ -8,12 +8,15 @@ from __future__ import annotations
 import uuid
 from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.plans.registry import register
 from sheaf.session import cut_lineage, ensure_checkpoint_dir, table
+from sheaf.operators import sheets as X
 from sheaf.sources import delimited as DL
+from sheaf.sources import workbook as WB
 
 _C = ["','", "'|'", "chr(9)", "';'", "':'"]
 _SCORES = ",\n".join(
@@ -139,3 +142,51 @@ def q_layouts(spark, sf_dir):
     return schemas.join(told, "_file").select(
         F.regexp_extract("_file", r"file=(\d+)", 1).cast("long").alias("file"), "delimiter", "header_rows", "width",
         F.array_join("names", "/").alias("names"), "n_rows", "sum_key", "chars", "first_key", "last_key")
+
+
+def write_books(rows: DataFrame, order: str, sheet: str, title) -> str:
+    """A workbook per ``book`` with a sheet per value of ``sheet``: a merged title over the
+    columns, a header row and the rows in the order of ``order``. Books are bounded by the
+    caller's choice of ``book``; each is written whole by one task."""
+    folder = f"{ensure_checkpoint_dir(rows.sparkSession).rstrip('/')}/sheaf-books-{uuid.uuid4().hex}"
+    columns = [c for c in rows.columns if c not in ("book", sheet)]
+
+    def write(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow.fs import FileSystem
+
+        store, root = FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        part = part.sort_values(order)
+        sheets = {name: [[title(name)], columns, *(list(r) for r in p[columns].itertuples(index=False))] for name, p in part.groupby(sheet)}
+        merged = {name: [f"A1:{chr(64 + len(columns))}1"] for name in sheets}
+        with store.open_output_stream(f"{root}/book-{key[0]}.xlsx") as f:
+            WB.write_xlsx(f, sheets, merged, shared=key[0] % 2 == 0)
+        return pd.DataFrame({"book": [key[0]], "sheets": [len(sheets)]})
+
+    rows.groupBy("book").applyInPandas(write, "book long, sheets long").agg(F.sum("sheets")).collect()
+    return folder
+
+
+@register("s4_workbooks", """
+WITH n AS (SELECT 12 + count(*) // 2000 AS n FROM orders)
+SELECT o_orderkey % n AS book, o_orderstatus AS sheet, (2 + row_number() OVER (PARTITION BY o_orderkey % n, o_orderstatus ORDER BY o_orderkey))::INTEGER AS row,
+       'Orders in state ' || o_orderstatus AS title, o_orderkey AS order_key, strftime(o_orderdate, '%Y-%m-%d') AS order_date,
+       CAST(o_totalprice AS DOUBLE) AS price, o_orderpriority AS priority
+FROM orders, n WHERE o_orderstatus IN ('F', 'P')""")
+def q_workbooks(spark, sf_dir):
+    """All orders written as workbooks (a sheet per status, a merged title, dates)
+    and two of the statuses read back; the sheets of the third are pruned while planning."""
+    o = table(spark, sf_dir, "orders")
+    n = 12 + o.count() // 2000
+    folder = write_books(o.select((F.col("o_orderkey") % n).alias("book"), "o_orderstatus", F.col("o_orderkey").alias("key"),
+                                  F.to_date("o_orderdate").alias("date"), F.col("o_totalprice").cast("double").alias("price"),
+                                  F.col("o_orderpriority").alias("priority")), "key", "o_orderstatus", lambda s: f"Orders in state {s}")
+    cells, merges = WB.cells_and_merges(cut_lineage(WB.read_workbooks(spark, folder).where(F.col("sheet").isin("F", "P"))))
+    cells = X.fill_merged(cells, merges)
+    at = lambda col, of=F.col("value"): F.max(F.when(F.col("col") == col, of))
+    rows = cells.where("row > 2").groupBy("_file", "sheet", "row").agg(
+        at(1).cast("long").alias("order_key"), at(2).alias("order_date"), at(3).cast("double").alias("price"), at(4).alias("priority"))
+    titles = cells.where("row = 1 AND col = 4").select("_file", "sheet", F.col("value").alias("title"))
+    return rows.join(titles, ["_file", "sheet"]).select(
+        F.regexp_extract("_file", r"book-(\d+)", 1).cast("long").alias("book"), "sheet", F.col("row").cast("int").alias("row"),
+        "title", "order_key", "order_date", "price", "priority")

@@ -1,22 +1,27 @@
-"""Workbook scan (S4): ``.xlsx`` files -> long cells + merged ranges.
+"""Workbook scan (S4): ``.xlsx`` files -> long cells + merged ranges, as a Python data source.
 
-Workbooks are read in tasks of a few files (``binaryFile`` + ``mapInPandas``): the zip is
-opened with the standard library, every sheet's XML is streamed, and cells and merged ranges
-leave in chunks, so neither a grid nor a list of a whole book is held. (No spreadsheet
-library is needed.)"""
+``spark.read.format("sheaf_workbook").load(folder)`` has one partition per book and sheet.
+Planning reads the list of sheets of each book and nothing else; filters on ``_file`` and
+``sheet`` are pushed into it, so other books are not opened and other sheets not parsed.
+A task streams its sheet's XML and hands rows on in chunks, so neither a grid nor a whole
+book is held; shared strings are read when the first cell refers to one. (No spreadsheet
+library is needed: the standard library opens the zip.)"""
 
 from __future__ import annotations
 
 import datetime as dt
-import io
+import fnmatch
 import re
 import xml.etree.ElementTree as ET
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 from sheaf.session import cut_lineage
 
@@ -28,8 +33,8 @@ REL_NS = "http://schemas.openxmlformats.org/package/2006/relationships"
 DATE_FORMAT_IDS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
 DAY_ZERO, DAY_ZERO_1904 = dt.datetime(1899, 12, 30), dt.datetime(1904, 1, 1)
 # ------------------------------------------------------------------------------
-BOOKS_AT_A_TIME = 8
-CHUNK = 10_000
+LISTING_THREADS = 16    # books whose lists of sheets are read at a time while planning
+CHUNK = 10_000          # rows handed on at a time
 #: A cell has kind s (text), n (number), b (boolean) or d (date); a merged range has kind
 #: merge, with its last row and column.
 RECORD = "_file string, sheet string, row int, col int, max_row int, max_col int, value string, kind string"
@@ -80,42 +85,63 @@ def _date_text(serial: str, zero: dt.datetime) -> str | None:
     return when.strftime("%Y-%m-%d") if when.time() == dt.time(0) else when.strftime("%Y-%m-%d %H:%M:%S")
 
 
-def read_book(path: str, content: bytes) -> Iterator[tuple]:
-    """The records of one workbook, in the order of its sheets."""
-    z = zipfile.ZipFile(io.BytesIO(content))
-    names = set(z.namelist())
-    shared: list[str] = []
-    if "xl/sharedStrings.xml" in names:
-        for _, el in ET.iterparse(z.open("xl/sharedStrings.xml")):
-            if el.tag == _tag("si"):
-                shared.append("".join(t.text or "" for t in el.iter(_tag("t"))))
-                el.clear()
-    book = ET.fromstring(z.read("xl/workbook.xml"))
-    props = book.find("m:workbookPr", NS)
-    zero = DAY_ZERO_1904 if props is not None and props.get("date1904") in ("1", "true") else DAY_ZERO
-    dates = _date_styles(z)
-    targets = {}
+def _open(path: str):
+    """A book in any store that pyarrow knows, for random access."""
+    from pyarrow.fs import FileSystem
+
+    store, place = FileSystem.from_uri(path)
+    return store.open_input_file(place)
+
+
+def _sheets(z: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """(sheet name, member of the zip) in the order of the book."""
+    names, targets = set(z.namelist()), {}
     if "xl/_rels/workbook.xml.rels" in names:
         rels = ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))
         targets = {r.get("Id"): r.get("Target").lstrip("/") for r in rels.findall(f"{{{REL_NS}}}Relationship")}
-    for sheet in book.find("m:sheets", NS):
+    out = []
+    for sheet in ET.fromstring(z.read("xl/workbook.xml")).find("m:sheets", NS):
         target = targets.get(sheet.get(f"{{{NS['r']}}}id"), "")
         target = target if target.startswith("xl/") else f"xl/{target}"
-        if target not in names:
-            continue
-        for _, el in ET.iterparse(z.open(target)):
-            if el.tag == _tag("c"):
-                cell = _cell(el, shared, dates, zero)
-                if cell is not None:
-                    yield (path, sheet.get("name"), *_place(el.get("r")), None, None, *cell)
-            elif el.tag == _tag("mergeCell") and ":" in (el.get("ref") or ""):
-                first, last = el.get("ref").split(":")
-                yield (path, sheet.get("name"), *_place(first), *_place(last), None, "merge")
-            elif el.tag == _tag("row"):
-                el.clear()
-
-
-def _cell(el, shared: list[str], dates: set[int], zero: dt.datetime) -> tuple[str | None, str] | None:
+        if target in names:
+            out.append((sheet.get("name"), target))
+    return out
+
+
+class _Shared:
+    """Shared strings of a book, read when the first is asked for."""
+
+    def __init__(self, z: zipfile.ZipFile):
+        self.z, self.texts = z, None
+
+    def __getitem__(self, i: int) -> str:
+        if self.texts is None:
+            self.texts = []
+            for _, el in ET.iterparse(self.z.open("xl/sharedStrings.xml")):
+                if el.tag == _tag("si"):
+                    self.texts.append("".join(t.text or "" for t in el.iter(_tag("t"))))
+                    el.clear()
+        return self.texts[i]
+
+
+def read_sheet(z: zipfile.ZipFile, member: str) -> Iterator[tuple]:
+    """The records of one sheet: (row, col, max_row, max_col, value, kind)."""
+    props = ET.fromstring(z.read("xl/workbook.xml")).find("m:workbookPr", NS)
+    zero = DAY_ZERO_1904 if props is not None and props.get("date1904") in ("1", "true") else DAY_ZERO
+    dates, shared = _date_styles(z), _Shared(z)
+    for _, el in ET.iterparse(z.open(member)):
+        if el.tag == _tag("c"):
+            cell = _cell(el, shared, dates, zero)
+            if cell is not None:
+                yield (*_place(el.get("r")), None, None, *cell)
+        elif el.tag == _tag("mergeCell") and ":" in (el.get("ref") or ""):
+            first, last = el.get("ref").split(":")
+            yield (*_place(first), *_place(last), None, "merge")
+        elif el.tag == _tag("row"):
+            el.clear()
+
+
+def _cell(el, shared: _Shared, dates: set[int], zero: dt.datetime) -> tuple[str | None, str] | None:
     v, kind = el.find("m:v", NS), el.get("t")
     text = v.text if v is not None else None
     if kind == "inlineStr":
@@ -136,38 +162,109 @@ def _cell(el, shared: list[str], dates: set[int], zero: dt.datetime) -> tuple[st
     return (date, "d") if date else (_number_text(text), "n")
 
 
-def scan_workbooks(spark: SparkSession, path_glob: str) -> tuple[DataFrame, DataFrame]:
-    """``(cells, merges)`` for every ``.xlsx`` under ``path_glob``; each book is read
-    once and its records are written to the checkpoint folder."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path_glob).select("path", "content")
-    columns = [f.split()[0] for f in RECORD.split(", ")]
-
-    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunk = []
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                for record in read_book(path, bytes(content)):
-                    chunk.append(record)
-                    if len(chunk) >= CHUNK:
-                        yield pd.DataFrame(chunk, columns=columns)
-                        chunk = []
-        yield pd.DataFrame(chunk, columns=columns)
-
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(BOOKS_AT_A_TIME))
-    try:
-        both = cut_lineage(files.mapInPandas(records, RECORD))
-    finally:
-        spark.conf.set(key, before)
-    cells = both.where("kind <> 'merge'").select("_file", "sheet", "row", "col", "value", "kind")
-    merges = both.where("kind = 'merge'").select(
+@dataclass
+class SheetPartition(InputPartition):
+    file: str
+    sheet: str
+    member: str
+
+
+class WorkbookReader(DataSourceReader):
+    def __init__(self, path: str):
+        self.path = path
+        self.wanted: dict[str, set] = {}    # column -> values that the filters leave
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            column = f.attribute[0] if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 else None
+            if column in ("_file", "sheet"):
+                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.wanted[column] = values & self.wanted.get(column, values)
+            else:
+                yield f
+
+    def _books(self) -> list[str]:
+        from pyarrow.fs import FileSelector, FileSystem, FileType
+
+        scheme = re.match(r"[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)", self.path)
+        folder, _, pattern = self.path.rpartition("/") if "*" in self.path else (self.path, "", "*.xlsx")
+        store, root = FileSystem.from_uri(folder)
+        if store.get_file_info(root).type == FileType.File:
+            return [self.path]
+        found = [f.path for f in store.get_file_info(FileSelector(root, recursive=True)) if f.type == FileType.File]
+        prefix = scheme.group(0) if scheme else ""
+        return sorted(prefix + p for p in found if fnmatch.fnmatch(p.rsplit("/", 1)[-1], pattern) and p.lower().endswith(".xlsx"))
+
+    def partitions(self) -> list[SheetPartition]:
+        left = lambda column, value: column not in self.wanted or value in self.wanted[column]
+
+        def listed(book: str) -> list[SheetPartition]:
+            with _open(book) as f, zipfile.ZipFile(f) as z:
+                return [SheetPartition(book, sheet, member) for sheet, member in _sheets(z) if left("sheet", sheet)]
+
+        with ThreadPoolExecutor(LISTING_THREADS) as pool:
+            return [p for found in pool.map(listed, [b for b in self._books() if left("_file", b)]) for p in found]
+
+    def read(self, partition: SheetPartition | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:   # Spark's stand-in where no partition is left
+            return
+        kinds = [pa.int32()] * 4 + [pa.string()] * 2
+        with _open(partition.file) as f, zipfile.ZipFile(f) as z:
+            chunk: list[tuple] = []
+
+            def told() -> pa.RecordBatch:
+                names = [pa.array([x] * len(chunk), pa.string()) for x in (partition.file, partition.sheet)]
+                cells = [pa.array(c, k) for c, k in zip(zip(*chunk), kinds)]
+                return pa.RecordBatch.from_arrays([*names, *cells], [f.split()[0] for f in RECORD.split(", ")])
+
+            for record in read_sheet(z, partition.member):
+                chunk.append(record)
+                if len(chunk) >= CHUNK:
+                    yield told()
+                    chunk = []
+            if chunk:
+                yield told()
+
+
+class WorkbookSource(DataSource):
+    """Cells and merged ranges of the ``.xlsx`` files at ``path`` (a file, a folder or a
+    pattern for file names) in any store that pyarrow and all executors reach."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "sheaf_workbook"
+
+    def schema(self) -> str:
+        return RECORD
+
+    def reader(self, schema) -> WorkbookReader:
+        return WorkbookReader(self.options["path"])
+
+
+def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
+    """The data source's rows (``RECORD``); filters on ``_file`` and ``sheet`` prune."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(WorkbookSource)
+    return spark.read.format("sheaf_workbook").load(path)
+
+
+def cells_and_merges(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    cells = records.where("kind <> 'merge'").select("_file", "sheet", "row", "col", "value", "kind")
+    merges = records.where("kind = 'merge'").select(
         "_file", "sheet", F.col("row").alias("min_row"), F.col("col").alias("min_col"), "max_row", "max_col")
     return cells, merges
 
 
-def write_xlsx(path: str, sheets: dict[str, list[list]], merges: dict[str, list[str]] | None = None):
-    """Minimal workbook writer (inline strings, numbers, dates) for fixtures and exports."""
+def scan_workbooks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``(cells, merges)`` of all books; each is read once, into the checkpoint folder."""
+    return cells_and_merges(cut_lineage(read_workbooks(spark, path)))
+
+
+def write_xlsx(path, sheets: dict[str, list[list]], merges: dict[str, list[str]] | None = None, shared: bool = False):
+    """Minimal workbook writer (strings, numbers, dates) for fixtures and exports, to a path
+    or an open binary file; ``shared`` keeps strings in the book's table of strings."""
+    strings: dict[str, int] = {}
+
     def col_letters(i):
         s = ""
         while i:
@@ -211,6 +308,8 @@ def write_xlsx(path: str, sheets: dict[str, list[list]], merges: dict[str, list[
                     cs.append(f'<c r="{ref}" s="1"><v>{serial!r}</v></c>')
                 elif isinstance(v, (int, float)) and not isinstance(v, bool):
                     cs.append(f'<c r="{ref}"><v>{v}</v></c>')
+                elif shared:
+                    cs.append(f'<c r="{ref}" t="s"><v>{strings.setdefault(esc(v), len(strings))}</v></c>')
                 else:
                     cs.append(f'<c r="{ref}" t="inlineStr"><is><t>{esc(v)}</t></is></c>')
             rows.append(f'<row r="{r}">{"".join(cs)}</row>')
@@ -219,4 +318,7 @@ def write_xlsx(path: str, sheets: dict[str, list[list]], merges: dict[str, list[
             mc = f'<mergeCells count="{len(merges[n])}">' + "".join(f'<mergeCell ref="{m}"/>' for m in merges[n]) + "</mergeCells>"
         z.writestr(f"xl/worksheets/sheet{i + 1}.xml",
                    f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{NS["m"]}"><sheetData>{"".join(rows)}</sheetData>{mc}</worksheet>')
+    if strings:
+        z.writestr("xl/sharedStrings.xml", f'<?xml version="1.0" encoding="UTF-8"?><sst xmlns="{NS["m"]}">'
+                   + "".join(f"<si><t>{t}</t></si>" for t in strings) + "</sst>")
     z.close()
