@@ -50,8 +50,8 @@ from sheaf.llm.common import bounded_batches
 SAMPLE_DOCS = 2048          # documents whose ids train the dictionary
 SAMPLE_CHARS = 4096         # characters of a sampled text at most; longer texts are not sampled
 DICTIONARY_BYTES = 1 << 15
-REMEMBERED = 1 << 18        # words in each of the two generations that a worker remembers
-STRETCH = 1 << 22           # characters that are split at a time
+REMEMBERED = 1 << 17        # words in each of the two generations that a worker remembers
+STRETCH = 1 << 20           # bytes of texts that are split at a time
 TOGETHER = 64               # new words encoded in one call
 READ_BYTES = 8 << 20        # neighbouring frames that are read at once
 TASK_BYTES = 128 << 20      # compressed bytes that one reading task should get
@@ -151,7 +151,7 @@ class WordIds:
         size = np.fromiter((len(w) // self.width for x in known for w in x), np.int64)
         table = np.frombuffer(b"".join([*known[0], *known[1]]), self.kind)
         # each word is two pieces of the table
-        pieces = np.empty(2 * len(at), np.int64)
+        pieces = np.empty(2 * len(at), np.int32)
         pieces[0::2] = core.indices.to_numpy()[at]
         pieces[1::2] = tail.indices.to_numpy()[at] + len(known[0])
         n = size[pieces]
@@ -164,9 +164,13 @@ class WordIds:
         """Ids of each text; none is null."""
         if not self.by_word:
             return [x for t in texts.to_pylist() for x in self._each(self.whole, [t])]
-        if not len(texts) or pc.max(pc.binary_length(texts)).as_py() <= STRETCH:
-            return [x.tobytes() for x in self._by_word(texts)]
-        return [self._long(t) for t in texts.to_pylist()]
+        out: list[bytes] = []
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        while len(out) < len(texts):  # as many texts as a stretch holds, or one long one
+            k = len(out)
+            n = int(np.searchsorted(ends, (ends[k - 1] if k else 0) + STRETCH, "right")) - k
+            out += [x.tobytes() for x in self._by_word(texts.slice(k, n))] if n else [self._long(texts[k].as_py())]
+        return out
 
     def _long(self, text: str) -> bytes:
         """A text cut at white space into stretches."""
