@@ -7,6 +7,7 @@ headers; the stacked result is compared with SQL over orders."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sheaf.operators import sheets as X
@@ -91,3 +92,61 @@ def q_layout(spark, sf_dir):
     subs = X.analyze_sheets(order_workbook(spark, sf_dir))
     return subs.select("sheet", "sub_ord", "label", "col_number_row", "data_start_row", "data_end_row",
                        "min_col", "max_col", "title", "sheet_unit")
+
+
+_LONG_NOTE = "Figures of the last month are provisional and may be revised without notice"
+
+
+def mixed_books(spark, sf_dir):
+    """Cells of many books whose layouts differ. Of each five, three have a sheet with two
+    stacked sub-tables of other columns (orders; orders counted by priority), and two have
+    a sheet of two columns with footers below (customer, order value)."""
+    o = table(spark, sf_dir, "orders")
+    n = 200 * (1 + o.count() // 1_000_000)
+    o = o.select((F.col("o_custkey") % n).alias("b"), F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"),
+                 F.col("o_totalprice").cast("decimal(18,2)").alias("p"), F.col("o_orderpriority").alias("q"))
+    two = F.col("b") % 5 < 3
+    cell = lambda f, row, col, val, kind: f.select(
+        F.concat(F.lit("book"), F.col("b").cast("string")).alias("_file"), F.lit("Sheet").alias("sheet"), row.cast("int").alias("row"),
+        F.lit(col).alias("col"), val.cast("string").alias("value"), F.lit(kind).alias("kind"))
+    orders = o.where(two).withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("k")))
+    size = orders.groupBy("b").agg(F.count("*").alias("n"))
+    by = o.where(two).groupBy("b", "q").agg(F.count("*").alias("m"), F.sum("p").alias("p")).withColumn(
+        "r", F.row_number().over(Window.partitionBy("b").orderBy("q"))).join(size, "b")
+    value = o.where(~two).groupBy("b", "c").agg(F.sum("p").alias("p")).withColumn(
+        "r", F.row_number().over(Window.partitionBy("b").orderBy("c")))
+    foot = value.groupBy("b").agg(F.max("r").alias("n"))
+    parts = [cell(size, F.lit(1), k + 1, F.lit(x), "s") for k, x in enumerate(["Order", "Price", "Customer", "Class"])]
+    parts += [cell(orders, F.col("r") + 1, k + 1, F.col(x), kind) for k, (x, kind) in enumerate([("k", "n"), ("p", "n"), ("c", "n"), ("q", "s")])]
+    parts += [cell(size, F.col("n") + 3, k + 1, F.lit(x), "s") for k, x in enumerate(["Priority", "How many", "Worth"])]
+    parts += [cell(by, F.col("n") + 3 + F.col("r"), k + 1, F.col(x), kind) for k, (x, kind) in enumerate([("q", "s"), ("m", "n"), ("p", "n")])]
+    parts += [cell(foot, F.lit(1), k + 1, F.lit(x), "s") for k, x in enumerate(["Buyer", "Worth"])]
+    parts += [cell(value, F.col("r") + 1, k + 1, F.col(x), "n") for k, x in enumerate(["c", "p"])]
+    parts += [cell(foot, F.col("n") + 2, 1, F.lit(_LONG_NOTE), "s"), cell(foot, F.col("n") + 4, 1, F.lit("Source: order ledger"), "s")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("x17_sub_tables", """
+WITH n AS (SELECT 200 * (1 + count(*) // 1000000) AS n FROM orders),
+o AS (SELECT o_custkey % n AS b, o_custkey AS c, o_orderkey AS k, CAST(o_totalprice AS DECIMAL(18,2)) AS p, o_orderpriority AS q FROM orders, n)
+SELECT 'book' || b AS file, 1 AS sub_ord, true AS is_primary, 'Order/Price/Customer/Class' AS names, count(*) AS n_rows,
+       sum(k)::DOUBLE AS first_sum, sum(p)::DOUBLE AS worth FROM o WHERE b % 5 < 3 GROUP BY b
+UNION ALL
+SELECT 'book' || b, 2, false, 'Priority/How many/Worth', count(DISTINCT q), NULL, sum(p)::DOUBLE FROM o WHERE b % 5 < 3 GROUP BY b
+UNION ALL
+SELECT 'book' || b, 1, true, 'Buyer/Worth', count(DISTINCT c), sum(DISTINCT c)::DOUBLE, sum(p)::DOUBLE FROM o WHERE b % 5 >= 3 GROUP BY b""")
+def q_sub_tables(spark, sf_dir):
+    """Books whose sub-tables cannot be merged give their first sub-table and
+    the others as tables of their own; books without sub-tables are read as one table down
+    to the footers. All in one plan; a row per table."""
+    cells = cut_lineage(mixed_books(spark, sf_dir))
+    tables, rows = X.workbook_tables(cells, cut_lineage(X.analyze_sheets(cells)))
+    v = F.col("values")
+    worth = F.coalesce(v["Price"], v["Worth"]).cast("decimal(18,2)")
+    told = rows.groupBy("table_key").agg(F.count("*").alias("n_rows"), F.sum(F.coalesce(v["Order"], v["Buyer"]).cast("double")).alias("first_sum"),
+                                         F.sum(worth).cast("double").alias("worth"))
+    return tables.join(told, "table_key").select(F.col("_file").alias("file"), "sub_ord", "is_primary", F.array_join("names", "/").alias("names"),
+                                                 "n_rows", "first_sum", "worth")
