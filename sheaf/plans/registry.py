@@ -41,3 +41,4 @@ from sheaf.plans import queries_profile  # noqa: E402,F401
 from sheaf.plans import queries_sources  # noqa: E402,F401
 from sheaf.plans import queries_sheets  # noqa: E402,F401
 from sheaf.plans import queries_store  # noqa: E402,F401
+from sheaf.plans import queries_streaming  # noqa: E402,F401

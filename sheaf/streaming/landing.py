@@ -6,20 +6,25 @@
   id is recorded in ``load_audit`` so a replayed batch is skipped -> exactly-once
   effect on the table.
 * Z3: rows whose period is already covered by the table (<= its high-water
-  period) are routed to a side table instead of the load.
-* Z4: approval expiry: per job state with an event-time timer of 30 minutes
-  (``applyInPandasWithState``); an expired job is emitted once.
+  period) are routed to a side table instead of the load. ``ingest`` asks the catalog;
+  ``covered_files`` keeps the high water of every table as keyed state
+  (``transformWithState``): tasks first sum up what a file brings, so a table's state
+  sees a row per file and task however many rows the table gets.
+* Z4: approval expiry: per job a state and an event-time timer of 30 minutes
+  (``transformWithState`` on RocksDB); an expired job is emitted once.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sheaf.functions import periods
 from sheaf.plans import load as L
@@ -72,41 +77,130 @@ def ingest(stream: DataFrame, store: TableStore, table_name: str, keys: list[str
     return q
 
 
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB, which ``transformWithState`` needs."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+HIGH_WATER_OUT = "table_name string, _file string, high_before long"
+_FILE_PERIODS = "table_name string, _file string, top long"
+
+
+class HighWater(StatefulProcessor):
+    """The highest period of each table over all batches before this one."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.high = handle.getValueState("high", "top long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802
+        before = self.high.get()[0] if self.high.exists() else None
+        top = before
+        for row in rows:    # one per file and task
+            if row.top is not None and (top is None or row.top > top):
+                top = row.top
+            yield Row(table_name=key[0], _file=row["_file"], high_before=before)
+        if top is not None and top != before:
+            self.high.update((top,))
+
+    def close(self) -> None:
+        pass
+
+
+def covered_files(stream: DataFrame, table_col: str, rank: Column) -> DataFrame:
+    """Z3: for each file and table of a batch the table's high water before the batch
+    (null: none yet). ``rank`` is a long that grows with the period; null ranks never
+    cover anything."""
+    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple, int | None] = {}
+        for batch in batches:
+            for table, file, top in zip(*[c.to_pylist() for c in batch.columns]):
+                old = seen.get((table, file))
+                seen[table, file] = top if old is None else old if top is None else max(old, top)
+        if seen:
+            yield pa.RecordBatch.from_pylist([{"table_name": t, "_file": f, "top": v} for (t, f), v in seen.items()],
+                                             schema=pa.schema([("table_name", pa.string()), ("_file", pa.string()), ("top", pa.int64())]))
+
+    per_file = stream.select(F.col(table_col).cast("string").alias("table_name"), "_file", rank.cast("long").alias("top"))
+    return (per_file.mapInArrow(tops, _FILE_PERIODS).groupBy("table_name")
+            .transformWithState(HighWater(), HIGH_WATER_OUT, "append", "none"))
+
+
+def route_covered(stream: DataFrame, table_col: str, rank: Column, checkpoint: str,
+                  load: Callable[[DataFrame, DataFrame, int], None], read: Callable[[list[str]], DataFrame]):
+    """Z3: run a landing stream to completion; every batch is split into fresh rows and rows
+    that its tables had covered before it, and ``load(fresh, covered, batch_id)`` gets both.
+    ``read`` reads files of the landing folder (those of one batch) with their ``_file``.
+    A batch that is run again starts from the same state, so it is split the same way;
+    ``load`` must skip or repeat without effect a batch id that it has seen."""
+    def per_batch(told: DataFrame, batch_id: int) -> None:
+        high = told.groupBy("table_name", "_file").agg(F.max("high_before").alias("high_before")).persist()
+        try:
+            files = [r[0] for r in high.select("_file").distinct().collect()]   # those of one batch
+            if files:
+                rows = read(files).withColumn("_t", F.col(table_col).cast("string"))
+                known = high.select(F.col("table_name").alias("_ht"), F.col("_file").alias("_hf"), "high_before")
+                rows = rows.join(known, rows["_t"].eqNullSafe(F.col("_ht")) & (rows["_file"] == F.col("_hf")), "left").drop("_t", "_ht", "_hf")
+                covered = F.coalesce(rank <= F.col("high_before"), F.lit(False))
+                load(rows.where(~covered).drop("high_before"), rows.where(covered).drop("high_before"), int(batch_id))
+        finally:
+            high.unpersist()
+
+    with keyed_state(stream.sparkSession):
+        q = (covered_files(stream, table_col, rank).writeStream.foreachBatch(per_batch)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        q.awaitTermination()
+    return q
+
+
 EXPIRY_OUT = "job_id long, expired_at timestamp, last_update timestamp"
-EXPIRY_STATE = "status string, updated_at timestamp"
-
-
-def _expiry(key, pdfs, state):
-    if state.hasTimedOut:
-        status, upd = state.get
-        state.remove()
-        yield pd.DataFrame({"job_id": [key[0]], "expired_at": [upd + APPROVAL_TIMEOUT], "last_update": [upd]})
-        return
-    latest = None
-    for pdf in pdfs:
-        if len(pdf):
-            row = pdf.sort_values("updated_at").iloc[-1]
-            if latest is None or row["updated_at"] >= latest["updated_at"]:
-                latest = row
-    if latest is None:
-        return
-    if state.exists:
-        status, upd = state.get
-        if pd.Timestamp(upd) > latest["updated_at"]:
-            return
-    state.update((latest["status"], latest["updated_at"].to_pydatetime()))
-    if latest["status"] == "awaiting_approval":
-        ts = latest["updated_at"] + APPROVAL_TIMEOUT
-        state.setTimeoutTimestamp(int(pd.Timestamp(ts).timestamp() * 1000))
-    else:
-        state.remove()
-    yield from ()
+_WINDOW = APPROVAL_TIMEOUT // dt.timedelta(microseconds=1)
+
+
+class ApprovalTimer(StatefulProcessor):
+    """The last event of a job that awaits approval (its time in microseconds), with a timer
+    for the end of its window."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getValueState("waiting", "since long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802
+        since = self.waiting.get()[0] if self.waiting.exists() else None
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        for at, status in sorted((r["_at"], r["status"]) for r in rows):   # the events of one job in one batch
+            if since is not None and at < since:
+                continue
+            if since is not None and at - since > _WINDOW:
+                yield Row(job_id=key[0], since=since)
+            since = at if status == "awaiting_approval" else None
+        if since is None:
+            self.waiting.clear()
+        else:
+            self.waiting.update((since,))
+            self.handle.registerTimer((since + _WINDOW) // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802
+        if self.waiting.exists():
+            yield Row(job_id=key[0], since=self.waiting.get()[0])
+            self.waiting.clear()
+
+    def close(self) -> None:
+        pass
 
 
 def approval_expiry(job_events: DataFrame, watermark: str = "0 seconds") -> DataFrame:
-    """``job_events(job_id, status, updated_at)`` stream -> jobs whose approval
-    window (30 min after their last update while awaiting approval) passed the
-    event-time watermark. Each job's state is one row; the timer is per job."""
-    return (job_events.withWatermark("updated_at", watermark).groupBy("job_id")
-            .applyInPandasWithState(_expiry, EXPIRY_OUT, EXPIRY_STATE, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+    """``job_events(job_id, status, updated_at)`` stream -> windows of 30 minutes after an
+    event ``awaiting_approval`` that passed without another event of the job, as seen by
+    the event-time watermark or by the job's next event. The result does not depend on how
+    events fall into batches. Start the query inside ``keyed_state``."""
+    over = (job_events.withColumn("_at", F.unix_micros("updated_at")).withWatermark("updated_at", watermark).groupBy("job_id")
+            .transformWithState(ApprovalTimer(), "job_id long, since long", "append", "eventTime"))
+    return over.select("job_id", F.timestamp_micros(F.col("since") + _WINDOW).alias("expired_at"), F.timestamp_micros("since").alias("last_update"))

@@ -48,9 +48,60 @@ def test_approval_expiry_timer(spark, tmpdir_path):
     spark.createDataFrame(rows, "job_id long, status string, updated_at timestamp").write.parquet(src)
     stream = spark.readStream.schema("job_id long, status string, updated_at timestamp").parquet(src)
     out = os.path.join(tmpdir_path, "expired")
-    q = (Z.approval_expiry(stream).writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", os.path.join(tmpdir_path, "ck2")).trigger(availableNow=True).start())
-    q.awaitTermination()
+    with Z.keyed_state(spark):
+        q = (Z.approval_expiry(stream).writeStream.format("parquet").option("path", out)
+             .option("checkpointLocation", os.path.join(tmpdir_path, "ck2")).trigger(availableNow=True).start())
+        q.awaitTermination()
     got = sorted(r["job_id"] for r in spark.read.parquet(out).collect())
     # watermark = 12:00: job 1 (10:30) and job 3 (11:20) expired; 2 approved; 4 done
     assert got == [1, 3]
+
+
+def test_expiry_does_not_depend_on_batches(spark, tmpdir_path):
+    """The same events in one batch and in one run each give the same expiries."""
+    t0 = dt.datetime(2026, 1, 1, 10, 0)
+    at = lambda m: t0 + dt.timedelta(minutes=m)
+    rows = [(1, "awaiting_approval", at(0)), (2, "awaiting_approval", at(1)), (2, "approved", at(31)), (3, "awaiting_approval", at(2)),
+            (3, "approved", at(33)), (4, "awaiting_approval", at(5)), (4, "awaiting_approval", at(34)), (4, "awaiting_approval", at(70)),
+            (5, "awaiting_approval", at(80)), (9, "completed", at(100)), (6, "awaiting_approval", at(105)), (9, "completed", at(110))]
+    exp = {(1, at(0)), (3, at(2)), (4, at(34)), (4, at(70))}    # job 5's window ends at the last event: still open
+    for name, steps in (("once", [rows]), ("each", [[r] for r in sorted(rows, key=lambda r: r[2])])):
+        home = os.path.join(tmpdir_path, name)
+        for step in steps:
+            spark.createDataFrame(step, "job_id long, status string, updated_at timestamp").coalesce(1).write.mode("append").parquet(f"{home}/in")
+            with Z.keyed_state(spark):
+                q = (Z.approval_expiry(Z.landing_stream(spark, f"{home}/in", "job_id long, status string, updated_at timestamp").drop("_file"))
+                     .writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/ck")
+                     .trigger(availableNow=True).start())
+                q.awaitTermination()
+        got = spark.read.schema(Z.EXPIRY_OUT).parquet(f"{home}/out").collect()
+        assert sorted((r.job_id, r.last_update) for r in got) == sorted(exp), name
+        assert all(r.expired_at - r.last_update == dt.timedelta(minutes=30) for r in got)
+
+
+def test_covered_rows_by_state_and_a_batch_that_runs_again(spark, tmpdir_path):
+    schema = "t string, k long, p long"
+    steps = [[("a", 1, 5), ("b", 2, 1), (None, 3, 9)], [("a", 4, 5), ("a", 5, 6), ("b", 6, None), ("c", 7, 0)],
+             [("a", 8, 6), ("a", 9, 7), ("b", 10, 1), ("b", 11, 2), (None, 12, 9), ("c", 13, 0)]]
+    loads = []
+
+    def load(fresh, covered, batch_id):
+        loads.append((batch_id, sorted(r.k for r in fresh.collect()), sorted(r.k for r in covered.collect())))
+
+    def read(files):
+        return spark.read.schema(schema).parquet(*files).withColumn("_file", F.col("_metadata.file_path"))
+
+    def run():
+        Z.route_covered(Z.landing_stream(spark, f"{tmpdir_path}/in", schema), "t", F.col("p"), f"{tmpdir_path}/ck", load, read)
+
+    for step in steps:
+        spark.createDataFrame(step, schema).repartition(2).write.mode("append").parquet(f"{tmpdir_path}/in")
+        run()
+    exp = [(0, [1, 2, 3], []), (1, [5, 6, 7], [4]), (2, [9, 11], [8, 10, 12, 13])]
+    assert loads == exp
+    run()                       # nothing new: no batch
+    assert loads == exp
+    for name in ("2", ".2.crc"):    # a crash after the load and before the commit
+        os.remove(f"{tmpdir_path}/ck/commits/{name}")
+    run()
+    assert loads == [*exp, exp[2]]
