@@ -38,6 +38,7 @@ import struct
 import uuid
 from collections.abc import Iterator
 from contextlib import suppress
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +52,8 @@ from sheaf.llm.common import bounded_batches
 SAMPLE_DOCS = 2048          # documents whose ids train the dictionary
 SAMPLE_CHARS = 4096         # characters of a sampled text at most; longer texts are not sampled
 DICTIONARY_BYTES = 1 << 15
-REMEMBERED = 1 << 17        # words in each of the two generations that a worker remembers
-STRETCH = 1 << 20           # bytes of texts that are split at a time
+REMEMBERED = 1 << 18        # words in each of the two generations that a worker remembers
+STRETCH = 1 << 22           # bytes of texts that are split at a time
 TOGETHER = 64               # new words encoded in one call
 READ_BYTES = 8 << 20        # neighbouring frames that are read at once
 TASK_BYTES = 128 << 20      # compressed bytes that one reading task should get
@@ -74,6 +75,36 @@ _BLANK = re.compile(r"[ \t\n\r\f\v]").search
 _LOADED: dict[str, WordIds] = {}
 
 
+class _Words:
+    """Words and their ids in one table."""
+
+    def __init__(self, kind: str):
+        self.place: dict[str, int] = {"": 0}
+        self.start, self.size, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, kind)
+
+    def __len__(self) -> int:
+        return len(self.place)
+
+    def find(self, words: list[str]) -> np.ndarray:
+        """The place of each word, -1 if it is not there."""
+        return np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+
+    def add(self, words: list[str], size: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Places of new words, given the number of ids of each and all their ids in a row."""
+        places = np.arange(len(self.size), len(self.size) + len(words))
+        if words:
+            self.place.update(zip(words, places.tolist()))
+            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+            self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, ids])
+        return places
+
+    def take(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of the words at ``places`` and their ids in a row."""
+        size = self.size[places]
+        ends = np.cumsum(size)
+        return size, self.ids[np.repeat(self.start[places] - (ends - size), size) + np.arange(int(size.sum()))]
+
+
 class WordIds:
     """Ids of texts, as bytes of ``width`` each. Where the tokenizer is one that treats
     words on their own (``BY_WORD``), each word is encoded once; else whole texts are."""
@@ -86,12 +117,11 @@ class WordIds:
         self.by_word = all(kind.get(k) == v for k, v in BY_WORD.items()) and not kind["model"].get("dropout")
         # lower-cased letters below LATIN need none of the normalizer's other steps
         self.plain = _tokenizer(json.dumps(kind | {"normalizer": None}))
-        self.young: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
         # the digit 0 is a token of its own and so parts words that do not hold it
         zero = self._each(self.whole, ["0"])[0]
-        self.by_word &= len(zero) == self.width
-        self.zero = int(np.frombuffer(zero, self.kind)[0])
+        self.by_word &= len(zero) == 1
+        self.zero = zero[0]
+        self.young, self.old = _Words(self.kind), _Words(self.kind)
 
     @classmethod
     def loaded(cls, tokenizer_json: str) -> WordIds:
@@ -101,45 +131,38 @@ class WordIds:
             _LOADED[key] = cls(tokenizer_json)
         return _LOADED[key]
 
-    def _each(self, tokenizer, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.young) >= REMEMBERED:
-            self.young, self.old = {"": b""}, self.young
-        easy: list[str] = []
-        hard: list[str] = []
-        for w in words:
-            (easy if "0" not in w and (w.isascii() or max(w) < LATIN) else hard).append(w)
-        groups = [easy[k:k + TOGETHER] for k in range(0, len(easy), TOGETHER)]
-        for group, raw in zip(groups, self._each(self.plain, [" 0 ".join(g).lower() for g in groups])):
-            marks = np.flatnonzero(np.frombuffer(raw, self.kind) == self.zero).tolist()
-            at = 0
-            for word, end in zip(group, [*marks, len(raw) // self.width], strict=True):
-                self.young[word] = raw[at * self.width:end * self.width]
-                at = end + 1
-        self.young.update(zip(hard, self._each(self.whole, hard)))
-
-    def _known(self, words: list[str]) -> list[bytes]:
-        """The ids of distinct words."""
-        found = list(map(self.young.get, words))
-        lost = [k for k, x in enumerate(found) if x is None]
-        new = []
-        for k in lost:
-            found[k] = self.old.get(words[k])
-            if found[k] is None:
-                new.append(k)
-            else:
-                self.young[words[k]] = found[k]
-        for k in range(0, len(new), REMEMBERED // 2):
-            part = new[k:k + REMEMBERED // 2]
-            self._learn([words[j] for j in part])
-            for j in part:
-                found[j] = self.young[words[j]]
+    def _each(self, tokenizer, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, easy: list[str], hard: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        groups = [" 0 ".join([*easy[k:k + TOGETHER], ""])[:-1].lower() for k in range(0, len(easy), TOGETHER)]
+        flat = np.concatenate([np.zeros(0, self.kind), *self._each(self.plain, groups)])
+        marks = np.flatnonzero(flat == self.zero)
+        if len(marks) != len(easy):
+            raise ValueError("the tokenizer does not part words at white space")
+        places = self.young.add(easy, np.diff(marks, prepend=-1) - 1, flat[flat != self.zero])
+        each = self._each(self.whole, hard)
+        return places, self.young.add(hard, np.array([len(x) for x in each], np.int64), np.concatenate([np.zeros(0, self.kind), *each]))
+
+    def _known(self, words: list[str], hard: np.ndarray) -> np.ndarray:
+        """Places in ``young`` of distinct words; ``hard`` marks those with a 0 or letters
+        from LATIN on. ``young`` does not change its places meanwhile."""
+        found = self.young.find(words)
+        lost = np.flatnonzero(found < 0)
+        if len(lost):
+            names = [words[k] for k in lost.tolist()]
+            kept = self.old.find(names)
+            found[lost[kept >= 0]] = self.young.add([n for n, k in zip(names, kept.tolist()) if k >= 0], *self.old.take(kept[kept >= 0]))
+            new = lost[kept < 0]
+            for part in np.array_split(new, len(new) // REMEMBERED + 1):
+                easy, odd = part[~hard[part]], part[hard[part]]
+                found[easy], found[odd] = self._learn([words[k] for k in easy.tolist()], [words[k] for k in odd.tolist()])
         return found
 
     def _by_word(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of texts of bounded length together."""
+        if len(self.young) >= REMEMBERED:
+            self.young, self.old = _Words(self.kind), self.young
         lists = pc.ascii_split_whitespace(texts)
         flat = lists.flatten().dictionary_encode()
         distinct, at = flat.dictionary, flat.indices.to_numpy()
@@ -148,23 +171,22 @@ class WordIds:
         cut = pc.match_substring_regex(core, f"{PLAIN}$")
         core = pc.if_else(cut, core, distinct).dictionary_encode()
         tail = pc.if_else(cut, pc.replace_substring_regex(distinct, f"(?s)^.*{PLAIN}", ""), "").dictionary_encode()
-        known = [self._known(x.dictionary.to_pylist()) for x in (core, tail)]
-        size = np.fromiter((len(w) // self.width for x in known for w in x), np.int64)
-        table = np.frombuffer(b"".join([*known[0], *known[1]]), self.kind)
+        places = []
+        for part in (core, tail):
+            words = part.dictionary
+            hard = pc.match_substring_regex(words, f"[0{LATIN}-\U0010ffff]").to_numpy(zero_copy_only=False)
+            places.append(self._known(words.to_numpy(zero_copy_only=False).tolist(), hard)[part.indices.to_numpy()])
         # each word is two pieces of the table
-        pieces = np.empty(2 * len(at), np.int32)
-        pieces[0::2] = core.indices.to_numpy()[at]
-        pieces[1::2] = tail.indices.to_numpy()[at] + len(known[0])
-        n = size[pieces]
-        ends = np.cumsum(n)
-        out = table[np.repeat((np.cumsum(size) - size)[pieces] - (ends - n), n) + np.arange(n.sum())]
-        borders = np.concatenate([[0], ends[1::2]])[lists.offsets.to_numpy()]
+        pieces = np.empty(2 * len(at), np.int64)
+        pieces[0::2], pieces[1::2] = places[0][at], places[1][at]
+        size, out = self.young.take(pieces)
+        borders = np.concatenate([[0], np.cumsum(size)[1::2]])[lists.offsets.to_numpy()]
         return [out[a:b] for a, b in zip(borders[:-1], borders[1:])]
 
     def encode_batch(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text; none is null."""
         if not self.by_word:
-            return [x for t in texts.to_pylist() for x in self._each(self.whole, [t])]
+            return [x.tobytes() for t in texts.to_pylist() for x in self._each(self.whole, [t])]
         out: list[bytes] = []
         ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         while len(out) < len(texts):  # as many texts as a stretch holds, or one long one

@@ -67,7 +67,7 @@ def test_memory_of_words_is_bounded(monkeypatch):
     words = T.WordIds(Q.word_tokenizer())
     texts = [" ".join(f"w{(i * k) % 400}" for k in range(60)) for i in range(40)]
     assert words.encode_batch(pa.array(texts)) == [np.array(ids(t)[:-1], "<u2").tobytes() for t in texts]
-    assert len(words.young) <= 2 * 50 + 1
+    assert len(words.young) <= 50 + 401
 
 
 def test_short_documents_are_read_by_their_frames(spark, tmpdir_path):
