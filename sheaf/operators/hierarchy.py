@@ -2,18 +2,18 @@
 hierarchy resolution (C8), data-row filter (C9), index drop (C10), category (C12).
 
 Rows carry ``_file`` and ``_row``. Hierarchy resolution never windows over a whole
-file: rows are cut into chunks of ``_row`` width ``chunk_width``; each chunk yields
-a summary (last header per level); a prefix over the (small) summaries carries the
-state into every chunk; rows then resolve inside their bounded chunk."""
+file: rows are cut into range slices of about equal numbers of rows, and each slice takes
+the last header per level from the slices before it (``ordered``)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheaf.operators import data_columns
 from sheaf.operators.clean import FOOTER_RE
+from sheaf.operators.ordered import carry_max, range_slices
 
 # ---- fixed values ------------------------------------------------------------
 SUBTOTAL_RE = r"(?i)\b(sub[- ]?)?total\b"
@@ -87,29 +87,17 @@ def classify_rows(df: DataFrame, index_col: str | None, label_col: str,
         "_level", F.when(F.col("_role") == "group_header", F.coalesce(lvl, F.lit(0))))
 
 
-def resolve_hierarchy(df: DataFrame, label_col: str, levels: int, chunk_width: int = 1 << 20,
+def resolve_hierarchy(df: DataFrame, label_col: str, levels: int, slices: int | None = None,
                       group_cols: list[str] | None = None) -> DataFrame:
     """Every row gets ``group_cols[k]`` = label of the newest level-k header
     above it, when that header is newer than every header of a shallower level
     (a header clears deeper levels). Needs ``_file``, ``_row``, ``_role``, ``_level``."""
     names = group_cols or [f"level_{k}" for k in range(levels)]
-    d = df.withColumn("_chunk", F.floor(F.col("_row") / F.lit(chunk_width)).cast("long"))
     hdr = F.col("_role") == "group_header"
-    # per-level "last header so far" as struct(row, label), inside the chunk
-    w_in = (Window.partitionBy("_file", "_chunk").orderBy("_row")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    for k in range(levels):
-        d = d.withColumn(f"_h{k}", F.max(F.when(hdr & (F.col("_level") == k),
-                                                F.struct(F.col("_row").alias("r"),
-                                                         F.trim(_q(label_col)).alias("l")))).over(w_in))
-    # chunk summaries -> carried state from all earlier chunks of the file
-    summ = d.groupBy("_file", "_chunk").agg(*[F.max(f"_h{k}").alias(f"_s{k}") for k in range(levels)])
-    w_prev = (Window.partitionBy("_file").orderBy("_chunk")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    carry = summ.select("_file", "_chunk", *[F.max(f"_s{k}").over(w_prev).alias(f"_c{k}") for k in range(levels)])
-    d = d.join(carry, ["_file", "_chunk"], "left")
-    for k in range(levels):
-        d = d.withColumn(f"_h{k}", F.greatest(F.col(f"_h{k}"), F.col(f"_c{k}")))
+    # per-level "last header so far" as struct(row, label)
+    d = carry_max(range_slices(df, ["_file", "_row"], slices), "_file", "_row", {
+        f"_h{k}": F.when(hdr & (F.col("_level") == k), F.struct(F.col("_row").alias("r"), F.trim(_q(label_col)).alias("l")))
+        for k in range(levels)})
     newest_shallower = F.lit(None).cast("long")
     out_cols = []
     for k in range(levels):
@@ -138,12 +126,12 @@ def table_category(df_roles: DataFrame) -> DataFrame:
                     n_empty.alias("mostly_empty_columns"))
 
 
-def flatten(df: DataFrame, levels: int = 2, chunk_width: int = 1 << 20,
+def flatten(df: DataFrame, levels: int = 2, slices: int | None = None,
             index_col: str | None = None, label_col: str | None = None) -> DataFrame:
     """C6 -> C8 -> C9 -> C10 (+ C11 on labels by the caller)."""
     if label_col is None:
         index_col, label_col = structural_columns(df)
     roles = classify_rows(df, index_col, label_col)
-    resolved = resolve_hierarchy(roles, label_col, levels, chunk_width)
+    resolved = resolve_hierarchy(roles, label_col, levels, slices)
     out = keep_data_rows(resolved).drop("_role", "_level")
     return out.drop(index_col) if index_col else out

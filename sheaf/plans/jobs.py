@@ -5,10 +5,11 @@ user_metadata map<string,string>)``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.functions.dates import parse_formats
+from sheaf.operators.ordered import row_numbers
 from sheaf.session import cut_lineage
 
 # ---- fixed values ------------------------------------------------------------
@@ -96,11 +97,11 @@ def batch_approval(jobs: DataFrame) -> DataFrame:
         known = j.where("action IS NOT NULL").select(F.col("job_id").alias("peer_anchor_job_id"), F.col("action").alias("_known"))
         j = cut_lineage(j.join(known, "peer_anchor_job_id", "left")
                         .withColumn("action", F.coalesce("action", "_known")).drop("_known"))
-    order = Window.orderBy("_inc", "created_at", "job_id")  # the pending jobs of one batch
+    j = row_numbers(j, ["_inc", "created_at", "job_id"], "_order")
     return j.select("job_id", F.col("_il").alias("is_incremental"), "created_at", "action",
                     F.when(F.col("_il"), F.col("matched_table_name"))
                     .otherwise(F.lower(F.col("proposed_table_name"))).alias("table_name"),
-                    F.row_number().over(order).alias("approval_order"))
+                    F.col("_order").cast("int").alias("approval_order"))
 
 
 def parse_metadata_date(c: Column) -> Column:

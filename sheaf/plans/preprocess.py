@@ -58,7 +58,7 @@ def monthly_long(wide: DataFrame, key: str) -> DataFrame:
 
 
 def preprocess_category2(df: DataFrame, analysis: dict | None = None, as_of=None, levels: int = 2,
-                         chunk_width: int = 1 << 20) -> DataFrame:
+                         slices: int | None = None) -> DataFrame:
     """C13 (category 2): header merge -> structural columns (C7) -> row roles
     -> hierarchy (C8) -> data rows (C9) -> index dropped (C10) -> labels (C11) ->
     Indian-format numbers (N1) -> guarded wide->long (W3) -> period split ->
@@ -67,7 +67,7 @@ def preprocess_category2(df: DataFrame, analysis: dict | None = None, as_of=None
     out = df
     if analysis.get("needs_header_merge"):
         out = headers.merge_row_headers(out)
-    out = hierarchy.flatten(out, levels=levels, chunk_width=chunk_width,
+    out = hierarchy.flatten(out, levels=levels, slices=slices,
                             index_col=analysis.get("index_column"), label_col=analysis.get("label_column"))
     out = clean.standardize_labels(out)
     out = numbers.parse_indian_numbers(out)

@@ -26,8 +26,10 @@ def statement(spark, sf_dir):
     p_idx = F.substring("o_orderpriority", 1, 1).cast("int") - 1        # '1-URGENT' -> 0
     y0 = o.agg(F.min(F.year("o_orderdate"))).first()[0]
     yi = F.year("o_orderdate") - F.lit(y0) + 1
+    # 50 and 100 are single letters, which name sections: from 40 on years are numbered in decimals
     romans = F.array(*[F.lit(roman(i)) for i in range(1, 40)])
-    pos = lambda p, y, kind, key: ((p * 200 + y) * 4 + kind) * F.lit(ROW_SCALE) + key
+    year_mark = lambda p, n: F.coalesce(F.get(romans, n - 1), F.concat_ws(".", p + 1, n))
+    pos = lambda p, y, kind, key: ((p * 10_000 + y) * 4 + kind) * F.lit(ROW_SCALE) + key
     data = o.select(F.col("o_orderstatus").alias("_file"),
                     pos(p_idx, yi, F.lit(2), F.col("o_orderkey")).alias("_row"),
                     F.col("o_orderkey").cast("string").alias("sr"),
@@ -38,7 +40,7 @@ def statement(spark, sf_dir):
     heads0 = sect.select(F.col("o_orderstatus").alias("_file"), pos(p2, F.lit(0), F.lit(0), F.lit(0)).alias("_row"),
                          F.element_at(F.array(*[F.lit(c) for c in "ABEFGH"]), p2 + 1).alias("sr"),
                          F.col("o_orderpriority").alias("particulars"), F.lit(None).cast("string").alias("amount"))
-    totals = sect.select(F.col("o_orderstatus").alias("_file"), pos(p2, F.lit(199), F.lit(3), F.lit(0)).alias("_row"),
+    totals = sect.select(F.col("o_orderstatus").alias("_file"), pos(p2, F.lit(9_999), F.lit(3), F.lit(0)).alias("_row"),
                          F.lit(None).cast("string").alias("sr"),
                          F.concat(F.lit("Total "), F.col("o_orderpriority")).alias("particulars"),
                          F.col("t").cast("string").alias("amount"))
@@ -46,7 +48,7 @@ def statement(spark, sf_dir):
     p3 = F.substring("o_orderpriority", 1, 1).cast("int") - 1
     heads1 = yrs.select(F.col("o_orderstatus").alias("_file"),
                         pos(p3, F.col("y") - F.lit(y0) + 1, F.lit(1), F.lit(0)).alias("_row"),
-                        F.element_at(romans, F.col("y") - F.lit(y0) + 1).alias("sr"),
+                        year_mark(p3, F.col("y") - F.lit(y0) + 1).alias("sr"),
                         F.concat(F.lit("Year "), F.col("y").cast("string")).alias("particulars"),
                         F.lit(None).cast("string").alias("amount"))
     return data.unionByName(heads0).unionByName(heads1).unionByName(totals)
@@ -58,12 +60,12 @@ SELECT o_orderstatus AS _file, 'Order ' || CAST(o_orderkey AS VARCHAR) AS partic
        o_orderpriority AS level_0, 'Year ' || CAST(year(o_orderdate) AS VARCHAR) AS level_1
 FROM orders""")
 def q_flatten(spark, sf_dir):
-    """C7 (index/label columns found by vote), C6 roles, C8 hierarchy (chunked
-    carry), C9 data rows, C10 index dropped; amounts parsed as numbers."""
+    """C7 (index/label columns found by vote), C6 roles, C8 hierarchy (carried
+    over range slices), C9 data rows, C10 index dropped; amounts parsed as numbers."""
     st = statement(spark, sf_dir)
     idx, label = H.structural_columns(st)
     assert (idx, label) == ("sr", "particulars"), (idx, label)
-    flat = H.flatten(st, levels=2, chunk_width=ROW_SCALE * 50, index_col=idx, label_col=label)
+    flat = H.flatten(st, levels=2, index_col=idx, label_col=label)
     return flat.select("_file", "particulars", F.col("amount").try_cast("double").alias("amount"),
                        "level_0", "level_1")
 

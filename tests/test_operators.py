@@ -120,8 +120,8 @@ def test_hierarchy_small_fixture(spark):
     df = spark.createDataFrame(rows, "_row long, sr string, name string, amount string").withColumn("_file", F.lit("f"))
     idx, label = HI.structural_columns(df)
     assert (idx, label) == ("sr", "name")
-    for width in (1, 3, 100):        # chunked carry gives the same answer for any chunk size
-        out = HI.flatten(df, levels=2, chunk_width=width, index_col=idx, label_col=label)
+    for slices in (1, 3, 20):        # the carry gives the same answer for any number of slices
+        out = HI.flatten(df, levels=2, slices=slices, index_col=idx, label_col=label)
         got = [(r.name, r.level_0, r.level_1) for r in out.orderBy("_row").collect()]
         assert got == [("Bank one", "Public sector", "Large banks"), ("Bank two", "Public sector", "Large banks"),
                        ("Bank three", "Public sector", "Small banks"), ("Bank four", "Private sector", None)]
@@ -277,3 +277,28 @@ def test_preview_block_and_increment_validation(spark):
     assert (out["f"].is_compatible, out["f"].is_additive, out["f"].extra, out["f"].match_pct) == (False, True, ["x"], 100.0)
     assert (out["h"].is_additive, out["h"].missing) == (False, ["b"]) and "b" in out["h"].report
     assert out["g"].error == "Table 'gone' not found in metadata" and not out["g"].is_compatible
+
+
+def test_hierarchy_years_beyond_roman_numerals():
+    from sheaf.plans.queries_hierarchy import roman
+    assert [roman(n) for n in (1, 4, 9, 14, 39)] == ["I", "IV", "IX", "XIV", "XXXIX"]
+
+
+def test_slices_spread_one_file_over_tasks(spark):
+    """A third of all rows in one file, and one sort key for a third: no slice holds much
+    more than its share, and numbers and carried headers are those of one long sweep."""
+    from sheaf.operators import ordered as O
+    n = 30_000
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("f"), (F.col("id") % 700).cast("string"))).alias("_file"),
+                               F.col("id").alias("_row"), F.when(F.col("id") % 997 == 0, F.col("id")).alias("h"))
+    sliced = O.range_slices(df, ["_file", "_row"], 12)
+    sizes = [r[1] for r in sliced.groupBy("_slice").count().collect()]
+    assert len(sizes) == 12 and max(sizes) < 2 * n / 12
+    got = O.carry_max(sliced, "_file", "_row", {"last": F.col("h")}).where("_file = 'hot'").orderBy("_row").collect()
+    last = None
+    for r in got:
+        last = r.h if r.h is not None else last
+        assert r["last"] == last
+    tied = spark.range(n).select((F.col("id") % 3 == 0).alias("k"), F.col("id"))
+    rows = O.row_numbers(tied, ["k", "id"], "n", 9).orderBy("n").collect()
+    assert [r.n for r in rows] == list(range(1, n + 1)) and [(r.k, r.id) for r in rows] == sorted((i % 3 == 0, i) for i in range(n))
