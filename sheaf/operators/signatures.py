@@ -5,19 +5,23 @@
   IDF-weighted, L2-normalised -- or vectors supplied by the user.
 * J10: exact cosine top-k >= threshold for a *batch* of query vectors: query blocks and
   corpus shards of bounded size meet in groups (one matrix product each), which keep a
-  local top-k that is merged per query.
+  local top-k that is merged per query. For large corpora, the same rows by k-means cells
+  that an exact bound rules out.
 * J11/J12: the signature store is a store table; backfill = left-anti join.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheaf.functions.names import normalize_for_similarity
+from sheaf.session import cut_lineage
 
 # ---- fixed values ------------------------------------------------------------
 SIMILARITY_THRESHOLD = 0.85
@@ -136,6 +140,127 @@ def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int = SIMILARITY_TOP_K
     return out.select("qid", "id", "score", F.col("rank").cast("int"))
 
 
+MAX_CELLS = 4096        # centroids are compared with every query, so their number is bounded
+CELL_SAMPLE = 100_000   # vectors that the cells are fitted on; all vectors are assigned
+_SLACK = 1e-9           # rounding of cosines
+
+
+@dataclass
+class CellSearch:
+    """``result`` as of ``cosine_topk``. ``probes``: (qid, cell, round) that were compared.
+    ``cells``: (cell, n, centroid, angle) of the corpus."""
+
+    result: DataFrame
+    probes: DataFrame
+    cells: DataFrame
+
+    def share_read(self) -> float:
+        """Share of all (query, cell) pairs that were compared."""
+        every = self.cells.count() * self.probes.select("qid").distinct().count()
+        return self.probes.count() / every if every else 0.0
+
+
+def _unit(v: Column) -> Column:
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return F.transform(v, lambda x: x.cast("double") / F.greatest(norm, F.lit(1e-300)))
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def cosine_topk_cells(corpus: DataFrame, queries: DataFrame, k: int = SIMILARITY_TOP_K, threshold: float | None = SIMILARITY_THRESHOLD,
+                      corpus_id: str = "id", query_id: str = "qid", vec_col: str = "embedding", exclude_self: bool = False,
+                      seed: int = 7) -> CellSearch:
+    """J10 for large corpora: the same rows as ``cosine_topk``, without comparing every
+    query with every vector. Vectors are grouped into cells by k-means (fitted on a bounded
+    sample, all vectors assigned); a cell knows its centroid and the widest angle of a
+    member to it. No member of a cell can be nearer to a query than the angle to the
+    centroid less that angle, so after a first round over the cells that look best (those
+    that hold at least k vectors) every cell whose bound is below the k-th score of the
+    query is skipped, and the rest are compared in a second round. Crowded cells are cut
+    into shards, and queries of a cell into blocks."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    spark = corpus.sparkSession
+    c = cut_lineage(corpus.select(F.col(corpus_id).cast("long").alias("id"), _unit(F.col(vec_col)).alias("v")).where("v IS NOT NULL"))
+    q = cut_lineage(queries.select(F.col(query_id).cast("long").alias("qid"), _unit(F.col(vec_col)).alias("q_v")).where("q_v IS NOT NULL"))
+    total = c.count()
+    if not total:
+        none = spark.createDataFrame([], "qid long, id long, score double, rank int")
+        return CellSearch(none, spark.createDataFrame([], "qid long, cell int, round int"),
+                          spark.createDataFrame([], "cell int, n long, centroid array<double>, angle double"))
+    n_cells = max(2, min(MAX_CELLS, round(total ** 0.5)))
+    as_vector = array_to_vector("v").alias("features")
+    sample = c.orderBy(F.xxhash64("id", "v")).limit(CELL_SAMPLE) if total > CELL_SAMPLE else c
+    low, high = sample.agg(F.min("v"), F.max("v")).first()
+    if low == high:     # k-means needs two different vectors
+        centers, assigned = [list(low)], c.withColumn("cell", F.lit(0))
+    else:
+        model = KMeans(k=n_cells, seed=seed, maxIter=8).fit(sample.select(as_vector))
+        centers = [[float(x) / max(float(np.linalg.norm(m)), 1e-300) for x in m] for m in model.clusterCenters()]
+        assigned = model.transform(c.select("id", "v", as_vector)).select("id", "v", F.col("prediction").alias("cell"))
+    shared = spark.sparkContext.broadcast(np.array(centers))     # at most MAX_CELLS rows
+    known = spark.createDataFrame(list(enumerate(centers)), "cell int, centroid array<double>")
+    angle = lambda a, b: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _dot(a, b))))
+    c = cut_lineage(assigned)
+    cells = cut_lineage(c.join(F.broadcast(known), "cell").groupBy("cell").agg(
+        F.count("*").alias("n"), F.first("centroid").alias("centroid"), F.max(angle(F.col("v"), F.col("centroid"))).alias("angle")))
+    facts = {r.cell: (r.n, r.angle) for r in cells.select("cell", "n", "angle").collect()}     # at most MAX_CELLS rows
+
+    def bounds(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cells and the best cosine that each could hold, per query."""
+        ids = np.array(sorted(facts))
+        far = np.arccos(np.clip(vectors @ shared.value[ids].T, -1, 1))
+        return ids, np.cos(np.maximum(0.0, far - np.array([facts[i][1] for i in ids])[None, :])) + _SLACK
+
+    def first_round(batches):
+        """Per query the cells of the best bounds, until they hold k vectors besides the query."""
+        for b in (x for x in batches if len(x)):
+            ids, best = bounds(np.array(b["q_v"].tolist()))
+            held = np.array([facts[i][0] for i in ids])
+            order = np.argsort(-best, axis=1, kind="stable")
+            need = (np.cumsum(held[order], axis=1) < k + 1).sum(axis=1) + 1
+            take = np.arange(len(ids))[None, :] < need[:, None]
+            yield pd.DataFrame({"qid": np.repeat(b["qid"].to_numpy(), take.sum(axis=1)), "cell": ids[order[take]]})
+
+    def second_round(batches):
+        """Per query the cells that may hold a vector at or above its k-th score."""
+        for b in (x for x in batches if len(x)):
+            ids, best = bounds(np.array(b["q_v"].tolist()))
+            rows, cols = np.nonzero(best >= b["kth"].fillna(-2.0).to_numpy()[:, None])
+            yield pd.DataFrame({"qid": b["qid"].to_numpy()[rows], "cell": ids[cols]})
+
+    def compare(probes: DataFrame) -> DataFrame:
+        shards = (F.col("n") / SHARD_ROWS).cast("int") + 1
+        sized = cells.select("cell", shards.alias("_shards"))
+        side = (c.join(F.broadcast(sized), "cell").select(
+            "cell", F.pmod(F.xxhash64("id"), F.col("_shards")).cast("int").alias("shard"), "id", "v"))
+        asked = probes.groupBy("cell").agg(((F.count("*") / BLOCK_ROWS).cast("int") + 1).alias("_blocks"))     # at most MAX_CELLS rows
+        side = side.join(F.broadcast(asked), "cell").select(
+            "cell", "shard", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block"), "id", "v")
+        ask = (probes.join(q, "qid").join(F.broadcast(sized), "cell").join(F.broadcast(asked), "cell").select(
+            F.col("cell").alias("q_cell"), F.explode(F.sequence(F.lit(0), F.col("_shards") - 1)).alias("q_shard"),
+            F.pmod(F.xxhash64("qid"), F.col("_blocks")).cast("int").alias("q_block"), "qid", "q_v"))
+        near = side.groupBy("cell", "shard", "block").cogroup(ask.groupBy("q_cell", "q_shard", "q_block")).applyInPandas(
+            lambda a, b: _best_of_shard(a, b, k, exclude_self), "qid long, id long, score double")
+        w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("id"))
+        return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    one = cut_lineage(q.mapInPandas(first_round, "qid long, cell int"))
+    best = cut_lineage(compare(one))
+    kth = best.where(F.col("rank") == k).select("qid", F.col("score").alias("kth"))
+    two = cut_lineage(q.join(kth, "qid", "left").mapInPandas(second_round, "qid long, cell int")
+                      .join(one, ["qid", "cell"], "left_anti"))
+    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("id"))
+    out = best.drop("rank").unionByName(compare(two).drop("rank")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if threshold is not None:
+        out = out.where(F.col("score") >= threshold)
+    probes = one.withColumn("round", F.lit(1)).unionByName(two.withColumn("round", F.lit(2)))
+    return CellSearch(out.select("qid", "id", "score", F.col("rank").cast("int")), probes, cells)
+
+
 def backfill_candidates(catalog_tables: DataFrame, signatures: DataFrame,
                         exclude=("tables_metadata", "operational_metadata", "load_audit", "signatures")) -> DataFrame:
     """Catalog tables that have no signature yet (left-anti), catalog tables

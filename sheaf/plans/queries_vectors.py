@@ -35,6 +35,22 @@ def q_cosine(spark, sf_dir):
     return r.select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
+@register("j10_cells_topk", """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x, i: x::DOUBLE + CASE WHEN i = 1 + vec_id % 16 THEN 2 ELSE 0 END) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS qid, c.vec_id AS id, list_cosine_similarity(q.v, c.v) AS score
+      FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INTEGER AS rank FROM s)
+SELECT qid, id, round(score, 6) AS score, rank, true AS under_quarter FROM r WHERE rank <= 5 AND score >= 0.5""")
+def q_cells(spark, sf_dir):
+    """J10 by cells: the embeddings, moved apart into sixteen groups, against every fiftieth
+    of them; exact, and less than a quarter of the (query, cell) pairs are compared."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x, i: x.cast("double") + F.when(
+        i == F.col("vec_id") % 16, 2.0).otherwise(0.0)).alias("embedding"))
+    found = SG.cosine_topk_cells(e, e.where("vec_id % 50 = 0"), k=5, threshold=0.5, corpus_id="vec_id", query_id="vec_id", exclude_self=True)
+    return found.result.select("qid", "id", F.round("score", 6).alias("score"), "rank",
+                               F.lit(found.share_read() < 0.25).alias("under_quarter"))
+
+
 #: Order of the rows of each driver table, by its key.
 TABLE_ORDER = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey",
                "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey, l_linenumber", "events": "event_id",
