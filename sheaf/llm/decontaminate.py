@@ -20,9 +20,9 @@ length class can have, whatever items are in the part, and one for each shingle
 lack: a copy lies whole in one passage if it is no longer than that with the words put in. Items are indexed
 by length class, so a long item does not widen the passages of short ones. The checks: at least ``overlap`` of the distinct
 five-word shingles of the item's question are in the passage, and of its answer as well.
-The answer is the item's last line, or what follows the mark "answer:" or "a:" in an item of
-one line that opens with "question:" or "q:"; other items of one line are plain prose and
-checked as a whole, as question. Parts of fewer than five words are one shingle.
+The answer is what follows the mark "answer:" or "a:" in an item that opens with "question:"
+or "q:"; other items, of one line or more, are plain prose and checked as a whole, as
+question. Parts of fewer than five words are one shingle.
 
 Defined cases: null or empty texts match nothing; null, empty or wordless items are not
 indexed; repeated items are reported each under its id, and repeated rows of a document
@@ -59,11 +59,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 def question_answer(text: str) -> tuple[str, str]:
-    """An item's question and answer; the answer is empty when the item has no own line
-    or mark for it."""
-    lines = [x for x in text.split("\n") if WORD.search(x)]
-    if len(lines) > 1:
-        return "\n".join(lines[:-1]), lines[-1]
+    """An item's question and answer; the answer is empty when the item has no mark for it."""
     marked = MARKED.fullmatch(text)
     return (marked[1], marked[2]) if marked else (text, "")
 
