@@ -11,7 +11,9 @@ SAMPLE_CHARS = 1 << 25  # characters of their texts together
 
 
 def held_out(id_col: Column, modulus: int, remainder: int) -> Column:
-    return F.crc32(id_col.cast("string").cast("binary")) % modulus == remainder
+    """Whether the checksum of the id has this remainder. A null id has no checksum and is
+    not held out (nor learned from: it can have no label)."""
+    return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, id_col: str = "doc_id",

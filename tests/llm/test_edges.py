@@ -377,3 +377,15 @@ def test_topk_by_brute_force(spark, monkeypatch):
                       if i != q and len(v) == len(good[q]))
         assert sorted(got.get(q, [])) == [(k + 1, i, -s) for k, (s, i) in enumerate(all_[:5])], q
     assert topk.top_k(df.where("false"), F.col("vec_id") % 10 == 0, 5).count() == 0
+
+
+def test_null_ids_are_scored_and_not_held_out(spark):
+    docs = frame(spark, [(i, f"good word{i}" if i % 2 else f"bad word{i}") for i in range(60)] + [(None, "bad word1"), (None, None)])
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(60)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
+    usable = ~held_out(F.col("doc_id"), 5, 0)
+    assert docs.select(held_out(F.col("doc_id"), 5, 0).alias("h")).where("h IS NULL").count() == 0
+    got, _, _ = sample(docs, labels, "toxic", usable)
+    assert len(got) == labels.where("doc_id IS NOT NULL").where(usable).count()
+    rows = (toxicity.score_toxicity(docs, toxicity.train(docs, labels, usable), threshold=0.5)
+            .where("doc_id IS NULL").withColumn("held_out", held_out(F.col("doc_id"), 5, 0)).collect())
+    assert len(rows) == 2 and all(r.held_out is False and 0 <= r.score <= 1 for r in rows)
