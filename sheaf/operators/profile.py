@@ -6,8 +6,9 @@ column); samples come from a bounded head of the data."""
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,7 +59,8 @@ def column_profile(df: DataFrame, order_col: str | None = "_row", table_name: st
                    samples: int = PROFILE_SAMPLES) -> DataFrame:
     """Q2 (+ Q1 column part): long ``(column_name, data_type, null_count, total_count,
     max_length, samples)``; counts from one aggregate, samples = the first non-null
-    values of the whole column, as text (a row limit per column, kept per task)."""
+    values of the whole column, as text (a top-n per column: each task keeps its first
+    values, and a column is read with the order alone)."""
     cols = data_columns(df)
     q = lambda c: F.col(f"`{c}`")
     aggs = [F.count(F.lit(1)).alias("_n")]
@@ -67,13 +69,10 @@ def column_profile(df: DataFrame, order_col: str | None = "_row", table_name: st
         aggs.append(F.max(F.length(q(c).cast("string"))).alias(f"l{i}"))
     one = df.agg(*aggs)
     order = F.col(order_col) if order_col and order_col in df.columns else F.monotonically_increasing_id()
-    cells = df.select(order.alias("_o"), F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), q(c).cast("string").alias("v")) for c in cols])).alias("x"))
-    first = Window.partitionBy("column_name").orderBy("_o")
-    kept = (cells.select("_o", "x.column_name", "x.v").where(F.col("v").isNotNull())
-            .withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= samples))
-    long_s = kept.groupBy("column_name").agg(F.transform(
-        F.sort_array(F.collect_list(F.struct("_k", "v"))), lambda s: s["v"]).alias("samples"))
+    firsts = [df.select(order.alias("_o"), F.lit(c).alias("column_name"), q(c).cast("string").alias("v"))
+              .where(F.col("v").isNotNull()).orderBy("_o").limit(samples) for c in cols]
+    long_s = reduce(DataFrame.unionByName, firsts).groupBy("column_name").agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("_o", "v"))), lambda s: s["v"]).alias("samples"))
     long_c = one.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.lit(df.schema[c].dataType.simpleString()).alias("data_type"),
                  (F.col("_n") - F.col(f"c{i}")).alias("null_count"), F.col("_n").alias("total_count"),
