@@ -127,6 +127,25 @@ def classify_labels(tokens: DataFrame, labels: list[str], default: str,
     return out.select("table_name", F.coalesce("decided", "rule_label", F.lit(default)).alias("label"))
 
 
+def contrastive_terms(counts: DataFrame, k: int = 1) -> DataFrame:
+    """Q4, sub-domain: what a group is about among the groups of its domain.
+    ``counts(domain, grp, term, n)`` -> ``(domain, grp, term, score, rank)``, the ``k`` best
+    terms. A term's score is its share of the group's terms times ``ln(1 + mean size of a
+    group / occurrences in the domain)``: terms that every group uses weigh little, terms
+    that this group uses and the others do not weigh most. Ties go to the smaller term;
+    scores are compared to nine places."""
+    per = counts.groupBy("domain", "grp", "term").agg(F.sum("n").alias("n"))
+    groups = per.groupBy("domain", "grp").agg(F.sum("n").alias("group_total"))
+    domains = groups.groupBy("domain").agg(F.avg("group_total").alias("mean_total"))
+    terms = per.groupBy("domain", "term").agg(F.sum("n").alias("term_total"))
+    score = F.round(F.col("n") / F.col("group_total") * F.log(1 + F.col("mean_total") / F.col("term_total")), 9)
+    told = (per.join(terms, ["domain", "term"]).join(groups, ["domain", "grp"]).join(domains, "domain")
+            .select("domain", "grp", "term", score.alias("score")))
+    # the limit on ranks is applied per task before groups meet
+    best = Window.partitionBy("domain", "grp").orderBy(F.col("score").desc(), "term")
+    return told.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def name_tokens_frame(tables: DataFrame) -> DataFrame:
     """``tables(table_name, columns array<string>)`` -> ``(table_name, token)``."""
     toks = F.flatten(F.array(F.split(F.col("table_name"), r"[^A-Za-z0-9]+"),

@@ -43,3 +43,4 @@ from sheaf.plans import queries_sheets  # noqa: E402,F401
 from sheaf.plans import queries_store  # noqa: E402,F401
 from sheaf.plans import queries_streaming  # noqa: E402,F401
 from sheaf.plans import queries_renames  # noqa: E402,F401
+from sheaf.plans import queries_decide  # noqa: E402,F401
