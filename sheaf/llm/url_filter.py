@@ -12,7 +12,7 @@ Both run over distinct keys in range slices of bounded size; a hot host or url i
 key. All of it is DataFrame code.
 
 Defined cases: a null url or one without ``://`` has empty host and path and fits no
-rule; no rule or an empty table gives the default verdict; of rules that fit, the longest
+rule; urls of any length are judged whole; no rule or an empty table gives the default verdict; of rules that fit, the longest
 host wins, then the longest path; a rule listed twice with both verdicts blocks; repeated
 rows are judged alike and all returned; a column named like an output (host, path, rule,
 verdict) is replaced.
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import carry_last, carry_sum, range_slices
+from sheaf.llm.common import carry_last, carry_sum, materialize, range_slices
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 OUTPUTS = ("host", "path", "rule", "verdict")
@@ -96,8 +96,11 @@ def judge_urls(df: DataFrame, rules: DataFrame, url_col: str = "url",
             .select("host", "path", F.col("b.over").alias("hk"), F.col("b.rule_pk").alias("pk")))
     found = (best.join(rules, ["hk", "pk"])
              .select("host", "path", F.concat("r_host", "r_path").alias("rule"), "verdict"))
-    return (urls.join(found, ["host", "path"], "left")
-            .withColumn("verdict", F.coalesce("verdict", F.lit(default))))
+    # written out, so that both sides of the join are plain exchanges and a hot url is split;
+    # urls without a host fit no rule and stay out of it
+    judged = urls.where(F.col("host") != "").join(materialize(found), ["host", "path"], "left")
+    bare = urls.where(F.col("host") == "").withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(None).cast("string")})
+    return judged.unionByName(bare).withColumn("verdict", F.coalesce("verdict", F.lit(default)))
 
 
 def rule_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
