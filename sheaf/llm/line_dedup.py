@@ -19,7 +19,7 @@ such run, and the overlapping deletions are merged into maximal spans.
 Defined cases: a null or blank text has no lines; lines are compared without white space
 at their ends, and blank lines are skipped in matching; a blank line goes if the lines
 before and after it go in one span; documents that lose nothing keep their text to the
-byte; rows that repeat id and text count as one document and are edited alike; a null id
+byte; texts of any length are taken whole; rows that repeat id and text count as one document and are edited alike; a null id
 sorts first; other columns pass through; an empty table gives no rows.
 """
 
@@ -52,6 +52,15 @@ def symbols(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                         F.xxhash64("_s.x").alias("_l1"), F.xxhash64("_s.x", F.lit(1)).alias("_l2"))
 
 
+def distinct_symbols(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The symbols of each distinct document. Rows that repeat id and text, however many,
+    collapse before their lines meet; only they are shuffled for it."""
+    keyed = _keyed(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", "_text")
+    again = materialize(keyed.groupBy(*DOC).agg(F.count("*").alias("_n")).where("_n > 1").select(*DOC))
+    once = symbols(keyed.join(again, DOC, "left_anti"), "_id", "_text")
+    return once.unionByName(symbols(keyed.join(again, DOC, "left_semi"), "_id", "_text").dropDuplicates([*DOC, "_pos"]))
+
+
 def doubled(ranks: DataFrame, step: int) -> DataFrame:
     """One round of prefix doubling: ranks over ``step`` lines -> ranks over twice as
     many, for the suffixes whose doubled prefix occurs more than once."""
@@ -67,14 +76,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Maximal spans of later copies: document (``_d``, ``_h``), first and last line
     number (0-based, inclusive), the non-blank lines in it, and the document of the first
     copy of the run that opens the span."""
-    lines = materialize(symbols(docs, id_col, text_col))
+    lines = materialize(distinct_symbols(docs, id_col, text_col))
     names = lines.groupBy("_l1", "_l2").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
     known = lines.join(ordered_ids(names, ["_l1", "_l2"], "_rank"), ["_l1", "_l2"]).drop("_l1", "_l2")
 
     by_place = Window.partitionBy(*DOC).orderBy("_pos")
     island = Window.partitionBy(*DOC, "_island").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     known = known.withColumn("_prev", F.lag("_pos").over(by_place))
-    known = known.where(F.col("_prev").isNull() | (F.col("_prev") < F.col("_pos")))
     known = known.withColumn("_island", F.sum(F.when(F.col("_prev") == F.col("_pos") - 1, 0).otherwise(1)).over(
         by_place.rowsBetween(Window.unboundedPreceding, 0)))
     known = known.withColumn("_to", F.sum("_words").over(island)).withColumn("_from", F.col("_to") - F.col("_words"))
@@ -138,10 +146,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spans = (repeated_spans(docs, id_col, text_col, min_words).groupBy(*DOC)
              .agg(F.collect_list(F.struct("first", "last")).alias("_spans"),
                   F.sum("lines").cast("long").alias("lines_removed")))
-    lines = F.split(F.col(text_col), "\n", -1)
     gone = F.flatten(F.transform("_spans", lambda s: F.sequence(s["first"], s["last"])))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    edited = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+    # the lines are bound to a lambda name, so that a text is split once
+    edited = F.get(F.transform(F.array(F.split(F.col(text_col), "\n", -1)), lambda lines: F.array_join(F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i)), "\n")), 0)
     return (_keyed(docs, id_col, text_col).join(spans, DOC, "left")
             .withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(edited))
             .withColumn("spans_removed", F.coalesce(F.size("_spans"), F.lit(0)).cast("long"))
