@@ -57,12 +57,28 @@ def _now() -> dt.datetime:
     return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
 
 
+#: Names of a table while it is swapped: the new one before, the old one after the switch.
+NEXT, BEFORE = "__next", "__before"
+
+
 class TableStore:
     def __init__(self, spark: SparkSession, database: str = "sheaf", location: str | None = None,
                  rows_per_part: int = 2_000_000):
         self.spark, self.database, self.rows_per_part = spark, database, rows_per_part
         where = f" LOCATION '{location}'" if location else ""
         spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`{where}")
+        self.recover()
+
+    def recover(self) -> None:
+        """Finish or undo rewrites that a failure cut short: a table that was moved away
+        and not replaced comes back; what is left of a swap goes."""
+        there = {t.name for t in self.spark.catalog.listTables(self.database) if not t.isTemporary}
+        for moved in sorted(t for t in there if t.endswith(BEFORE)):
+            name = moved.removesuffix(BEFORE)
+            if name in there:
+                self.spark.sql(f"DROP TABLE {self._t(moved)}")
+            else:
+                self.spark.sql(f"ALTER TABLE {self._t(moved)} RENAME TO {self._t(name)}")
 
     # ---- names and properties -----------------------------------------------------
     def _t(self, name: str) -> str:
@@ -85,7 +101,8 @@ class TableStore:
         return self.spark.catalog.tableExists(self._t(name))
 
     def tables(self) -> list[str]:
-        return sorted(t.name for t in self.spark.catalog.listTables(self.database) if not t.isTemporary)
+        return sorted(t.name for t in self.spark.catalog.listTables(self.database)
+                      if not t.isTemporary and not t.name.endswith((BEFORE, NEXT)))
 
     def schema(self, name: str) -> T.StructType:
         return T.StructType([f for f in self.spark.table(self._t(name)).schema.fields if f.name != PART])
@@ -243,14 +260,17 @@ class TableStore:
         return int(seen.get["n"])
 
     def _rewrite(self, name: str, schema: T.StructType, keys: list[str], parts: int, declared: dict) -> None:
-        """Write the table anew (other types, keys or partitions) and swap it in by name."""
-        fresh = f"{name.lower()}__next"
+        """Write the table anew (other types, keys or partitions) and swap it in by name.
+        The old table is moved away first and dropped last, so that there is a whole table
+        at any time; ``recover`` ends a swap that a failure cut short."""
+        fresh, moved = f"{name.lower()}{NEXT}", f"{name.lower()}{BEFORE}"
         self.spark.sql(f"DROP TABLE IF EXISTS {self._t(fresh)}")
         self._create(fresh, schema, keys, parts, declared)
         rows = self.read(name).select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields])
         self._insert(fresh, rows.withColumn(PART, self._part_of(keys, parts)), overwrite=False)
-        self.spark.sql(f"DROP TABLE {self._t(name)}")
+        self.spark.sql(f"ALTER TABLE {self._t(name)} RENAME TO {self._t(moved)}")
         self.spark.sql(f"ALTER TABLE {self._t(fresh)} RENAME TO {self._t(name)}")
+        self.spark.sql(f"DROP TABLE {self._t(moved)}")
 
     def replace_schema(self, name: str, schema: T.StructType, declared: dict | None = None) -> None:
         """L6 persisted: new columns are added to the table; other types mean a rewrite."""

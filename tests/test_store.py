@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 import uuid
 
 import duckdb
@@ -127,3 +128,32 @@ def test_insert_ignore_and_purge(spark, tmpdir_path):
     L.purge_by_date(store, T0.date(), dry_run=False)
     assert not store.exists("kv")
     assert store.read("tables_metadata").where(F.col("table_name") == "kv").count() == 0
+
+
+def test_a_rewrite_that_fails_leaves_a_whole_table(spark, tmpdir_path, monkeypatch):
+    db = f"db_{uuid.uuid4().hex[:12]}"
+    store = TableStore(spark, db, os.path.join(tmpdir_path, "wh"))
+    store.create_table("t", {"k": "BIGINT", "v": "INTEGER"}, ["k"])
+    store.append("t", spark.createDataFrame([(1, 2), (3, 4)], "k long, v int"))
+    rows = lambda s: sorted((r.k, r.v) for r in s.read("t").collect())
+    wide = spark.createDataFrame([], "k long, v string").schema
+    for stop in ("__next` RENAME", f"DROP TABLE `{db}`.`t__before"):     # after the old table moved, and before it is dropped
+        plain = spark.sql
+
+        def failing(text, *a, stop=stop, plain=plain, **b):
+            if stop in text:
+                raise RuntimeError("lost")
+            return plain(text, *a, **b)
+
+        monkeypatch.setattr(spark, "sql", failing, raising=False)
+        try:
+            store.replace_schema("t", wide)
+            raise AssertionError("should have failed")
+        except RuntimeError:
+            pass
+        monkeypatch.undo()
+        again = TableStore(spark, db, os.path.join(tmpdir_path, "wh"))
+        assert again.tables() == ["t"] and [(int(k), int(v)) for k, v in rows(again)] == [(1, 2), (3, 4)]
+    assert again.schema("t")["v"].dataType.simpleString() == "string"     # the second failure came after the switch
+    again.append("t", spark.createDataFrame([(5, "x")], "k long, v string"))
+    assert len(rows(again)) == 3
