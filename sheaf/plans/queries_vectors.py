@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sheaf.operators import signatures as SG
+from sheaf.operators import vectors as VE
 from sheaf.plans.registry import register
-from sheaf.session import table
+from sheaf.session import cut_lineage, table
 
 
 def label_centroids(emb):
@@ -51,6 +52,26 @@ def q_cells(spark, sf_dir):
                                F.lit(found.share_read() < 0.25).alias("under_quarter"))
 
 
+@register("j9_signature_vectors", r"""
+WITH t AS (SELECT doc_id AS id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+')) AS word FROM documents),
+b AS (SELECT id, ('0x' || substr(md5(word), 1, 8))::BIGINT AS bucket, count(*) AS tf FROM t WHERE word <> '' GROUP BY ALL),
+f AS (SELECT bucket, count(*) AS df FROM b GROUP BY bucket), n AS (SELECT count(DISTINCT id) AS n FROM b),
+r AS (SELECT id, bucket, tf * ln((n + 1.0) / df) AS w FROM b JOIN f USING (bucket), n),
+v AS (SELECT id, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM r),
+p AS (SELECT a.id AS file_id, c.id, sum(a.w * c.w) AS score FROM v a JOIN v c ON a.bucket = c.bucket AND a.id <> c.id GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY round(score, 9) DESC, id)::INTEGER AS rank FROM p WHERE score >= 0.85 - 1e-9)
+SELECT file_id, id, round(score, 6) AS score, rank FROM k WHERE rank <= 5""")
+def q_signature_vectors(spark, sf_dir):
+    """J9 and J10 on sparse vectors: every document as a signature text against all others,
+    the five nearest at 0.85 or more."""
+    terms = VE.text_buckets(table(spark, sf_dir, "documents"), "doc_id", "text")
+    terms = cut_lineage(terms)
+    frequencies = terms.groupBy("bucket").agg(F.count("*").alias("df"))
+    v = cut_lineage(VE.weighted(terms, frequencies, terms.select("id").distinct().count()))
+    best = VE.best_matches(VE.cosine_pairs(v, v, SG.SIMILARITY_THRESHOLD, exclude_self=True))
+    return best.select("file_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 #: Order of the rows of each driver table, by its key.
 TABLE_ORDER = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey",
                "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey, l_linenumber", "events": "event_id",
