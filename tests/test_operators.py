@@ -80,6 +80,20 @@ def test_greedy_groups_match_sequential_rule(spark):
         nodes = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"))
         got = {r.id: (r.anchor_id, r.role) for r in S.greedy_groups(nodes, edges).collect()}
         assert got == _brute_groups(sets, t)
+        classes, links = S.jaccard_links(sets_df, t)
+        got = {r.id: (r.anchor_id, r.role) for r in S.greedy_class_groups(nodes, classes, links).collect()}
+        assert got == _brute_groups(sets, t)
+
+
+def test_equal_sets_make_no_pairs(spark):
+    """A thousand equal sets and a few near ones: rows grow with the sets, not their pairs."""
+    sets = spark.range(1000).select(F.col("id").alias("set_id"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda x: x.cast("string"))).alias("col"))
+    near = spark.range(1000, 1003).select(F.col("id").alias("set_id"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(21)), lambda x: x.cast("string"))).alias("col"))
+    nodes = spark.range(1004).select("id", (-F.col("id")).alias("ord"))     # the last first; 1003 has no columns
+    classes, links = S.jaccard_links(sets.unionByName(near))
+    assert {tuple(r) for r in links.select("a", "b").collect()} == {(0, 1000)}
+    got = S.greedy_class_groups(nodes, classes, links).groupBy("anchor_id", "role").count().collect()
+    assert {tuple(r) for r in got} == {(1003, "anchor", 1), (1002, "anchor", 1), (1002, "member", 1002)}
 
 
 def test_match_ladder_guards_and_override(spark):
