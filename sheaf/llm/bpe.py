@@ -169,7 +169,11 @@ class Vocabulary:
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return joined_tokens(self.tokens, ids)
+
+
+def joined_tokens(tokens: dict[int, bytes], ids: bytes) -> bytes:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
@@ -192,14 +196,15 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> D
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """``encoded`` with the bytes that ``ids_col`` stands for; null ids are empty."""
+    """``encoded`` with the bytes that ``ids_col`` stands for; null ids are empty. Workers
+    get the tokens alone, not the tables that encoding needs."""
     bounded_batches(encoded.sparkSession)
-    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary.tokens)
 
     @F.pandas_udf("binary")
     def data(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        decode_one = shared.value.decode
+        tokens = shared.value
         for batch in ids:
-            yield pd.Series([decode_one(b"" if x is None else bytes(x)) for x in batch], dtype=object)
+            yield pd.Series([joined_tokens(tokens, b"" if x is None else bytes(x)) for x in batch], dtype=object)
 
     return encoded.withColumn(out, data(F.col(ids_col)))
