@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from sheaf.llm.common import bounded_batches
 
-CACHE = 1 << 18     # pieces, and pairs of tokens, that a worker remembers before it starts anew
+CACHE = 1 << 17     # pieces, and pairs of tokens, that a worker remembers before it starts anew
 
 
 class Vocabulary:
