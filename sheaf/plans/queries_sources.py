@@ -76,7 +76,8 @@ def q_quoted(spark, sf_dir):
     delimited files of three separators and read back record by record; quotes stay open
     over split borders, and one column has a quote inside a plain field."""
     d = table(spark, sf_dir, "documents")
-    n = 8 + d.count() // 20000
+    rows, size = d.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    n = 8 + rows // 20000
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     sep = F.element_at(F.array(*[F.lit(x) for x in ",|;"]), (F.col("file") % 3 + 1).cast("int"))
     body = d.withColumn("file", F.col("doc_id") % n).select("file", F.lit(2).alias("ord"), "doc_id", F.array_join(F.array(
@@ -88,7 +89,7 @@ def q_quoted(spark, sf_dir):
     names = head.select("file", F.lit(1).alias("ord"), none, F.lit("id\x00seven\x00eleven\x00file\x00text\x00lang\x00origin").alias("line"))
     lines = first.unionByName(names).unionByName(body).withColumn("line", F.replace("line", F.lit("\x00"), sep))
     folder = write_files(lines, "file", ["ord", "doc_id"], n)
-    with small_splits(spark, "128k"):
+    with small_splits(spark, str(max(128 << 10, (size or 0) // 64))):   # several splits a file
         v = F.col("values")
         scan = DL.scan_delimited(spark, folder)
         schemas = cut_lineage(scan.schemas())
