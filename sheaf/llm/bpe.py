@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from sheaf.llm.common import bounded_batches
 
-CACHE = 1 << 17     # pieces, and pairs of tokens, that a worker remembers before it starts anew
+CACHE = 1 << 18     # pieces, and pairs of tokens, that a worker remembers before it starts anew
 
 
 class Vocabulary:
@@ -208,3 +208,23 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out
             yield pd.Series([joined_tokens(tokens, b"" if x is None else bytes(x)) for x in batch], dtype=object)
 
     return encoded.withColumn(out, data(F.col(ids_col)))
+
+
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
+    """``encode`` and then ``decode`` of its ids in one pass over the texts: ``docs`` without
+    its text, with ``ids``, ``n_tokens`` and ``decoded``. One worker a task does both, so a
+    task holds one vocabulary and ids travel once."""
+    bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    @F.pandas_udf("ids binary, decoded binary")
+    def both(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        words = shared.value
+        for batch in texts:
+            ids = [words.encode(t or "") for t in batch]
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([words.decode(x) for x in ids], dtype=object)})
+
+    rest = docs.drop(*[c for c in ("ids", "n_tokens", "decoded", "_both") if c != text_col])
+    told = rest.withColumn("_both", both(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    kept = [c for c in rest.columns if c != text_col]
+    return told.select(*[F.col(f"`{c}`") for c in kept], "_both.ids", F.expr("octet_length(_both.ids) div 4").cast("long").alias("n_tokens"), "_both.decoded")

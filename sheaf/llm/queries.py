@@ -66,8 +66,7 @@ def vocabulary() -> bpe.Vocabulary:
 
 
 def token_digests(docs: DataFrame) -> DataFrame:
-    words = vocabulary()
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "text"), words), words)
+    both = bpe.round_trip(docs.select("doc_id", "text"), vocabulary())
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -389,3 +389,14 @@ def test_null_ids_are_scored_and_not_held_out(spark):
     rows = (toxicity.score_toxicity(docs, toxicity.train(docs, labels, usable), threshold=0.5)
             .where("doc_id IS NULL").withColumn("held_out", held_out(F.col("doc_id"), 5, 0)).collect())
     assert len(rows) == 2 and all(r.held_out is False and 0 <= r.score <= 1 for r in rows)
+
+
+def test_round_trip_is_encode_and_decode(spark):
+    words = queries.vocabulary()
+    texts = [None, "", "a", " two  words\n", "é日本 😀", "x" * 3000, "same", "same"]
+    docs = frame(spark, [(i, t, "q", b"1") for i, t in enumerate(texts)], DOCS + ", decoded string, ids binary")
+    one = bpe.round_trip(docs, words).orderBy("doc_id").collect()
+    two = bpe.decode(bpe.encode(docs, words), words).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.ids, r.n_tokens, r.decoded) for r in one] == [(r.doc_id, r.ids, r.n_tokens, r.decoded) for r in two]
+    assert [bytes(r.decoded).decode() for r in one] == [t or "" for t in texts]
+    assert bpe.round_trip(docs.limit(0), words).count() == 0
