@@ -57,6 +57,8 @@ def distinct_symbols(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     collapse before their lines meet; only they are shuffled for it."""
     keyed = _keyed(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", "_text")
     again = materialize(keyed.groupBy(*DOC).agg(F.count("*").alias("_n")).where("_n > 1").select(*DOC))
+    if again.isEmpty():
+        return symbols(docs, id_col, text_col)
     once = symbols(keyed.join(again, DOC, "left_anti"), "_id", "_text")
     return once.unionByName(symbols(keyed.join(again, DOC, "left_semi"), "_id", "_text").dropDuplicates([*DOC, "_pos"]))
 
