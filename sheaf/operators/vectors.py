@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheaf.operators.blocks import best_pairs
 from sheaf.operators.signatures import SIMILARITY_THRESHOLD, SIMILARITY_TOP_K
 from sheaf.session import cut_lineage
 from sheaf.sources.store import TableStore
@@ -28,7 +29,8 @@ WORD_SPLIT = r"[^\p{L}\p{N}_]+"
 
 def text_buckets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, bucket, tf)`` of whole texts; texts without words have no row."""
-    words = docs.select(F.col(id_col).alias("id"), F.explode(F.split(F.lower(F.col(text_col)), WORD_SPLIT)).alias("word")).where("word <> ''")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")).repartition("id")     # words are not moved again
+    words = texts.select("id", F.explode(F.split(F.lower(F.col("_text")), WORD_SPLIT)).alias("word")).where("word <> ''")
     bucket = F.conv(F.substring(F.md5(F.col("word").cast("binary")), 1, 8), 16, 10).cast("long")
     # words are counted before they are hashed
     return (words.groupBy("id", "word").agg(F.count("*").alias("tf")).select("id", bucket.alias("bucket"), "tf")
@@ -62,6 +64,15 @@ def cosine_pairs(left: DataFrame, right: DataFrame, threshold: float, exclude_se
             .groupBy("file_id", "id").agg(F.sum(F.col("_wl") * F.col("w")).alias("score")).where(F.col("score") >= threshold - 1e-9))
 
 
+def cosine_best(terms: DataFrame, threshold: float, k: int = SIMILARITY_TOP_K) -> DataFrame:
+    """``(file_id, id, score, rank)``: every text of ``terms`` against all others, weighted by
+    their own frequencies; the ``k`` best as ``best_matches`` of all ``cosine_pairs``. Blocks
+    of texts are compared in memory, so no pair below the threshold is written."""
+    packed = terms.groupBy("id").agg(F.collect_list(F.struct("bucket", F.col("tf").cast("int").alias("tf"))).alias("t"))
+    best = best_pairs(packed.select(F.col("id").alias("set_id"), F.col("t.bucket").alias("items"), F.col("t.tf").alias("tf")), "cosine", threshold, k)
+    return best.select(F.col("set_id").alias("file_id"), F.col("other_id").alias("id"), "score", "rank")
+
+
 def best_matches(pairs: DataFrame, k: int = SIMILARITY_TOP_K) -> DataFrame:
     """The ``k`` best per file; scores are compared to nine places, ties go to the smaller id."""
     order = Window.partitionBy("file_id").orderBy(F.round("score", 9).desc(), "id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sheaf.operators import signatures as SG
 from sheaf.operators import vectors as VE
 from sheaf.plans.registry import register
-from sheaf.session import cut_lineage, table
+from sheaf.session import table
 
 
 def label_centroids(emb):
@@ -65,10 +65,7 @@ def q_signature_vectors(spark, sf_dir):
     """J9 and J10 on sparse vectors: every document as a signature text against all others,
     the five nearest at 0.85 or more."""
     terms = VE.text_buckets(table(spark, sf_dir, "documents"), "doc_id", "text")
-    terms = cut_lineage(terms)
-    frequencies = terms.groupBy("bucket").agg(F.count("*").alias("df"))
-    v = cut_lineage(VE.weighted(terms, frequencies, terms.select("id").distinct().count()))
-    best = VE.best_matches(VE.cosine_pairs(v, v, SG.SIMILARITY_THRESHOLD, exclude_self=True))
+    best = VE.cosine_best(terms, SG.SIMILARITY_THRESHOLD)
     return best.select("file_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
