@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sheaf.plans.queries_jobs import JOBS_SQL, jobs_ledger
 from sheaf.plans.registry import register
-from sheaf.session import ensure_checkpoint_dir, table
+from sheaf.session import ensure_checkpoint_dir, keep, table
 from sheaf.streaming import landing as Z
 
 
@@ -31,7 +31,7 @@ def q_expiry(spark, sf_dir):
     j = jobs_ledger(spark, sf_dir)
     first = j.select("job_id", F.lit("awaiting_approval").alias("status"), F.col("created_at").cast("timestamp").alias("updated_at"))
     then = j.select("job_id", "status", (F.col("updated_at").cast("timestamp") + F.expr("INTERVAL 1 SECOND")).alias("updated_at"))
-    events = first.unionByName(then)
+    events = keep(first.unionByName(then))     # read by every run
     lo, hi = events.agg(F.min("updated_at"), F.max("updated_at")).first()
     cuts = [lo + (hi - lo) * k / 4 for k in range(4)]
     home = _folder(spark)

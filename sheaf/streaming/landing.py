@@ -10,8 +10,9 @@
   ``covered_files`` keeps the high water of every table as keyed state
   (``transformWithState``): tasks first sum up what a file brings, so a table's state
   sees a row per file and task however many rows the table gets.
-* Z4: approval expiry: per job a state and an event-time timer of 30 minutes
-  (``transformWithState`` on RocksDB); an expired job is emitted once.
+* Z4: approval expiry: open windows of 30 minutes as keyed state with event-time timers
+  (``transformWithState`` on RocksDB); jobs share the keys, and an expired job is
+  emitted once.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import datetime as dt
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -161,36 +164,68 @@ def route_covered(stream: DataFrame, table_col: str, rank: Column, checkpoint: s
 
 EXPIRY_OUT = "job_id long, expired_at timestamp, last_update timestamp"
 _WINDOW = APPROVAL_TIMEOUT // dt.timedelta(microseconds=1)
+JOB_GROUPS = 2048   # keys of the state: jobs share one, so its calls follow groups and not jobs
+_ENDS_MS = lambda since: (since + _WINDOW) // 1000 + 1  # noqa: E731  first watermark that ends a window
+
+
+def _expired_frame(jobs: np.ndarray, unnamed: np.ndarray, since: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"job_id": pd.arrays.IntegerArray(jobs, unnamed), "since": since})
 
 
 class ApprovalTimer(StatefulProcessor):
-    """The last event of a job that awaits approval (its time in microseconds), with a timer
-    for the end of its window."""
+    """The jobs of a group that await approval (time of the last event in microseconds), with
+    a timer for the window that ends first. The events of a group's batch are judged as
+    arrays; the state holds open windows only."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getValueState("waiting", "since long")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802
-        since = self.waiting.get()[0] if self.waiting.exists() else None
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        for at, status in sorted((r["_at"], r["status"]) for r in rows):   # the events of one job in one batch
-            if since is not None and at < since:
-                continue
-            if since is not None and at - since > _WINDOW:
-                yield Row(job_id=key[0], since=since)
-            since = at if status == "awaiting_approval" else None
-        if since is None:
-            self.waiting.clear()
-        else:
-            self.waiting.update((since,))
-            self.handle.registerTimer((since + _WINDOW) // 1000 + 1)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802
-        if self.waiting.exists():
-            yield Row(job_id=key[0], since=self.waiting.get()[0])
+        self.waiting = handle.getValueState("waiting", "jobs array<long>, since array<long>")
+
+    def _open(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        jobs, since = self.waiting.get() if self.waiting.exists() else ([], [])
+        return (np.array([0 if j is None else j for j in jobs], "int64"), np.array([j is None for j in jobs], bool),
+                np.array(since, "int64"))
+
+    def _hold(self, before: np.ndarray, jobs: np.ndarray, unnamed: np.ndarray, since: np.ndarray) -> None:
+        """Keep the open windows; the one timer is at the end of the first of them."""
+        old, new = (int(_ENDS_MS(s.min())) if len(s) else None for s in (before, since))
+        if len(since):
+            self.waiting.update(([None if n else j for j, n in zip(jobs.tolist(), unnamed.tolist())], since.tolist()))
+        elif len(before):
             self.waiting.clear()
+        if old != new:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            if new is not None:
+                self.handle.registerTimer(new)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        jobs, unnamed, since = self._open()
+        parts = [(jobs, unnamed, since, np.ones(len(jobs), "int64"), np.ones(len(jobs), bool))]
+        for r in rows:
+            parts.append((r["job"].to_numpy("int64"), r["unnamed"].to_numpy(bool), r["at"].to_numpy("int64"),
+                          r["turn"].to_numpy("int64"), np.zeros(len(r), bool)))
+        job, none, at, turn, held = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((turn, at, ~held, job, none))    # by job: the open window, then events by time
+        job, none, at, turn, held = (c[order] for c in (job, none, at, turn, held))
+        first = np.ones(len(job), bool)
+        first[1:] = (job[1:] != job[:-1]) | (none[1:] != none[:-1])
+        start = np.maximum.accumulate(np.where(first, np.arange(len(job)), 0))
+        left = ~(held[start] & (at < at[start]))            # events older than the open window say nothing
+        job, none, at, turn, first = (c[left] for c in (job, none, at, turn, first))
+        last = np.append(first[1:], True)[:len(job)]
+        awaits = turn == 1
+        over = awaits & ~last & (np.append(at[1:], 0)[:len(at)] - at > _WINDOW)
+        stays = awaits & last
+        self._hold(since, job[stays], none[stays], at[stays])
+        yield _expired_frame(job[over], none[over], at[over])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        jobs, unnamed, since = self._open()
+        over = _ENDS_MS(since) <= timerValues.getCurrentWatermarkInMs()
+        if over.any():
+            self._hold(since, jobs[~over], unnamed[~over], since[~over])
+            yield _expired_frame(jobs[over], unnamed[over], since[over])
 
     def close(self) -> None:
         pass
@@ -201,6 +236,12 @@ def approval_expiry(job_events: DataFrame, watermark: str = "0 seconds") -> Data
     event ``awaiting_approval`` that passed without another event of the job, as seen by
     the event-time watermark or by the job's next event. The result does not depend on how
     events fall into batches. Start the query inside ``keyed_state``."""
-    over = (job_events.withColumn("_at", F.unix_micros("updated_at")).withWatermark("updated_at", watermark).groupBy("job_id")
-            .transformWithState(ApprovalTimer(), "job_id long, since long", "append", "eventTime"))
+    asks = F.lit("awaiting_approval")
+    # of events at the same time the last by status counts
+    turn = F.when(F.col("status") < asks, 0).when(F.col("status") == asks, 1).otherwise(2)
+    events = job_events.where(F.col("updated_at").isNotNull()).select(
+        F.pmod(F.xxhash64("job_id"), F.lit(JOB_GROUPS)).alias("job_group"), F.coalesce("job_id", F.lit(0)).cast("long").alias("job"),
+        F.col("job_id").isNull().alias("unnamed"), F.unix_micros("updated_at").alias("at"), turn.cast("long").alias("turn"), "updated_at")
+    over = (events.withWatermark("updated_at", watermark).groupBy("job_group")
+            .transformWithStateInPandas(ApprovalTimer(), "job_id long, since long", "append", "eventTime"))
     return over.select("job_id", F.timestamp_micros(F.col("since") + _WINDOW).alias("expired_at"), F.timestamp_micros("since").alias("last_update"))

@@ -105,3 +105,24 @@ def test_covered_rows_by_state_and_a_batch_that_runs_again(spark, tmpdir_path):
         os.remove(f"{tmpdir_path}/ck/commits/{name}")
     run()
     assert loads == [*exp, exp[2]]
+
+
+def test_expiry_state_follows_groups_of_jobs(spark, tmpdir_path, monkeypatch):
+    """Many jobs share a key of the state; windows of one key end at different times, in a
+    later run, by a next event or by the watermark, and a job without id is a job."""
+    monkeypatch.setattr(Z, "JOB_GROUPS", 2)
+    t0 = dt.datetime(2026, 1, 1)
+    at = lambda m: t0 + dt.timedelta(minutes=m)
+    wait, done = "awaiting_approval", "completed"
+    steps = [[(j, wait, at(j)) for j in range(40)] + [(None, wait, at(3)), (50, wait, at(4)), (50, done, at(4)), (51, "aborted", at(5)), (51, wait, at(5))],
+             [(j, done, at(j + 30 + j % 2)) for j in range(10, 40)] + [(None, done, at(39))], [(99, done, at(200))]]
+    exp = {*((j, at(j)) for j in range(10)), *((j, at(j)) for j in range(11, 40, 2)), (None, at(3)), (51, at(5))}
+    schema = "job_id long, status string, updated_at timestamp"
+    for step in steps:
+        spark.createDataFrame(step, schema).write.mode("append").parquet(f"{tmpdir_path}/in")
+        with Z.keyed_state(spark):
+            (Z.approval_expiry(Z.landing_stream(spark, f"{tmpdir_path}/in", schema).drop("_file")).writeStream.format("parquet")
+             .option("path", f"{tmpdir_path}/out").option("checkpointLocation", f"{tmpdir_path}/ck")
+             .trigger(availableNow=True).start().awaitTermination())
+    got = [(r.job_id, r.last_update) for r in spark.read.schema(Z.EXPIRY_OUT).parquet(f"{tmpdir_path}/out").collect()]
+    assert len(got) == len(set(got)) and set(got) == exp
