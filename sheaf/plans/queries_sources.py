@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.plans.registry import register
-from sheaf.session import cut_lineage, ensure_checkpoint_dir, table
+from sheaf.session import cut_lineage, ensure_checkpoint_dir, keep, table
 from sheaf.operators import sheets as X
 from sheaf.sources import delimited as DL
 from sheaf.sources import workbook as WB
@@ -92,7 +92,7 @@ def q_quoted(spark, sf_dir):
     with small_splits(spark, str(max(128 << 10, (size or 0) // 64))):   # several splits a file
         v = F.col("values")
         scan = DL.scan_delimited(spark, folder)
-        schemas = cut_lineage(scan.schemas())
+        schemas = keep(scan.schemas())
         rows = scan.rows(schemas).join(schemas.select("_file", "last_header"), "_file")
         return cut_lineage(rows.select(
             F.regexp_extract("_file", r"file=(\d+)", 1).cast("long").alias("file"), (F.col("_row") - F.col("last_header")).alias("record"),
@@ -135,7 +135,7 @@ def q_layouts(spark, sf_dir):
              .unionByName(head(2, row(F.array(*map(F.lit, _LAYOUT))), F.lit(True))).unionByName(body)
              .withColumn("line", F.replace("line", F.lit("\x00"), sep)))
     scan = DL.scan_delimited(spark, write_files(lines, "file", ["ord", "k"], n))
-    schemas = cut_lineage(scan.schemas())
+    schemas = keep(scan.schemas())
     key = F.element_at(F.map_values("values"), 1).cast("long")
     told = (scan.rows(schemas).groupBy("_file").agg(
         F.sum(key).alias("sum_key"), F.sum(F.length(F.array_join(F.map_values("values"), ""))).alias("chars"),
@@ -182,7 +182,7 @@ def q_workbooks(spark, sf_dir):
     folder = write_books(o.select((F.col("o_orderkey") % n).alias("book"), "o_orderstatus", F.col("o_orderkey").alias("key"),
                                   F.to_date("o_orderdate").alias("date"), F.col("o_totalprice").cast("double").alias("price"),
                                   F.col("o_orderpriority").alias("priority")), "key", "o_orderstatus", lambda s: f"Orders in state {s}")
-    cells, merges = WB.cells_and_merges(cut_lineage(WB.read_workbooks(spark, folder).where(F.col("sheet").isin("F", "P"))))
+    cells, merges = WB.cells_and_merges(keep(WB.read_workbooks(spark, folder).where(F.col("sheet").isin("F", "P"))))
     cells = X.fill_merged(cells, merges)
     at = lambda col, of=F.col("value"): F.max(F.when(F.col("col") == col, of))
     rows = cells.where("row > 2").groupBy("_file", "sheet", "row").agg(

@@ -28,10 +28,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sheaf.functions.names import unique_name_array
 from sheaf.operators.headers import merge_header_levels
-from sheaf.session import cut_lineage
+from sheaf.session import keep
 
 # ---- fixed values ------------------------------------------------------------
 DELIMITER_CANDIDATES = [",", "|", "\t", ";", ":"]
@@ -129,40 +130,40 @@ def quoted_records(lines: DataFrame, dialect: DataFrame) -> tuple[DataFrame, Dat
     own = (lines.join(dialect, "_file").where(F.col("_row") >= F.col("skip_rows"))
            .withColumn("_row", F.col("_row") - F.col("skip_rows")))
     opens = _ends_inside(F.col("line"), F.col("delimiter"), False)
-    own = own.withColumn("_opens", opens)
-    risky = own.where("_opens").select("_file").distinct()
+    risky = keep(own.where(opens).select("_file").distinct())
     plain = own.join(risky, "_file", "left_anti").select("_file", "_row", "line", "delimiter")
 
-    many = own.join(risky, "_file").withColumn("_stays", _ends_inside(F.col("line"), F.col("delimiter"), True))
-    # windows over stretches of a fixed number of lines, whatever the size of the file
+    many = (own.join(risky, "_file").withColumn("_opens", opens)
+            .withColumn("_stays", _ends_inside(F.col("line"), F.col("delimiter"), True)))
+    # windows over stretches of a fixed number of lines, whatever the size of the file; all of
+    # one order, so that lines are shuffled and sorted once
     many = many.withColumn("_blk", F.expr(f"_row div {STRETCH_LINES}"))
     inner = Window.partitionBy("_file", "_blk").orderBy("_row")
     before = inner.rowsBetween(Window.unboundedPreceding, -1)
-    flips = F.sum((F.col("_opens") & ~F.col("_stays")).cast("int")).over(inner.rowsBetween(Window.unboundedPreceding, 0))
-    many = many.withColumn("_flips", flips)
+    so_far = inner.rowsBetween(Window.unboundedPreceding, 0)
+    many = many.withColumn("_flips", F.sum((F.col("_opens") & ~F.col("_stays")).cast("int")).over(so_far))
     fixed, odd = _effect_before(before, F.col("_opens"), F.col("_stays"))
-    many = cut_lineage(many.withColumn("_fixed", fixed).withColumn("_odd", odd))
-    # one row a stretch: its effect is that of its last line after what was before it
-    last = (many.withColumn("_n", F.row_number().over(Window.partitionBy("_file", "_blk").orderBy(F.col("_row").desc())))
-            .where("_n = 1"))
+    many = many.withColumn("_fixed", fixed).withColumn("_odd", odd)
     begin = lambda bit: F.coalesce(F.col("_fixed"), F.col("_odd") != F.lit(bit))
+    starts = lambda bit: F.sum((~begin(bit)).cast("int")).over(so_far)
+    many = keep(many.withColumn("_nth0", starts(False)).withColumn("_nth1", starts(True)).drop("_flips"))
+    # one row a stretch: its effect is that of its last line after what was before it
     through = lambda bit: F.when(begin(bit), F.col("_stays")).otherwise(F.col("_opens"))
-    blocks = last.select("_file", "_blk", through(False).alias("_o"), through(True).alias("_s"))
+    blocks = many.groupBy("_file", "_blk").agg(
+        F.max_by(F.struct(through(False).alias("_o"), through(True).alias("_s"), "_nth0", "_nth1"), "_row").alias("_l")).select("_file", "_blk", "_l.*")
     outer = Window.partitionBy("_file").orderBy("_blk")
+    earlier = outer.rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_flips", F.sum((F.col("_o") & ~F.col("_s")).cast("int")).over(outer.rowsBetween(Window.unboundedPreceding, 0)))
-    fixed, odd = _effect_before(outer.rowsBetween(Window.unboundedPreceding, -1), F.col("_o"), F.col("_s"))
-    blocks = blocks.select("_file", "_blk", F.coalesce(fixed, odd).alias("_begin"), "_o", "_s",
-                           F.row_number().over(Window.partitionBy("_file").orderBy(F.col("_blk").desc())).alias("_n"))
-    unclosed = blocks.where("_n = 1 AND CASE WHEN _begin THEN _s ELSE _o END").select("_file")
-    told = (many.join(blocks.select("_file", "_blk", "_begin"), ["_file", "_blk"])
-            .withColumn("_in", F.coalesce("_fixed", F.col("_odd") != F.col("_begin"))))
-    starts = F.sum((~F.col("_in")).cast("int")).over(inner.rowsBetween(Window.unboundedPreceding, 0))
-    told = cut_lineage(told.withColumn("_nth", starts).select("_file", "_blk", "_row", "line", "delimiter", "_in", "_opens", "_stays", "_nth"))
-    per = told.groupBy("_file", "_blk").agg(F.max("_nth").alias("_starts"))
-    per = per.select("_file", "_blk", F.coalesce(F.sum("_starts").over(outer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    told = told.join(per, ["_file", "_blk"]).withColumn("_rec", F.col("_off") + F.col("_nth") - 1)
-    broken = told.join(unclosed, "_file").where(~F.col("_in") & F.col("_opens")).groupBy("_file").agg(F.max("_row").alias("_row"))
-    told = told.join(unclosed, "_file", "left_anti")
+    fixed, odd = _effect_before(earlier, F.col("_o"), F.col("_s"))
+    blocks = blocks.withColumn("_begin", F.coalesce(fixed, odd))
+    blocks = blocks.select("_file", "_blk", "_begin", F.when(F.col("_begin"), F.col("_s")).otherwise(F.col("_o")).alias("_end"),
+                           F.when(F.col("_begin"), F.col("_nth1")).otherwise(F.col("_nth0")).alias("_starts"))
+    blocks = keep(blocks.select("_file", "_blk", "_begin", F.coalesce(F.sum("_starts").over(earlier), F.lit(0)).alias("_off"),
+                                F.max_by("_end", "_blk").over(Window.partitionBy("_file")).alias("_unclosed")))
+    told = (many.join(blocks, ["_file", "_blk"]).withColumn("_in", F.coalesce("_fixed", F.col("_odd") != F.col("_begin")))
+            .withColumn("_rec", F.col("_off") + F.when(F.col("_begin"), F.col("_nth1")).otherwise(F.col("_nth0")) - 1))
+    broken = told.where(F.col("_unclosed") & ~F.col("_in") & F.col("_opens")).groupBy("_file").agg(F.max("_row").alias("_row"))
+    told = told.where(~F.col("_unclosed"))
     alone = ~F.col("_in") & ~F.col("_opens")
     single = told.where(alone).select("_file", F.col("_rec").alias("_row"), "line", "delimiter")
     # only lines of records that span several lines meet
@@ -172,35 +173,35 @@ def quoted_records(lines: DataFrame, dialect: DataFrame) -> tuple[DataFrame, Dat
     return plain.unionByName(single).unionByName(split), broken
 
 
+@F.udf(returnType=T.ArrayType(T.StringType()), useArrow=True)
+def _quoted_cells(text: str | None, delim: str) -> list[str] | None:
+    """The cells of a record with quotes: the steps of ``_after_text`` and ``_after_quote``."""
+    if text is None:
+        return None
+    done, cur, state = [], [], 0
+    for i, piece in enumerate(text.split('"')):
+        if i:
+            if state in (1, 3):     # a quote that is text: in a plain field, or the second of two in quotes
+                cur.append('"')
+            state = (2, 1, 3, 2)[state]
+        if piece and state != 2:
+            *cut, piece = piece.split(delim)
+            for cell in cut:
+                done.append("".join(cur) + cell)
+                cur = []
+            state = 1 if piece else 0
+        cur.append(piece)
+    return [*done, "".join(cur)]
+
+
 def split_cells(line: Column, delim: Column) -> Column:
     """The cells of one record as an array: quotes around a field go, two quotes in quotes
     are one, a quote within a plain field is text. A carriage return that ends the record
     is no part of it."""
     text = F.regexp_replace(line, r"\r\z", "")
-    parts = F.split(text, '"', -1)
-
-    def put(acc, piece, state):
-        """Text without quotes: outside quotes it is cut at delimiters."""
-        cut = F.split(piece, F.concat(F.lit("\\Q"), delim, F.lit("\\E")), -1)
-        more = F.concat(acc["done"], F.array(F.concat(acc["cur"], F.get(cut, 0))), F.slice(cut, 2, F.greatest(F.size(cut) - 2, F.lit(0))))
-        many = (state != 2) & (F.size(cut) > 1)
-        return F.struct(F.when(many, more).otherwise(acc["done"]).alias("done"),
-                        F.when(many, F.element_at(cut, -1)).otherwise(F.concat(acc["cur"], piece)).alias("cur"),
-                        _after_text(state, piece, delim).alias("s"))
-
-    empty = F.struct(F.expr("cast(array() as array<string>)").alias("done"), F.lit("").alias("cur"), F.lit(0).alias("s"))
-
-    def step(acc, piece):
-        # a quote that is text: in a plain field, or the second of two in quotes
-        said = F.when((acc["s"] == 1) | (acc["s"] == 3), F.lit('"')).otherwise(F.lit(""))
-        with_quote = F.struct(acc["done"].alias("done"), F.concat(acc["cur"], said).alias("cur"), acc["s"].alias("s"))
-        return put(with_quote, piece, _after_quote(acc["s"]))
-
-    rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
-    folded = F.aggregate(rest, put(empty, F.get(parts, 0), F.lit(0)), step)
-    quoted = F.concat(folded["done"], F.array(folded["cur"]))
+    quoted = text.contains('"')
     plain = F.split(text, F.concat(F.lit("\\Q"), delim, F.lit("\\E")), -1)
-    return F.when(text.contains('"'), quoted).otherwise(plain)
+    return F.when(quoted, _quoted_cells(F.when(quoted, text), delim)).otherwise(plain)
 
 
 def _header_flags(rows: DataFrame) -> DataFrame:
@@ -282,7 +283,7 @@ class DelimitedScan:
         """The rows of all files as Parquet with a partition per file
         (``file_key``, a hash of the path) and ``schemas`` beside them with the same key."""
         key = F.sha2("_file", 256).alias("file_key")
-        schemas = cut_lineage(self.schemas())
+        schemas = keep(self.schemas())
         schemas.select(key, "*").write.parquet(f"{folder.rstrip('/')}/schemas")
         # ranges of rows, so that a file of any size is written by as many tasks as it needs
         (self.rows(schemas).select(key, "*").repartitionByRange("file_key", "_row")
@@ -299,10 +300,11 @@ class DelimitedScan:
 
 def scan_delimited(spark: SparkSession, paths: list[str] | str, delimiter: str | None = None) -> DelimitedScan:
     """S1 + S10: one scan over any number of files. ``delimiter`` overrides detection."""
-    lines = read_lines(spark, paths)
-    dialect = cut_lineage(detect_dialect(lines))    # one row a file, used by all that follows
+    # text is read, parsed and cut into cells once, whatever is asked of the scan later
+    lines = keep(read_lines(spark, paths))
+    dialect = keep(detect_dialect(lines))    # one row a file, used by all that follows
     if delimiter is not None:
         dialect = dialect.withColumn("delimiter", F.lit(delimiter))
     records, broken = quoted_records(lines, dialect)
-    records = records.select("_file", "_row", split_cells(F.col("line"), F.col("delimiter")).alias("cells"))
-    return DelimitedScan(records, dialect, detect_header_rows(records), broken)
+    records = keep(records.select("_file", "_row", split_cells(F.col("line"), F.col("delimiter")).alias("cells")))
+    return DelimitedScan(records, dialect, keep(detect_header_rows(records)), broken)

@@ -112,3 +112,21 @@ def test_odd_files(spark, tmpdir_path):
     rows = {(os.path.basename(r["_file"]), r["_row"]): r["values"] for r in scan.rows().collect()}
     assert rows["nobreak.csv", 1] == {"x": "1", "y": "2\n3", "z": "4"}
     assert rows["wide.csv", 2] == {"a": "6"}
+
+
+def test_text_is_parsed_once(spark, tmpdir_path):
+    """What is asked of a scan later does not read the files again."""
+    for i in range(3):
+        with open(os.path.join(tmpdir_path, f"{i}.csv"), "w") as f:
+            f.write('a,b,c\n1,"x\ny",z\n2,"p""q",r\n' if i else "a,b,c\n1,2,3\n")
+    scan = DL.scan_delimited(spark, tmpdir_path)
+    for i in range(3):
+        os.remove(os.path.join(tmpdir_path, f"{i}.csv"))
+    assert scan.schemas().count() == 3 and scan.rows().count() == 5
+    assert sorted(r["values"]["b"] for r in scan.rows().collect()) == ["2", 'p"q', 'p"q', "x\ny", "x\ny"]
+
+
+def test_cells_with_separators_of_several_characters(spark):
+    df = spark.createDataFrame([('a||"b||""c"||"d"e"||', "||"), ('"', ","), ('""', ","), ('x"y,"z', ","), ("", ",")], "l string, d string")
+    got = [r[0] for r in df.select(DL.split_cells(F.col("l"), F.col("d"))).collect()]
+    assert got == [["a", 'b||"c', 'de"', ""], [""], [""], ['x"y', "z"], [""]]
