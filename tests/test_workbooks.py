@@ -71,3 +71,14 @@ def test_tables_of_all_books_in_one_plan(spark):
     assert got["narrow#s#1"] == [{"Name": "a", "Worth": "1"}, {"Name": "b", "Worth": "2"}]      # X8: both footers cut
     # without a row of three cells the first row is the header, as for the first row of any sheet
     assert t["titled", "s", 1].names == ["Only a title"] and [v["Only a title"] for v in got["titled#s#1"]] == ["Name", "a"]
+
+
+def test_many_sheets_share_tasks(spark, tmpdir_path):
+    """Tasks do not follow the number of sheets; every sheet is read."""
+    for b in range(20):
+        WB.write_xlsx(os.path.join(tmpdir_path, f"b{b}.xlsx"), {f"s{i}": [[b * 100 + i, "x" * (i % 7)]] for i in range(40)}, shared=b % 2 == 0)
+    src = WB.read_workbooks(spark, tmpdir_path)
+    assert src.rdd.getNumPartitions() < 500
+    assert sorted(int(r.value) for r in src.where("col = 1").collect()) == sorted(b * 100 + i for b in range(20) for i in range(40))
+    assert [len(p.sheets) for p in WB.pack_sheets([("f", "s", "m", 40 << 20)] * 300)] == [1] * 300
+    assert [len(p.sheets) for p in WB.pack_sheets([("f", "s", "m", 1)] * 3)] == [1] * 3
