@@ -362,9 +362,9 @@ def detect_period_column_py(columns: list[str]) -> str | None:
 
 def period_bounds(df: DataFrame, period_col: str, group_cols: list[str] | None = None) -> DataFrame:
     """(first_value, last_value) ordered on the typed period key; one row, or
-    one row per group (a map-side partial aggregate)."""
+    one row per group (a map-side partial aggregate). The key is made once per period."""
     k = period_sort_key(period_col)
-    src = df.where(F.col(period_col).isNotNull())
+    src = df.where(F.col(period_col).isNotNull()).select(*(group_cols or []), period_col).distinct()
     if group_cols:
         return src.groupBy(*group_cols).agg(
             F.min_by(F.col(period_col).cast("string"), k).alias("first_value"),

@@ -5,6 +5,7 @@ plain plans so they can be tested against SQL and reused by streaming batches.""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -107,7 +108,8 @@ class MergeResult:
 
 
 def upsert_merge(existing: DataFrame, incoming: DataFrame, keys: list[str], ts=None,
-                 order: Column | str | None = "_row", on_missing: str = "null") -> MergeResult:
+                 order: Column | str | None = "_row", on_missing: str = "null",
+                 hold: Callable[[DataFrame], DataFrame] = lambda df: df) -> MergeResult:
     """L3: key match -> the incoming row replaces every non-key column and gets a
     fresh ``ingested_at``; new keys are inserted; other table rows stay as they are.
 
@@ -116,7 +118,8 @@ def upsert_merge(existing: DataFrame, incoming: DataFrame, keys: list[str], ts=N
     * ``on_missing='null'``: table columns absent from the file overwrite with NULL
       (source behaviour); ``'keep'`` keeps the stored value.
     The join is a full outer join on the (unique) keys; presence flags pick the
-    side, and the counts come from the same flags in one aggregate."""
+    side, and the counts come from the same flags in one aggregate. ``hold`` may write the
+    joined rows out, so that the table and the counts share one join."""
     inc_cols = {_norm(c) for c in incoming.columns}
     key_ok = F.lit(True)
     for k in keys:
@@ -125,11 +128,10 @@ def upsert_merge(existing: DataFrame, incoming: DataFrame, keys: list[str], ts=N
     good = incoming.where(key_ok)
     use_order = order is not None and (not isinstance(order, str) or order in good.columns)
     src = dedupe_last(good, keys, order if use_order else None, count_col="_n")
-    n_rows = src.select(*keys, "_n")
-    src = align(src, existing.schema).withColumn("_new", F.lit(True))
+    counted = T.StructType([*existing.schema.fields, T.StructField("_n", T.LongType())])
+    src = align(src, counted).withColumn("_new", F.lit(True))
     if AUDIT_COLUMN in existing.columns:
         src = src.withColumn(AUDIT_COLUMN, F.lit(ts).cast(existing.schema[AUDIT_COLUMN].dataType))
-    src = src.join(n_rows, keys)
     old = existing.withColumn("_old", F.lit(True))
     j = old.alias("o").join(src.alias("n"), keys, "full_outer")
     cols = []
@@ -144,9 +146,9 @@ def upsert_merge(existing: DataFrame, incoming: DataFrame, keys: list[str], ts=N
         else:
             v = F.when(F.col("n._new"), newv).otherwise(oldv)
         cols.append(v.alias(c))
-    flags = j.select(*cols, F.coalesce(F.col("n._new"), F.lit(False)).alias("_in_new"),
+    flags = hold(j.select(*cols, F.coalesce(F.col("n._new"), F.lit(False)).alias("_in_new"),
                      F.coalesce(F.col("o._old"), F.lit(False)).alias("_in_old"),
-                     F.coalesce(F.col("n._n"), F.lit(0)).alias("_n"))
+                     F.coalesce(F.col("n._n"), F.lit(0)).alias("_n")))
     merged = flags.drop("_in_new", "_in_old", "_n")
     # one long frame of metrics, pivoted over a fixed list -> one audit row
     metrics = flags.select(

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from sheaf.functions import numbers as NUM
 from sheaf.functions import types as TY
 from sheaf.operators import upsert as U
-from sheaf.session import cut_lineage
+from sheaf.session import cut_lineage, keep
 
 # ---- fixed values: columns of the catalog tables ------------------------------
 _TEXT, _TIME, _LONG, _LIST = T.StringType(), T.TimestampType(), T.LongType(), T.ArrayType(T.StringType())
@@ -314,8 +314,8 @@ class TableStore:
         touched = [r[0] for r in inc.where(F.col(f"`{keys[0]}`").isNotNull()).select(part).distinct().collect()]
         existing = self.spark.table(self._t(name)).where(F.col(PART).isin(touched)).drop(PART)
         before = existing.count()
-        res = U.upsert_merge(existing, inc, keys, ts=ts or _now(), order=order, on_missing=on_missing)
-        merged = cut_lineage(res.merged.withColumn(PART, part))
+        res = U.upsert_merge(existing, inc, keys, ts=ts or _now(), order=order, on_missing=on_missing, hold=keep)
+        merged = res.merged.withColumn(PART, part)
         got = res.counts.first()
         if touched:
             self._insert(name, merged.repartition(len(touched), PART), overwrite=True)

@@ -157,3 +157,23 @@ def test_a_rewrite_that_fails_leaves_a_whole_table(spark, tmpdir_path, monkeypat
     assert again.schema("t")["v"].dataType.simpleString() == "string"     # the second failure came after the switch
     again.append("t", spark.createDataFrame([(5, "x")], "k long, v string"))
     assert len(rows(again)) == 3
+
+
+def test_merge_and_counts_share_one_join(spark):
+    """The joined rows are held once, and period keys are made once per period."""
+    from sheaf.functions import periods
+    from sheaf.operators import upsert as U
+    from sheaf.session import keep
+
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k long, v string")
+    new = spark.createDataFrame([(2, "x"), (3, "y"), (3, "y"), (None, "z")], "k long, v string")
+    res = U.upsert_merge(old, new, ["k"], order=None, hold=keep)
+    plain = U.upsert_merge(old, new, ["k"], order=None)
+    assert "Join" not in res.counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plain.counts._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert res.counts.first() == plain.counts.first() and res.counts.first().asDict() == dict(
+        inserted=1, updated=1, unchanged=2, duplicates=1, null_keys=1)
+    assert sorted(res.merged.collect(), key=str) == sorted(plain.merged.collect(), key=str)
+    p = spark.createDataFrame([("2020",), ("2019",), ("2020",), (None,)], "year string")
+    bounds = periods.period_bounds(p, "year")
+    assert "Distinct" in bounds._jdf.queryExecution().analyzed().toString() and tuple(bounds.first()) == ("2019", "2020")
