@@ -16,6 +16,11 @@ Frequent buckets come last and stay out of the heads."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +32,29 @@ from sheaf.sources.store import TableStore
 WORD_SPLIT = r"[^\p{L}\p{N}_]+"
 
 
-def text_buckets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, bucket, tf)`` of whole texts; texts without words have no row."""
+def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``(id, words)`` to ``(id, buckets, tf)``: a word is hashed once in a batch."""
+    for b in batches:
+        words = b.column("words")
+        lens, coded = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), words.flatten().dictionary_encode()
+        hashed = [int.from_bytes(md5(w.as_py().encode(), usedforsecurity=False).digest()[:4], "big") for w in coded.dictionary]
+        bucket, place = np.unique(np.array(hashed, np.int64), return_inverse=True)
+        rows = np.repeat(np.arange(b.num_rows), lens)
+        key, tf = np.unique(rows * max(len(bucket), 1) + place[coded.indices.to_numpy()], return_counts=True)
+        ptr = pa.array(np.searchsorted(key, np.arange(b.num_rows + 1) * max(len(bucket), 1)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ptr, pa.array(v)) for v in (bucket[key % max(len(bucket), 1)], tf.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([b.column("id"), *lists], ["id", "buckets", "tf"])
+
+
+def text_buckets(docs: DataFrame, id_col: str, text_col: str, packed: bool = False) -> DataFrame:
+    """``(id, bucket, tf)`` of whole texts; texts without words have no row. ``packed``: a row
+    per text with ``buckets`` and ``tf`` as lists, counted text by text."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")).repartition("id")     # words are not moved again
+    if packed:
+        kind = texts.schema["id"].dataType.simpleString()
+        split = F.flatten(F.transform("_texts", lambda t: F.filter(F.split(F.lower(t), WORD_SPLIT), lambda w: w != "")))
+        words = texts.groupBy("id").agg(F.collect_list("_text").alias("_texts")).select("id", split.alias("words")).where(F.size("words") > 0)
+        return words.mapInArrow(_count_buckets, f"id {kind}, buckets array<long>, tf array<int>")
     words = texts.select("id", F.explode(F.split(F.lower(F.col("_text")), WORD_SPLIT)).alias("word")).where("word <> ''")
     bucket = F.conv(F.substring(F.md5(F.col("word").cast("binary")), 1, 8), 16, 10).cast("long")
     # words are counted before they are hashed
@@ -67,9 +92,14 @@ def cosine_pairs(left: DataFrame, right: DataFrame, threshold: float, exclude_se
 def cosine_best(terms: DataFrame, threshold: float, k: int = SIMILARITY_TOP_K) -> DataFrame:
     """``(file_id, id, score, rank)``: every text of ``terms`` against all others, weighted by
     their own frequencies; the ``k`` best as ``best_matches`` of all ``cosine_pairs``. Blocks
-    of texts are compared in memory, so no pair below the threshold is written."""
-    packed = terms.groupBy("id").agg(F.collect_list(F.struct("bucket", F.col("tf").cast("int").alias("tf"))).alias("t"))
-    best = best_pairs(packed.select(F.col("id").alias("set_id"), F.col("t.bucket").alias("items"), F.col("t.tf").alias("tf")), "cosine", threshold, k)
+    of texts are compared in memory, so no pair below the threshold is written. ``terms`` may
+    be packed."""
+    if "buckets" in terms.columns:
+        packed = terms.select(F.col("id").alias("set_id"), F.col("buckets").alias("items"), "tf")
+    else:
+        packed = terms.groupBy("id").agg(F.collect_list(F.struct("bucket", F.col("tf").cast("int").alias("tf"))).alias("t"))
+        packed = packed.select(F.col("id").alias("set_id"), F.col("t.bucket").alias("items"), F.col("t.tf").alias("tf"))
+    best = best_pairs(packed, "cosine", threshold, k)
     return best.select(F.col("set_id").alias("file_id"), F.col("other_id").alias("id"), "score", "rank")
 
 

@@ -64,7 +64,7 @@ SELECT file_id, id, round(score, 6) AS score, rank FROM k WHERE rank <= 5""")
 def q_signature_vectors(spark, sf_dir):
     """J9 and J10 on sparse vectors: every document as a signature text against all others,
     the five nearest at 0.85 or more."""
-    terms = VE.text_buckets(table(spark, sf_dir, "documents"), "doc_id", "text")
+    terms = VE.text_buckets(table(spark, sf_dir, "documents"), "doc_id", "text", packed=True)
     best = VE.cosine_best(terms, SG.SIMILARITY_THRESHOLD)
     return best.select("file_id", "id", F.round("score", 6).alias("score"), "rank")
 
